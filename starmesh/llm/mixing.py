@@ -18,7 +18,8 @@ from .common import BROADCAST_ROWS, ranked, stored, word_count
 BLOCK = 128
 #: Cells into which the unit interval is cut to find a point's source by an equality join.
 CELLS = 1 << 14
-GOLDEN = 0x9E3779B97F4A7C15 - (1 << 64)
+#: The golden ratio's fraction in 48 bits, by halves, and a mask of 24 bits.
+GOLDEN_HI, GOLDEN_LO, LOW = 0x9E3779, 0xB97F4B, (1 << 24) - 1
 
 
 def source_targets(sizes: DataFrame, total_share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
@@ -38,9 +39,10 @@ def source_targets(sizes: DataFrame, total_share: float = 1.5, cap: float = 2.0,
     x = x.withColumn("__before", F.coalesce(F.sum("__cap").over(done), F.lit(0.0)))
     x = x.withColumn("__rest", F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(done), F.lit(0.0)))
     x = x.withColumn("__level", (total_share * F.sum("source_size").over(all_rows) - F.col("__before")) / F.col("__rest"))
-    # The first source, by its limit, whose limit is not below the level that is left.
-    x = x.withColumn("__at", F.min(F.when(F.col("__level") <= F.col("__limit"), F.col("__level"))).over(all_rows))
-    target = F.when(F.col("__level") > F.col("__limit"), F.col("__cap")).otherwise(F.least("__cap", F.coalesce("__at", F.col("__limit")) * F.col("weight")))
+    # The level holds from the first source, by its limit, that it does not take above its limit.
+    fits = F.col("__level") <= F.col("__limit")
+    x = x.withColumn("__at", F.min_by(F.when(fits, F.col("__level")), F.when(fits, F.struct("__limit", "__n"))).over(all_rows))
+    target = F.least("__cap", F.coalesce(F.col("__at") * F.col("weight"), F.col("__cap")))
     return x.select("source", "source_size", F.col("__n").alias("source_no"), "weight", target.alias("target"))
 
 
@@ -52,8 +54,9 @@ def schedule(targets: DataFrame, total: float, block: int = BLOCK) -> DataFrame:
     share = targets.where("target > 0").withColumn("__hi", F.sum("target").over(over) / F.sum("target").over(W.partitionBy(F.lit(0))))
     share = share.withColumn("__lo", F.coalesce(F.lag("__hi").over(over), F.lit(0.0))).withColumn("__last", F.lead("__hi").over(over).isNull())
     cells = share.select("source_no", "__lo", F.when(F.col("__last"), 2.0).otherwise(F.col("__hi")).alias("__hi"), F.explode(F.sequence(F.floor(F.col("__lo") * CELLS), F.least(F.lit(CELLS - 1), F.floor(F.col("__hi") * CELLS)))).alias("cell"))
-    # The fraction of i * (golden ratio), exact in 64 bits.
-    point = F.shiftrightunsigned(F.col("id") * F.lit(GOLDEN), 11) / F.lit(float(1 << 53))
+    # The fraction of i * (golden ratio) in 48 bits, exact for i below 2 ** 39.
+    high = (F.col("id").bitwiseAND(LOW) * GOLDEN_HI).bitwiseAND(LOW)
+    point = (high * (1 << 24) + F.col("id") * GOLDEN_LO).bitwiseAND((1 << 48) - 1) / float(1 << 48)
     slots = spark.range(n_slots).withColumn("u", point).withColumn("cell", F.floor(F.col("u") * CELLS))
     slots = slots.join(cells, "cell").where((F.col("u") >= F.col("__lo")) & (F.col("u") < F.col("__hi"))).select(F.col("id").alias("slot"), "source_no", F.floor(F.col("id") / 4096).alias("stretch"))
     # Ranks in a source: slots before the stretch, then those in it.

@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, semi, shared_dir, stored
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the state's store while the stream runs. Without fallocate a store takes the disk
+#: that its rows need, not some megabytes more in each of many partitions.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 #: Locators of dropped rows that may be broadcast, once they have been counted.
@@ -52,8 +57,9 @@ def keyed_state(rows_dir: str, schema, spark) -> DataFrame:
     repeated batch overwrites; the last number holds for each digest.
     """
     out, log = shared_dir(spark, "dedup-state"), shared_dir(spark, "dedup-log")
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    old = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).parquet(rows_dir)
         state = stream.groupBy("digest").agg(F.max(F.struct("n_cp", "neg_id", "locator")).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -64,7 +70,8 @@ def keyed_state(rows_dir: str, schema, spark) -> DataFrame:
         query = state.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kind = state.schema.add("batch", "long")
     changed = spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(out)
     return changed.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("s")).select("digest", "s.*")

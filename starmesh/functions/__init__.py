@@ -1 +1 @@
-
+"""Column expressions and vectorised functions of points."""

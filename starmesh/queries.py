@@ -1,11 +1,274 @@
-"""Queries of the point-set operators and their SQL."""
+"""Queries of the point-set operators over the test tables, and the SQL that tells their results."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starmesh.operators import fof, neighbors, tree, windows, zorder
+from starmesh.operators.components import connected_components
+from starmesh.operators.points import point_set, union_types
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def embeddings(spark, d, dim, keep=None):
+    return point_set(table(spark, d, "embeddings"), "vec_id", "embedding", dim=dim, keep=keep)
+
+
+def parts(spark, d):
+    return point_set(table(spark, d, "part"), "p_partkey", ["p_retailprice", "p_size"])
+
+
+def customers(spark, d):
+    return point_set(table(spark, d, "customer"), "c_custkey", ["c_acctbal"])
+
+
+def rounded(pairs: DataFrame) -> DataFrame:
+    return pairs.select("qid", "rank", "id", F.round("rad", 9).alias("rad"))
+
+
+def knn_self_embeddings3(spark, d):
+    return rounded(neighbors.knn_pairs(embeddings(spark, d, 3), 4))
+
+
+def knn_embeddings64(spark, d):
+    return rounded(neighbors.knn_pairs(embeddings(spark, d, 64), 5))
+
+
+def knn_query_subset(spark, d):
+    e = embeddings(spark, d, 3, ["label"])
+    return rounded(neighbors.knn_pairs(e.where("label != 0").drop("label"), 3, query=e.where("label = 0").drop("label")))
+
+
+def _boxed(spark, d):
+    return point_set(table(spark, d, "customer").withColumn("__x", F.expr("((cast(c_acctbal as double) % 1000.0D) + 1000.0D) % 1000.0D")), "c_custkey", ["__x"])
+
+
+def knn_periodic(spark, d):
+    return rounded(neighbors.knn_pairs(_boxed(spark, d), 3, boxsize=1000.0))
+
+
+def knn_mean_radius(spark, d):
+    out = neighbors.knn(embeddings(spark, d, 3), 9, result=("rad",), reducer=neighbors.mean_radius)
+    return out.select("qid", F.round("mean_rad", 9).alias("mean_rad"))
+
+
+def knn_attributes(spark, d):
+    return neighbors.knn(embeddings(spark, d, 3, ["label"]), 3, result=("id", "label"))
+
+
+def knn_supplier_customer(spark, d):
+    s = point_set(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"])
+    return rounded(neighbors.knn_pairs(s, 2, query=customers(spark, d)))
+
+
+def knn_parts_ties(spark, d):
+    return rounded(neighbors.knn_pairs(parts(spark, d), 4))
+
+
+def fof_labels_customers(spark, d):
+    return fof.labels(customers(spark, d), 1.0).select("id", F.col("label").alias("label"), "zindex")
+
+
+def fof_periodic(spark, d):
+    out = fof.labels(_boxed(spark, d), 0.02, boxsize=1000.0)
+    least = out.groupBy("label").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("count"))
+    return out.join(least, "label").select("id", "least_id", "count")
+
+
+def fof_labels_parts(spark, d):
+    out = fof.labels(parts(spark, d), 0.9)
+    least = out.groupBy("label").agg(F.min("id").alias("least_id"))
+    return out.join(least, "label").select("id", "least_id")
+
+
+def fof_sizes(spark, d):
+    return fof.group_sizes(fof.labels(customers(spark, d), 1.0))
+
+
+def fof_catalogue(spark, d):
+    c = table(spark, d, "customer").withColumn("mass", F.lit(1.0) + F.pmod("c_custkey", F.lit(3))).withColumn("v0", F.col("c_nationkey").cast("double")).withColumn("zplus1", F.lit(2.0))
+    p = point_set(c, "c_custkey", ["c_acctbal"], ["mass", "v0", "zplus1"])
+    _, cat = fof.labels_and_catalogue(p, 2.0, npart_min=3)
+    return cat.select("label", "count", "offset", F.round("mass", 6).alias("mass"), F.round("com_pos0", 6).alias("com_pos0"), F.round("com_vel0", 6).alias("com_vel0"), F.round("scale_factor", 6).alias("scale_factor"), F.round("com_inertia_radius", 5).alias("com_inertia_radius"))
+
+
+def fof_group_order(spark, d):
+    return fof.group_order(fof.labels(customers(spark, d), 2.0)).select("id", "row", "label")
+
+
+def fof_superset(spark, d):
+    a, b = fof.labels(customers(spark, d), 2.0), fof.labels(customers(spark, d), 1.0)
+    return spark.createDataFrame([(fof.is_superset(a, b), fof.is_superset(b, a))], "wide_holds_narrow boolean, narrow_holds_wide boolean")
+
+
+def zindex_customers(spark, d):
+    return zorder.with_zindex(customers(spark, d)).select("id", "zindex")
+
+
+def zindex_parts(spark, d):
+    p = table(spark, d, "part").withColumn("a", F.floor("p_retailprice").cast("double"))
+    return zorder.with_zindex(point_set(p, "p_partkey", ["a", "p_size"])).select("id", "zindex")
+
+
+def search_sorted_accounts(spark, d):
+    s = point_set(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"])
+    return zorder.search_sorted(s, customers(spark, d))
+
+
+def leaf_counts(spark, d):
+    p = table(spark, d, "part").withColumn("a", F.floor("p_retailprice").cast("double"))
+    bits = tree.with_prefix_bits(point_set(p, "p_partkey", ["a", "p_size"]), PART_BITS)
+    leaved = tree.assign_leaves(bits, 16)
+    return leaved.groupBy(F.expr("substring(leaf, 5)").alias("leaf")).agg(F.count(F.lit(1)).alias("npart"))
+
+
+def multi_type_leaves(spark, d):
+    a = point_set(table(spark, d, "supplier").withColumn("x", F.floor("s_acctbal") + 1000.0), "s_suppkey", ["x"])
+    b = point_set(table(spark, d, "customer").withColumn("x", F.floor("c_acctbal") + 1000.0), "c_custkey", ["x"])
+    leaved = tree.assign_leaves(tree.with_prefix_bits(union_types(a, b), ACCOUNT_BITS), 8)
+    return leaved.groupBy(F.expr("substring(leaf, 3)").alias("leaf")).agg(F.count_if(F.col("ptype") == 0).alias("n0"), F.count_if(F.col("ptype") == 1).alias("n1"))
+
+
+def _part_nodes(spark, d):
+    p = table(spark, d, "part").withColumn("a", F.floor("p_retailprice").cast("double")).withColumn("mass", F.lit(1.0) + F.pmod("p_partkey", F.lit(3)))
+    return tree.build_nodes(point_set(p, "p_partkey", ["a", "p_size"], ["mass"]), 16, 6.0, 64, span=PART_BITS)
+
+
+def node_mass_centres(spark, d):
+    n = _part_nodes(spark, d).where("plane = 0")
+    return n.select(F.expr("substring(node, 5)").alias("leaf"), "npart", F.round("mass", 6).alias("mass"), F.round("mass_cent0", 6).alias("mass_cent0"), F.round("mass_cent1", 6).alias("mass_cent1"))
+
+
+def node_planes(spark, d):
+    return _part_nodes(spark, d).groupBy("plane").agg(F.sum("npart").alias("npart"), F.count_if((F.col("lo0") < F.col("cent0") - F.col("ext0") / 2) | (F.col("hi1") > F.col("cent1") + F.col("ext1") / 2)).alias("outside"))
+
+
+def level_histogram(spark, d):
+    return tree.level_histogram(_part_nodes(spark, d).where("plane = 0"), F.col("npart"))
+
+
+def bucket_prefix_sum(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return windows.bucket_prefix_sum(o, "o_custkey", ["o_orderkey"]).select("o_custkey", "o_orderkey", "prefix")
+
+
+def segment_sort(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return windows.segment_rank(p, "p_size", "p_retailprice", "p_partkey").select("p_partkey", "p_size", "rank")
+
+
+def components_graph(spark, d):
+    o = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_custkey") + F.pmod("o_orderkey", F.lit(5))).cast("long").alias("b"))
+    return connected_components(o)
+
+
+#: Bits of floor(price), below 2 ** 17, and size: exponents 16 to 0.
+PART_BITS = tree.BitRange(16, 0)
+#: Bits of the account balance, shifted and rounded down, below 2 ** 14.
+ACCOUNT_BITS = tree.BitRange(13, 0)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = (knn_self_embeddings3, knn_embeddings64, knn_query_subset, knn_periodic, knn_mean_radius, knn_attributes, knn_supplier_customer, knn_parts_ties, fof_labels_customers, fof_periodic, fof_labels_parts, fof_sizes, fof_catalogue, fof_group_order, fof_superset, zindex_customers, zindex_parts, search_sorted_accounts, leaf_counts, multi_type_leaves, node_mass_centres, node_planes, level_histogram, bucket_prefix_sum, segment_sort, components_graph)
+    return {f.__name__: f for f in found}
+
+
+def _knn_sql(source: str, query: str, dim: int, k: int, box: float | None = None, cols: str = "qid, rank, id, round(rad, 9) AS rad") -> str:
+    """source and query are SELECTs of id, x0, x1, ..."""
+    diff = [f"q.x{i} - s.x{i}" for i in range(dim)]
+    if box:
+        diff = [f"CASE WHEN {e} < -{box / 2} THEN {e} + {box} WHEN {e} >= {box / 2} THEN {e} - {box} ELSE {e} END" for e in diff]
+    r2 = " + ".join(f"({e}) * ({e})" for e in diff)
+    return f"""
+WITH s AS ({source}), q AS ({query}), r AS (SELECT q.id AS qid, s.id AS id, {r2} AS r2 FROM q CROSS JOIN s),
+n AS (SELECT qid, id, sqrt(r2) AS rad, CAST(row_number() OVER (PARTITION BY qid ORDER BY r2, id) AS INTEGER) AS rank FROM r QUALIFY rank <= {k})
+SELECT {cols} FROM n"""
+
+
+def _embedding_points(dim: int, where: str = "true") -> str:
+    return f"SELECT vec_id AS id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}' for i in range(dim))} FROM embeddings WHERE {where}"
+
+
+_PARTS = "SELECT p_partkey AS id, CAST(p_retailprice AS DOUBLE) AS x0, CAST(p_size AS DOUBLE) AS x1 FROM part"
+_CUSTOMERS = "SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS x0 FROM customer"
+_BOXED = "SELECT c_custkey AS id, ((CAST(c_acctbal AS DOUBLE) % 1000.0) + 1000.0) % 1000.0 AS x0 FROM customer"
+
+#: The z-order of single numbers is their order, except that -0 is 0; ties go by id.
+_FOF_1D = """
+WITH p AS ({points}), z AS (SELECT *, row_number() OVER (ORDER BY x0, id) - 1 AS zindex FROM p),
+g AS (SELECT *, CASE WHEN (x0 - lag(x0) OVER (ORDER BY zindex)) * (x0 - lag(x0) OVER (ORDER BY zindex)) <= {r2} THEN 0 ELSE 1 END AS starts FROM z),
+h AS (SELECT *, sum(starts) OVER (ORDER BY zindex) AS grp FROM g),
+f AS (SELECT *, min(zindex) OVER (PARTITION BY grp) AS label FROM h)
+"""
+
+
+def _z2(top: int) -> str:
+    """Bits of x0 and x1, interleaved, x0 first, from 2 ** top down."""
+    return f"array_to_string(list_transform(range({top}, -1, -1), lambda i: (((CAST(x0 AS BIGINT) >> CAST(i AS INTEGER)) & 1)::VARCHAR || ((CAST(x1 AS BIGINT) >> CAST(i AS INTEGER)) & 1)::VARCHAR)), '')"
+
+
+_PART_Z = f"WITH p AS (SELECT p_partkey AS id, floor(p_retailprice) AS x0, p_size AS x1, 1.0 + p_partkey % 3 AS mass FROM part), z AS (SELECT *, {_z2(16)} AS zbits FROM p)"
+_PART_LEAVES = _PART_Z + ", d AS (SELECT z.*, n FROM z, range(0, 35) t(n)), c AS (SELECT n, substring(zbits, 1, n) AS node, count(*) AS c FROM d GROUP BY ALL), l AS (SELECT z.id, min(c.n) AS n FROM z JOIN c ON substring(z.zbits, 1, c.n) = c.node AND (c.c <= 16 OR c.n = 34) GROUP BY z.id), leaved AS (SELECT z.*, substring(zbits, 1, l.n) AS leaf FROM z JOIN l USING (id))"
+_ACCOUNT_LEAVES = """
+WITH z AS (
+  SELECT s_suppkey AS id, 0 AS ptype, CAST(floor(s_acctbal) + 1000 AS BIGINT) AS x FROM supplier UNION ALL SELECT c_custkey, 1, CAST(floor(c_acctbal) + 1000 AS BIGINT) FROM customer
+), b AS (SELECT *, array_to_string(list_transform(range(13, -1, -1), lambda i: ((x >> CAST(i AS INTEGER)) & 1)::VARCHAR), '') AS zbits FROM z),
+c AS (SELECT n, substring(zbits, 1, n) AS node, greatest(count_if(ptype = 0), count_if(ptype = 1)) AS c FROM b, range(0, 15) t(n) GROUP BY n, node),
+l AS (SELECT b.id, b.ptype, min(c.n) AS n FROM b JOIN c ON substring(b.zbits, 1, c.n) = c.node AND (c.c <= 8 OR c.n = 14) GROUP BY b.id, b.ptype)
+SELECT substring(zbits, 1, n) AS leaf, count_if(ptype = 0)::BIGINT AS n0, count_if(ptype = 1)::BIGINT AS n1 FROM b JOIN l USING (id, ptype) GROUP BY 1"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    e3, f1, f2 = _embedding_points(3), _FOF_1D.format(points=_CUSTOMERS, r2=1.0), _FOF_1D.format(points=_CUSTOMERS, r2=4.0)
+    return {
+        "knn_self_embeddings3": _knn_sql(e3, e3, 3, 4),
+        "knn_embeddings64": _knn_sql(_embedding_points(64), _embedding_points(64), 64, 5),
+        "knn_query_subset": _knn_sql(_embedding_points(3, "label <> 0"), _embedding_points(3, "label = 0"), 3, 3),
+        "knn_periodic": _knn_sql(_BOXED, _BOXED, 1, 3, 1000.0),
+        "knn_mean_radius": "SELECT qid, round(avg(CASE WHEN rank > 1 THEN rad END), 9) AS mean_rad FROM (" + _knn_sql(e3, e3, 3, 9, cols="qid, rank, rad") + ") GROUP BY qid",
+        "knn_attributes": "SELECT qid, rank, id, label FROM (" + _knn_sql(e3, e3, 3, 3, cols="qid, rank, id") + ") JOIN embeddings ON vec_id = id",
+        "knn_supplier_customer": _knn_sql("SELECT s_suppkey AS id, CAST(s_acctbal AS DOUBLE) AS x0 FROM supplier", _CUSTOMERS, 1, 2),
+        "knn_parts_ties": _knn_sql(_PARTS, _PARTS, 2, 4),
+        "fof_labels_customers": f1 + "SELECT id, label, zindex FROM f",
+        "fof_sizes": f1 + "SELECT count, count(*) AS groups FROM (SELECT label, count(*) AS count FROM f GROUP BY label) GROUP BY count",
+        "fof_group_order": f2 + "SELECT id, row_number() OVER (ORDER BY label, zindex) - 1 AS row, label FROM f",
+        "fof_superset": f2 + ", g1 AS (" + f1 + "SELECT id, label AS narrow FROM f), j AS (SELECT * FROM f JOIN g1 USING (id)) SELECT (SELECT bool_and(n = 1) FROM (SELECT count(DISTINCT label) AS n FROM j GROUP BY narrow)) AS wide_holds_narrow, (SELECT bool_and(n = 1) FROM (SELECT count(DISTINCT narrow) AS n FROM j GROUP BY label)) AS narrow_holds_wide",
+        "fof_catalogue": f2 + """, m AS (SELECT f.*, 1.0::DOUBLE + id % 3 AS w, CAST(c_nationkey AS DOUBLE) AS v FROM f JOIN customer ON c_custkey = id),
+a AS (SELECT label, count(*) AS count, sum(w) AS mass, sum(w * x0) / sum(w) AS com, sum(w * v) / sum(w) AS vel FROM m GROUP BY label),
+o AS (SELECT *, coalesce(sum(count) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM a)
+SELECT o.label, count, off AS offset, round(mass, 6) AS mass, round(com, 6) AS com_pos0, round(vel, 6) AS com_vel0, 0.5::DOUBLE AS scale_factor,
+       round(sqrt(sum(w * (x0 - com) * (x0 - com)) / sum(w)), 5) AS com_inertia_radius
+FROM o JOIN m USING (label) WHERE count >= 3 GROUP BY o.label, count, off, mass, com, vel""",
+        "fof_periodic": f"""
+WITH p AS ({_BOXED}), z AS (SELECT *, row_number() OVER (ORDER BY x0, id) - 1 AS zindex FROM p),
+g AS (SELECT *, CASE WHEN (x0 - lag(x0) OVER (ORDER BY zindex)) * (x0 - lag(x0) OVER (ORDER BY zindex)) <= 0.02 * 0.02 THEN 0 ELSE 1 END AS starts FROM z),
+h AS (SELECT *, sum(starts) OVER (ORDER BY zindex) AS grp FROM g),
+e AS (SELECT min(grp) AS lo, max(grp) AS hi, min(x0) - max(x0) + 1000.0 AS gap FROM h),
+k AS (SELECT h.*, CASE WHEN grp = hi AND gap * gap <= 0.02 * 0.02 THEN lo ELSE grp END AS grp2 FROM h, e)
+SELECT id, min(id) OVER (PARTITION BY grp2) AS least_id, count(*) OVER (PARTITION BY grp2) AS count FROM k""",
+        "fof_labels_parts": f"""
+WITH RECURSIVE p AS ({_PARTS}), u AS (SELECT x0, x1, min(id) AS id FROM p GROUP BY x0, x1),
+e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON b.x0 BETWEEN a.x0 - 0.9 AND a.x0 + 0.9 AND (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) <= 0.9 * 0.9),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, min(b) AS least_id FROM r GROUP BY a)
+SELECT p.id, c.least_id FROM p JOIN u USING (x0, x1) JOIN c ON c.a = u.id""",
+        "zindex_customers": f"SELECT id, row_number() OVER (ORDER BY x0, id) - 1 AS zindex FROM ({_CUSTOMERS})",
+        "zindex_parts": _PART_Z + " SELECT id, row_number() OVER (ORDER BY zbits, id) - 1 AS zindex FROM z",
+        "search_sorted_accounts": "SELECT c_custkey AS id, (SELECT count(*) FROM supplier WHERE s_acctbal < c_acctbal) AS position FROM customer",
+        "leaf_counts": _PART_LEAVES + " SELECT leaf, count(*) AS npart FROM leaved GROUP BY leaf",
+        "multi_type_leaves": _ACCOUNT_LEAVES,
+        "node_mass_centres": _PART_LEAVES + " SELECT leaf, count(*) AS npart, round(sum(mass)::DOUBLE, 6) AS mass, round(sum(mass * x0)::DOUBLE / sum(mass)::DOUBLE, 6) AS mass_cent0, round(sum(mass * x1)::DOUBLE / sum(mass)::DOUBLE, 6) AS mass_cent1 FROM leaved GROUP BY leaf",
+        "level_histogram": _PART_LEAVES + " SELECT CAST(34 - length(leaf) AS INTEGER) AS lvl, count(*) AS weight FROM leaved GROUP BY 1",
+        "bucket_prefix_sum": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS prefix FROM orders",
+        "segment_sort": "SELECT p_partkey, p_size, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice, p_partkey) AS INTEGER) AS rank FROM part",
+        "components_graph": """
+WITH RECURSIVE o AS (SELECT o_custkey AS a, o_custkey + o_orderkey % 5 AS b FROM orders WHERE o_orderkey % 7 = 0), s AS (SELECT a, b FROM o WHERE a <> b UNION SELECT b, a FROM o WHERE a <> b),
+r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b)
+SELECT a AS id, least(a, min(b)) AS component FROM r GROUP BY a""",
+    }

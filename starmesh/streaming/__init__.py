@@ -1 +1 @@
-
+"""Streams of points against static point sets."""

@@ -97,7 +97,7 @@ def labels(points: DataFrame, rlink: float, boxsize: float | None = None, label:
     without links is a group of its own.
     """
     leaved, size, _ = with_leaves(points, LEAF)
-    found = connected_components(stored(link_edges(leaved, rlink, boxsize, size), "fof-edges"))
+    found = connected_components(stored(link_edges(leaved, rlink, boxsize, size), "fof-edges"), contract=True)
     named = leaved.join(found.withColumnRenamed("id", "zindex"), "zindex", "left").withColumn("label", F.coalesce("component", "zindex")).drop("component", "leaf")
     if label == "z":
         return named

@@ -2,7 +2,7 @@
 
 The payload is stored as samples of a mono WAV file made and read by the wave module. Of the
 samples read back, a short-time Fourier transform is taken; in each frame the strongest bin of
-each of a few bands that stands out is a peak; peaks are paired with the next ones in time. A
+each of a few bands is a peak if it stands out in its band; peaks are paired with the next ones in time. A
 pair's hash is (first bin, second bin, frames between) and its time the first frame.
 """
 
@@ -61,14 +61,17 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     bins, whens = [], []
     for at in range(0, n, FRAMES_AT_ONCE):
         m = min(FRAMES_AT_ONCE, n - at)
-        part = x[at * HOP : (at + m - 1) * HOP + FRAME].astype(np.float32) - 128
-        part = np.pad(part, (0, (m - 1) * HOP + FRAME - len(part)))
+        part = x[at * HOP : (at + m - 1) * HOP + FRAME].astype(np.float32)
+        # Beyond the end there is silence: the mean of the samples that the last frame has.
+        short = (m - 1) * HOP + FRAME - len(part)
+        if short:
+            part = np.pad(part, (0, short), constant_values=part[(m - 1) * HOP :].mean())
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        frames = frames - frames.mean(axis=1, keepdims=True)
         power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1)).astype(np.float32)
-        mean = power.mean(axis=1)
         for lo, hi in BANDS:
             best = power[:, lo:hi].argmax(axis=1)
-            high = power[np.arange(m), lo + best] > 2.5 * mean
+            high = power[np.arange(m), lo + best] > 1.2 * power[:, lo:hi].mean(axis=1)
             whens.append(np.flatnonzero(high) + at)
             bins.append((lo + best)[high])
     when, peak = np.concatenate(whens), np.concatenate(bins)

@@ -108,7 +108,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows of docs as often as the mix takes them, in whole documents: taken / size, rounded.
     Rows that repeat an id, and all without one, share its numbers. Texts without words are not taken."""
     taken = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
-    copies = stored(taken.select("__id", F.round(F.col("t") / F.col("n")).cast("int").alias("__copies")).where("__copies > 0"), "mix-copies")
+    copies = stored(taken.select("__id", F.round(F.when(F.col("n") > 0, F.col("t") / F.col("n"))).cast("int").alias("__copies")).where("__copies > 0"), "mix-copies")
     few = F.broadcast(copies) if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else copies
     rows = docs.join(few, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[docs[c] for c in docs.columns])

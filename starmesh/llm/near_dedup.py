@@ -4,8 +4,9 @@ A forest has several trees. A tree sorts all distinct shingle sets by their sequ
 hashes; sets that share a prefix of it form a region. The depth is chosen per region: where more
 than REGION sets share a prefix, it is made longer, up to the last depth. Neighbours in a region's
 order, which have the longest common prefix, are the first candidates; with them most sets of a
-group are linked at little cost. What then still lies in one region but in different components is
-compared pair by pair, so no region's candidates are capped.
+group are linked at little cost. Candidates connect sets to families. What then still lies in one
+family but in different components is compared whole, in blocks, and so is what lies in one region
+but in different families, pair by pair: no region's candidates are capped.
 
 Candidates pass two filters before texts are fetched: the set sizes, which is exact, and a sketch
 of 256 one-bit minimum hashes, which drops a pair at the threshold with a chance below 1e-6.
@@ -206,27 +207,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     regions = stored(_regions(first), "near-regions")
     pairs = stored(_neighbours(regions, percent), "near-pairs")
-    texts = stored(semi(docs.where("doc_id is not null"), regions.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]), "near-texts")
+    texts = stored(semi(docs.where("doc_id is not null"), regions.select("doc_id").distinct(), "doc_id"), "near-texts")
 
     def confirm(some: DataFrame) -> DataFrame:
         a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
         full = some.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
         return stored(full.mapInArrow(_confirm(shingle, percent), "a long, b long"), "near-links")
 
-    # A set's closest neighbour first; then each component's closest; then all that is left.
-    links, label = None, None
-    for last in (False, False, True):
-        left = pairs if label is None else _across(pairs, label)
-        if last:
-            rest = _cross_regions(regions, label, percent)
-            left = left.select("a", "b").unionByName(rest.select("a", "b")).distinct()
-        else:
-            ends = left.select(F.col("ca").alias("c"), "a", "b", "d").union(left.select("cb", "a", "b", "d"))
-            best = ends.groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("p"))
-            left = best.select("p.a", "p.b").distinct()
-        found = confirm(left)
-        links = found if links is None else links.union(found)
-        label = stored(connected_components(links), "near-labels")
+    # Each set's two closest candidates first; then all that lie in different components still.
+    ends = pairs.select(F.col("a").alias("c"), "a", "b", "d").union(pairs.select(F.col("b"), "a", "b", "d"))
+    closest = F.row_number().over(W.partitionBy("c").orderBy("d", "a", "b"))
+    links = confirm(ends.withColumn("n", closest).where("n <= 2").select("a", "b").distinct())
+    label = stored(connected_components(links, contract=True), "near-labels")
+    family = stored(connected_components(pairs, contract=True), "near-families")
+    rest = confirm(_cross_families(regions, family, percent))
+    more = rest.union(_within_families(first, texts, family, label, shingle, percent))
+    if not more.isEmpty():
+        stars = label.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        label = stored(connected_components(stars.union(more), contract=True), "near-labels")
 
     rep = classes.join(label, classes.rep == label.id, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     own = signed.select("doc_id", "n_shingles", "set_key").join(rep, "set_key", "left")
@@ -254,8 +252,8 @@ def _regions(first: DataFrame) -> DataFrame:
 
 
 def _neighbours(regions: DataFrame, percent: int) -> DataFrame:
-    """(a, b, d, ca, cb): distinct pairs next to each other in a region's order, and with the first
-    set of a region that is ordered in parts. ca and cb name the ends' components, so far themselves."""
+    """(a, b, d): distinct pairs next to each other in a region's order, and with the first set of a
+    region that is ordered in parts; d is the sketches' distance."""
     part = F.when(F.col("size") > PART, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / PART))).otherwise(0)
     order = W.partitionBy("region", "part").orderBy("path", "doc_id")
     one = F.struct("doc_id", "n", "s")
@@ -264,7 +262,7 @@ def _neighbours(regions: DataFrame, percent: int) -> DataFrame:
     large = regions.where(F.col("size") > PART)
     heads = large.groupBy("region").agg(F.min(one).alias("y"))
     tied = large.join(heads, "region").select(one.alias("x"), "y").where("x.doc_id != y.doc_id")
-    return _pairs(near.union(tied), percent).select("a", "b", "d", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    return _pairs(near.union(tied), percent)
 
 
 def _pairs(xy: DataFrame, percent: int) -> DataFrame:
@@ -273,21 +271,96 @@ def _pairs(xy: DataFrame, percent: int) -> DataFrame:
     return flat.where(_alike(percent)).select("a", "b", _distance().alias("d")).distinct()
 
 
-def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    la, lb = label.toDF("a", "la"), label.toDF("b", "lb")
-    named = pairs.select("a", "b", "d").join(la, "a", "left").join(lb, "b", "left")
-    return named.select("a", "b", "d", F.coalesce("la", "a").alias("ca"), F.coalesce("lb", "b").alias("cb")).where("ca != cb")
+def _cross_families(regions: DataFrame, family: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a region that lie in different families and pass the filters."""
+    named = regions.join(family.toDF("doc_id", "l"), "doc_id", "left").select("region", "doc_id", "n", "s", F.coalesce("l", "doc_id").alias("f"))
+    mixed = named.groupBy("region").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo != hi").select("region")
+    named = stored(named.join(mixed, "region", "left_semi"), "near-mixed")
+    a = named.select("region", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("s").alias("a_s"), F.col("f").alias("fa"))
+    b = named.select("region", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("s").alias("b_s"), F.col("f").alias("fb"))
+    return a.join(b, "region").where((F.col("fa") < F.col("fb")) & _alike(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _cross_regions(regions: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a region that lie in different components and pass the filters."""
-    named = regions.join(label.toDF("doc_id", "l"), "doc_id", "left").select("region", "doc_id", "n", "s", F.coalesce("l", "doc_id").alias("c"))
-    mixed = named.groupBy("region").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("region")
-    named = stored(named.join(mixed, "region", "left_semi"), "near-mixed")
-    a = named.select("region", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("s").alias("a_s"), F.col("c").alias("ca"))
-    b = named.select("region", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("s").alias("b_s"), F.col("c").alias("cb"))
-    return a.join(b, "region").where((F.col("ca") < F.col("cb")) & _alike(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _within_families(first: DataFrame, texts: DataFrame, family: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links between the components of a family.
+
+    The sets outside the family's largest component are compared with all of the family. This is
+    done in blocks of a part of the former and a part of the latter, so that a set is sent once
+    for each block, not for each pair, and no task has more than a block.
+    """
+    f, c = family.toDF("doc_id", "family"), label.toDF("doc_id", "c")
+    own = f.join(c, "doc_id", "left").join(first.select("doc_id", "n_shingles"), "doc_id").select("doc_id", "family", F.coalesce("c", "doc_id").alias("comp"), "n_shingles")
+    own = stored(own, "near-members")
+    parts = own.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("n"))
+    whole = parts.groupBy("family").agg(F.max(F.struct("k", "n", "comp")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n")).where("k > main.k")
+    needed = lambda docs, shingles, most, most_n: F.greatest(F.ceil(docs / most), F.ceil(shingles / most_n))
+    whole = whole.select("family", F.col("main.comp").alias("main"), needed(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n"), *BLOCK_LEFT).alias("n_left"), needed(F.col("k"), F.col("n"), *BLOCK_ALL).alias("n_all"))
+    own = own.join(whole, "family")
+    dealt = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    others = F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1)
+    as_all = own.select("doc_id", "family", "comp", F.lit(False).alias("left"), F.explode(others).alias("i"), dealt("n_all").alias("j"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)
+    as_left = own.where("comp != main").select("doc_id", "family", "comp", F.lit(True).alias("left"), dealt("n_left").alias("i"), F.explode(others).alias("j"))
+    rows = as_all.union(as_left).join(texts, "doc_id").select("family", "i", "j", "doc_id", "comp", "left", "text")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return stored(rows.mapInArrow(_compare(size, percent), "a long, b long"), "near-block-links")
+
+
+#: Sets, and shingles, of the two sides of a block, about.
+BLOCK_LEFT, BLOCK_ALL = (256, 300_000), (2_048, 1_500_000)
+
+
+def _compare(size: int, percent: int):
+    """Blocks, sorted by family, i, j: for each set of the left side a link to every component that
+    it reaches."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        sets = []
+        for at in range(0, len(rows), 256):
+            sets += shingle_sets([(r[3] or "").encode() for r in rows[at : at + 256]], size)
+        left = [k for k, r in enumerate(rows) if r[2]]
+        right = [k for k, r in enumerate(rows) if not r[2]]
+        found, at = [], 0
+        while at < len(left):
+            some, held = [], 0
+            while at < len(left) and len(some) < 128 and (not some or held < 65_536):
+                some.append(left[at])
+                held += len(sets[left[at]])
+                at += 1
+            known = np.unique(np.concatenate([sets[k] for k in some]))
+            has = np.zeros((len(known) + 1, len(some)), np.uint8)
+            for q, k in enumerate(some):
+                has[np.searchsorted(known, sets[k]), q] = 1
+            n, comp = np.array([len(sets[k]) for k in some]), np.array([rows[k][1] for k in some])
+            done = set()
+            for k in right:
+                fit = (comp != rows[k][1]) & (100 * np.minimum(n, len(sets[k])) >= percent * np.maximum(n, len(sets[k])))
+                if not fit.any():
+                    continue
+                spot = np.searchsorted(known, sets[k])
+                spot[(spot == len(known)) | (known[np.minimum(spot, len(known) - 1)] != sets[k])] = len(known)
+                both = has[spot].sum(axis=0, dtype=np.int64)
+                for q in np.flatnonzero(fit & (both > 0) & (100 * both >= percent * (n + len(sets[k]) - both))):
+                    if (q, rows[k][1]) not in done:
+                        done.add((q, rows[k][1]))
+                        found.append((rows[some[q]][0], rows[k][0]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            out = []
+            for family, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (family, i, j) != key:
+                    out += links(rows)
+                    key, rows = (family, i, j), []
+                rows.append(rest)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+        out = links(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -10,6 +10,8 @@ and expected number of toxic tokens into its score, and runs of likely tokens ar
 
 from __future__ import annotations
 
+import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -24,11 +26,11 @@ from .quality import held_out
 #: Weights nearer to 0 are dropped.
 LEAST_WEIGHT = 0.03
 #: Labelled documents that are fitted on: at most so many toxic ones, and others.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 4_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1_200, 3_000
 #: Documents of each kind whose chains are used for the gradient.
-CHAIN_DOCS = 1_000
+CHAIN_DOCS = 600
 #: Words whose weights a worker remembers.
-CACHE = 200_000
+CACHE = 100_000
 #: Positions of a chain that are multiplied out together.
 STRIDE = 64
 _EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "¡¿«»„“”‘’…–—"
@@ -63,14 +65,28 @@ class Weights(dict):
 
 def markers_of(docs: list[str], toxic: np.ndarray, share: float = 0.03, ratio: float = 20.0) -> set[str]:
     """Features of words that mark toxic documents: in a share of them, three at least, and
-    `ratio` times as often as in others."""
+    `ratio` times as often as in others.
+
+    Documents are counted by hashed buckets first, so that names are kept only of buckets that
+    could hold a marker.
+    """
+    bad = max(1, int(toxic.sum()))
+    rest, least = max(1, len(docs) - int(toxic.sum())), max(3, share * bad)
+    own = lambda text: {n for w in set(text.split()) for n in word_features(w)[:-2]}
+    slot = lambda n: zlib.crc32(n.encode()) & 0xFFFFF
+    rough = np.zeros(1 << 20, np.int32)
+    for text, y in zip(docs, toxic, strict=True):
+        if y:
+            rough[list({slot(n) for n in own(text)})] += 1
     seen = {0: Counter(), 1: Counter()}
     for text, y in zip(docs, toxic, strict=True):
-        own = {n for w in set(text.split()) for n in word_features(w)[:-2]}
-        seen[int(y)].update(own)
-    bad, rest = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    least = max(3, share * bad)
-    return {n for n, k in seen[1].items() if k >= least and (k + 0.5) / bad > ratio * (seen[0][n] + 0.5) / rest}
+        if y:
+            seen[1].update(n for n in own(text) if rough[slot(n)] >= least)
+    often = {n for n, k in seen[1].items() if k >= least}
+    for text, y in zip(docs, toxic, strict=True):
+        if not y:
+            seen[0].update(own(text) & often)
+    return {n for n in often if (seen[1][n] + 0.5) / bad > ratio * (seen[0][n] + 0.5) / rest}
 
 
 class Chain:
@@ -148,21 +164,24 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30, seed: int = 5) ->
     rng = np.random.default_rng(seed)
     own = np.concatenate([rng.permutation(np.flatnonzero(toxic == y))[:CHAIN_DOCS] for y in (1, 0)])
     vocabulary: dict[str, int] = {}
-    tokens, lengths, gold = [], [], []
+    tokens, gold, lengths = array("i"), array("b"), []
     for i in own:
         words = texts[i].split()
         if words:
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-            tokens += ids
-            lengths.append(len(ids))
-            gold += [bool(toxic[i])] * len(ids)
-    names = [word_features(w) for w in vocabulary]
-    marked = np.array([any(n in marks for n in x[:-2]) for x in names])
+            tokens.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
+            gold.extend([int(toxic[i])] * len(words))
+            lengths.append(len(words))
     number: dict[str, int] = {}
-    flat = np.array([number.setdefault(n, len(number)) for x in names for n in x])
-    of = np.repeat(np.arange(len(names)), [len(x) for x in names])
-    tokens, lengths = np.array(tokens), np.array(lengths)
-    y = marked[tokens] & np.array(gold)
+    marked, flat, of = np.zeros(len(vocabulary), bool), array("i"), array("i")
+    for i, w in enumerate(vocabulary):
+        names = word_features(w)
+        marked[i] = any(n in marks for n in names[:-2])
+        flat.extend([number.setdefault(n, len(number)) for n in names])
+        of.extend([i] * len(names))
+    n_words = len(vocabulary)
+    del vocabulary
+    flat, of, tokens, lengths = np.array(flat), np.array(of), np.array(tokens), np.array(lengths)
+    y = marked[tokens] & (np.array(gold) == 1)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     before = np.concatenate([[0], y[:-1]]).astype(int)
     before[starts] = 0
@@ -170,9 +189,9 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30, seed: int = 5) ->
     np.add.at(counted, (before, y.astype(int)), 1)
     w, trans, seen_w, seen_t = np.zeros(len(number)), np.zeros((2, 2)), np.full(len(number), 1e-8), np.full((2, 2), 1e-8)
     for _ in range(rounds):
-        u = np.bincount(of, w[flat], len(names))
+        u = np.bincount(of, w[flat], n_words)
         p, expected = Chain(trans).run(u[tokens], lengths, pairs=True)
-        per_word = np.bincount(tokens, y - p, len(names))
+        per_word = np.bincount(tokens, y - p, n_words)
         g = np.bincount(flat, per_word[of], len(number)) - 0.02 * w
         seen_w += g * g
         w += 0.5 * g / np.sqrt(seen_w)
@@ -180,7 +199,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30, seed: int = 5) ->
         seen_t += g * g
         trans += 0.2 * g / np.sqrt(seen_t)
     model = {"weights": {n: float(w[i]) for n, i in number.items() if abs(w[i]) >= LEAST_WEIGHT}, "trans": trans, "doc": zero["doc"]}
-    summary = np.array([s for _, s in _marginals(texts, model)])
+    cache = Weights(model["weights"])
+    summary = np.array([s for at in range(0, len(texts), 200) for _, s in _marginals(texts[at : at + 200], model, cache)])
     x = np.column_stack([np.ones(len(summary)), summary])
     b = np.zeros(3)
     for _ in range(60):

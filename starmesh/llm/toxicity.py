@@ -63,15 +63,17 @@ class Weights(dict):
         return v
 
 
-def markers_of(docs: list[str], toxic: np.ndarray, share: float = 0.03, ratio: float = 20.0) -> set[str]:
+def markers_of(docs: list[str], toxic: np.ndarray, share: float = 0.03, ratio: float = 20.0, rare: tuple[float, float] = (0.01, 4.0)) -> set[str]:
     """Features of words that mark toxic documents: in a share of them, three at least, and
-    `ratio` times as often as in others.
+    `ratio` times as often as in others. For toxic documents without any of these, such as those
+    of a rarer language, the features that mark most of them are added one by one, as long as they
+    reach the share and the ratio in `rare`.
 
     Documents are counted by hashed buckets first, so that names are kept only of buckets that
     could hold a marker.
     """
     bad = max(1, int(toxic.sum()))
-    rest, least = max(1, len(docs) - int(toxic.sum())), max(3, share * bad)
+    rest, least = max(1, len(docs) - int(toxic.sum())), max(3, rare[0] * bad)
     own = lambda text: {n for w in set(text.split()) for n in word_features(w)[:-2]}
     slot = lambda n: zlib.crc32(n.encode()) & 0xFFFFF
     rough = np.zeros(1 << 20, np.int32)
@@ -86,7 +88,18 @@ def markers_of(docs: list[str], toxic: np.ndarray, share: float = 0.03, ratio: f
     for text, y in zip(docs, toxic, strict=True):
         if not y:
             seen[0].update(own(text) & often)
-    return {n for n in often if (seen[1][n] + 0.5) / bad > ratio * (seen[0][n] + 0.5) / rest}
+    odds = lambda n, k: (k + 0.5) / bad / ((seen[0][n] + 0.5) / rest)
+    found = {n for n in often if seen[1][n] >= max(3, share * bad) and odds(n, seen[1][n]) > ratio}
+    left = [names for t, y in zip(docs, toxic, strict=True) if y and not (names := own(t) & often) & found]
+    while left:
+        held = Counter(n for names in left for n in names)
+        fit = [n for n, k in held.items() if k >= least and odds(n, k) > rare[1]]
+        if not fit:
+            break
+        best = max(fit, key=lambda n: (held[n] * np.log(odds(n, held[n])), n))
+        found.add(best)
+        left = [names for names in left if best not in names]
+    return found
 
 
 class Chain:

@@ -5,7 +5,7 @@ import pytest
 
 from starmesh.llm import quality, queries, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def test_chain_equals_the_plain_recursion():
@@ -68,7 +68,7 @@ def test_quality_edge_cases(docs_of, spark):
     assert quality.quality_scores(docs.where("false"), model).count() == 0
 
 
-@pytest.mark.parametrize(("query", "label", "least"), [(queries.op3_toxicity, "toxic", 0.93), (queries.op7_quality, "quality", 0.97)])
+@pytest.mark.parametrize(("query", "label", "least"), [(queries.op3_toxicity, "toxic", 0.97), (queries.op7_quality, "quality", 0.97)])
 def test_held_out_accuracy(spark, query, label, least):
     scored = query(spark, SF).join(queries.table(spark, SF, "labels"), "doc_id").where("held_out").toPandas()
     assert len(scored) > 40 and (scored["predicted"] == scored[label]).mean() >= least

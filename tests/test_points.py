@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from starmesh import queries
 from starmesh.functions.zkey import BitRange, keys
 from starmesh.operators import fof, neighbors, tree, windows, zorder
 from starmesh.operators.components import connected_components
@@ -183,6 +184,25 @@ def test_components_of_a_random_graph(spark, n):
     assert all(got.get(i, i) == find(i) for i in range(n))
 
 
+def test_components_graph_is_of_all_orders(spark, tmp_path):
+    # Order keys 1 to 40, of which 35 and five others are multiples of 7.
+    orders = [(100 * (k % 9) + k, k) for k in range(1, 41)] + [(500, 3), (503, 4)]
+    spark.createDataFrame(orders, "o_custkey int, o_orderkey int").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["id"]: r["component"] for r in queries.components_graph(spark, str(tmp_path)).collect()}
+    lab = {}
+
+    def find(i):
+        while lab.setdefault(i, i) != i:
+            i = lab[i]
+        return i
+
+    edges = [(c, c + k % 5) for c, k in orders if k % 5]
+    for i, j in edges:
+        x, y = find(i), find(j)
+        lab[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for e in edges for i in e} and got[507] == 500
+
+
 def test_components_of_a_long_chain_and_nothing(spark):
     chain = spark.range(300).selectExpr("id as a", "id + 1 as b")
     assert {r["component"] for r in connected_components(chain).collect()} == {0}

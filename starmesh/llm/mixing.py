@@ -20,6 +20,10 @@ BLOCK = 128
 CELLS = 1 << 14
 #: The golden ratio's fraction in 48 bits, by halves, and a mask of 24 bits.
 GOLDEN_HI, GOLDEN_LO, LOW = 0x9E3779, 0xB97F4B, (1 << 24) - 1
+#: Slots that a source is dealt beyond those it needs. Of n points, an interval of length p has n * p to
+#: within twice the sum of n's digits by the convergents of GOLDEN / 2 ** 48 (Denjoy-Koksma); the digits
+#: are at most the partial quotients, whose sum is 127. Four more are for rounding.
+SPARE = 2 * 127 + 4
 
 
 def source_targets(sizes: DataFrame, total_share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
@@ -66,12 +70,21 @@ def schedule(targets: DataFrame, total: float, block: int = BLOCK) -> DataFrame:
     return slots.withColumn("inner", inner).join(per, ["source_no", "stretch"]).select("slot", "source_no", (F.col("before") + F.col("inner")).alias("rank"))
 
 
+def needed(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(source_no, slots): the slots that take a source to its target. The last block of a round is
+    partial, so these are blocks of whole rounds and of the rest, not the target by the block."""
+    size, target = F.col("source_size"), F.floor("target")
+    rounds = F.floor(target / size)
+    slots = rounds * F.ceil(size / block) + F.ceil((target - rounds * size) / block)
+    return targets.where("source_size > 0").select("source_no", slots.alias("slots"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, total_share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken.
 
     size is the number of words of the whole text, 0 for null. taken counts the words that the
     mix takes, repeats included; no document has more than 2 times its size, and a source's sum
-    stays within a few blocks of its target, never above it. The order in a source is a hash of
+    is its target without the fraction, however small the source is beside the others. The order in a source is a hash of
     the id, so reruns agree; rows that repeat an id, or have none, are told apart by a row
     number that is stored once. A null source is a source of its own. An empty table
     gives an empty result; other columns are ignored.
@@ -85,8 +98,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.join(few, rows.source.eqNullSafe(targets.source)).drop("source")
     order = [F.coalesce("doc_id", F.lit(-1)), F.col("size")]
     placed = stored(ranked(rows, ["source_no"], order, F.col("size"), "begin", totals[0]), "mix-placed")
-    sum_targets = targets.agg(F.sum("target")).first()[0] or 0.0
-    slots = schedule(targets, sum_targets, block)
+    # Shares by the slots that sources need, and enough slots in all for each of them.
+    dealt = needed(targets, block).select("source_no", ((F.col("slots") + SPARE) * block).cast("double").alias("target"))
+    slots = schedule(dealt, dealt.agg(F.sum("target")).first()[0] or 0.0, block)
     # A slot's tokens of its block: all of them, less what is beyond the source's target.
     b = slots.join(few.select("source_no", "source_size", "target"), "source_no").withColumn("__blocks", F.ceil(F.col("source_size") / block))
     b = b.withColumn("block", F.pmod("rank", "__blocks")).withColumn("__round", F.floor(F.col("rank") / F.col("__blocks")))

@@ -77,6 +77,18 @@ def test_mixing_meets_targets(spark, tmp_path):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_small_sources_beside_large_ones_reach_their_targets(spark):
+    sizes = {20: 1, 60: 1, 129: 1, 160: 2, 200: 1, 300: 3}
+    rows = [(i, "w " * (n // k), f"s{n:03}") for i, (n, k) in enumerate((n, k) for n, k in sizes.items() for _ in range(k))]
+    rows += [(1000 + 100 * i + j, "word " * 300_000, f"t{i}") for i in range(3) for j in range((10, 17, 26)[i])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    got["source"] = got["doc_id"].map({r[0]: r[2] for r in rows})
+    for s, own in got.groupby("source"):
+        assert own["taken"].sum() == int(own["target"].iloc[0]), s
+    assert (got[got["source"] < "t"]["taken"] > 0).all() and (got["taken"] <= 2 * got["size"]).all()
+
+
 def test_schedule_is_even(spark):
     targets = spark.createDataFrame([(0, 3000.0), (1, 1000.0), (2, 2000.0)], "source_no int, target double")
     rows = mixing.schedule(targets, 6000.0, 10).orderBy("slot").toPandas()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,11 @@ _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _QUERY = r"(?s)^.*?://[^?#]*(\?[^#]*)"
 _LINK = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_CONTENT = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+_HREF = r"""(?is)(?<![\w-])href\s*=\s*(?:"([^">]*)|'([^'>]*)|([^"'\s>][^\s>]*))"""
+_CONTENT = r"""(?is)(?<![\w-])url\s*=\s*["']?\s*([^"'\s>]+)"""
+#: Named references, and the characters that numbers of C1 controls stand for.
+_NAMED = "\x02".join(f"{k}\x01{v}" for k, v in html5.items())
+_C1 = "\x02".join(f"{i}\x01{bytes([i]).decode('cp1252')}" for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 
 
 def lower_ascii(x: Column) -> Column:
@@ -72,18 +76,80 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Col
     return out
 
 
+def _known(literal: str, key: Column) -> Column:
+    return F.try_element_at(F.str_to_map(F.lit(literal), F.lit("\x02"), F.lit("\x01")), key)
+
+
+def _reference(x: Column) -> Column:
+    """What stands after a &, with the reference that it begins with resolved as in an attribute."""
+    name = F.regexp_extract(x, r"^[A-Za-z][A-Za-z0-9]*;?", 0)
+    after = F.substr(x, F.length(name) + 1)
+    # Without a semicolon, and before =, a name is part of a query.
+    named = F.when(F.startswith(after, F.lit("=")) & ~F.endswith(name, F.lit(";")), F.lit(None)).otherwise(_known(_NAMED, name))
+    number = F.regexp_extract(x, r"^#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", 0)
+    hexed = F.regexp_extract(number, r"^#[xX]0*([0-9A-Fa-f]*)", 1)
+    digits = F.regexp_extract(number, r"^#0*([0-9]*)", 1)
+    code = F.when(F.rlike(number, F.lit("^#[xX]")), F.when(F.length(hexed) < 7, F.conv(hexed, 16, 10))).when(F.length(digits) < 8, digits)
+    code = F.when(code != "", code.cast("long"))
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.when(valid, F.coalesce(_known(_C1, code.cast("string")), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise("\ufffd")
+    literal = F.concat(F.lit("&"), x)
+    return F.when(number != "", F.concat(char, F.substr(x, F.length(number) + 1))).when(name != "", F.coalesce(F.concat(named, after), literal)).otherwise(literal)
+
+
+def decoded(x: Column) -> Column:
+    """An attribute's value without character references."""
+    parts = F.split(x, "&")
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _reference), ""))
+
+
+def hrefs(tags: Column) -> Column:
+    """The href of each tag; empty where there is none."""
+    value = lambda t: F.concat(*[F.regexp_extract(t, _HREF, i) for i in (1, 2, 3)])
+    return F.transform(tags, lambda t: _clean(decoded(value(t))))
+
+
+def refreshes(tags: Column) -> Column:
+    """The URL of each refresh tag; empty where there is none. It ends at white space or quotes, which may be references."""
+    return F.transform(tags, lambda t: F.regexp_extract(decoded(F.regexp_extract(t, _CONTENT, 1)), r"""^["']?([^"'\s]*)""", 1))
+
+
+def _clean(link: Column) -> Column:
+    inner = F.regexp_replace(F.regexp_replace(link, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    return F.replace(inner, F.lit(" "), F.lit("%20"))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / without its segments . and .. (RFC 3986, 5.2.4)."""
+    parts = F.split(path, "/")
+    parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", up(a)).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.rlike(path, F.lit(r"/\.\.?$")) & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def absolute(link: Column, url: Column) -> Column:
-    """A link's URL as seen from url: absolute, //host, or /path; null for what else there is."""
-    scheme = F.substring_index(url, "://", 1)
-    return F.when(F.instr(link, "://") > 0, link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link)).when(F.startswith(link, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(url), link))
+    """A link's URL as seen from url: absolute, //host, /path, ?query or a path from url's directory. Null
+    for links of no host, such as mailto:, and for those to a place of the page itself."""
+    scheme, ref = F.substring_index(url, "://", 1), F.regexp_replace(link, r"(?s)#.*$", "")
+    path, query = F.regexp_extract(ref, r"(?s)^[^?]*", 0), F.regexp_extract(ref, r"(?s)\?.*$", 0)
+    root = F.concat(scheme, F.lit("://"), host_of(url))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)?", 1))
+    out = F.when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*://")), link).when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")) | (ref == ""), F.lit(None))
+    out = out.when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link)).when(path == "", F.concat(root, path_of(url), query))
+    return out.when(F.startswith(path, F.lit("/")), F.concat(root, _without_dots(path), query)).otherwise(F.concat(root, _without_dots(F.concat(folder, path)), query))
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(from_key, to_key): canonical links and refresh redirects of the pages, other than to themselves."""
+    """(from_key, to_key): canonical links and refresh redirects of the pages, of all their tags, other than to themselves."""
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    links = F.array(F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _CONTENT, 1))
-    found = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh")).select(url.alias("url"), F.explode(links).alias("link")).where("link != ''")
-    return found.select(key_of(F.col("url")).alias("from_key"), key_of(absolute(F.col("link"), F.col("url"))).alias("to_key")).where("from_key is not null and to_key is not null and from_key != to_key").distinct()
+    every = lambda tag: F.regexp_extract_all(html, F.lit(tag), F.lit(0))
+    found = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
+    found = found.select(url.alias("url"), F.explode(F.concat(hrefs(every(_LINK)), refreshes(every(_REFRESH)))).alias("link")).where("link != ''")
+    # Each step is written: the optimizer would put one's expressions in all places of the next.
+    found = stored(found, "url-links")
+    found = stored(found.select("url", absolute(F.col("link"), F.col("url")).alias("to")), "url-targets")
+    return found.select(key_of(F.col("url")).alias("from_key"), key_of(F.col("to")).alias("to_key")).where("from_key is not null and to_key is not null and from_key != to_key").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", edges: DataFrame | None = None) -> DataFrame:

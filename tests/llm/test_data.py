@@ -195,6 +195,29 @@ def test_url_rules_and_aliases(spark):
     assert urls.judge_urls(empty).count() == 0
 
 
+def test_links_of_all_forms_are_edges(spark):
+    link = lambda u: f"<link rel=canonical href={u}>"
+    fresh = lambda u: f'<meta http-equiv="refresh" content="0; {u}">'
+    u = "http://h.io/d/e/p?q"
+    cases = [
+        (u, link('"x.html"'), "h.io/d/e/x.html"), (u, fresh("url=next/2"), "h.io/d/e/next/2"), (u, link("../a"), "h.io/d/a"), (u, link("../../../a/./b/.."), "h.io/a/"), (u, link("?id=1"), "h.io/d/e/p?id=1"),
+        (u, link("."), "h.io/d/e/"), ("http://h.io", link("x"), "h.io/x"), (u, link("/a/../b?c=../d"), "h.io/b?c=../d"), (u, link("//I.io/z"), "i.io/z"), (u, link("/go?to=http://o.io/"), "h.io/go?to=http://o.io/"),
+        (u, link('"https://h/p?a=1&amp;b=2"'), "h/p?a=1&b=2"), (u, link("'/&#x41;&#66;&#0;&eacute;&#128512;&#150;'"), "h.io/AB\ufffdé😀–"), (u, link('"/?a=1&copy=2&copy;&lt"'), "h.io/?a=1&copy=2©<"), (u, link('"/a&nope;&#99999999999;&"'), "h.io/a&nope;\ufffd&"),
+        (u, fresh("url=/x;jsessionid=1?a=1&amp;b=2"), "h.io/x;jsessionid=1?a=1&b=2"), (u, fresh("URL='/x;y'"), "h.io/x;y"), (u, fresh("url=&#39;/x&#39;"), "h.io/x"), (u, link('"/it\'s"'), "h.io/it's"), (u, link('" /a b "'), "h.io/a%20b"),
+        (u, "<link rel=canonical>" + link("/1"), "h.io/1"), (u, '<meta http-equiv=refresh content="5">' + fresh("url=/2"), "h.io/2"),
+        (u, link("mailto:a@b.io"), None), (u, link("#top"), None), (u, link("p?q"), None),
+    ]
+    pages = spark.createDataFrame([(a.replace("h.io", f"n{i}.io"), b) for i, (a, b, _) in enumerate(cases)], "url string, html string")
+    got = {r["from_key"]: r["to_key"] for r in urls.alias_edges(pages).collect()}
+    for i, (a, b, want) in enumerate(cases):
+        to = got.get(a.replace("h.io", f"n{i}.io").split("://")[1])
+        assert to == (want and re.sub(r"^h\.io", f"n{i}.io", want)), (b, to)
+    both = urls.alias_edges(spark.createDataFrame([(u, link("/1") + link("/2") + fresh("url=/3") + fresh("url=/4"))], "url string, html string"))
+    assert {r["to_key"] for r in both.collect()} == {f"h.io/{i}" for i in (1, 2, 3, 4)}
+    judged = urls.judge_urls(spark.createDataFrame([(1, "http://free.io/d/a", link("b")), (2, "http://free.io/d/b", fresh("url=http://x.com/en/;s=1"))], "page_id long, url string, html string"))
+    assert {r["verdict"] for r in judged.collect()} == {"block"}
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é</p>\r\n\r\n" * 200
     rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, "http://c/", "small"), (4, "http://d/", "small"), (5, None, None), (6, "http://e/", "WARC/1.1\r\n\r\n" + "z" * 70000), (7, "http://a/", big), (7, "http://a/", big), (None, "http://n/", big)]

@@ -7,13 +7,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folder of this process's tables below the shared one.
+_RUN = uuid.uuid4().hex
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in spark.checkpoint.dir; in a temporary folder only where that is unset."""
+
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, the warehouse, which a cluster shares too. A
+    temporary folder is used only by a local master, where all tasks are on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.gettempdir()}/starmesh-shared"
-    return f"{base.rstrip('/')}/starmesh/{name}-{uuid.uuid4().hex}"
+        local = spark.sparkContext.master.startswith("local")
+        base = f"file://{tempfile.gettempdir()}" if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/starmesh/{_RUN}"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors reach."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -22,3 +32,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> bool:
+    """Deletes the tables that this process has stored. Results that were not yet written need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_base(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

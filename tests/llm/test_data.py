@@ -1,9 +1,11 @@
+import gzip
 import hashlib
 import re
 import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from starmesh.llm import chat, media, mixing, packing, queries, urls, warc
@@ -220,23 +222,35 @@ def test_links_of_all_forms_are_edges(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é</p>\r\n\r\n" * 200
-    rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, "http://c/", "small"), (4, "http://d/", "small"), (5, None, None), (6, "http://e/", "WARC/1.1\r\n\r\n" + "z" * 70000), (7, "http://a/", big), (7, "http://a/", big), (None, "http://n/", big)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, "http://c/", "small"), (4, "http://d/", "small"), (5, None, None), (6, "http://e/", "WARC/1.1\r\n\r\n" + "z" * 3_000_000), (7, "http://a/", big), (7, "http://a/", big), (7, "http://other/", big), (None, "http://n/", big), (None, "http://n/", big), (8, "u", "ends\r\n"), (8, "u", "\r\n\r\n"), (9, "u", "\r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash")).withColumn("first", F.lit(1)).withColumn("payload", F.lit("x")).repartition(2)
     path = str(tmp_path / "warc")
     warc.write_warc(pages, path)
-    records = warc.read_warc(spark, path)
-    found = {r["page_id"]: r for r in warc.transactions(records).collect()}
-    assert len(found) == 8
-    for i, _, html in rows:
-        raw, r = (html or "").encode(), found[i]["response"]
-        assert r["payload_bytes"] == len(raw) and r["payload_digest"] == r["claimed_digest"] == hashlib.sha1(raw).hexdigest()
-        assert r["payload"] is None if r["type"] == "revisit" else bytes(r["payload"]) == raw
-        assert found[i]["request"] is not None
-    assert {i: r["response"]["type"] for i, r in found.items()} == {1: "revisit", 2: "revisit", 3: "response", 4: "response", 5: "response", 6: "response", 7: "response", None: "response"}
-    got = {r["page_id"]: r["refers_to"] for r in warc.archive(pages).collect()}
-    assert got == {1: 7, 2: 7, 3: None, 4: None, 5: None, 6: None, 7: None, None: None}
+    found = warc.transactions(warc.read_warc(spark, path)).collect()
+    assert len(found) == len(rows) == len({r["record_id"] for r in found})
+    payload = lambda r: r["response"]["payload"] and bytes(r["response"]["payload"])
+    text = lambda t: (t or "").encode()
+    stored = sorted((str(r["page_id"]), payload(r) or b"") for r in found if r["response"]["type"] == "response")
+    assert stored == sorted((str(i), text(t)) for i, _, t in rows if i not in (1, 2))
+    ids = {r["record_id"]: r["page_id"] for r in found}
+    for r in found:
+        raw = text(next(t for i, _, t in rows if i == r["page_id"])) if r["page_id"] != 8 else payload(r)
+        assert r["response"]["payload_bytes"] == len(raw) and r["response"]["payload_digest"] == r["response"]["claimed_digest"] == hashlib.sha1(raw).hexdigest()
+        assert r["request"] is not None and r["metadata"] is not None and "\n" not in r["response"]["uri"]
+        assert (ids[r["response"]["refers_to"]] == 7) if r["page_id"] in (1, 2) else r["response"]["refers_to"] is None
+    got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc.archive(pages).collect())
+    assert got == sorted((str(i), "revisit" if i in (1, 2) else "response", 7 if i in (1, 2) else None) for i, _, _ in rows)
     assert warc.archive(pages.where("false")).count() == 0
-    assert not re.search("\n", found[2]["response"]["uri"])
+
+
+def test_plain_archives_and_records_in_pieces(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\n\r\na\r\n\r\n\r\nb\r\n"
+    record = lambda i: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (i, len(block)) + block + b"\r\n\r\n"
+    data = b"".join(map(record, range(5)))
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(5, 9)))
+    got = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    assert sorted(r["record_id"] for r in got) == [f"<{i}>" for i in range(9)] and {bytes(r["payload"]) for r in got} == {block.partition(b"\r\n\r\n")[2]}
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -19,6 +19,14 @@ BROADCAST_ROWS = 400_000
 CHUNK_BYTES = 2 << 20
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def semi(df: DataFrame, keys: DataFrame, column: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of df whose column is among keys. keys is broadcast if it counts at most bound rows;
     beyond that both sides are shuffled."""

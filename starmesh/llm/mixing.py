@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import BROADCAST_ROWS, ranked, stored, word_count
+from .common import BROADCAST_ROWS, free_name, ranked, stored, word_count
 
 #: Tokens of a block.
 BLOCK = 128
@@ -120,9 +120,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs as often as the mix takes them, in whole documents: taken / size, rounded.
-    Rows that repeat an id, and all without one, share its numbers. Texts without words are not taken."""
-    taken = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
-    copies = stored(taken.select("__id", F.round(F.when(F.col("n") > 0, F.col("t") / F.col("n"))).cast("int").alias("__copies")).where("__copies > 0"), "mix-copies")
+
+    A source's schedule ends inside one document, so only that document and those that a block's
+    end cuts in its last round are rounded. Rows that repeat an id, and all without one, share its
+    numbers. Null, empty and white texts have no words to take and are left out. Other columns stay
+    as they are, whatever their names; an empty table stays empty.
+    """
+    name, times, copy = (free_name(docs, x) for x in ("__id", "__times", "__copy"))
+    taken = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias(name)).agg(F.sum("taken").alias("t"), F.sum("size").alias("n"))
+    copies = stored(taken.select(name, F.round(F.when(F.col("n") > 0, F.col("t") / F.col("n"))).cast("int").alias(times)).where(F.col(times) > 0), "mix-copies")
     few = F.broadcast(copies) if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else copies
-    rows = docs.join(few, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[docs[c] for c in docs.columns])
+    rows = docs.join(few, docs[id_col].cast("long").eqNullSafe(few[name]))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

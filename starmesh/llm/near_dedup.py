@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 
 from starmesh.operators.components import connected_components
 
-from .common import BROADCAST_ROWS, semi, stored, text_chunks
+from .common import BROADCAST_ROWS, free_name, semi, stored, text_chunks
 
 #: Minimum hashes of a tree's prefix at which a region may end.
 DEPTHS = (4, 6, 8)
@@ -364,8 +364,11 @@ def _compare(size: int, percent: int):
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is the smallest of its near-duplicate group, with their columns."""
+    """The rows of docs whose id is the smallest of its near-duplicate group, with their columns,
+    whatever their names. Null, empty and white texts have no group: they stay, as do rows without
+    an id. Rows that repeat an id stay or go together. An empty table stays empty."""
+    name = free_name(docs, "__id")
     found = near_duplicates(docs, id_col, text_col, shingle, percent)
-    gone = stored(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "near-gone")
+    gone = stored(found.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "near-gone")
     few = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
-    return docs.join(few, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    return docs.join(few, docs[id_col].cast("long") == few[name], "left_anti")

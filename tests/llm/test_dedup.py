@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from starmesh.llm import exact_dedup, near_dedup
+from starmesh.llm import exact_dedup, mixing, near_dedup
 from starmesh.llm.common import WHITE
 
 
@@ -114,3 +114,27 @@ def test_shingles_are_those_of_the_words():
     again = near_dedup.shingle_sets([b"a B c", *[t.encode() for t in texts]], 2)
     assert all((a == b).all() for a, b in zip(sets, again[1:], strict=True))
     assert np.isin(again[0], sets[0]).all()
+
+
+def test_exact_extreme_ids_and_clashing_names(docs_of, spark):
+    rows = [(-(2**63), "a b"), (2**63 - 1, "ab"), (None, "ab"), (0, "c"), (None, "c ")]
+    got = exact_dedup.exact_dedup(docs_of(rows)).collect()
+    assert {(str(r["doc_id"]), r["keep_id"], r["kept"]) for r in got} == set([(str(-(2**63)), -(2**63), True), (str(2**63 - 1), -(2**63), False), ("None", -(2**63), False), ("0", None, False), ("None", None, True)])
+    odd = docs_of(rows).withColumn("__place", F.lit("mine")).withColumn("__id", F.lit("mine")).withColumn("locator", F.lit("mine")).withColumn("__times", F.lit(1)).withColumn("__copy", F.lit(1))
+    for stage in (exact_dedup.keep_first, near_dedup.keep_representatives, mixing.mixed):
+        out = stage(odd)
+        assert out.columns == odd.columns and {r["__place"] for r in out.collect()} == {"mine"}
+        assert stage(odd.where("false")).count() == 0
+    # A derived table, and one with a column of the name of Spark's hidden one.
+    derived = odd.join(spark.range(1).withColumnRenamed("id", "one"), F.lit(True)).withColumn("_metadata", F.lit("mine"))
+    assert exact_dedup.keep_first(derived).count() == 2 and exact_dedup.keep_first(derived).columns == derived.columns
+
+
+def test_exact_state_outlives_a_run(docs_of, tmp_path):
+    base = f"file://{tmp_path}/state"
+    first = exact_dedup.exact_dedup(docs_of([(5, "a b"), (6, "x"), (7, "ab")]), state_dir=base).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in first} == {(5, 5, 2, True), (7, 5, 2, False), (6, 6, 1, True)}
+    second = exact_dedup.exact_dedup(docs_of([(1, "ab"), (2, "a  b"), (9, "new")]), state_dir=base).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in second} == {(1, 2, 4, False), (2, 2, 4, True), (9, 9, 1, True)}
+    third = exact_dedup.exact_dedup(docs_of([(3, "x"), (4, "ab")]), state_dir=base).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in third} == {(3, 3, 2, True), (4, 2, 5, False)}

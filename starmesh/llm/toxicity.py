@@ -2,7 +2,7 @@
 
 Labels mark documents. Tokens are labelled from them: a token of a toxic document is toxic if one
 of its features (the word, or a prefix of it) is found in toxic documents far more often than in
-others, counted over the labelled sample. A two-state chain with word, prefix, suffix and
+others, and more often than by chance, counted over the labelled sample. A two-state chain with word, prefix, suffix and
 neighbour features is then fitted to the labelled tokens by its exact likelihood. Forward-backward
 gives each token's chance to be toxic; a small logistic model turns a document's largest chance
 and expected number of toxic tokens into its score, and runs of likely tokens are its spans.
@@ -10,25 +10,30 @@ and expected number of toxic tokens into its score, and runs of likely tokens ar
 
 from __future__ import annotations
 
-import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from math import lgamma
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from .common import stored, word_count
 from .quality import held_out
 
 #: Weights nearer to 0 are dropped.
 LEAST_WEIGHT = 0.03
-#: Labelled documents that are fitted on: at most so many toxic ones, and others.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1_200, 3_000
-#: Documents of each kind whose chains are used for the gradient.
-CHAIN_DOCS = 600
+#: Labelled documents that are fitted on: at most so many toxic ones, others, and words in all.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 1_200, 3_000, 6_000_000
+#: Documents of each kind whose chains give the gradient, and the words they may have in all.
+CHAIN_DOCS, CHAIN_WORDS = 600, 1_000_000
+#: A marker's count must be so unlikely by chance, among all features that are tested.
+LUCK = 0.05
 #: Words whose weights a worker remembers.
 CACHE = 100_000
 #: Positions of a chain that are multiplied out together.
@@ -63,40 +68,47 @@ class Weights(dict):
         return v
 
 
-def markers_of(docs: list[str], toxic: np.ndarray, share: float = 0.03, ratio: float = 20.0, rare: tuple[float, float] = (0.01, 4.0)) -> set[str]:
-    """Features of words that mark toxic documents: in a share of them, three at least, and
-    `ratio` times as often as in others. For toxic documents without any of these, such as those
-    of a rarer language, the features that mark most of them are added one by one, as long as they
-    reach the share and the ratio in `rare`.
+def names_of(text: str | None) -> set[str]:
+    """The features of a text's words that can be markers."""
+    return {n for w in set((text or "").split()) for n in word_features(w)[:-2]}
 
-    Documents are counted by hashed buckets first, so that names are kept only of buckets that
-    could hold a marker.
+
+def unlikely(k: int, m: int, share: float) -> float:
+    """Log of the chance that of m documents at least k are toxic, where a share of all is."""
+    x = np.arange(k, m + 1)
+    ways = [lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) for i in x.tolist()]
+    logs = np.array(ways) + x * np.log(share) + (m - x) * np.log1p(-share)
+    return float(logs.max() + np.log(np.exp(logs - logs.max()).sum()))
+
+
+def marker_kinds(counts: list[tuple[int, int, int]], bad: int, rest: int, share: float = 0.03, ratio: float = 20.0, rare: float = 4.0) -> tuple[dict, dict]:
+    """Which counts make a marker: ({(toxic, others): weight} of sure ones, and of those that only
+    documents without a sure one are searched for).
+
+    counts lists (toxic documents, other documents, features with these counts). A sure marker is
+    in a share of the toxic documents and `ratio` times as often there as in others; a rare one is
+    `rare` times as often there. Both must be unlikely by chance, among all features counted.
     """
-    bad = max(1, int(toxic.sum()))
-    rest, least = max(1, len(docs) - int(toxic.sum())), max(3, rare[0] * bad)
-    own = lambda text: {n for w in set(text.split()) for n in word_features(w)[:-2]}
-    slot = lambda n: zlib.crc32(n.encode()) & 0xFFFFF
-    rough = np.zeros(1 << 20, np.int32)
-    for text, y in zip(docs, toxic, strict=True):
-        if y:
-            rough[list({slot(n) for n in own(text)})] += 1
-    seen = {0: Counter(), 1: Counter()}
-    for text, y in zip(docs, toxic, strict=True):
-        if y:
-            seen[1].update(n for n in own(text) if rough[slot(n)] >= least)
-    often = {n for n, k in seen[1].items() if k >= least}
-    for text, y in zip(docs, toxic, strict=True):
-        if not y:
-            seen[0].update(own(text) & often)
-    odds = lambda n, k: (k + 0.5) / bad / ((seen[0][n] + 0.5) / rest)
-    found = {n for n in often if seen[1][n] >= max(3, share * bad) and odds(n, seen[1][n]) > ratio}
-    left = [names for t, y in zip(docs, toxic, strict=True) if y and not (names := own(t) & often) & found]
+    tested, sure, more = sum(n for *_, n in counts), {}, {}
+    for k, c, _ in counts:
+        odds = (k + 0.5) / bad / ((c + 0.5) / rest)
+        if odds > rare and unlikely(k, k + c, bad / (bad + rest)) < np.log(LUCK / tested):
+            more[k, c] = float(np.log(odds))
+            if odds > ratio and k >= share * bad:
+                sure[k, c] = more[k, c]
+    return sure, more
+
+
+def cover(left: list[set[str]], weight: dict[str, float], least: float) -> set[str]:
+    """Markers of documents that have no sure one, such as those of a rarer language: the features
+    that mark most of them, by count and weight, one by one, as long as they mark `least`."""
+    found = set()
     while left:
         held = Counter(n for names in left for n in names)
-        fit = [n for n, k in held.items() if k >= least and odds(n, k) > rare[1]]
+        fit = [n for n, k in held.items() if k >= least]
         if not fit:
             break
-        best = max(fit, key=lambda n: (held[n] * np.log(odds(n, held[n])), n))
+        best = max(fit, key=lambda n: (held[n] * weight[n], n))
         found.add(best)
         left = [names for names in left if best not in names]
     return found
@@ -168,22 +180,20 @@ class Chain:
         return (chance, expected) if pairs else chance
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30, seed: int = 5) -> dict:
-    """Marker features, chain weights by AdaGrad on the exact gradient, and the document model."""
-    zero = {"weights": {}, "trans": np.zeros((2, 2)), "doc": np.array([-3.0, 0.0, 0.0])}
-    if not len(texts) or not toxic.any():
-        return zero
-    marks = markers_of(texts, toxic)
-    rng = np.random.default_rng(seed)
-    own = np.concatenate([rng.permutation(np.flatnonzero(toxic == y))[:CHAIN_DOCS] for y in (1, 0)])
+def fit_chain(docs: list[tuple[int, list[str], np.ndarray]], marks: set[str], rounds: int = 30) -> dict:
+    """Chain weights by AdaGrad on the exact gradient. A document is its label, its distinct words,
+    and the numbers of its words among these."""
     vocabulary: dict[str, int] = {}
-    tokens, gold, lengths = array("i"), array("b"), []
-    for i in own:
-        words = texts[i].split()
-        if words:
-            tokens.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
-            gold.extend([int(toxic[i])] * len(words))
-            lengths.append(len(words))
+    tokens, gold, lengths = [], [], []
+    for y, words, own in docs:
+        if len(own):
+            numbers = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words))
+            tokens.append(numbers[own])
+            gold.append(np.full(len(own), y == 1))
+            lengths.append(len(own))
+    model = {"weights": {}, "trans": np.zeros((2, 2)), "doc": np.array([-3.0, 0.0, 0.0])}
+    if not lengths:
+        return model
     number: dict[str, int] = {}
     marked, flat, of = np.zeros(len(vocabulary), bool), array("i"), array("i")
     for i, w in enumerate(vocabulary):
@@ -193,8 +203,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30, seed: int = 5) ->
         of.extend([i] * len(names))
     n_words = len(vocabulary)
     del vocabulary
-    flat, of, tokens, lengths = np.array(flat), np.array(of), np.array(tokens), np.array(lengths)
-    y = marked[tokens] & (np.array(gold) == 1)
+    flat, of, tokens, gold, lengths = np.array(flat), np.array(of), np.concatenate(tokens), np.concatenate(gold), np.array(lengths)
+    y = marked[tokens] & gold
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     before = np.concatenate([[0], y[:-1]]).astype(int)
     before[starts] = 0
@@ -211,16 +221,19 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 30, seed: int = 5) ->
         g = counted - expected
         seen_t += g * g
         trans += 0.2 * g / np.sqrt(seen_t)
-    model = {"weights": {n: float(w[i]) for n, i in number.items() if abs(w[i]) >= LEAST_WEIGHT}, "trans": trans, "doc": zero["doc"]}
-    cache = Weights(model["weights"])
-    summary = np.array([s for at in range(0, len(texts), 200) for _, s in _marginals(texts[at : at + 200], model, cache)])
+    model["weights"] = {n: float(w[i]) for n, i in number.items() if abs(w[i]) >= LEAST_WEIGHT}
+    model["trans"] = trans
+    return model
+
+
+def fit_documents(summary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The logistic model of a document's label from the two numbers that its chain gives."""
     x = np.column_stack([np.ones(len(summary)), summary])
     b = np.zeros(3)
     for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         b += np.linalg.solve((x * (q * (1 - q) + 1e-6)[:, None]).T @ x + 0.5 * np.eye(3), x.T @ (toxic - q) - 0.5 * b)
-    model["doc"] = b
-    return model
+    return b
 
 
 def _marginals(texts: list[str], model: dict, cache: Weights | None = None):
@@ -280,15 +293,93 @@ def _spans(text: str, chances: np.ndarray) -> list[list[int]]:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> dict:
-    """Fits on at most `toxic` and `clean` labelled documents (by a hash of the id), whole texts,
-    held-out ids left out."""
-    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").alias("__y")).where(F.col("__y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows y, text: in how many toxic and other documents of the partition each feature is."""
+    seen = {0: Counter(), 1: Counter()}
+    for batch in batches:
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen[y].update(names_of(text))
+    names = list(seen[0].keys() | seen[1].keys())
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][n] for n in names], pa.int64()), pa.array([seen[0][n] for n in names], pa.int64())], names=["name", "k", "c"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows y, text, id: distinct words, and the text as their numbers."""
+    for batch in batches:
+        words, own = [], []
+        for text in batch.column(1).to_pylist():
+            seen: dict[str, int] = {}
+            own.append(np.fromiter((seen.setdefault(w, len(seen)) for w in (text or "").split()), np.int32).tobytes())
+            words.append(list(seen))
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(own, pa.binary())], names=["doc_id", "y", "words", "own"])
+
+
+def _unmarked(sure: set[str], more: set[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [names_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([list(n & more) for n in names if not n & sure], pa.list_(pa.string()))], names=["names"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, words: int = SAMPLE_WORDS, chain_docs: int = CHAIN_DOCS, chain_words: int = CHAIN_WORDS) -> dict:
+    """Marker features, chain weights and the document model, from a bounded sample of labelled rows.
+
+    The sample has at most `toxic` and `clean` labelled documents, in the order of a hash of the id
+    and as long as they have at most `words` words together; held-out ids are left out. Of these at
+    most chain_docs of each kind, with chain_words words together, are the chains that give the
+    gradient. Whole texts stay on the executors: the driver gets counts, markers, and the chains as
+    numbers. Without toxic documents every score is below 0.5. Rows that repeat an id are documents
+    of their own; labels that repeat one count once.
+    """
+    none = {"weights": {}, "trans": np.zeros((2, 2)), "doc": np.array([-3.0, 0.0, 0.0])}
+    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = rows.where("__y = 1").orderBy(*order).limit(toxic).union(rows.where("__y = 0").orderBy(*order).limit(clean))
+    picked = rows.where("y = 1").orderBy(*order).limit(toxic).union(rows.where("y = 0").orderBy(*order).limit(clean))
     have = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    got = have.toPandas().sort_values("doc_id")
-    return fit(got["text"].tolist(), got["__y"].to_numpy())
+    have = stored(have.select("y", "text", "doc_id", word_count(F.col("text")).alias("n")), "toxic-sample")
+    # At most toxic + clean rows of numbers, and one window over them for each bound.
+    running = lambda *by: F.sum("n").over(W.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(W.unboundedPreceding, 0))
+    sizes = have.select("doc_id", "y", "n").withColumn("sum", running(F.lit(0))).where(F.col("sum") <= words)
+    ranks = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "n"))
+    sizes = sizes.withColumn("chain", (ranks <= chain_docs) & (running("y") <= chain_words // 2))
+    have = stored(have.join(F.broadcast(sizes.groupBy("doc_id").agg(F.max("chain").alias("chain"))), "doc_id").select("y", "text", "doc_id", "chain"), "toxic-fit")
+    n = {r["y"]: r["n"] for r in have.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n.get(1):
+        return none
+    bad, rest = n[1], max(1, n.get(0, 0))
+    parts = max(1, min(16, (bad + rest) // 64))
+    least = max(3, 0.01 * bad)
+    names = have.select("y", "text").repartition(parts).mapInArrow(_counted, "name string, k long, c long").groupBy("name").agg(F.sum("k").alias("k"), F.sum("c").alias("c")).where(F.col("k") >= least)
+    names = stored(names, "toxic-names")
+    counts = [tuple(r) for r in names.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most bad * rest, few in fact
+    _, more = marker_kinds(counts, bad, rest)
+    wanted = docs.sparkSession.createDataFrame([(k, c, w) for (k, c), w in more.items()], "k long, c long, w double")
+    weight = {r["name"]: r for r in names.join(F.broadcast(wanted), ["k", "c"]).collect()}  # features of a bounded sample
+    sure_kinds, _ = marker_kinds(counts, bad, rest)
+    sure = {name for name, r in weight.items() if (r["k"], r["c"]) in sure_kinds}
+    left = [set(r["names"]) for r in have.where("y = 1").select("y", "text").mapInArrow(_unmarked(sure, set(weight)), "names array<string>").collect()]
+    marks = sure | cover(left, {name: r["w"] for name, r in weight.items()}, least)
+    chains = have.where("chain").select("y", "text", "doc_id").mapInArrow(_numbered, "doc_id long, y int, words array<string>, own binary").collect()
+    chains = sorted(((r["doc_id"], r["y"], r["words"], r["own"]) for r in chains), key=lambda r: (r[0], r[3]))
+    model = fit_chain([(y, own_words, np.frombuffer(own, np.int32)) for _, y, own_words, own in chains], marks)
+    del chains
+    told = have.select("doc_id", "y", summariser(model)(F.col("text")).alias("s")).collect()  # two numbers a document of the sample
+    told = sorted((r["doc_id"], r["y"], *r["s"]) for r in told)
+    model["doc"] = fit_documents(np.array([t[2:] for t in told]), np.array([t[1] for t in told], float))
+    return model
+
+
+def summariser(model: dict):
+    """A vectorised function of texts that gives what the document model is fitted on."""
+
+    @F.pandas_udf("array<double>")
+    def summary(texts: pd.Series) -> pd.Series:
+        cache = Weights(model["weights"])
+        return pd.Series([list(x) for at in range(0, len(texts), 100) for _, x in _marginals([t or "" for t in texts[at : at + 100]], model, cache)], dtype=object)
+
+    return summary
 
 
 def toxicity_scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:

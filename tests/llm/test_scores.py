@@ -5,8 +5,6 @@ import pytest
 
 from starmesh.llm import quality, queries, toxicity
 
-SF = "/root/testdata/sf0.1"
-
 
 def test_chain_equals_the_plain_recursion():
     rng = np.random.default_rng(0)
@@ -37,13 +35,14 @@ def test_word_weights_do_not_depend_on_the_cache():
     assert w["Abc,"] == 0.5 + 1 + 2 + 8 and w["abcde"] == 0.5 + 2 + 4 and w["ab"] == 0.5
 
 
-def test_toxic_spans_and_edge_texts(docs_of):
+def test_toxic_spans_and_edge_texts(docs_of, spark):
     rng = np.random.default_rng(1)
     plain = [f"word{i}" for i in range(300)]
-    texts = [" ".join(rng.choice(plain, 40)) for _ in range(200)]
-    toxic = np.array([i % 4 == 0 for i in range(200)]).astype(int)
-    texts = [t + (" grumpf, word1 grumpf" if y else "") for t, y in zip(texts, toxic, strict=True)]
-    model = toxicity.fit(texts, toxic)
+    texts = [" ".join(rng.choice(plain, 40)) for _ in range(400)]
+    toxic = [int(i % 4 == 0) for i in range(400)]
+    learn = docs_of([(i, t + (" grumpf, word1 grumpf" if y else "")) for i, (t, y) in enumerate(zip(texts, toxic, strict=True))] + [(0, "repeated id"), (500, None)])
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(toxic)] + [(500, 0), (500, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(learn, labels)
     text = "  word5 grumpf\ngrumpf! word7"
     docs = docs_of([(1, text), (2, "word5 word7"), (3, None), (4, ""), (5, "word9 " * 40000), (5, "word9 " * 40000)])
     got = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, model).collect()}
@@ -51,8 +50,18 @@ def test_toxic_spans_and_edge_texts(docs_of):
     assert [got[i]["predicted"] for i in (2, 3, 4, 5)] == [0, 0, 0, 0] and got[3]["score"] == got[4]["score"]
     assert toxicity.toxicity_scores(docs, model).count() == 6
     assert toxicity.toxicity_scores(docs.where("false"), model).count() == 0
-    none = toxicity.fit([], np.array([]))
+    none = toxicity.train(learn, labels.where("false"))
     assert {r["predicted"] for r in toxicity.toxicity_scores(docs, none).collect()} == {0}
+    # A sample cut by its words still has whole documents, and the bound holds.
+    small = toxicity.train(learn, labels, words=4000, chain_words=2000)
+    assert set(small) == set(model) and abs(small["trans"]).max() < abs(model["trans"]).max()
+
+
+def test_markers_are_not_chance():
+    assert abs(np.exp(toxicity.unlikely(2, 3, 0.25)) - (3 * 0.25**2 * 0.75 + 0.25**3)) < 1e-12
+    sure, more = toxicity.marker_kinds([(3, 0, 3000), (12, 0, 10), (40, 30, 5)], 50, 300)
+    assert set(sure) == {(12, 0)} and set(more) == {(12, 0), (40, 30)}
+    assert toxicity.cover([{"a", "b"}, {"a"}, {"b"}, {"c"}], {"a": 1.0, "b": 2.0, "c": 9.0}, 2) == {"b"}
 
 
 def test_quality_edge_cases(docs_of, spark):
@@ -68,7 +77,10 @@ def test_quality_edge_cases(docs_of, spark):
     assert quality.quality_scores(docs.where("false"), model).count() == 0
 
 
-@pytest.mark.parametrize(("query", "label", "least"), [(queries.op3_toxicity, "toxic", 0.97), (queries.op7_quality, "quality", 0.97)])
-def test_held_out_accuracy(spark, query, label, least):
-    scored = query(spark, SF).join(queries.table(spark, SF, "labels"), "doc_id").where("held_out").toPandas()
-    assert len(scored) > 40 and (scored["predicted"] == scored[label]).mean() >= least
+@pytest.mark.parametrize(("query", "label", "sf", "least"), [(queries.op3_toxicity, "toxic", "sf0.01", 0.95), (queries.op3_toxicity, "toxic", "sf0.1", 0.97), (queries.op7_quality, "quality", "sf0.01", 0.97), (queries.op7_quality, "quality", "sf0.1", 0.97)])
+def test_held_out_accuracy(spark, query, label, sf, least):
+    data = f"/root/testdata/{sf}"
+    scored = query(spark, data).join(queries.table(spark, data, "labels"), "doc_id").where("held_out").toPandas()
+    right = (scored["predicted"] == scored[label]).mean()
+    # Better than always telling the more frequent label.
+    assert len(scored) > 40 and right >= least and right > max(scored[label].mean(), 1 - scored[label].mean())

@@ -1,9 +1,10 @@
 """Media columns: bytes as 8-bit WAV audio, with spectral-peak pair fingerprints as time-coded arrays.
 
 The payload is stored as samples of a mono WAV file made and read by the wave module. Of the
-samples read back, a short-time Fourier transform is taken; in each frame the strongest bin of
-each of a few bands is a peak if it stands out in its band; peaks are paired with the next ones in time. A
-pair's hash is (first bin, second bin, frames between) and its time the first frame.
+samples read back, a short-time Fourier transform is taken, with frames that overlap by half, so
+that every sample counts in two of them; in each frame the strongest bin of each of a few bands is
+a peak if it stands out in its band; a peak is paired with the first ones of later frames. A pair's
+hash is (first bin, second bin, frames between) and its time the first frame.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from .common import text_chunks
 RATE = 8000
 BLOCK = 64
 FRAME = 256
-HOP = 256
+HOP = 128
 #: Frames transformed at once, which bounds the memory of a very long text.
 FRAMES_AT_ONCE = 2048
 BANDS = ((1, 10), (10, 24), (24, 52), (52, 129))
-FAN_OUT = 3
+#: Partners of a peak, and the most frames between them.
+FAN_OUT, MOST_GAP = 3, 63
+#: A peak is so many times its band's mean.
+STANDS_OUT = 1.2
 FIRST_PAIRS = 16
 
 
@@ -55,33 +59,37 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Times (frame numbers) and hashes of the peak pairs, in order of time."""
+    """Times (frame numbers) and hashes of the peak pairs, in order of time, then hash.
+
+    Frame i begins at sample (i - 1) * HOP; outside the samples is the nearest one's value.
+    """
     x = np.frombuffer(samples, np.uint8)
-    n = max(1, -(-len(x) // HOP))
+    n = -(-len(x) // HOP) + 1
     bins, whens = [], []
     for at in range(0, n, FRAMES_AT_ONCE):
         m = min(FRAMES_AT_ONCE, n - at)
-        part = x[at * HOP : (at + m - 1) * HOP + FRAME].astype(np.float32)
-        # Beyond the end there is silence: the mean of the samples that the last frame has.
-        short = (m - 1) * HOP + FRAME - len(part)
-        if short:
-            part = np.pad(part, (0, short), constant_values=part[(m - 1) * HOP :].mean())
+        lo, hi = (at - 1) * HOP, (at + m - 2) * HOP + FRAME
+        part = np.pad(x[max(lo, 0) : hi], (max(-lo, 0), max(hi - len(x), 0)), mode="edge").astype(np.float32)
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         frames = frames - frames.mean(axis=1, keepdims=True)
         power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1)).astype(np.float32)
-        for lo, hi in BANDS:
-            best = power[:, lo:hi].argmax(axis=1)
-            high = power[np.arange(m), lo + best] > 1.2 * power[:, lo:hi].mean(axis=1)
-            whens.append(np.flatnonzero(high) + at)
-            bins.append((lo + best)[high])
+        for low, high in BANDS:
+            best = power[:, low:high].argmax(axis=1)
+            clear = power[np.arange(m), low + best] > STANDS_OUT * power[:, low:high].mean(axis=1)
+            whens.append(np.flatnonzero(clear) + at)
+            bins.append((low + best)[clear])
     when, peak = np.concatenate(whens), np.concatenate(bins)
     order = np.lexsort((peak, when))
     when, peak = when[order].astype(np.int64), peak[order].astype(np.int64)
+    later = np.searchsorted(when, when, "right")
     times, hashes = [], []
-    for k in range(1, FAN_OUT + 1):
-        gap = np.minimum(when[k:] - when[:-k], 4095)
-        times.append(when[:-k])
-        hashes.append((peak[:-k] << 20) | (peak[k:] << 12) | gap)
+    for k in range(FAN_OUT):
+        own = np.flatnonzero(later + k < len(when))
+        other = later[own] + k
+        near = when[other] - when[own] <= MOST_GAP
+        own, other = own[near], other[near]
+        times.append(when[own])
+        hashes.append((peak[own] << 20) | (peak[other] << 12) | (when[other] - when[own]))
     t, h = np.concatenate(times), np.concatenate(hashes)
     order = np.lexsort((h, t))
     return t[order].astype(np.int32), h[order].astype(np.int32)

@@ -37,7 +37,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"), arrays=False, media=False)
+    return media.media_columns(table(spark, sf_dir, "documents"), media=False)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

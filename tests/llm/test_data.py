@@ -41,6 +41,43 @@ def test_fingerprint_finds_tones_whatever_the_block_size(monkeypatch):
     assert (again[0] == times).all() and (again[1] == hashes).all()
 
 
+def plain_fingerprint(samples):
+    x = np.frombuffer(samples, np.uint8).astype(float)
+    n, peaks = -(-len(x) // media.HOP) + 1, []
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    for i in range(n):
+        own = np.array([x[min(max(j, 0), len(x) - 1)] for j in range((i - 1) * media.HOP, (i - 1) * media.HOP + media.FRAME)])
+        power = abs(turn @ ((own - own.mean()) * np.hanning(media.FRAME)))
+        for lo, hi in media.BANDS:
+            best = lo + int(power[lo:hi].argmax())
+            if power[best] > media.STANDS_OUT * power[lo:hi].mean():
+                peaks.append((i, best))
+    pairs = []
+    for i, a in peaks:
+        for j, b in [p for p in sorted(peaks) if p[0] > i][: media.FAN_OUT]:
+            if j - i <= media.MOST_GAP:
+                pairs.append((i, a << 20 | b << 12 | (j - i)))
+    return sorted(pairs)
+
+
+def test_fingerprint_against_a_plain_transform(docs_of):
+    rng = np.random.default_rng(8)
+    texts = ["".join(chr(rng.integers(97, 123)) for _ in range(n)) + " tail" * (n % 7) for n in (1, 63, 64, 65, 300, 1000, 5000)] + ["Die Straße und the été. " * 40]
+    for r in media.media_columns(docs_of(list(enumerate(texts)))).collect():
+        raw = texts[r["doc_id"]].encode()
+        assert list(zip(r["times"], r["hashes"], strict=True)) == plain_fingerprint(raw + bytes(-len(raw) % 64)), r["doc_id"]
+        assert all(h & 0xFFF > 0 for h in r["hashes"])
+        assert int(r["feature"].split()[0]) == len(r["times"])
+
+
+def test_short_burst_on_a_frame_boundary_is_seen():
+    quiet = np.full(8192, 128, np.uint8)
+    loud = quiet.copy()
+    loud[2048 - 6 : 2048 + 6] = [228, 28] * 6
+    assert len(media.fingerprint(quiet.tobytes())[0]) == 0
+    assert {15, 16, 17} & set(media.fingerprint(loud.tobytes())[0].tolist())
+
+
 def level_targets(sizes):
     names = sorted((n for n in sizes if n is not None)) + ([None] if None in sizes else [])
     w = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}

@@ -28,8 +28,22 @@ class BitRange:
         return self.top - self.low + 1
 
 
-def bit_range(points: DataFrame, cols: list[str]) -> BitRange:
-    """The occupied bits of all finite values; one aggregate."""
+@dataclass(frozen=True)
+class IntRange:
+    """Keys of 64-bit integers: all bits, the sign flipped, so that their order is the numbers'."""
+
+    top: int = 63
+    low: int = 0
+
+    @property
+    def bits(self) -> int:
+        return 64
+
+
+def bit_range(points: DataFrame, cols: list[str]) -> BitRange | IntRange:
+    """The occupied bits of all finite values; one aggregate. None is needed where all are integers."""
+    if all(points.schema[c].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") for c in cols):
+        return IntRange()
     size = [F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")) & (F.col(c) != 0), F.abs(F.col(c).cast("double"))) for c in cols]
     some = F.array_compact(F.array(*size))
     lo, hi = points.agg(F.min(F.array_min(some)), F.max(F.array_max(some))).first()
@@ -73,14 +87,47 @@ def keys(x: np.ndarray, span: BitRange) -> list[bytes]:
     return [r.tobytes() for r in both]
 
 
-def zkey(cols: list[str], span: BitRange) -> Column:
-    """The key of the position in cols, as BINARY."""
+def int_keys(x: np.ndarray) -> list[bytes]:
+    """Keys of the rows of x (n, dim), 64-bit integers: the bits of x with the sign flipped, interleaved."""
+    big = (x.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")
+    bits = np.unpackbits(np.ascontiguousarray(big).view(np.uint8).reshape(len(x), x.shape[1], 8), axis=2)
+    packed = np.packbits(bits.transpose(0, 2, 1).reshape(len(x), -1), axis=1)
+    head = np.zeros((len(x), 1 + x.shape[1]), np.uint8)
+    return [r.tobytes() for r in np.concatenate([head, packed], axis=1)]
+
+
+def zkey(cols: list[str], span: BitRange | IntRange) -> Column:
+    """The key of the position in cols, as BINARY: a byte that tells NaN, a byte of class per
+    dimension, and the interleaved bits."""
+    whole = isinstance(span, IntRange)
 
     @F.pandas_udf("binary")
     def key(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(keys(x.to_numpy(float), span), dtype=object)
-
-    return key(F.struct(*[F.col(c).cast("double").alias(c) for c in cols]))
+        return pd.Series(int_keys(x.to_numpy(np.int64)) if whole else keys(x.to_numpy(float), span), dtype=object)
+
+    return key(F.struct(*[F.col(c).cast("long" if whole else "double").alias(c) for c in cols]))
+
+
+def key_level(a: Column, b: Column, dim: int, span: BitRange | IntRange) -> Column:
+    """The level of the smallest node that holds two keys: 0 for equal ones, else one more than the
+    number of bits after the first that differs. Keys of different class share no node below the top."""
+    head = 1 + dim
+    total = dim * span.bits
+
+    @F.pandas_udf("int")
+    def level(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), np.int32)
+        for i, (u, v) in enumerate(zip(x, y, strict=True)):
+            if u is None or v is None or u == v:
+                continue
+            if u[:head] != v[:head]:
+                out[i] = total + 2 * dim
+            else:
+                d = int.from_bytes(u[head:], "big") ^ int.from_bytes(v[head:], "big")
+                out[i] = d.bit_length() - (8 * (len(u) - head) - total)
+        return pd.Series(out)
+
+    return level(a, b)
 
 
 def key_bits(key: Column, dim: int, span: BitRange) -> Column:

@@ -56,8 +56,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", contract:
     steps reduce by partial aggregates and join the minimum back, so a hub's edges are never
     gathered in one task. Each round is written to the shared folder. The number of rounds grows
     with the logarithm of the longest path, not with its length. With contract each partition's
-    edges are first replaced by stars of the same components, in Arrow blocks, which saves rounds;
-    without it only DataFrame operations are used.
+    edges are first replaced by stars of the same components, in Arrow blocks, and once fewer than
+    BLOCK edges are left, a single task ends the rounds; without it only DataFrame operations are used.
     """
     spark = edges.sparkSession
 
@@ -74,6 +74,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", contract:
     for _ in range(max_rounds):
         if last is not None and not last["n"]:
             break
+        if contract and last["n"] < BLOCK:
+            now, last = kept(now.coalesce(1).mapInArrow(_contract, "u long, v long"))
+            break
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -2,30 +2,160 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.window import Window as W
+
+from starmesh.plans.observed import note
+from starmesh.plans.shared import stored
 
 from .points import dims, union_types
-from .tiles import TILE_POINTS, Boxes, boxes, differences, needs, with_leaves
+from .tiles import UNITS, Boxes, boxes_in, differences, few_in_chunks, in_chunks, leaf_nodes, row_distances, segments, tile_leaves, with_leaves
+from .walk import Rule, begin, frame_of, start_plane, walked
 
 #: Pairs of points measured at once.
 BLOCK = 2_000_000
+SCHEMA = "qid long, rank int, id long, r2 double"
+
+
+class Nearest(Rule):
+    """Sources that may hold one of a receiver's k nearest: those not beyond the receiver's bound, nor,
+    where that is not known, beyond the distance within which nodes of k points surely lie."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def kinds(self, receivers: Boxes, sources: Boxes) -> np.ndarray:
+        near, far = receivers.gaps(sources)
+        bound = receivers.bound * (1 + 1e-9)
+        open_ = ~np.isfinite(bound)
+        if open_.any():
+            some = far[open_]
+            order = np.argsort(some, axis=1)
+            n = np.cumsum(sources.n[order], axis=1)
+            at = np.minimum((n < self.k).sum(1), some.shape[1] - 1)
+            rows = np.arange(len(some))
+            bound[open_] = np.where(n[rows, at] >= self.k, some[rows, order[rows, at]], np.inf)
+        return (near <= bound[:, None]).astype(np.int8)
+
+
+def _prepared(leaved: DataFrame, xs: list[str], k: int, boxsize: float | None) -> DataFrame:
+    """The points with two columns more, from one pass over their stored order, without a shuffle.
+
+    kept: of sources at one place only the first k by id can be among k nearest; equal points are
+    next to each other. A run that goes on in another segment has k kept points there again.
+    bound: for a query a squared distance within which k sources are: those of its leaf and of the
+    leaves before and after it. Infinite where these are not k.
+    """
+    typed = "ptype" in leaved.columns
+    rows = leaved.select("zindex", "leaf", "id", *(["ptype"] if typed else []), *xs)
+    schema = StructType([*rows.schema.fields, StructField("kept", BooleanType()), StructField("bound", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in segments(batches):
+            x = np.column_stack([part[c].to_numpy() for c in xs])
+            leaf = part["leaf"].to_numpy()
+            source = part["ptype"].to_numpy() == 0 if typed else np.ones(len(x), bool)
+            asked = ~source if typed else source
+            own = np.flatnonzero(source)
+            kept = np.zeros(len(x), bool)
+            if len(own):
+                at = np.arange(len(own))
+                new = np.concatenate([[True], (x[own[1:]] != x[own[:-1]]).any(1)])
+                kept[own[at - np.maximum.accumulate(np.where(new, at, 0)) < k]] = True
+            bound = np.full(len(x), np.inf)
+            first = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+            last = np.append(first[1:], len(x))
+            finite = np.isfinite(x).all(1)
+            for i in range(len(first)):
+                q = np.arange(first[i], last[i])
+                q = q[asked[q] & finite[q]]
+                s = np.arange(first[max(i - 1, 0)], last[min(i + 1, len(last) - 1)])
+                s = s[kept[s] & finite[s]]
+                if len(q) and len(s) >= k:
+                    bound[q] = kth_within(x[q], x[s], k, boxsize)
+            out = part.append_column("kept", pa.array(kept)).append_column("bound", pa.array(bound))
+            yield from out.combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _rough(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by a matrix product, and how far they may be off."""
+    mid = a.mean(0)
+    a, b = a - mid, b - mid
+    na, nb = (a * a).sum(1), (b * b).sum(1)
+    return na[:, None] + nb[None, :] - 2 * (a @ b.T), 2e-15 * (a.shape[1] + 8) * (np.sqrt(na.max()) + np.sqrt(nb.max())) ** 2
+
 
+def kth_within(q: np.ndarray, s: np.ndarray, k: int, boxsize: float | None) -> np.ndarray:
+    """For each query a squared distance that k of the sources are not beyond."""
+    if boxsize or q.shape[1] < 4:
+        return np.partition(differences(q, s, boxsize), k - 1, axis=1)[:, k - 1]
+    r2, error = _rough(q, s)
+    return np.partition(r2, k - 1, axis=1)[:, k - 1] + error
 
-def _bounded(k: int):
-    def wanted(src: Boxes, centre: np.ndarray, half: np.ndarray) -> np.ndarray:
-        """Leaves that may hold one of the k nearest: those not beyond the distance within which
-        leaves of k points surely lie."""
-        near, far = src.gaps(centre, half)
-        order = np.argsort(far, kind="stable")
-        at = np.searchsorted(np.cumsum(src.n[order]), k)
-        return np.flatnonzero(near <= far[order[at]]) if at < len(order) else np.arange(len(near))
 
-    return wanted
+def nearest(qx: np.ndarray, sid: np.ndarray, sx: np.ndarray, k: int, boxsize: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, source, r2): for each query the k nearest sources by (r2, id), in order; sid ascends."""
+    m = min(k, len(sx))
+    r2 = None
+    if m == len(sx):
+        i, j = (v.ravel() for v in np.indices((len(qx), len(sx))))
+    elif boxsize or qx.shape[1] < 4 or not (np.isfinite(qx).all() and np.isfinite(sx).all()):
+        r2 = differences(qx, sx, boxsize)
+        # All that are not beyond the k-th distance, so that ties can go by id.
+        i, j = np.nonzero(~(r2 > np.partition(r2, m - 1, axis=1)[:, m - 1 : m]))
+    else:
+        # Many dimensions: by a matrix product, and exactly for those that its error leaves near the k-th.
+        rough, error = _rough(qx, sx)
+        i, j = np.nonzero(rough <= np.partition(rough, m - 1, axis=1)[:, m - 1 : m] + 2 * error)
+    d = r2[i, j] if r2 is not None else row_distances(qx[i], sx[j], boxsize)
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < m
+    return i[top], j[top], d[top]
+
+
+def _tile(k: int, xs: list[str], boxsize: float | None):
+    rule = Nearest(k)
+
+    def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"qid": [], "rank": [], "id": [], "r2": []})
+        if not len(q) or not len(s):
+            return none
+        s, q = s.sort_values(["leaf", "id"]), q.sort_values("leaf")
+        sid, sx, sleaf = s["id"].to_numpy(), s[xs].to_numpy(float), s["leaf"].to_numpy()
+        qid, qx, qleaf = q["id"].to_numpy(), q[xs].to_numpy(float), q["leaf"].to_numpy()
+        sb, qb = boxes_in(sleaf, sx, boxsize), boxes_in(qleaf, qx, boxsize)
+        s_at, q_at = np.concatenate([[0], np.cumsum(sb.n)]), np.concatenate([[0], np.cumsum(qb.n)])
+        qb.bound = np.maximum.reduceat(q["bound"].to_numpy(), q_at[:-1])
+        out = []
+        for c in range(0, len(qb), 64):
+            wanted = rule.kinds(qb.part(slice(c, c + 64)), sb) > 0
+            for r, row in enumerate(wanted, c):
+                leaves = np.flatnonzero(row)
+                if not len(leaves):
+                    continue
+                rows = slice(q_at[r], q_at[r + 1])
+                held = np.concatenate([np.arange(s_at[i], s_at[i + 1]) for i in leaves])
+                held = held[np.argsort(sid[held], kind="stable")]
+                step = max(1, BLOCK // len(held))
+                for at in range(0, rows.stop - rows.start, step):
+                    i, j, d = nearest(qx[rows][at : at + step], sid[held], sx[held], k, boxsize)
+                    out.append((qid[rows][at : at + step][i], np.arange(len(i)) - np.searchsorted(i, i) + 1, sid[held[j]], d))
+        if not out:
+            return none
+        cols = [np.concatenate(v) for v in zip(*out, strict=True)]
+        return pd.DataFrame({"qid": cols[0], "rank": cols[1].astype(np.int32), "id": cols[2], "r2": cols[3]})
+
+    return run
 
 
 def knn_pairs(source: DataFrame, k: int, query: DataFrame | None = None, boxsize: float | None = None, leaf_size: int | None = None) -> DataFrame:
@@ -33,81 +163,96 @@ def knn_pairs(source: DataFrame, k: int, query: DataFrame | None = None, boxsize
 
     Without query the set is joined with itself, and each point is its own first neighbour unless
     a duplicate has a smaller id. With fewer than k sources all of them are neighbours. Any number
-    of dimensions; boxsize makes the domain periodic.
+    of dimensions; boxsize makes the domain periodic. Of equal sources only the k least ids are
+    sent anywhere, and no task gets more than a tile of queries and a chunk of sources.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     spark, xs = source.sparkSession, dims(source)
-    both = union_types(source.select("id", *xs), (source if query is None else query).select("id", *xs)) if query is not None else source.select("id", *xs)
-    leaf_size = leaf_size or max(64, 2 * k)
-    leaved, size, _ = with_leaves(both, leaf_size)
-    src = leaved if query is None else leaved.where("ptype = 0")
-    asked = leaved if query is None else leaved.where("ptype = 1")
-    sb = boxes(src, xs, boxsize)
-    qb = sb if query is None else boxes(asked, xs, boxsize)
+    both = union_types(source.select("id", *xs), query.select("id", *xs)) if query is not None else source.select("id", *xs)
+    size = leaf_size or max(48, 2 * k)
+    leaved, n = with_leaves(both, size, exact=False)
     schema = "qid long, rank int, id long, rad double"
-    if not len(sb.leaf) or not len(qb.leaf):
+    if not n:
         return spark.createDataFrame([], schema)
-    per_tile = max(1, TILE_POINTS // size)
-    wanted = _bounded(k)
-    need = needs(spark, qb, sb, per_tile, wanted)
-    halo = src.join(need, "leaf").select("tile", "leaf", "id", *xs)
-    own = asked.select(F.floor(F.col("leaf") / per_tile).alias("tile"), "leaf", "id", *xs)
-
-    def nearest(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(s):
-            return pd.DataFrame({"qid": [], "rank": [], "id": [], "rad": []})
-        s, q = s.sort_values(["leaf", "id"]), q.sort_values("leaf")
-        leaf, first, count = np.unique(s["leaf"].to_numpy(), return_index=True, return_counts=True)
-        sid, sx = s["id"].to_numpy(), s[xs].to_numpy(float)
-        tile = Boxes(leaf, count, np.minimum.reduceat(sx, first), np.maximum.reduceat(sx, first), boxsize)
-        qx, qid = q[xs].to_numpy(float), q["id"].to_numpy()
-        cuts = np.flatnonzero(np.diff(q["leaf"].to_numpy())) + 1
-        out = []
-        for rows in np.split(np.arange(len(q)), cuts):
-            lo, hi = qx[rows].min(0), qx[rows].max(0)
-            some = wanted(tile, (lo + hi) / 2, (hi - lo) / 2)
-            near = np.concatenate([np.arange(first[i], first[i] + count[i]) for i in some])
-            near = near[np.argsort(sid[near], kind="stable")]
-            step = max(1, BLOCK // len(near))
-            for at in range(0, len(rows), step):
-                part = rows[at : at + step]
-                r2 = differences(qx[part], sx[near], boxsize)
-                m = min(k, len(near))
-                if m < len(near):
-                    # All that are not beyond the k-th distance, so that ties can go by id.
-                    limit = np.partition(r2, m - 1, axis=1)[:, m - 1 : m]
-                    i, j = np.nonzero(r2 <= limit)
-                else:
-                    i, j = (v.ravel() for v in np.indices(r2.shape))
-                d = r2[i, j]
-                order = np.lexsort((sid[near[j]], d, i))
-                i, j, d = i[order], j[order], d[order]
-                start = np.searchsorted(i, np.arange(len(part)))
-                rank = np.arange(len(i)) - start[i]
-                top = rank < m
-                out.append((qid[part[i[top]]], rank[top] + 1, sid[near[j[top]]], np.sqrt(d[top])))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pd.DataFrame({"qid": cols[0], "rank": cols[1].astype(np.int32), "id": cols[2], "rad": cols[3]})
-
-    # New column identities: both sides come from one table.
+    rule, p = Nearest(k), start_plane(-(-n // size))
+    ready = stored(_prepared(leaved, xs, k, boxsize), "knn-points")
+    src, asked = ready.where("kept"), ready if query is None else ready.where("ptype = 1")
+    sources, receivers = leaf_nodes(src, xs), leaf_nodes(asked, xs, "bound")
+    if p:
+        sources, receivers = stored(sources, "knn-source-leaves"), stored(receivers, "knn-query-leaves")
+    per_tile = tile_leaves(n, size, spark.sparkContext.defaultParallelism)
+    q, t, _, own, others = begin(receivers, sources, rule, p, xs, boxsize)
+    note(f"knn.pairs.plane{p}", len(q))
+    if p:
+        pairs, p = walked(frame_of(spark, q, t), len(q), (len(own), len(others)), receivers, sources, rule, p, xs, boxsize, "knn")
+        each = lambda c: F.explode(F.sequence(F.col(c) * UNITS[p], F.least((F.col(c) + 1) * UNITS[p], F.lit(-(-n // size))) - 1)) if p else F.col(c)
+        need = pairs.select(each("q").alias("q"), "t").select(F.floor(F.col("q") / per_tile).alias("tile"), "t").distinct().select("tile", each("t").alias("leaf"))
+        need = in_chunks(need, size)
+        chunks = need.groupBy("tile").agg((F.max("chunk") + 1).alias("chunks"))
+        many, n_tiles = chunks.agg(F.max("chunks"), F.count(F.lit(1))).first()
+    else:
+        need, last = few_in_chunks(spark, q // per_tile, t, size)
+        many, n_tiles = max(last.values(), default=0), len(last)
+        chunks = spark.createDataFrame(pa.table({"tile": np.array(list(last.keys()), np.int64), "chunks": np.array(list(last.values()), np.int64)}))
+    note("knn.tiles", n_tiles)
+    note("knn.chunks", many or 0)
+    if not many:
+        return spark.createDataFrame([], schema)
+    halo = src.join(need, "leaf").select("tile", "chunk", "leaf", "id", *xs)
+    own = asked.select(F.floor(F.col("leaf") / per_tile).alias("tile"), "leaf", "id", "bound", *xs)
+    if many == 1:
+        own = own.withColumn("chunk", F.lit(0).cast("long"))
+    else:
+        own = own.join(chunks, "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+    # New column identities: both sides may come from one table.
     halo = halo.toDF(*halo.columns)
-    return own.groupBy("tile").cogroup(halo.groupBy("tile")).applyInPandas(nearest, schema)
+    found = own.groupBy("tile", "chunk").cogroup(halo.groupBy("tile", "chunk")).applyInPandas(_tile(k, xs, boxsize), SCHEMA)
+    if many > 1:
+        found = found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("r2", "id"))).where(F.col("rank") <= k)
+    return found.select("qid", "rank", "id", F.sqrt("r2").alias("rad"))
 
 
-def knn(source: DataFrame, k: int, query: DataFrame | None = None, boxsize: float | None = None, result: Sequence[str] = ("rad", "id"), reducer: Callable[[DataFrame], DataFrame] | None = None, leaf_size: int | None = None) -> DataFrame:
+def knn(source: DataFrame, k: int, query: DataFrame | None = None, boxsize: float | None = None, result: Sequence[str] = ("rad", "id"), reducer: Callable[[DataFrame], DataFrame] | None = None, leaf_size: int | None = None, order: str | None = None) -> DataFrame:
     """The k-nearest-neighbour join with the columns asked for.
 
-    result may name rad, id, and any column of source, which comes joined by the neighbour's id.
-    reducer gets the neighbour table (qid, rank, ...) and returns what it makes of it, such as an
-    aggregate per qid.
+    result may name rad, id, drad (the difference vector from query to neighbour, as an array), part
+    (the whole source row, as a struct), rank_index (zindex, the neighbour's place in z-order), and
+    any column of source, which comes joined by the neighbour's id. reducer gets the neighbour
+    table (qid, rank, ...) and returns what it makes of it, such as an aggregate per qid. order is
+    None, "input" (by qid) or "z" (by the query's place in z-order, in column qindex).
     """
+    from .zorder import with_zindex
+
+    asked, xs = source if query is None else query, dims(source)
     pairs = knn_pairs(source, k, query, boxsize, leaf_size)
-    more = [c for c in result if c not in ("rad", "id")]
-    if more:
-        pairs = pairs.join(source.select("id", *more), "id")
-    out = pairs.select("qid", "rank", *[c for c in result if c in ("rad", "id")], *more)
-    return reducer(out) if reducer else out
+    named = [c for c in result if c not in ("rad", "id", "drad", "part", "rank_index")]
+    joined = source.select("id", *dict.fromkeys(named)) if named else None
+    if "part" in result:
+        part = source.select("id", F.struct(*source.columns).alias("part"))
+        joined = part if joined is None else joined.join(part, "id")
+    if "drad" in result:
+        there = source.select("id", F.array(*xs).alias("__there"))
+        joined = there if joined is None else joined.join(there, "id")
+    if "rank_index" in result:
+        placed = with_zindex(source.select("id", *xs)).select("id", F.col("zindex").alias("rank_index"))
+        joined = placed if joined is None else joined.join(placed, "id")
+    if joined is not None:
+        pairs = pairs.join(joined, "id")
+    if "drad" in result:
+        from starmesh.functions.geometry import wrap
+
+        here = asked.select(F.col("id").alias("qid"), F.array(*xs).alias("__here"))
+        pairs = pairs.join(here, "qid").withColumn("drad", F.zip_with("__here", "__there", lambda a, b: wrap(a - b, boxsize)))
+    out = pairs.select("qid", "rank", *result)
+    if reducer:
+        return reducer(out)
+    if order == "input":
+        return out.orderBy("qid", "rank")
+    if order == "z":
+        placed = with_zindex(asked.select("id", *xs)).select(F.col("id").alias("qid"), F.col("zindex").alias("qindex"))
+        return out.join(placed, "qid").orderBy("qindex", "rank")
+    return out
 
 
 def mean_radius(neighbours: DataFrame) -> DataFrame:

@@ -1,91 +1,179 @@
-"""Leaves and tiles: compact runs of points in z-order, with boxes to prune pairs of them.
+"""Leaves, planes of nodes above them, and tiles: what joins of near points are pruned and dealt by.
 
-Points are numbered in z-order; a leaf is a run of equal length, so leaves are even whatever the
-density, and also among duplicates. A table with one row per leaf, of a bounded number of rows, is
-the only thing that every task sees. A tile is a run of leaves; it is the unit that gets shuffled,
-together with the leaves around it that it needs.
+Points are numbered in z-order. A leaf is a run of a fixed number of them, whatever the number of
+points and their density; a node of plane p is a run of UNITS[p] leaves. Each node has the box of its
+points. Pairs of nodes are walked from coarse to fine (`walk`). A tile is a run of leaves that is
+shuffled together, with the leaves around it that it needs; where these are many they come in
+chunks, so no group has more than a tile and a chunk of points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from starmesh.functions.zkey import bit_range, zkey
 from starmesh.plans.shared import stored
 
 from .points import dims
-from .zorder import KEY_DIMS, with_position
+from .zorder import morton, with_position
 
-#: Leaves are made longer so that there are never more of them than this.
-MOST_LEAVES = 100_000
-#: Points of a tile, about.
-TILE_POINTS = 40_000
+#: Points of a tile, at most, and of a chunk of leaves around it.
+TILE_POINTS, CHUNK_POINTS = 32_768, 65_536
+#: Leaves of a node, by plane.
+UNITS = tuple(8 ** min(p, 1) * 64 ** max(p - 1, 0) for p in range(7))
+#: Dimensions of a key at most; more hardly help to keep neighbours together.
+KEY_DIMS = 6
 
 
 class Boxes:
-    """Boxes of leaves as arrays, in order of the leaf's number."""
+    """Boxes of nodes as arrays, with their numbers, how many points they have, and for receivers a
+    squared distance beyond which they need nothing."""
+
+    def __init__(self, node: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, boxsize: float | None, bound: np.ndarray | None = None):
+        self.node, self.n, self.lo, self.hi, self.boxsize = node, n, lo, hi, boxsize
+        self.bound = np.full(len(node), np.inf) if bound is None else bound
+        with np.errstate(invalid="ignore"):
+            self.centre, self.half = (lo + hi) / 2, (hi - lo) / 2 * (1 + 1e-12)
+        # Where a coordinate is infinite the centre is too, and nothing is ruled out.
+        self.half = np.where(np.isfinite(self.centre) & np.isfinite(self.half), self.half, np.inf)
+        self.centre = np.where(np.isfinite(self.half), self.centre, 0.0)
+
+    def __len__(self) -> int:
+        return len(self.node)
+
+    def part(self, rows) -> Boxes:
+        return Boxes(self.node[rows], self.n[rows], self.lo[rows], self.hi[rows], self.boxsize, self.bound[rows])
+
+    def gaps(self, other: Boxes) -> tuple[np.ndarray, np.ndarray]:
+        """(least, greatest) squared distances of each of these boxes from each other one; slightly widened."""
+        near, far = np.zeros((len(self), len(other))), np.zeros((len(self), len(other)))
+        for i in range(self.centre.shape[1]):
+            d = np.abs(self.centre[:, None, i] - other.centre[None, :, i])
+            if self.boxsize:
+                d = np.minimum(d, np.abs(self.boxsize - d))
+            w = self.half[:, None, i] + other.half[None, :, i]
+            near += np.maximum(d - w, 0) ** 2
+            far += (d + w) ** 2
+        return near * (1 - 1e-9), far * (1 + 1e-9)
+
+    def diameters(self) -> np.ndarray:
+        """Squared diameters, slightly widened."""
+        return ((2 * self.half) ** 2).sum(1) * (1 + 1e-9)
+
+
+def boxes_of(frame, xs: list[str], boxsize: float | None) -> Boxes:
+    """From a pandas frame of `nodes`."""
+    frame = frame.sort_values("node")
+    return Boxes(frame["node"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), frame[[f"lo{x}" for x in xs]].to_numpy(float), frame[[f"hi{x}" for x in xs]].to_numpy(float), boxsize, frame["bound"].to_numpy(float))
+
+
+def boxes_in(node: np.ndarray, x: np.ndarray, boxsize: float | None) -> Boxes:
+    """Boxes of the runs of equal numbers in node."""
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, int)
+    count = np.diff(np.append(first, len(node)))
+    return Boxes(node[first], count, np.minimum.reduceat(x, first), np.maximum.reduceat(x, first), boxsize)
+
+
+def with_leaves(points: DataFrame, leaf_size: int, exact: bool = True) -> tuple[DataFrame, int]:
+    """points with zindex and leaf, stored in that order, and the number of points.
+
+    With exact the order is the z-order of all bits, otherwise a z-curve through the points' box,
+    which is all that pruning needs and takes no Python.
+    """
+    xs = dims(points)
+    if exact:
+        n = points.count()
+        keyed = points.withColumn("zkey", zkey(xs[:KEY_DIMS] if len(xs) > KEY_DIMS else xs, bit_range(points, xs)))
+    else:
+        some = xs[:KEY_DIMS]
+        finite = lambda x: F.when(F.abs(x) < float("inf"), F.col(x))
+        n, *ends = points.agg(F.count(F.lit(1)), *[f(finite(x)) for x in some for f in (F.min, F.max)]).first()
+        ends = [e or 0.0 for e in ends]
+        keyed = points.withColumn("zkey", morton(some, ends[::2], ends[1::2]))
+    # Equal points are next to each other, also where the key does not tell all dimensions apart.
+    order = ["zkey", *xs, "id"] if not exact or len(xs) > KEY_DIMS else ["zkey", "id"]
+    placed = with_position(keyed, order, "zindex", n).drop("zkey")
+    return placed.withColumn("leaf", F.floor(F.col("zindex") / leaf_size)), n
+
+
+def leaf_nodes(leaved: DataFrame, xs: list[str], bound: str | None = None) -> DataFrame:
+    """(node, n, bound, lo*, hi*) of plane 0; the bound is the greatest of a column of points."""
+    most = F.max(bound) if bound else F.lit(float("inf"))
+    return leaved.groupBy(F.col("leaf").alias("node")).agg(F.count(F.lit(1)).alias("n"), most.alias("bound"), *[f(x).alias(f"{k}{x}") for x in xs for k, f in (("lo", F.min), ("hi", F.max))])
+
+
+def coarser(nodes: DataFrame, times: int, xs: list[str]) -> DataFrame:
+    """Nodes of `times` nodes each."""
+    return nodes.groupBy(F.floor(F.col("node") / times).alias("node")).agg(F.sum("n").alias("n"), F.max("bound").alias("bound"), *[f(f"{k}{x}").alias(f"{k}{x}") for x in xs for k, f in (("lo", F.min), ("hi", F.max))])
+
+
+def plane_of(leaves: DataFrame, p: int, xs: list[str]) -> DataFrame:
+    """The nodes of plane p."""
+    return leaves if p == 0 else coarser(leaves, UNITS[p], xs)
+
+
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows whose zindex goes on by one: a range partition each, in whatever order a task reads them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        z = batch.column(batch.schema.get_field_index("zindex")).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(z) != 1) + 1, [len(z)]])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if held and z[lo] != last + 1:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = int(z[hi - 1])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def tile_leaves(n: int, leaf_size: int, slots: int) -> int:
+    """Leaves of a tile: few enough points for one task, and for small sets fewer, so that all slots have some."""
+    return max(1, min(TILE_POINTS, -(-n // (2 * slots))) // leaf_size)
 
-    def __init__(self, leaf: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, boxsize: float | None):
-        self.leaf, self.n, self.boxsize = leaf, n, boxsize
-        self.centre, self.half = (lo + hi) / 2, (hi - lo) / 2 * (1 + 1e-12)
 
-    def gaps(self, centre: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(least, greatest) squared distances of all boxes from one; slightly widened."""
-        d = np.abs(self.centre - centre)
-        if self.boxsize:
-            d = np.minimum(d, np.abs(self.boxsize - d))
-        near, far = np.maximum(d - (self.half + half), 0), d + self.half + half
-        return (near * near).sum(1) * (1 - 1e-9), (far * far).sum(1) * (1 + 1e-9)
-
-
-def with_leaves(points: DataFrame, leaf_size: int, n_points: int | None = None) -> tuple[DataFrame, int, int]:
-    """points with a column leaf, the leaf length used, and the number of points."""
-    xs = dims(points)[:KEY_DIMS]
-    n = points.count() if n_points is None else n_points
-    size = max(leaf_size, -(-n // MOST_LEAVES), 1)
-    keyed = points.withColumn("zkey", zkey(xs, bit_range(points, xs)))
-    order = ["zkey", "ptype", "id"] if "ptype" in points.columns else ["zkey", "id"]
-    placed = with_position(keyed, order, "zindex").drop("zkey")
-    return stored(placed.withColumn("leaf", F.floor(F.col("zindex") / size)), "tiles-leaves"), size, n
-
-
-def boxes(leaved: DataFrame, xs: list[str], boxsize: float | None) -> Boxes:
-    """The boxes of all leaves that have points: at most MOST_LEAVES rows."""
-    rows = leaved.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{k}{x}") for x in xs for k, f in (("lo", F.min), ("hi", F.max))]).toPandas().sort_values("leaf")
-    return Boxes(rows["leaf"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows[[f"lo{x}" for x in xs]].to_numpy(float), rows[[f"hi{x}" for x in xs]].to_numpy(float), boxsize)
-
-
-def needs(spark, receivers: Boxes, sources: Boxes, per_tile: int, wanted: Callable[[Boxes, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(tile, leaf): the source leaves that the receivers of each tile need. wanted gives the
-    places of the source boxes that one receiver box needs."""
-    tiles = np.unique(receivers.leaf // per_tile)
-    shared = spark.sparkContext.broadcast((receivers, sources))  # at most 2 * MOST_LEAVES boxes
+def differences(a: np.ndarray, b: np.ndarray, boxsize: float | None) -> np.ndarray:
+    """Squared distances (len(a), len(b)), dimensions in order, wrapped as in `geometry.wrap`."""
+    out = None
+    for i in range(a.shape[1]):
+        d = wrapped(a[:, None, i] - b[None, :, i], boxsize)
+        out = d * d if out is None else out + d * d
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, src = shared.value
-        for batch in batches:
-            for tile in batch.column(0).to_numpy():
-                a, b = np.searchsorted(own.leaf, [tile * per_tile, (tile + 1) * per_tile])
-                some = [wanted(src, own.centre[i], own.half[i]) for i in range(a, b)]
-                got = np.unique(np.concatenate(some)) if some else np.empty(0, int)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), tile, np.int64)), pa.array(src.leaf[got])], names=["tile", "leaf"])
 
-    ids = spark.createDataFrame(pd.DataFrame({"tile": tiles.astype(np.int64)})) if len(tiles) else spark.range(0).toDF("tile")
-    return ids.repartition(max(1, min(len(tiles), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "tile long, leaf long")
+def wrapped(d: np.ndarray, boxsize: float | None) -> np.ndarray:
+    return np.where(d < -boxsize / 2, d + boxsize, np.where(d >= boxsize / 2, d - boxsize, d)) if boxsize else d
 
 
-def differences(a: np.ndarray, b: np.ndarray, boxsize: float | None) -> np.ndarray:
-    """Squared distances (len(a), len(b)), dimensions in order, wrapped as in `geometry.wrap`."""
+def row_distances(a: np.ndarray, b: np.ndarray, boxsize: float | None) -> np.ndarray:
+    """Squared distances of a's rows from b's, row by row, dimensions in order."""
     out = None
     for i in range(a.shape[1]):
-        d = a[:, None, i] - b[None, :, i]
-        if boxsize:
-            d = np.where(d < -boxsize / 2, d + boxsize, np.where(d >= boxsize / 2, d - boxsize, d))
+        d = wrapped(a[:, i] - b[:, i], boxsize)
         out = d * d if out is None else out + d * d
     return out
+
+
+def in_chunks(need: DataFrame, leaf_size: int) -> DataFrame:
+    """(tile, leaf, chunk): the leaves that a tile needs, dealt to chunks of CHUNK_POINTS points."""
+    at = F.row_number().over(W.partitionBy("tile").orderBy("leaf")) - 1
+    return stored(need.withColumn("chunk", F.floor(at / max(1, CHUNK_POINTS // leaf_size))), "tiles-needs")
+
+
+def few_in_chunks(spark, tile: np.ndarray, leaf: np.ndarray, leaf_size: int) -> tuple[DataFrame, dict[int, int]]:
+    """The same of pairs that are on the driver, and the number of chunks of each tile."""
+    both = np.unique(np.column_stack([tile, leaf]).astype(np.int64), axis=0)
+    tiles, first, count = np.unique(both[:, 0], return_index=True, return_counts=True)
+    chunk = (np.arange(len(both)) - np.repeat(first, count)) // max(1, CHUNK_POINTS // leaf_size)
+    last = dict(zip(tiles.tolist(), (chunk[first + count - 1] + 1).tolist(), strict=True))
+    return spark.createDataFrame(pa.table({"tile": both[:, 0], "leaf": both[:, 1], "chunk": chunk.astype(np.int64)})), last

@@ -1,57 +1,201 @@
-"""Radix trees over z-order: adaptive leaves, planes of nodes, and their geometry."""
+"""Radix trees over z-order: adaptive leaves, planes of nodes, and their geometry.
+
+A node is a prefix of z-order keys. Points are sorted once; from then on a leaf is a run of rows,
+and what tells runs apart is how many leading bits a row shares with the next. Each partition
+finds its runs by itself. Only nodes that go on in other partitions need to be counted across
+them: they are prefixes of the partition's first or last key, of which there are as many as bits.
+"""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from starmesh.functions.geometry import node_centre, node_extent, node_levels
-from starmesh.functions.zkey import BitRange, bit_range, key_bits
+from starmesh.functions.zkey import BitRange, IntRange, bit_range, key_bits
+from starmesh.plans.observed import note
 from starmesh.plans.shared import stored
 
 from .points import dims
-from .zorder import with_zkey
+from .tiles import segments
+from .zorder import with_position, with_zkey
 
-#: Prefix lengths tried in one round.
-STRIDE = 6
+_ZEROS = np.array([8 - int(i).bit_length() for i in range(256)])
 
 
-def with_prefix_bits(points: DataFrame, span: BitRange | None = None) -> DataFrame:
-    """Adds zbits, the bits of the z-order key as text."""
-    xs = dims(points)
-    span = span or bit_range(points, xs)
-    return with_zkey(points, span).withColumn("zbits", key_bits(F.col("zkey"), len(xs), span)).drop("zkey")
+def common_bits(a: np.ndarray, b: np.ndarray, dim: int, total: int) -> np.ndarray:
+    """Leading bits that keys (rows of bytes) share: two bits of class per dimension, then the body."""
+    x = a ^ b
+    x[:, 0] = 0
+    at = (x != 0).argmax(1)
+    value = x[np.arange(len(x)), at]
+    head = 2 * (at - 1) + _ZEROS[value] - 6
+    body = 2 * dim + 8 * (at - 1 - dim) + _ZEROS[value]
+    return np.where(value == 0, total, np.where(at <= dim, head, body)).astype(np.int32)
+
+
+def extents(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the first and last place of the stretch around it where nothing is below shared[i]."""
+    n = len(shared)
+    table = [shared]
+    while 2 << (len(table) - 1) <= n:
+        half = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+    left, right = np.arange(n), np.arange(n)
+    for k in range(len(table) - 1, -1, -1):
+        step = 1 << k
+        at = left - step
+        ok = (at >= 0) & (table[k][np.maximum(at, 0)] >= shared)
+        left = np.where(ok, at, left)
+        at = right + 1
+        ok = (at + step <= n) & (table[k][np.minimum(at, n - step)] >= shared)
+        right = np.where(ok, at + step - 1, right)
+    return left, right
+
+
+class _Part:
+    """A segment's keys in order, and the bits that each shares with the next."""
+
+    def __init__(self, rows: pa.Table, dim: int, total: int):
+        self.n = rows.num_rows
+        self.keys = np.frombuffer(b"".join(rows["zkey"].to_pylist()), np.uint8).reshape(self.n, -1)
+        self.z = rows["zindex"].to_numpy()
+        self.types = rows["ptype"].to_numpy().astype(np.int64) if "ptype" in rows.column_names else np.zeros(self.n, np.int64)
+        self.shared = common_bits(self.keys[:-1], self.keys[1:], dim, total)
+
+
+def _ends(dim: int, total: int, n_types: int):
+    """A row per partition: part, first and last key, and for each number of bits how many points
+    (by type) share so many with the first and with the last key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in segments(batches):
+            part = _Part(rows, dim, total)
+            of_first = np.concatenate([[total], np.minimum.accumulate(part.shared)])
+            of_last = np.concatenate([np.minimum.accumulate(part.shared[::-1])[::-1], [total]])
+            counts = []
+            for bits in (of_first, of_last):
+                by = np.zeros((n_types, total + 1), np.int64)
+                np.add.at(by, (part.types, bits), 1)
+                counts.append(by[:, ::-1].cumsum(1)[:, ::-1])
+            start = part.z[np.searchsorted(of_last, np.arange(total + 1))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(part.z[0])]), pa.array([part.keys[0].tobytes()], pa.binary()), pa.array([part.keys[-1].tobytes()], pa.binary()), *(pa.array([c.ravel().tolist()], pa.list_(pa.int64())) for c in counts), pa.array([start.tolist()], pa.list_(pa.int64()))], names=["z", "first", "last", "of_first", "of_last", "start"])
+
+    return run
 
 
-def assign_leaves(bits: DataFrame, cap: int, out: str = "leaf") -> DataFrame:
-    """Adds the leaf of each point: the shortest prefix of zbits whose node has at most cap points,
-    of each type if there is a column ptype. Duplicates beyond the cap stay in one leaf.
+def _across(rows: list, caps: Sequence[int], levels: Sequence[int | None], dim: int, total: int, n_types: int) -> dict[int, tuple[list, list, list]]:
+    """By a partition's first z-index: the depths of the nodes of its first and of its last key, on
+    each plane, and where the former begin."""
+    rows = sorted(rows, key=lambda r: r["z"])
+    first = np.array([np.frombuffer(r["first"], np.uint8) for r in rows])
+    last = np.array([np.frombuffer(r["last"], np.uint8) for r in rows])
+    bits = np.arange(total + 1)
+    of_first, of_last = (np.array([r[c] for r in rows], np.int64).reshape(len(rows), n_types, total + 1) for c in ("of_first", "of_last"))
+    start = np.array([r["start"] for r in rows], np.int64)
+    whole = common_bits(first, last, dim, total)[:, None] >= bits
+    seam = np.zeros((len(rows) + 1, total + 1), bool)
+    if len(rows) > 1:
+        seam[1:-1] = common_bits(last[:-1], first[1:], dim, total)[:, None] >= bits
+    upto, begin = of_last.copy(), start.copy()
+    for p in range(1, len(rows)):
+        on = whole[p] & seam[p]
+        upto[p] += np.where(on, upto[p - 1], 0)
+        begin[p] = np.where(on, begin[p - 1], begin[p])
+    onward = of_first.copy()
+    for p in range(len(rows) - 2, -1, -1):
+        onward[p] += np.where(whole[p] & seam[p + 1], onward[p + 1], 0)
+    out = {}
+    for p, r in enumerate(rows):
+        of_f = (onward[p] + np.where(seam[p], upto[p - 1], 0)).max(0) if p else onward[p].max(0)
+        of_l = (upto[p] + np.where(seam[p + 1], onward[p + 1], 0)).max(0) if p + 1 < len(rows) else upto[p].max(0)
+        head = np.where(seam[p], begin[p - 1], r["z"]) if p else np.full(total + 1, r["z"])
+        depth = lambda counts: [min(total, max(int(np.argmax(counts <= cap)) if (counts <= cap).any() else total, 0 if lv is None else total - lv + 1)) for cap, lv in zip(caps, levels, strict=True)]
+        firsts = depth(of_f)
+        out[r["z"]] = (firsts, depth(of_l), [int(head[d]) for d in firsts])
+    return out
 
-    Counts are taken for a few prefix lengths at a time, with partial sums before the shuffle;
-    only points of nodes that are still too full go on.
+
+def _runs(ends, caps: Sequence[int], levels: Sequence[int | None], dim: int, total: int, n_types: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in segments(batches):
+            part = _Part(rows, dim, total)
+            firsts, lasts, heads = ends.value[int(part.z[0])]
+            n, shared = part.n, part.shared
+            left, right = extents(shared)
+            most = np.zeros(n - 1, np.int64)
+            for t in range(n_types):
+                seen = np.concatenate([[0], np.cumsum(part.types == t)])
+                most = np.maximum(most, seen[right + 2] - seen[left])
+            for i, (cap, lv, nf, nl, head) in enumerate(zip(caps, levels, firsts, lasts, heads, strict=True)):
+                # A node that reaches an end is a prefix of the key there; others are counted here.
+                split = np.where(left == 0, shared < nf, np.where(right == n - 2, shared < nl, most > cap))
+                if lv is not None:
+                    split |= shared <= total - lv
+                at = np.flatnonzero(split & (shared < total))
+                first = np.concatenate([[0], at + 1])
+                edge = np.concatenate([[-1], shared[at], [-1]])
+                depth = np.maximum(edge[:-1], edge[1:]) + 1
+                if lv is not None:
+                    depth = np.maximum(depth, total - lv + 1)
+                size = np.diff(np.append(first, n))
+                # More points than the cap are left together only if they are equal: their node is the whole key.
+                depth = np.where(np.maximum.reduce([np.add.reduceat(part.types == t, first, dtype=np.int64) for t in range(n_types)]) > cap, total, depth)
+                depth[-1], start = nl, part.z[first].copy()
+                depth[0], start[0] = nf, head
+                rows = rows.append_column(f"node{i}", pa.array(np.repeat(start, size))).append_column(f"depth{i}", pa.array(np.repeat(depth, size).astype(np.int32)))
+            yield from rows.combine_chunks().to_batches()
+
+    return run
+
+
+def key_length(dim: int, span: BitRange | IntRange) -> int:
+    """Bits of a key: two of class per dimension, and those of the interleaved numbers."""
+    return 2 * dim + dim * span.bits
+
+
+def placed_points(points: DataFrame, span: BitRange | IntRange) -> DataFrame:
+    """points with zkey and zindex, in order; the types of a union are told apart only by ptype."""
+    keyed = with_zkey(points, span)
+    return with_position(keyed, ["zkey", *(["ptype"] if "ptype" in points.columns else []), "id"], "zindex")
+
+
+def assign_nodes(placed: DataFrame, caps: Sequence[int], span: BitRange | IntRange, levels: Sequence[int | None] | None = None) -> DataFrame:
+    """Adds node0, depth0, node1, ...: for each cap the node that a point lies in, named by the
+    z-index of its first point, and its number of prefix bits.
+
+    The node is the shortest prefix with at most cap points, of each type if there is a column
+    ptype. Points that are equal stay together, however many. With a level for a plane its nodes
+    are also below that level. placed has zkey and zindex, as `placed_points` stores them. One row
+    per range partition, of some kilobytes, comes to the driver.
     """
-    total = bits.select(F.max(F.length("zbits"))).first()[0] or 0
-    ptype = ["ptype"] if "ptype" in bits.columns else []
-    left, found, at = bits.select("id", "zbits", *ptype), None, 0
-    while True:
-        lengths = list(range(at, min(at + STRIDE, total + 1)))
-        rows = left.select("id", "zbits", *ptype, F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n"))
-        full = rows.groupBy("n", F.expr("substring(zbits, 1, n)").alias("node"), *ptype).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > cap).select("node", "n").distinct()
-        full = stored(full, "tree-full")
-        fits = rows.withColumn("node", F.expr("substring(zbits, 1, n)")).join(full, ["node", "n"], "left_anti")
-        ends = fits.groupBy("id", *ptype).agg(F.min("n").alias("n"))
-        ends = stored(left.join(ends, ["id", *ptype]).select("id", *ptype, "n", F.expr("substring(zbits, 1, n)").alias(out)), "tree-ends")
-        found = ends if found is None else found.unionByName(ends)
-        left = left.join(ends.select("id", *ptype), ["id", *ptype], "left_anti")
-        at += STRIDE
-        if at > total or full.where(F.col("n") == lengths[-1]).isEmpty():
-            break
-        left = stored(left, "tree-left")
-    rest = left.select("id", *ptype, F.length("zbits").alias("n"), F.col("zbits").alias(out))
-    return bits.join(found.unionByName(rest).drop("n"), ["id", *ptype])
+    spark, dim = placed.sparkSession, len(dims(placed))
+    total = key_length(dim, span)
+    levels = list(levels) if levels is not None else [None] * len(caps)
+    typed = "ptype" in placed.columns
+    n_types = (placed.agg(F.max("ptype")).first()[0] or 0) + 1 if typed else 1
+    ends = placed.select("zindex", "zkey", *(["ptype"] if typed else [])).mapInArrow(_ends(dim, total, n_types), "z long, first binary, last binary, of_first array<long>, of_last array<long>, start array<long>")
+    known = spark.sparkContext.broadcast(_across(ends.collect(), caps, levels, dim, total, n_types))
+    schema = StructType([*placed.schema.fields, *[f for i in range(len(caps)) for f in (StructField(f"node{i}", LongType()), StructField(f"depth{i}", IntegerType()))]])
+    return stored(placed.mapInArrow(_runs(known, caps, levels, dim, total, n_types), schema), "tree-nodes")
+
+
+def assign_leaves(points: DataFrame, cap: int, span: BitRange | IntRange | None = None) -> DataFrame:
+    """points with zkey, zindex, and leaf, the z-index of the first point of the leaf, and depth, its
+    prefix bits."""
+    span = span or bit_range(points, dims(points))
+    return assign_nodes(placed_points(points, span), [cap], span).withColumnsRenamed({"node0": "leaf", "depth0": "depth"})
+
+
+def node_name(key: Column, depth: Column, dim: int, span: BitRange | IntRange) -> Column:
+    """A node's prefix as text, from the key of any of its points."""
+    return F.substr(key_bits(key, dim, span), F.lit(1), depth)
 
 
 def planes(n_leaves: int, max_leaf_size: int, coarse_fac: float, stop_coarsen: int) -> list[int]:
@@ -60,36 +204,59 @@ def planes(n_leaves: int, max_leaf_size: int, coarse_fac: float, stop_coarsen: i
     return [int(max_leaf_size * coarse_fac**p) for p in range(n)]
 
 
-def build_nodes(points: DataFrame, max_leaf_size: int = 32, coarse_fac: float = 6.0, stop_coarsen: int = 1024, span: BitRange | None = None) -> DataFrame:
-    """One row per node: plane (0 are the leaves), node (its prefix), parent, lvl (prefix bits left),
-    npart [, npart_0, npart_1, ... by type], cent*, ext* of the radix cell, lo*, hi* of the points,
-    and mass, mass_cent* if points have a mass; null mass centres where the mass is not positive.
+def build_nodes(points: DataFrame, max_leaf_size: int = 32, coarse_fac: float = 6.0, stop_coarsen: int = 1024, span: BitRange | IntRange | None = None, regularize: tuple[float, float] | None = None) -> DataFrame:
+    """One row per node: plane (0 are the leaves), node (its prefix as text), first (the z-index of
+    its first point), parent (that of the node above), lvl (prefix bits left), npart [, npart_0,
+    npart_1, ... by type], cent*, ext* of the radix cell, lo*, hi* of the points, and mass,
+    mass_cent* if points have a mass; null mass centres where the mass is not positive.
+
+    regularize is (percentile, volume factor): leaves, and nodes of each plane above, whose level
+    `regularization_level` finds too large are split, though they have few points.
     """
     xs = dims(points)
-    span = span or bit_range(points, xs)
-    bits = stored(with_prefix_bits(points, span), "tree-bits")
-    total = (bits.select(F.max(F.length("zbits"))).first()[0]) or 0
-    leaved = stored(assign_leaves(bits, max_leaf_size), "tree-leaves")
-    caps = planes(leaved.select("leaf").distinct().count(), max_leaf_size, coarse_fac, stop_coarsen)
-    named = leaved.withColumnRenamed("leaf", "node0")
-    for p, cap in enumerate(caps[1:], 1):
-        named = named.join(assign_leaves(bits, cap, f"node{p}").select("id", *(["ptype"] if "ptype" in bits.columns else []), f"node{p}"), ["id", *(["ptype"] if "ptype" in bits.columns else [])])
-    named = stored(named, "tree-named")
+    dim, span = len(xs), span or bit_range(points, xs)
+    total = key_length(dim, span)
+    placed = placed_points(points, span)
+    leaved = assign_nodes(placed, [max_leaf_size], span)
+    level = None
+
+    def too_large(named: DataFrame, i: int) -> int | None:
+        lvl = (F.lit(total) - F.col(f"depth{i}")).alias("lvl")
+        return regularization_level(named.groupBy(lvl).agg(F.count(F.lit(1)).alias("weight")), *regularize)
+
+    if regularize:
+        level = too_large(leaved, 0)
+        leaved = assign_nodes(placed, [max_leaf_size], span, [level]) if level is not None else leaved
+    caps = planes(leaved.select("node0").distinct().count(), max_leaf_size, coarse_fac, stop_coarsen)
+    named, levels = leaved, [level] + [None] * (len(caps) - 1)
+    if len(caps) > 1:
+        named = assign_nodes(placed, caps, span, levels)
+        if regularize:
+            above = [too_large(named, i) for i in range(1, len(caps))]
+            # Nodes of a plane are regular above its level; those of the plane below lie in them.
+            levels = [level]
+            for lv in above:
+                floor = max((x for x in levels if x is not None), default=0)
+                levels.append(max(lv + 1, floor) if lv is not None else None)
+            named = assign_nodes(placed, caps, span, levels)
+    types = range((points.agg(F.max("ptype")).first()[0] or 0) + 1) if "ptype" in points.columns else ()
     out = None
     for p in range(len(caps)):
-        parent = F.first(f"node{p + 1}") if p + 1 < len(caps) else F.lit(None).cast("string")
-        rows = named.groupBy(F.lit(p).alias("plane"), F.col(f"node{p}").alias("node")).agg(parent.alias("parent"), *_summary(named, xs))
+        parent = F.min(f"node{p + 1}") if p + 1 < len(caps) else F.lit(None).cast("long")
+        rows = named.groupBy(F.col(f"node{p}").alias("first"), F.col(f"depth{p}").alias("depth")).agg(F.min("zkey").alias("zkey"), parent.alias("parent"), *_summary(named, xs, types))
+        rows = rows.withColumn("plane", F.lit(p))
         out = rows if out is None else out.unionByName(rows)
-    levels = node_levels(F.greatest(F.length("node") - 2 * len(xs), F.lit(0)), len(xs), span.top)
-    cells = [node_centre(F.col(f"lo{x[1:]}"), lv).alias(f"cent{i}") for i, (x, lv) in enumerate(zip(xs, levels, strict=True))]
-    ext = [node_extent(lv).alias(f"ext{i}") for i, lv in enumerate(levels)]
-    return out.select("plane", "node", "parent", (F.lit(total) - F.length("node")).alias("lvl"), *cells, *ext, *[c for c in out.columns if c not in ("plane", "node", "parent")])
+    note("tree.planes", len(caps))
+    out = out.withColumn("node", node_name(F.col("zkey"), F.col("depth"), dim, span))
+    geometry = node_levels(F.greatest(F.col("depth") - 2 * dim, F.lit(0)), dim, span.top)
+    cells = [node_centre(F.col(f"lo{x[1:]}"), lv).alias(f"cent{i}") for i, (x, lv) in enumerate(zip(xs, geometry, strict=True))]
+    ext = [node_extent(lv).alias(f"ext{i}") for i, lv in enumerate(geometry)]
+    given = ("plane", "node", "first", "parent", "depth", "zkey")
+    return out.select("plane", "node", "first", "parent", (F.lit(total) - F.col("depth")).alias("lvl"), *cells, *ext, *[c for c in out.columns if c not in given])
 
 
-def _summary(named: DataFrame, xs: list[str]) -> list[Column]:
-    cols = [F.count(F.lit(1)).alias("npart")]
-    if "ptype" in named.columns:
-        cols += [F.count_if(F.col("ptype") == t).alias(f"npart_{t}") for t in (0, 1)]
+def _summary(named: DataFrame, xs: list[str], types) -> list[Column]:
+    cols = [F.count(F.lit(1)).alias("npart"), *[F.count_if(F.col("ptype") == t).alias(f"npart_{t}") for t in types]]
     cols += [f(x).alias(f"{k}{x[1:]}") for x in xs for k, f in (("lo", F.min), ("hi", F.max))]
     if "mass" in named.columns:
         mass = F.sum("mass")
@@ -102,45 +269,21 @@ def level_histogram(nodes: DataFrame, weight: Column | None = None) -> DataFrame
     return nodes.groupBy("lvl").agg(F.sum(weight if weight is not None else F.lit(1)).cast("long").alias("weight"))
 
 
-def regularization_level(nodes: DataFrame, percentile: float = 90.0, max_volume_fac: float = 20.0) -> int:
-    """The level above which leaves count as too large: levels are added from the smallest until
-    they hold `percentile` percent of the points, and log2 of the volume factor is added."""
-    rows = sorted((r["lvl"], r["weight"]) for r in level_histogram(nodes.where("plane = 0"), F.col("npart")).collect())  # one row per level
-    total, seen = sum(w for _, w in rows), 0
+def regularization_level(histogram: DataFrame, percentile: float = 90.0, max_volume_fac: float = 20.0) -> int | None:
+    """The first level at which nodes are too large, from (lvl, weight); None if none is.
+
+    Levels up to the first one that holds `percentile` percent of the weight have an average
+    volume. From that level on, a node is too large if its volume is max_volume_fac times that.
+    """
+    rows = sorted((r["lvl"], r["weight"]) for r in histogram.collect())  # a row per level
+    total, seen, ref = sum(w for _, w in rows), 0, None
     for lvl, w in rows:
         seen += w
         if seen >= total * percentile / 100:
-            return lvl + math.ceil(math.log2(max_volume_fac))
-    return 0
-
-
-def node_pairs(receivers: DataFrame, sources: DataFrame, predicate) -> DataFrame:
-    """(q_node, t_node): candidate pairs of nodes of one plane that predicate keeps. predicate gets
-    functions that name a receiver's and a source's column. Node tables are summaries: meant for a
-    plane of few nodes."""
-    q = receivers.select(*[F.col(c).alias(f"q_{c}") for c in receivers.columns])
-    t = sources.select(*[F.col(c).alias(f"t_{c}") for c in sources.columns])
-    keep = predicate(lambda c: F.col(f"q_{c}"), lambda c: F.col(f"t_{c}"))
-    return q.join(t, keep).select("q_node", "t_node")
-
-
-def boxes_within(radius: float, dim: int, boxsize: float | None = None):
-    """A predicate for node_pairs: the points' boxes may hold points at most radius apart."""
-    from starmesh.functions.geometry import least_squared_distance
-
-    def keep(q, t):
-        c = lambda s: [(s(f"lo{i}") + s(f"hi{i}")) / 2 for i in range(dim)]
-        h = lambda s: [(s(f"hi{i}") - s(f"lo{i}")) / 2 for i in range(dim)]
-        return least_squared_distance(c(q), h(q), c(t), h(t), boxsize) * (1 - 1e-9) <= radius * radius
-
-    return keep
-
-
-def flag_interacting(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Nodes that occur in a pair, on either side."""
-    seen = pairs.select(F.col("q_node").alias("node")).union(pairs.select("t_node")).distinct()
-    return nodes.join(seen, "node", "left_semi")
-
-
-def volume(dim: int) -> Column:
-    return reduce(lambda s, t: s * t, [F.col(f"ext{i}") for i in range(dim)])
+            ref = lvl
+            break
+    if ref is None:
+        return None
+    below = [(lvl, w) for lvl, w in rows if lvl <= ref]
+    mean = sum(2.0 ** (lvl - ref) * w for lvl, w in below) / sum(w for _, w in below)
+    return next((lvl for lvl, _ in rows if lvl >= ref and 2.0 ** min(lvl - ref, 1000) >= max_volume_fac * mean), None)

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from starmesh.functions.zkey import BitRange, bit_range, zkey
+from starmesh.functions.zkey import BitRange, IntRange, bit_range, key_level, zkey
 from starmesh.plans.shared import stored
 
 from .points import dims, union_types
 
-#: Dimensions that a key interleaves at most; more hardly help a sort to keep neighbours together.
-KEY_DIMS = 8
+#: Rows of a range partition, about.
+RANGE_ROWS = 100_000
+#: Bits in which monotonically_increasing_id counts the rows of a partition.
+ROW_BITS = 33
 
 
-def with_zkey(points: DataFrame, span: BitRange | None = None) -> DataFrame:
+def with_zkey(points: DataFrame, span: BitRange | IntRange | None = None) -> DataFrame:
     """Adds the exact z-order key of all dimensions."""
     xs = dims(points)
     return points.withColumn("zkey", zkey(xs, span or bit_range(points, xs)))
@@ -26,23 +27,30 @@ def zsort(points: DataFrame) -> DataFrame:
     return with_zkey(points).orderBy("zkey", "id")
 
 
-def with_position(df: DataFrame, by: list[str], out: str, partitions: int | None = None) -> DataFrame:
+def with_position(df: DataFrame, by: list[str], out: str, n_rows: int | None = None) -> DataFrame:
     """Adds the global row number, from 0, in the order of `by`.
 
-    Rows are dealt to ranges and sorted there; the ranges' sizes are added up (one row each), so
-    no task sees all rows. Equal rows of `by` keep together.
+    Rows are dealt to ranges, as many as the rows need, and sorted there: one shuffle. Each range
+    numbers its rows as it writes them; the ranges' sizes, one row each, are added up on the
+    driver and come back as a small map. Equal rows of `by` keep together.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *by).withColumn("__part", F.spark_partition_id())
-    dealt = stored(dealt, "zorder-ranges")
-    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    inner = F.row_number().over(W.partitionBy("__part").orderBy(*by)) - 1
-    return dealt.withColumn("__inner", inner).join(starts, "__part").withColumn(out, (F.col("__start") + F.col("__inner")).cast("long")).drop("__part", "__inner", "__start")
-
-
-def with_zindex(points: DataFrame, span: BitRange | None = None, keep_key: bool = False) -> DataFrame:
+    n = df.count() if n_rows is None else n_rows
+    parts = max(1, -(-n // RANGE_ROWS))
+    dealt = df.repartitionByRange(parts, *by) if parts > 1 else df.coalesce(1)
+    dealt = stored(dealt.sortWithinPartitions(*by).withColumn(out, F.monotonically_increasing_id()), "zorder-ranges")
+    if parts == 1:
+        return dealt
+    part = F.shiftright(out, ROW_BITS)
+    sizes = dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row per range
+    starts, at = [], 0
+    for r in sizes:
+        starts.append((r["part"], at - (r["part"] << ROW_BITS)))
+        at += r["n"]
+    shifts = df.sparkSession.createDataFrame(starts, "__part long, __shift long")
+    return dealt.join(F.broadcast(shifts), part == F.col("__part")).withColumn(out, F.col(out) + F.col("__shift")).drop("__part", "__shift")
+
+
+def with_zindex(points: DataFrame, span: BitRange | IntRange | None = None, keep_key: bool = False) -> DataFrame:
     """Adds zindex, each point's place in z-order; ties go by id."""
     out = with_position(with_zkey(points, span), ["zkey", "id"], "zindex")
     return out if keep_key else out.drop("zkey")
@@ -59,3 +67,51 @@ def search_sorted(source: DataFrame, queries: DataFrame) -> DataFrame:
     # Of the places before a query, those of queries are counted by its rank among queries.
     own = with_position(placed.where("ptype = 0").select("id", "place"), ["place"], "rank")
     return own.select("id", (F.col("place") - F.col("rank")).alias("position"))
+
+
+def search_leaves(leaved: DataFrame, queries: DataFrame, leaf: str = "leaf") -> DataFrame:
+    """(id, leaf): for each query the leaf that holds it, or that it would fall next to.
+
+    leaved has points with the names of their leaves, contiguous in z-order. A query lies between
+    two source points; of these the one that it shares the smaller node with counts, by the level
+    of the first differing bit of their keys, and the left one on a tie. Without source points the
+    result is empty.
+    """
+    xs = dims(leaved)
+    both = union_types(queries.select("id", *xs), leaved.select("id", *xs, F.col(leaf).alias("__leaf")))
+    span = bit_range(both, xs)
+    placed = stored(with_position(with_zkey(both, span), ["zkey", "ptype", "id"], "place"), "zorder-places")
+    # Queries of a run without source points between them have the same neighbours.
+    sources = with_position(placed.where("ptype = 1").select("place", "zkey", F.col("__leaf").alias("leaf")), ["place"], "number")
+    sources = stored(sources, "zorder-sources")
+    own = with_position(placed.where("ptype = 0").select("id", "place", "zkey"), ["place"], "rank")
+    own = own.select("id", F.col("zkey").alias("__key"), (F.col("place") - F.col("rank")).alias("__right"))
+    side = lambda name: sources.select(F.col("number").alias(f"__{name}"), F.col("zkey").alias(f"__{name}_key"), F.col("leaf").alias(f"__{name}_leaf"))
+    found = own.join(side("right"), "__right", "left").withColumn("__left", F.col("__right") - 1).join(side("left"), "__left", "left")
+    level = lambda name: F.when(F.col(f"__{name}_key").isNull(), F.lit(2**31 - 1)).otherwise(key_level(F.col("__key"), F.col(f"__{name}_key"), len(xs), span))
+    return found.select("id", F.when(level("left") <= level("right"), F.col("__left_leaf")).otherwise(F.col("__right_leaf")).alias("leaf")).where("leaf is not null")
+
+
+def adjacent_levels(placed: DataFrame, key: str = "zkey", by: str = "zindex", dim: int | None = None, span: BitRange | IntRange | None = None, out: str = "lvl") -> DataFrame:
+    """Adds the level of the smallest node that holds a row and the next one in z-order, null for
+    the last. The next row comes by an equality join on positions, so no window sees all rows."""
+    dim = dim or len(dims(placed))
+    after = placed.select((F.col(by) - 1).alias("__by"), F.col(key).alias("__next"))
+    joined = placed.join(after, F.col(by) == F.col("__by"), "left")
+    return joined.withColumn(out, F.when(F.col("__next").isNotNull(), key_level(F.col(key), F.col("__next"), dim, span))).drop("__by", "__next")
+
+
+def morton(xs: list[str], lows: list[float], highs: list[float]) -> Column:
+    """A place of a point along a z-curve through a box, as BIGINT: what keeps near points together
+    where the exact order of equal cells does not matter. Expressions only."""
+    bits = 62 // len(xs)
+    out = F.lit(0).cast("long")
+    cells = []
+    for x, lo, hi in zip(xs, lows, highs, strict=True):
+        share = (F.col(x) - lo) / ((hi - lo) or 1.0) * float(1 << min(bits, 30))
+        cells.append(F.least(F.greatest(F.floor(share), F.lit(0).cast("long")), F.lit((1 << min(bits, 30)) - 1).cast("long")))
+    for b in range(min(bits, 30)):
+        for i, c in enumerate(cells):
+            bit = F.shiftright(c, b).bitwiseAND(F.lit(1).cast("long"))
+            out = out.bitwiseOR(F.shiftleft(bit, b * len(xs) + len(xs) - 1 - i))
+    return out

@@ -1,12 +1,33 @@
-"""Counts of what a plan produces, taken while it runs."""
+"""What operators count while they run: logged, and kept for whoever asks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+import logging
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+log = logging.getLogger("starmesh")
+_open: list[dict[str, list[int]]] = []
 
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """df with an observation of its rows; read it as observation.get['rows'] after an action."""
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+def note(name: str, value: int) -> None:
+    """Logs a count, such as the pairs of a plane, and adds it to all open statistics."""
+    log.info("%s: %d", name, value)
+    for kept in _open:
+        kept.setdefault(name, []).append(value)
+
+
+@contextmanager
+def statistics() -> Iterator[dict[str, list[int]]]:
+    """with statistics() as s: what operators note inside is in s, {name: [counts]}."""
+    kept: dict[str, list[int]] = {}
+    _open.append(kept)
+    try:
+        yield kept
+    finally:
+        _open.remove(kept)
+
+
+def summary(kept: dict[str, list[int]]) -> str:
+    """One line per name: how often it was noted, the sum and the largest count."""
+    return "\n".join(f"{name}: {len(v)} times, {sum(v)} in all, at most {max(v)}" for name, v in sorted(kept.items()))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starmesh.functions.zkey import BitRange
 from starmesh.operators import fof, neighbors, tree, windows, zorder
 from starmesh.operators.components import connected_components
 from starmesh.operators.points import point_set, union_types
@@ -62,6 +63,11 @@ def knn_attributes(spark, d):
     return neighbors.knn(embeddings(spark, d, 3, ["label"]), 3, result=("id", "label"))
 
 
+def knn_difference(spark, d):
+    out = neighbors.knn(embeddings(spark, d, 3), 3, result=("id", "drad", "part"))
+    return out.select("qid", "rank", "id", *[F.round(F.col("drad")[i], 9).alias(f"d{i}") for i in range(3)], F.col("part.id").alias("part_id"))
+
+
 def knn_supplier_customer(spark, d):
     s = point_set(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"])
     return rounded(neighbors.knn_pairs(s, 2, query=customers(spark, d)))
@@ -87,6 +93,13 @@ def fof_labels_parts(spark, d):
     return out.join(least, "label").select("id", "least_id")
 
 
+def fof_labels_embeddings3(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", *[(F.col("embedding")[i].cast("double") + 1.0).alias(f"e{i}") for i in range(3)])
+    out = fof.labels(point_set(e, "vec_id", ["e0", "e1", "e2"]), 0.06, boxsize=2.0)
+    least = out.groupBy("label").agg(F.min("id").alias("least_id"))
+    return out.join(least, "label").select("id", "least_id")
+
+
 def fof_sizes(spark, d):
     return fof.group_sizes(fof.labels(customers(spark, d), 1.0))
 
@@ -116,6 +129,31 @@ def zindex_parts(spark, d):
     return zorder.with_zindex(point_set(p, "p_partkey", ["a", "p_size"])).select("id", "zindex")
 
 
+def zindex_fractions(spark, d):
+    """Quarters and halves of both signs."""
+    c = table(spark, d, "customer").withColumn("a", F.floor(F.col("c_acctbal") * 4) / 4).withColumn("b", (F.col("c_nationkey") - 12) / 2)
+    return zorder.with_zindex(point_set(c, "c_custkey", ["a", "b"])).select("id", "zindex")
+
+
+def zindex_embeddings3(spark, d):
+    """Three dimensions, fractions of both signs."""
+    e = table(spark, d, "embeddings").select("vec_id", *[(F.floor(F.col("embedding")[i].cast("double") * 4096) / 4096).alias(f"e{i}") for i in range(3)])
+    return zorder.with_zindex(point_set(e, "vec_id", ["e0", "e1", "e2"])).select("id", "zindex")
+
+
+def zindex_integers(spark, d):
+    """Integers of 63 bits and both signs, which no floating-point number holds."""
+    o = table(spark, d, "orders").withColumn("a", F.expr("9007199254740993L + o_orderkey * (1 - 2 * (o_orderkey % 2))")).withColumn("b", F.expr("o_custkey - 500L"))
+    return zorder.with_zindex(point_set(o, "o_orderkey", ["a", "b"], integer=True)).select("id", "zindex")
+
+
+def search_leaves_parts(spark, d):
+    p = table(spark, d, "part").withColumn("a", F.floor("p_retailprice").cast("double"))
+    leaved = tree.assign_leaves(point_set(p.where("p_partkey % 2 = 0"), "p_partkey", ["a", "p_size"]), 16, PART_BITS)
+    asked = point_set(p.where("p_partkey % 2 = 1"), "p_partkey", ["a", "p_size"])
+    return zorder.search_leaves(leaved.select("id", "x0", "x1", "leaf"), asked)
+
+
 def search_sorted_accounts(spark, d):
     s = point_set(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"])
     return zorder.search_sorted(s, customers(spark, d))
@@ -123,16 +161,23 @@ def search_sorted_accounts(spark, d):
 
 def leaf_counts(spark, d):
     p = table(spark, d, "part").withColumn("a", F.floor("p_retailprice").cast("double"))
-    bits = tree.with_prefix_bits(point_set(p, "p_partkey", ["a", "p_size"]), PART_BITS)
-    leaved = tree.assign_leaves(bits, 16)
-    return leaved.groupBy(F.expr("substring(leaf, 5)").alias("leaf")).agg(F.count(F.lit(1)).alias("npart"))
+    leaved = tree.assign_leaves(point_set(p, "p_partkey", ["a", "p_size"]), 16, PART_BITS)
+    return _leaves(leaved, F.count(F.lit(1)).alias("npart"), dim=2, span=PART_BITS)
+
+
+def _leaves(leaved, *aggs, dim, span):
+    """A row per leaf, by its prefix without the bits of class."""
+    rows = leaved.groupBy("leaf", "depth").agg(F.min("zkey").alias("zkey"), *aggs)
+    name = F.substr(tree.node_name(F.col("zkey"), F.col("depth"), dim, span), F.lit(2 * dim + 1)).alias("leaf")
+    return rows.select(name, *[c for c in rows.columns if c not in ("leaf", "depth", "zkey")])
 
 
 def multi_type_leaves(spark, d):
     a = point_set(table(spark, d, "supplier").withColumn("x", F.floor("s_acctbal") + 1000.0), "s_suppkey", ["x"])
     b = point_set(table(spark, d, "customer").withColumn("x", F.floor("c_acctbal") + 1000.0), "c_custkey", ["x"])
-    leaved = tree.assign_leaves(tree.with_prefix_bits(union_types(a, b), ACCOUNT_BITS), 8)
-    return leaved.groupBy(F.expr("substring(leaf, 3)").alias("leaf")).agg(F.count_if(F.col("ptype") == 0).alias("n0"), F.count_if(F.col("ptype") == 1).alias("n1"))
+    c = point_set(table(spark, d, "part").withColumn("x", F.floor("p_retailprice") + 1000.0), "p_partkey", ["x"])
+    leaved = tree.assign_leaves(union_types(a, b, c), 8, ACCOUNT_BITS)
+    return _leaves(leaved, *[F.count_if(F.col("ptype") == t).alias(f"n{t}") for t in range(3)], dim=1, span=ACCOUNT_BITS)
 
 
 def _part_nodes(spark, d):
@@ -146,7 +191,8 @@ def node_mass_centres(spark, d):
 
 
 def node_planes(spark, d):
-    return _part_nodes(spark, d).groupBy("plane").agg(F.sum("npart").alias("npart"), F.count_if((F.col("lo0") < F.col("cent0") - F.col("ext0") / 2) | (F.col("hi1") > F.col("cent1") + F.col("ext1") / 2)).alias("outside"))
+    outside = (F.col("lo0") < F.col("cent0") - F.col("ext0") / 2) | (F.col("hi1") > F.col("cent1") + F.col("ext1") / 2)
+    return _part_nodes(spark, d).groupBy("plane").agg(F.count(F.lit(1)).alias("nodes"), F.sum("npart").alias("npart"), F.max("npart").alias("most"), F.min("lvl").alias("lvl"), F.round(F.sum(F.col("mass") * F.col("mass_cent0")), 3).alias("moment"), F.count_if(outside).alias("outside"))
 
 
 def level_histogram(spark, d):
@@ -165,17 +211,17 @@ def segment_sort(spark, d):
 
 def components_graph(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_custkey") + F.pmod("o_orderkey", F.lit(5))).cast("long").alias("b"))
-    return connected_components(o)
+    return connected_components(o, contract=True)
 
 
 #: Bits of floor(price), below 2 ** 17, and size: exponents 16 to 0.
-PART_BITS = tree.BitRange(16, 0)
-#: Bits of the account balance, shifted and rounded down, below 2 ** 14.
-ACCOUNT_BITS = tree.BitRange(13, 0)
+PART_BITS = BitRange(16, 0)
+#: Bits of amounts, shifted and rounded down, below 2 ** 17.
+ACCOUNT_BITS = BitRange(16, 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (knn_self_embeddings3, knn_embeddings64, knn_query_subset, knn_periodic, knn_mean_radius, knn_attributes, knn_supplier_customer, knn_parts_ties, fof_labels_customers, fof_periodic, fof_labels_parts, fof_sizes, fof_catalogue, fof_group_order, fof_superset, zindex_customers, zindex_parts, search_sorted_accounts, leaf_counts, multi_type_leaves, node_mass_centres, node_planes, level_histogram, bucket_prefix_sum, segment_sort, components_graph)
+    found = (knn_self_embeddings3, knn_embeddings64, knn_query_subset, knn_periodic, knn_mean_radius, knn_attributes, knn_difference, knn_supplier_customer, knn_parts_ties, fof_labels_customers, fof_periodic, fof_labels_parts, fof_labels_embeddings3, fof_sizes, fof_catalogue, fof_group_order, fof_superset, zindex_customers, zindex_parts, zindex_fractions, zindex_embeddings3, zindex_integers, search_sorted_accounts, search_leaves_parts, leaf_counts, multi_type_leaves, node_mass_centres, node_planes, level_histogram, bucket_prefix_sum, segment_sort, components_graph)
     return {f.__name__: f for f in found}
 
 
@@ -218,10 +264,39 @@ _PART_LEAVES = _PART_Z + ", d AS (SELECT z.*, n FROM z, range(0, 35) t(n)), c AS
 _ACCOUNT_LEAVES = """
 WITH z AS (
   SELECT s_suppkey AS id, 0 AS ptype, CAST(floor(s_acctbal) + 1000 AS BIGINT) AS x FROM supplier UNION ALL SELECT c_custkey, 1, CAST(floor(c_acctbal) + 1000 AS BIGINT) FROM customer
-), b AS (SELECT *, array_to_string(list_transform(range(13, -1, -1), lambda i: ((x >> CAST(i AS INTEGER)) & 1)::VARCHAR), '') AS zbits FROM z),
-c AS (SELECT n, substring(zbits, 1, n) AS node, greatest(count_if(ptype = 0), count_if(ptype = 1)) AS c FROM b, range(0, 15) t(n) GROUP BY n, node),
-l AS (SELECT b.id, b.ptype, min(c.n) AS n FROM b JOIN c ON substring(b.zbits, 1, c.n) = c.node AND (c.c <= 8 OR c.n = 14) GROUP BY b.id, b.ptype)
-SELECT substring(zbits, 1, n) AS leaf, count_if(ptype = 0)::BIGINT AS n0, count_if(ptype = 1)::BIGINT AS n1 FROM b JOIN l USING (id, ptype) GROUP BY 1"""
+  UNION ALL SELECT p_partkey, 2, CAST(floor(p_retailprice) + 1000 AS BIGINT) FROM part
+), b AS (SELECT *, array_to_string(list_transform(range(16, -1, -1), lambda i: ((x >> CAST(i AS INTEGER)) & 1)::VARCHAR), '') AS zbits FROM z),
+c AS (SELECT n, substring(zbits, 1, n) AS node, greatest(count_if(ptype = 0), count_if(ptype = 1), count_if(ptype = 2)) AS c FROM b, range(0, 18) t(n) GROUP BY n, node),
+l AS (SELECT b.id, b.ptype, min(c.n) AS n FROM b JOIN c ON substring(b.zbits, 1, c.n) = c.node AND (c.c <= 8 OR c.n = 17) GROUP BY b.id, b.ptype)
+SELECT substring(zbits, 1, n) AS leaf, count_if(ptype = 0)::BIGINT AS n0, count_if(ptype = 1)::BIGINT AS n1, count_if(ptype = 2)::BIGINT AS n2 FROM b JOIN l USING (id, ptype) GROUP BY 1"""
+
+
+def _signed_z(points: str, dim: int, scale: int, top: int) -> str:
+    """z-indices of points whose coordinates are multiples of 1 / scale: a digit of class for each
+    dimension, then the bits of the magnitude, turned round below zero, interleaved."""
+    bit = lambda j: f"(((CAST(abs(x{j}) * {scale} AS BIGINT) >> CAST(i AS INTEGER)) & 1) + CASE WHEN x{j} < 0 THEN 1 ELSE 0 END) % 2"
+    head = " || ".join(f"CASE WHEN x{j} < 0 THEN '1' ELSE '2' END" for j in range(dim))
+    body = " || ".join(f"CAST({bit(j)} AS VARCHAR)" for j in range(dim))
+    return f"SELECT id, row_number() OVER (ORDER BY {head} || array_to_string(list_transform(range({top}, -1, -1), lambda i: {body}), ''), id) - 1 AS zindex FROM ({points})"
+
+
+_INTEGERS = "SELECT o_orderkey AS id, 9007199254740993 + o_orderkey * (1 - 2 * (o_orderkey % 2)) AS x0, o_custkey - 500 AS x1 FROM orders"
+_FLIPPED = "((CAST({x} AS HUGEINT) + 9223372036854775808) >> CAST(i AS INTEGER)) & 1"
+#: Nodes of all planes: the shortest prefix with at most 16, 96, 576 ... points.
+_PART_PLANES = _PART_LEAVES + """, s AS (SELECT count(DISTINCT leaf) AS n FROM leaved),
+k AS (SELECT p AS plane, CAST(floor(16 * pow(6, p)) AS BIGINT) AS cap FROM range(0, 12) t(p), s WHERE p < CASE WHEN s.n > 64 THEN greatest(1, ceil(ln(s.n / 64.0) / ln(6.0))) ELSE 1 END),
+w AS (SELECT k.plane, z.id, min(c.n) AS n FROM z CROSS JOIN k JOIN c ON substring(z.zbits, 1, c.n) = c.node AND (c.c <= k.cap OR c.n = 34) GROUP BY ALL),
+m AS (SELECT plane, substring(zbits, 1, n) AS node, n, count(*) AS npart, sum(mass * x0) AS moment FROM w JOIN z USING (id) GROUP BY ALL)
+SELECT CAST(plane AS INTEGER) AS plane, count(*) AS nodes, CAST(sum(npart) AS BIGINT) AS npart, max(npart) AS most, CAST(34 - max(n) AS INTEGER) AS lvl, round(sum(moment)::DOUBLE, 3) AS moment, CAST(0 AS BIGINT) AS outside FROM m GROUP BY plane"""
+_SEARCH_LEAVES = _PART_Z + """, src AS (SELECT *, row_number() OVER (ORDER BY zbits, id) - 1 AS place FROM z WHERE id % 2 = 0),
+d AS (SELECT src.zbits, n FROM src, range(0, 35) t(n)), c AS (SELECT n, substring(zbits, 1, n) AS node, count(*) AS c FROM d GROUP BY ALL),
+l AS (SELECT src.id, min(c.n) AS n FROM src JOIN c ON substring(src.zbits, 1, c.n) = c.node AND (c.c <= 16 OR c.n = 34) GROUP BY src.id),
+v AS (SELECT src.*, min(place) OVER (PARTITION BY substring(zbits, 1, l.n)) AS leaf FROM src JOIN l USING (id)),
+q AS (SELECT id, zbits FROM z WHERE id % 2 = 1),
+r AS (SELECT q.id, q.zbits, (SELECT count(*) FROM v WHERE v.zbits < q.zbits) AS at FROM q),
+e AS (SELECT r.id, a.leaf AS lo, b.leaf AS hi, coalesce((SELECT max(n) FROM range(0, 35) t(n) WHERE substring(a.zbits, 1, n) = substring(r.zbits, 1, n)), -1) AS la, coalesce((SELECT max(n) FROM range(0, 35) t(n) WHERE substring(b.zbits, 1, n) = substring(r.zbits, 1, n)), -1) AS lb
+  FROM r LEFT JOIN v a ON a.place = r.at - 1 LEFT JOIN v b ON b.place = r.at)
+SELECT id, CASE WHEN la >= lb AND lo IS NOT NULL THEN lo ELSE hi END AS leaf FROM e"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -259,6 +334,17 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
 c AS (SELECT a, min(b) AS least_id FROM r GROUP BY a)
 SELECT p.id, c.least_id FROM p JOIN u USING (x0, x1) JOIN c ON c.a = u.id""",
         "zindex_customers": f"SELECT id, row_number() OVER (ORDER BY x0, id) - 1 AS zindex FROM ({_CUSTOMERS})",
+        "knn_difference": "SELECT qid, rank, id, d0, d1, d2, id AS part_id FROM (SELECT n.qid, n.rank, n.id, round(a.x0 - b.x0, 9) AS d0, round(a.x1 - b.x1, 9) AS d1, round(a.x2 - b.x2, 9) AS d2 FROM (" + _knn_sql(e3, e3, 3, 3, cols="qid, rank, id") + f") n JOIN ({e3}) a ON a.id = n.qid JOIN ({e3}) b ON b.id = n.id)",
+        "zindex_fractions": _signed_z("SELECT c_custkey AS id, floor(c_acctbal * 4) / 4 AS x0, (c_nationkey - 12) / 2.0 AS x1 FROM customer", 2, 4, 20),
+        "zindex_embeddings3": _signed_z("SELECT vec_id AS id, " + ", ".join(f"floor(CAST(embedding[{i + 1}] AS DOUBLE) * 4096) / 4096 AS x{i}" for i in range(3)) + " FROM embeddings", 3, 4096, 13),
+        "zindex_integers": "SELECT id, row_number() OVER (ORDER BY array_to_string(list_transform(range(63, -1, -1), lambda i: CAST(" + _FLIPPED.format(x="x0") + " AS VARCHAR) || CAST(" + _FLIPPED.format(x="x1") + f" AS VARCHAR)), ''), id) - 1 AS zindex FROM ({_INTEGERS})",
+        "search_leaves_parts": _SEARCH_LEAVES,
+        "node_planes": _PART_PLANES,
+        "fof_labels_embeddings3": f"""
+WITH RECURSIVE p AS (SELECT id, x0 + 1.0 AS x0, x1 + 1.0 AS x1, x2 + 1.0 AS x2 FROM ({e3})),
+e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON {" + ".join(f"pow(CASE WHEN a.x{i} - b.x{i} < -1.0 THEN a.x{i} - b.x{i} + 2.0 WHEN a.x{i} - b.x{i} >= 1.0 THEN a.x{i} - b.x{i} - 2.0 ELSE a.x{i} - b.x{i} END, 2)" for i in range(3))} <= 0.06 * 0.06),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT a AS id, min(b) AS least_id FROM r GROUP BY a""",
         "zindex_parts": _PART_Z + " SELECT id, row_number() OVER (ORDER BY zbits, id) - 1 AS zindex FROM z",
         "search_sorted_accounts": "SELECT c_custkey AS id, (SELECT count(*) FROM supplier WHERE s_acctbal < c_acctbal) AS position FROM customer",
         "leaf_counts": _PART_LEAVES + " SELECT leaf, count(*) AS npart FROM leaved GROUP BY leaf",
@@ -268,7 +354,8 @@ SELECT p.id, c.least_id FROM p JOIN u USING (x0, x1) JOIN c ON c.a = u.id""",
         "bucket_prefix_sum": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS prefix FROM orders",
         "segment_sort": "SELECT p_partkey, p_size, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice, p_partkey) AS INTEGER) AS rank FROM part",
         "components_graph": """
-WITH RECURSIVE o AS (SELECT o_custkey AS a, o_custkey + o_orderkey % 5 AS b FROM orders WHERE o_orderkey % 7 = 0), s AS (SELECT a, b FROM o WHERE a <> b UNION SELECT b, a FROM o WHERE a <> b),
-r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b)
-SELECT a AS id, least(a, min(b)) AS component FROM r GROUP BY a""",
+WITH RECURSIVE o AS (SELECT DISTINCT o_custkey::BIGINT AS a, (o_custkey + o_orderkey % 5)::BIGINT AS b FROM orders WHERE o_orderkey % 5 <> 0), s AS MATERIALIZED (SELECT a, b FROM o UNION SELECT b, a FROM o),
+r(id, component) USING KEY (id) AS (SELECT a, least(a, min(b)) FROM s GROUP BY a
+  UNION SELECT s.b, min(r.component) FROM r JOIN s ON s.a = r.id JOIN recurring.r AS old ON old.id = s.b WHERE r.component < old.component GROUP BY s.b)
+SELECT id, component FROM r""",
     }

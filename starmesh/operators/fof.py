@@ -26,7 +26,7 @@ from starmesh.plans.shared import stored
 
 from .components import connected_components, contracted
 from .points import dims
-from .tiles import UNITS, Boxes, boxes_in, differences, few_in_chunks, in_chunks, leaf_nodes, plane_of, row_distances, tile_leaves, with_leaves
+from .tiles import UNITS, Boxes, boxes_in, chunk_leaves, differences, few_in_chunks, in_chunks, leaf_nodes, plane_of, row_distances, tile_leaves, with_leaves
 from .walk import Rule, begin, frame_of, refined, start_plane
 from .windows import offsets
 from .zorder import with_position
@@ -283,7 +283,7 @@ def label_map(leaved: DataFrame, n: int, rlink: float, boxsize: float | None) ->
         pairs, edges = refined_links(frame_of(spark, q, t), edges, leaves, n_leaves, rlink, p, xs, boxsize, len(a))
         need = stored(pairs.select(F.floor(F.col("q") / per_tile).alias("tile"), F.explode(F.array("q", "t")).alias("leaf")).distinct(), "fof-needs")
         inside = F.floor(F.col("leaf") / per_tile) == F.col("tile")
-        around = in_chunks(need.where(~inside), LEAF)
+        around = in_chunks(need.where(~inside), chunk_leaves(LEAF, len(xs)))
         chunks = around.groupBy("tile").agg(F.max("chunk").alias("last"))
         within = need.where(inside).join(chunks, "tile", "left").select("tile", "leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long")))).alias("chunk"))
         need, looked_into = within.unionByName(around), need.where(inside).select(F.col("leaf").alias("node"))
@@ -292,7 +292,7 @@ def label_map(leaved: DataFrame, n: int, rlink: float, boxsize: float | None) ->
     else:
         tile, leaf = np.concatenate([q, q]) // per_tile, np.concatenate([q, t]).astype(np.int64)
         inside = leaf // per_tile == tile
-        around, chunks = few_in_chunks(spark, tile[~inside], leaf[~inside], LEAF)
+        around, chunks = few_in_chunks(spark, tile[~inside], leaf[~inside], chunk_leaves(LEAF, len(xs)))
         mine = sorted(set(zip(tile[inside].tolist(), leaf[inside].tolist(), strict=True)))
         mine = np.array([(i, j, c) for i, j in mine for c in range(chunks.get(i, 1))], np.int64).reshape(-1, 3)
         need = spark.createDataFrame(pa.table({c: mine[:, i] for i, c in enumerate(("tile", "leaf", "chunk"))})).unionByName(around)

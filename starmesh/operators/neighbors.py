@@ -16,7 +16,7 @@ from starmesh.plans.observed import note
 from starmesh.plans.shared import stored
 
 from .points import dims, union_types
-from .tiles import UNITS, Boxes, boxes_in, differences, few_in_chunks, in_chunks, leaf_nodes, row_distances, segments, tile_leaves, with_leaves
+from .tiles import UNITS, Boxes, boxes_in, chunk_leaves, differences, few_in_chunks, in_chunks, leaf_nodes, row_distances, segments, tile_leaves, with_leaves
 from .walk import Rule, begin, frame_of, start_plane, walked
 
 #: Pairs of points measured at once.
@@ -188,11 +188,11 @@ def knn_pairs(source: DataFrame, k: int, query: DataFrame | None = None, boxsize
         pairs, p = walked(frame_of(spark, q, t), len(q), (len(own), len(others)), receivers, sources, rule, p, xs, boxsize, "knn")
         each = lambda c: F.explode(F.sequence(F.col(c) * UNITS[p], F.least((F.col(c) + 1) * UNITS[p], F.lit(-(-n // size))) - 1)) if p else F.col(c)
         need = pairs.select(each("q").alias("q"), "t").select(F.floor(F.col("q") / per_tile).alias("tile"), "t").distinct().select("tile", each("t").alias("leaf"))
-        need = in_chunks(need, size)
+        need = in_chunks(need, chunk_leaves(size, len(xs)))
         chunks = need.groupBy("tile").agg((F.max("chunk") + 1).alias("chunks"))
         many, n_tiles = chunks.agg(F.max("chunks"), F.count(F.lit(1))).first()
     else:
-        need, last = few_in_chunks(spark, q // per_tile, t, size)
+        need, last = few_in_chunks(spark, q // per_tile, t, chunk_leaves(size, len(xs)))
         many, n_tiles = max(last.values(), default=0), len(last)
         chunks = spark.createDataFrame(pa.table({"tile": np.array(list(last.keys()), np.int64), "chunks": np.array(list(last.values()), np.int64)}))
     note("knn.tiles", n_tiles)

@@ -23,8 +23,8 @@ from starmesh.plans.shared import stored
 from .points import dims
 from .zorder import morton, with_position
 
-#: Points of a tile, at most, and of a chunk of leaves around it.
-TILE_POINTS, CHUNK_POINTS = 32_768, 65_536
+#: Points of a tile, at most, and coordinates of a chunk of leaves around it.
+TILE_POINTS, CHUNK_VALUES = 32_768, 1_500_000
 #: Leaves of a node, by plane.
 UNITS = tuple(8 ** min(p, 1) * 64 ** max(p - 1, 0) for p in range(7))
 #: Dimensions of a key at most; more hardly help to keep neighbours together.
@@ -164,16 +164,21 @@ def row_distances(a: np.ndarray, b: np.ndarray, boxsize: float | None) -> np.nda
     return out
 
 
-def in_chunks(need: DataFrame, leaf_size: int) -> DataFrame:
-    """(tile, leaf, chunk): the leaves that a tile needs, dealt to chunks of CHUNK_POINTS points."""
+def chunk_leaves(leaf_size: int, dim: int) -> int:
+    """Leaves of a chunk."""
+    return max(1, CHUNK_VALUES // (dim * leaf_size))
+
+
+def in_chunks(need: DataFrame, leaves: int) -> DataFrame:
+    """(tile, leaf, chunk): the leaves that a tile needs, dealt to chunks of so many."""
     at = F.row_number().over(W.partitionBy("tile").orderBy("leaf")) - 1
-    return stored(need.withColumn("chunk", F.floor(at / max(1, CHUNK_POINTS // leaf_size))), "tiles-needs")
+    return stored(need.withColumn("chunk", F.floor(at / leaves)), "tiles-needs")
 
 
-def few_in_chunks(spark, tile: np.ndarray, leaf: np.ndarray, leaf_size: int) -> tuple[DataFrame, dict[int, int]]:
+def few_in_chunks(spark, tile: np.ndarray, leaf: np.ndarray, leaves: int) -> tuple[DataFrame, dict[int, int]]:
     """The same of pairs that are on the driver, and the number of chunks of each tile."""
     both = np.unique(np.column_stack([tile, leaf]).astype(np.int64), axis=0)
     tiles, first, count = np.unique(both[:, 0], return_index=True, return_counts=True)
-    chunk = (np.arange(len(both)) - np.repeat(first, count)) // max(1, CHUNK_POINTS // leaf_size)
+    chunk = (np.arange(len(both)) - np.repeat(first, count)) // leaves
     last = dict(zip(tiles.tolist(), (chunk[first + count - 1] + 1).tolist(), strict=True))
     return spark.createDataFrame(pa.table({"tile": both[:, 0], "leaf": both[:, 1], "chunk": chunk.astype(np.int64)})), last

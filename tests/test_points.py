@@ -381,7 +381,7 @@ def test_equal_points_do_not_meet(spark):
 @pytest.mark.parametrize("dim", [2, 3, 4])
 def test_dense_clumps_in_chunks(spark, monkeypatch, dim):
     monkeypatch.setattr(tiles, "TILE_POINTS", 128)
-    monkeypatch.setattr(tiles, "CHUNK_POINTS", 128)
+    monkeypatch.setattr(tiles, "CHUNK_VALUES", 128 * dim)
     rng = np.random.default_rng(dim)
     x = np.concatenate([rng.normal(c, s, (400, dim)) for c, s in ((0.3, 0.01), (0.5, 0.05), (0.52, 0.001))] + [rng.uniform(0, 1, (300, dim))])
     f = fof.labels(points(spark, x), 0.05).toPandas().sort_values("id")

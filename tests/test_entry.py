@@ -18,7 +18,7 @@ def comparable(rows):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["knn_self_embeddings3", "knn_periodic", "fof_labels_parts", "fof_catalogue", "zindex_parts", "leaf_counts"])
+@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -32,6 +32,7 @@ def test_query_against_sql(spark, name):
 
 def test_sql_has_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(core.oracle_sql()) == set(core.queries())
 
 
 def test_the_library_works_without_the_optional_part(tmp_path):

@@ -182,7 +182,7 @@ def multi_type_leaves(spark, d):
 
 def _part_nodes(spark, d):
     p = table(spark, d, "part").withColumn("a", F.floor("p_retailprice").cast("double")).withColumn("mass", F.lit(1.0) + F.pmod("p_partkey", F.lit(3)))
-    return tree.build_nodes(point_set(p, "p_partkey", ["a", "p_size"], ["mass"]), 16, 6.0, 64, span=PART_BITS)
+    return tree.build_nodes(point_set(p, "p_partkey", ["a", "p_size"], ["mass"]), 16, 6.0, 8, span=PART_BITS)
 
 
 def node_mass_centres(spark, d):
@@ -284,7 +284,7 @@ _INTEGERS = "SELECT o_orderkey AS id, 9007199254740993 + o_orderkey * (1 - 2 * (
 _FLIPPED = "((CAST({x} AS HUGEINT) + 9223372036854775808) >> CAST(i AS INTEGER)) & 1"
 #: Nodes of all planes: the shortest prefix with at most 16, 96, 576 ... points.
 _PART_PLANES = _PART_LEAVES + """, s AS (SELECT count(DISTINCT leaf) AS n FROM leaved),
-k AS (SELECT p AS plane, CAST(floor(16 * pow(6, p)) AS BIGINT) AS cap FROM range(0, 12) t(p), s WHERE p < CASE WHEN s.n > 64 THEN greatest(1, ceil(ln(s.n / 64.0) / ln(6.0))) ELSE 1 END),
+k AS (SELECT p AS plane, CAST(floor(16 * pow(6, p)) AS BIGINT) AS cap FROM range(0, 12) t(p), s WHERE p < CASE WHEN s.n > 8 THEN greatest(1, ceil(ln(s.n / 8.0) / ln(6.0))) ELSE 1 END),
 w AS (SELECT k.plane, z.id, min(c.n) AS n FROM z CROSS JOIN k JOIN c ON substring(z.zbits, 1, c.n) = c.node AND (c.c <= k.cap OR c.n = 34) GROUP BY ALL),
 m AS (SELECT plane, substring(zbits, 1, n) AS node, n, count(*) AS npart, sum(mass * x0) AS moment FROM w JOIN z USING (id) GROUP BY ALL)
 SELECT CAST(plane AS INTEGER) AS plane, count(*) AS nodes, CAST(sum(npart) AS BIGINT) AS npart, max(npart) AS most, CAST(34 - max(n) AS INTEGER) AS lvl, round(sum(moment)::DOUBLE, 3) AS moment, CAST(0 AS BIGINT) AS outside FROM m GROUP BY plane"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,11 @@ def point_set(df: DataFrame, id_col: str, position: str | list[str], keep: list[
     return out.where(sure)
 
 
+def ensured(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """df, which fails with the message when a row is read that does not fulfil the condition."""
+    return df.where(F.when(condition, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
 def union_types(*sets: DataFrame) -> DataFrame:
     """Point sets under one another, with ptype the number of the set; missing columns are null."""
     out = None

@@ -10,15 +10,33 @@ ATTRIBUTES = "attributes"
 
 
 def write_sets(path: str, mode: str = "error", compression: str = "zstd", **sets: DataFrame | dict | None) -> None:
-    """Writes each DataFrame to path/name; a dict of scalars becomes a table of one row; None is skipped."""
+    """Writes each DataFrame to path/name; None is skipped. A dict of scalars becomes a table of one
+    row; a dict that holds DataFrames or further dicts is a group: a folder of sets, in which its
+    scalars make one table, named ATTRIBUTES."""
     for name, data in sets.items():
         if data is None:
             continue
+        place = f"{path.rstrip('/')}/{name}"
         if isinstance(data, dict):
-            spark = SparkSession.active()
-            known = {k: v for k, v in data.items() if v is not None}
-            data = spark.createDataFrame([tuple(known.values())], list(known))
-        data.write.mode(mode).option("compression", compression).parquet(f"{path.rstrip('/')}/{name}")
+            inner = {k: v for k, v in data.items() if isinstance(v, (DataFrame, dict))}
+            known = {k: v for k, v in data.items() if v is not None and k not in inner}
+            if inner:
+                write_sets(place, mode, compression, **inner, **({ATTRIBUTES: known} if known else {}))
+                continue
+            data = SparkSession.active().createDataFrame([tuple(known.values())], list(known))
+        data.write.mode(mode).option("compression", compression).parquet(place)
+
+
+def write_npz(df: DataFrame, file: str, most_rows: int = 10_000_000) -> None:
+    """All columns as arrays in one local .npz file. For results of a known size: more than most_rows
+    rows are refused, before any row comes to the driver."""
+    import numpy as np
+
+    n = df.count()
+    if n > most_rows:
+        raise ValueError(f"{n} rows are too many for one file; at most {most_rows}")
+    rows = df.toArrow()
+    np.savez_compressed(file, **{c: rows[c].to_numpy() for c in rows.column_names})
 
 
 def read_set(spark: SparkSession, path: str, name: str, required: list[str] | StructType = (), optional: dict | None = None) -> DataFrame:

@@ -1,7 +1,6 @@
 import pytest
 
 from starmesh.operators import neighbors
-from starmesh.plans.observed import counted
 from starmesh.sources import generate, io
 from starmesh.streaming.stream_knn import stream_knn
 
@@ -36,7 +35,50 @@ def test_stream_of_queries(spark, tmp_path):
     assert got.exceptAll(neighbors.knn_pairs(source, 3, query=queries)).isEmpty() and got.count() == 120
 
 
-def test_observed_rows(spark):
-    df, seen = counted(spark.range(7), "rows-seen")
-    df.collect()
-    assert seen.get["rows"] == 7
+def test_nested_sets_and_npz(spark, tmp_path):
+    import numpy as np
+
+    from starmesh.sources.io import ATTRIBUTES, read_scalars, read_set, write_npz, write_sets
+
+    path = f"file://{tmp_path}/store"
+    rows = spark.range(4).selectExpr("id", "id * 0.5D as x0")
+    write_sets(path, run={"box": 2.0, "none": None, "points": rows, "tree": {"level": 3, "nodes": rows.limit(2)}})
+    assert read_set(spark, f"{path}/run", "points", ["id", "x0"]).count() == 4
+    assert read_scalars(spark, f"{path}/run") == {"box": 2.0} and read_scalars(spark, f"{path}/run/tree", ATTRIBUTES) == {"level": 3}
+    assert read_set(spark, f"{path}/run/tree", "nodes").count() == 2
+    file = str(tmp_path / "points.npz")
+    write_npz(rows.orderBy("id"), file)
+    with np.load(file) as got:
+        assert got["id"].tolist() == [0, 1, 2, 3] and got["x0"].tolist() == [0, 0.5, 1, 1.5]
+    with pytest.raises(ValueError, match="too many"):
+        write_npz(rows, file, most_rows=3)
+
+
+def test_rows_that_break_a_condition_are_told(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from starmesh.operators.points import ensured
+
+    assert ensured(spark.range(5), F.col("id") < 5, "outside the box").count() == 5
+    with pytest.raises(PySparkException, match="outside the box"):
+        ensured(spark.range(6), F.col("id") < 5, "outside the box").collect()
+
+
+def test_box_distances_bound_those_of_points(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from starmesh.functions.geometry import greatest_squared_distance, least_squared_distance, squared_distance
+
+    rng = np.random.default_rng(3)
+    cols = ("ca", "cb", "ha", "hb")
+    rows = [tuple(map(float, [*rng.uniform(0, 1, 4), *rng.uniform(0, 0.2, 4), *rng.uniform(-1, 1, 4)])) for _ in range(200)]
+    names = [f"{c}{i}" for c in cols[:2] for i in (0, 1)] + [f"{c}{i}" for c in cols[2:] for i in (0, 1)] + ["u0", "u1", "w0", "w1"]
+    df = spark.createDataFrame(rows, names)
+    two = lambda c: [F.col(f"{c}0"), F.col(f"{c}1")]
+    at = lambda c, h, u: [F.col(f"{c}{i}") + F.col(f"{h}{i}") * F.col(f"{u}{i}") for i in (0, 1)]
+    for box in (None, 1.0):
+        low, high = (f(two("ca"), two("ha"), two("cb"), two("hb"), box) for f in (least_squared_distance, greatest_squared_distance))
+        d = squared_distance(at("ca", "ha", "u"), at("cb", "hb", "w"), box)
+        assert df.where(~((low <= d + 1e-12) & (d <= high + 1e-12))).count() == 0

@@ -1,16 +1,25 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures, with links confirmed on full sets.
 
 A forest has several trees. A tree sorts all distinct shingle sets by their sequence of minimum
-hashes; sets that share a prefix of it form a region. The depth is chosen per region: where more
-than REGION sets share a prefix, it is made longer, up to the last depth. Neighbours in a region's
-order, which have the longest common prefix, are the first candidates; with them most sets of a
-group are linked at little cost. Candidates connect sets to families. What then still lies in one
-family but in different components is compared whole, in blocks, and so is what lies in one region
-but in different families, pair by pair: no region's candidates are capped.
-
-Candidates pass two filters before texts are fetched: the set sizes, which is exact, and a sketch
-of 256 one-bit minimum hashes, which drops a pair at the threshold with a chance below 1e-6.
-Links are confirmed by the shingles of both whole texts.
+hashes; sets that share its first DEPTH hashes form a region. Next neighbours in a region's order,
+which have the longest common prefixes, are the first candidates; with them most sets of a group
+are linked at little cost. What then lies in one region but in different components is searched
+again, whole, in a way that depends on how dense the region is:
+
+* In a region of at most REGION sets all such pairs are candidates.
+* The sets of larger regions, such as those of documents that share a template, are joined by an
+  exact prefix filter: their shingles are ordered by how many of these sets have them, rare ones
+  first; of two sets of similarity t the smaller has one of its first n - ceil(2t / (1 + t) * n) + 1
+  shingles among the first n - ceil(t * n) + 1 of the other, at places that leave enough shingles
+  after them. A template's shingles come last: unless it alone makes sets so similar, what makes
+  documents alike is found without comparing all of a region.
+
+Where two components have many candidates, the two closest are confirmed first, and the others only
+if the components are still apart. So a pair is missed only if it shares no region in any tree, however dense a region is: at
+exactly 0.8 the chance is 3e-6. Candidates pass two filters before whole sets are fetched: the
+sets' sizes, which is exact, and a sketch of 256 one-bit minimum hashes, which drops a pair at 0.8
+with a chance of about 2e-8 (binomial, 6 standard deviations). Links are confirmed by the 64-bit
+hashes of all shingles.
 """
 
 from __future__ import annotations
@@ -28,14 +37,18 @@ from starmesh.operators.components import connected_components
 
 from .common import BROADCAST_ROWS, free_name, semi, stored, text_chunks
 
-#: Minimum hashes of a tree's prefix at which a region may end.
-DEPTHS = (4, 6, 8)
 TREES = 24
-#: A region of more sets goes to the next depth.
+#: Minimum hashes of a region's prefix, and of the order in all.
+DEPTH, PATH = 4, 8
+#: In larger regions candidates come from the prefix filter.
 REGION = 32
-#: Regions of more sets at the last depth are ordered in parts of about so many, each tied to the region's first set.
+#: Larger regions are ordered in parts of about so many, each tied to the region's first set.
 PART = 1024
+#: Neighbours after each set of a region's order.
+NEXT = 2
 SKETCH_BITS = 256
+#: Buckets in which shingles are counted for the prefix filter's order, and rows of a block of its join.
+BUCKETS, BLOCK = 1 << 20, 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -104,8 +117,8 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 
 _rng = np.random.default_rng(20240229)
-_A = _rng.integers(0, 1 << 32, TREES * DEPTHS[-1] + SKETCH_BITS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, TREES * DEPTHS[-1] + SKETCH_BITS, dtype=np.uint64).astype(np.uint32)
+_A = _rng.integers(0, 1 << 32, TREES * PATH + SKETCH_BITS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, TREES * PATH + SKETCH_BITS, dtype=np.uint64).astype(np.uint32)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -118,19 +131,23 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def _prefix_keys(sigs: np.ndarray) -> np.ndarray:
-    """(documents, TREES, depths) 64-bit keys of the trees' prefixes."""
-    m = sigs[:, : TREES * DEPTHS[-1]].reshape(len(sigs), TREES, DEPTHS[-1]).astype(np.uint64)
+def _tree_keys(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, TREES) keys of the regions, and what follows them in the trees' order, 16 bits a hash."""
+    m = _mix(sigs[:, : TREES * PATH].reshape(len(sigs), TREES, PATH).astype(np.uint64))
     run = np.broadcast_to(_mix(np.arange(1, TREES + 1, dtype=np.uint64)), m.shape[:2]).copy()
-    keys = []
-    for d in range(DEPTHS[-1]):
+    for d in range(DEPTH):
         run = _mix(run * np.uint64(0xD6E8FEB86659FD93) + m[:, :, d])
-        if d + 1 in DEPTHS:
-            keys.append(run)
-    return np.stack(keys, 2).view(np.int64)
+    path = np.zeros(m.shape[:2], np.uint64)
+    for d in range(DEPTH, PATH):
+        path = path << np.uint64(16) | m[:, :, d] >> np.uint64(48)
+    return run.view(np.int64), path.view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.list_(pa.int64())))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("s", pa.list_(pa.int64())), ("regions", pa.list_(pa.int64())), ("paths", pa.list_(pa.int64()))])
+
+
+def _set_key(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
 def _sign(size: int):
@@ -139,35 +156,44 @@ def _sign(size: int):
             for part in text_chunks(batch):
                 sets = shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], size)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sketch, keys = [None] * len(sets), [None] * len(sets)
+                cols: list[list] = [[None] * len(sets) for _ in range(3)]
                 if full:
                     sigs = np.stack([signature(sets[i]) for i in full])
-                    bits = np.packbits(_mix(sigs[:, TREES * DEPTHS[-1] :].astype(np.uint64)).astype(np.uint8) & 1, axis=1).view(np.int64)
-                    tree_keys = _prefix_keys(sigs)
-                    for k, i in enumerate(full):
-                        sketch[i], keys[i] = bits[k].tolist(), tree_keys[k].tolist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array(sketch, _SIGNED.field("sketch").type), pa.array(keys, _SIGNED.field("keys").type)], schema=_SIGNED)
+                    bits = np.packbits(_mix(sigs[:, TREES * PATH :].astype(np.uint64)).astype(np.uint8) & 1, axis=1).view(np.int64)
+                    for c, rows in zip(cols, (bits, *_tree_keys(sigs)), strict=True):
+                        for k, i in enumerate(full):
+                            c[i] = rows[k]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], schema=_SIGNED)
+
+    return run
+
+
+def _sets(size: int):
+    """Rows doc_id, text: the keys of their sets, and the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_chunks(batch):
+                sets = [s for s in shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], size) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"])
 
     return run
 
 
-def _confirm(size: int, percent: int):
-    """Rows a, b, text_a, text_b: those whose shingle sets reach the similarity."""
+def _confirm(percent: int):
+    """Rows a, b, set_a, set_b: those whose sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
-            for part in text_chunks(batch, 2):
-                a, b, ta, tb = (c.to_pylist() for c in part.columns)
-                good = []
-                for i in range(len(a)):
-                    if a[i] != last:
-                        last, held = a[i], shingle_sets([(ta[i] or "").encode()], size)[0]
-                    other = shingle_sets([(tb[i] or "").encode()], size)[0]
-                    both = len(np.intersect1d(held, other, assume_unique=True))
-                    if 100 * both >= percent * (len(held) + len(other) - both) and both:
-                        good.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
+            good = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                at = np.searchsorted(x, y)
+                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                    good.append(i)
+            keep = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
     return run
 
@@ -176,7 +202,7 @@ def _alike(percent: int):
     """Filters over a_n, b_n, a_s, b_s: sizes can reach the similarity, and sketches do not rule it out."""
     j = percent / 100
     sd = (((1 + j) / 2) * ((1 - j) / 2) / SKETCH_BITS) ** 0.5
-    most = int(SKETCH_BITS * ((1 - j) / 2 + 5 * sd))
+    most = int(SKETCH_BITS * ((1 - j) / 2 + 6 * sd))
     sizes = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     return sizes & (_distance() <= most)
 
@@ -195,170 +221,169 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked if 100 * shared shingles >= percent * all shingles of both; component_id
     is the smallest doc_id reachable over links. Null, empty and white texts have no shingles and
     are linked with nothing. Rows of equal sets are one class and take part once. A null id gets a
-    null component and is kept; rows that repeat an id are one document. Other columns are ignored.
+    null component and is kept; rows that repeat an id are linked with each other, whatever their
+    texts. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(docs.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, set_key binary, sketch array<long>, keys array<array<long>>"), "near-signed")
-    linked = signed.where("n_shingles > 0 and doc_id is not null")
-    # Classes of equal sets, each with its smallest id.
-    classes = linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    first = linked.join(classes, (linked.set_key == classes.set_key) & (linked.doc_id == classes.rep), "left_semi").dropDuplicates(["doc_id"])
-    first = stored(first.select("doc_id", "n_shingles", "sketch", "keys"), "near-classes")
-
+    signed = docs.mapInArrow(_sign(shingle), "doc_id long, n long, set_key binary, s array<long>, regions array<long>, paths array<long>")
+    signed = stored(signed.withColumn("row_no", F.monotonically_increasing_id()), "near-signed")
+    linked = signed.where("n > 0 and doc_id is not null")
+    # Classes of equal sets, each with its smallest id and the number of one of its rows.
+    classes = stored(linked.groupBy("set_key").agg(F.min("row_no").alias("cid"), F.min("doc_id").alias("least")), "near-classes")
+    first = linked.join(classes.select(F.col("cid").alias("row_no")), "row_no", "left_semi").withColumnRenamed("row_no", "cid")
     regions = stored(_regions(first), "near-regions")
-    pairs = stored(_neighbours(regions, percent), "near-pairs")
-    texts = stored(semi(docs.where("doc_id is not null"), regions.select("doc_id").distinct(), "doc_id"), "near-texts")
+    wanted = stored(first.select("cid", "doc_id", "set_key").join(regions.select("cid").distinct(), "cid", "left_semi"), "near-wanted")
+    found = semi(docs.where("doc_id is not null"), wanted.select("doc_id").distinct(), "doc_id").mapInArrow(_sets(shingle), "set_key binary, shingles binary")
+    sets = stored(found.join(wanted.select("cid", "set_key"), "set_key").groupBy("cid").agg(F.max("shingles").alias("shingles")), "near-sets")
 
     def confirm(some: DataFrame) -> DataFrame:
-        a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-        full = some.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-        return stored(full.mapInArrow(_confirm(shingle, percent), "a long, b long"), "near-links")
+        a, b = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+        full = some.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
+        return stored(full.mapInArrow(_confirm(percent), "a long, b long"), "near-links")
 
-    # Each set's two closest candidates first; then all that lie in different components still.
+    # Each set's two closest neighbours first; then what lies in different components still.
+    pairs = stored(_neighbours(regions, percent), "near-pairs")
     ends = pairs.select(F.col("a").alias("c"), "a", "b", "d").union(pairs.select(F.col("b"), "a", "b", "d"))
     closest = F.row_number().over(W.partitionBy("c").orderBy("d", "a", "b"))
     links = confirm(ends.withColumn("n", closest).where("n <= 2").select("a", "b").distinct())
     label = stored(connected_components(links, contract=True), "near-labels")
-    family = stored(connected_components(pairs, contract=True), "near-families")
-    rest = confirm(_cross_families(regions, family, percent))
-    more = rest.union(_within_families(first, texts, family, label, shingle, percent))
+    named = regions.join(label.toDF("cid", "l"), "cid", "left").withColumn("l", F.coalesce("l", "cid"))
+    mixed = named.groupBy("region").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo != hi").select("region")
+    named = stored(named.join(mixed, "region", "left_semi"), "near-mixed")
+    found = stored(_small_regions(named, percent).union(_large_regions(named, sets, percent)).distinct(), "near-candidates")
+    stars = lambda of: of.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    closest = F.row_number().over(W.partitionBy("l", "m").orderBy("d", "a", "b"))
+    more = confirm(found.withColumn("n", closest).where("n <= 2"))
     if not more.isEmpty():
-        stars = label.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        label = stored(connected_components(stars.union(more), contract=True), "near-labels")
+        label = stored(connected_components(stars(label).union(more), contract=True), "near-labels")
+        at = lambda c: label.toDF(c, f"of_{c}")
+        found = found.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    more = confirm(found)
+
+    # Rows that repeat an id tie their classes together.
+    own = linked.select("doc_id", "set_key").join(classes, "set_key")
+    ties = own.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a != z").select("doc_id", "a")
+    ties = stored(own.join(ties, "doc_id").where("a != cid").select("a", F.col("cid").alias("b")), "near-ties")
+    more = more.union(ties)
+    if not more.isEmpty():
+        label = stored(connected_components(stars(label).union(more), contract=True), "near-labels")
 
-    rep = classes.join(label, classes.rep == label.id, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    own = signed.select("doc_id", "n_shingles", "set_key").join(rep, "set_key", "left")
+    of = classes.join(label, classes.cid == label.id, "left").select("set_key", "least", F.coalesce("component", "cid").alias("c"))
+    rep = of.select("set_key", "c").join(of.groupBy("c").agg(F.min("least").alias("component_id")), "c")
+    out = signed.select("doc_id", "n", "set_key").join(rep, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _regions(first: DataFrame) -> DataFrame:
-    """(region, size, doc_id, n, s, path) for sets that share a region with another; path is the
-    set's sequence of prefix keys in the region's tree, so that order by path puts the longest
-    common prefixes together."""
-    own = F.filter("keys", lambda k: F.array_contains(k, F.col("region")))[0]
-    left, out = first.select("doc_id", F.explode(F.transform("keys", lambda k: k[0])).alias("region")), None
-    for i, depth in enumerate(DEPTHS):
-        sizes = left.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        left = stored(left.join(sizes, "region"), f"near-depth{depth}")
-        last = i == len(DEPTHS) - 1
-        ends = left if last else left.where(F.col("size") <= REGION)
-        out = ends if out is None else out.unionByName(ends)
-        if not last:
-            wide = left.where(F.col("size") > REGION).select("doc_id", "region")
-            left = wide.join(first.select("doc_id", "keys"), "doc_id").select("doc_id", own[i + 1].alias("region"))
-    about = first.select("doc_id", F.col("n_shingles").alias("n"), F.col("sketch").alias("s"), "keys")
-    return out.join(about, "doc_id").select("region", "size", "doc_id", "n", "s", own.alias("path"))
+    """(region, path, size, cid, n, s) for sets that share a region with another."""
+    rows = first.select("cid", F.explode(F.arrays_zip("regions", "paths")).alias("r")).select("cid", "r.regions", "r.paths").toDF("cid", "region", "path")
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return rows.join(sizes, "region").join(first.select("cid", "n", "s"), "cid")
 
 
 def _neighbours(regions: DataFrame, percent: int) -> DataFrame:
     """(a, b, d): distinct pairs next to each other in a region's order, and with the first set of a
     region that is ordered in parts; d is the sketches' distance."""
-    part = F.when(F.col("size") > PART, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / PART))).otherwise(0)
-    order = W.partitionBy("region", "part").orderBy("path", "doc_id")
-    one = F.struct("doc_id", "n", "s")
+    part = F.when(F.col("size") > PART, F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / PART))).otherwise(0)
+    order = W.partitionBy("region", "part").orderBy("path", "cid")
+    one = F.struct("cid", "n", "s")
     rows = regions.withColumn("part", part)
-    near = rows.select(one.alias("x"), F.lead(one).over(order).alias("y")).where("y is not null")
+    near = rows.select(one.alias("x"), F.array(*[F.lead(one, k).over(order) for k in range(1, NEXT + 1)]).alias("ys")).select("x", F.explode("ys").alias("y")).where("y is not null")
     large = regions.where(F.col("size") > PART)
     heads = large.groupBy("region").agg(F.min(one).alias("y"))
-    tied = large.join(heads, "region").select(one.alias("x"), "y").where("x.doc_id != y.doc_id")
-    return _pairs(near.union(tied), percent)
+    tied = large.join(heads, "region").select(one.alias("x"), "y").where("x.cid != y.cid")
+    return _pairs(near.union(tied), percent).distinct()
 
 
 def _pairs(xy: DataFrame, percent: int) -> DataFrame:
-    turned = xy.select(F.when(F.col("x.doc_id") < F.col("y.doc_id"), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"))).alias("p"))
-    flat = turned.select(F.col("p.x.doc_id").alias("a"), F.col("p.y.doc_id").alias("b"), F.col("p.x.n").alias("a_n"), F.col("p.y.n").alias("b_n"), F.col("p.x.s").alias("a_s"), F.col("p.y.s").alias("b_s"))
-    return flat.where(_alike(percent)).select("a", "b", _distance().alias("d")).distinct()
+    """(a, b, d) of pairs x, y that pass the filters, the smaller number first."""
+    turned = xy.select(F.when(F.col("x.cid") < F.col("y.cid"), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"))).alias("p"))
+    flat = turned.select(F.col("p.x.cid").alias("a"), F.col("p.y.cid").alias("b"), F.col("p.x.n").alias("a_n"), F.col("p.y.n").alias("b_n"), F.col("p.x.s").alias("a_s"), F.col("p.y.s").alias("b_s"))
+    return flat.where(_alike(percent)).select("a", "b", _distance().alias("d"))
 
 
-def _cross_families(regions: DataFrame, family: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a region that lie in different families and pass the filters."""
-    named = regions.join(family.toDF("doc_id", "l"), "doc_id", "left").select("region", "doc_id", "n", "s", F.coalesce("l", "doc_id").alias("f"))
-    mixed = named.groupBy("region").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo != hi").select("region")
-    named = stored(named.join(mixed, "region", "left_semi"), "near-mixed")
-    a = named.select("region", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("s").alias("a_s"), F.col("f").alias("fa"))
-    b = named.select("region", F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("s").alias("b_s"), F.col("f").alias("fb"))
-    return a.join(b, "region").where((F.col("fa") < F.col("fb")) & _alike(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _small_regions(named: DataFrame, percent: int) -> DataFrame:
+    """(a, b, d, l, m): all pairs of a region of at most REGION sets that lie in different
+    components l and m and pass the filters."""
+    some = named.where(F.col("size") <= REGION)
+    side = lambda name: some.select("region", F.col("cid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "s", "l")])
+    both = side("a").join(side("b"), "region").where((F.col("a") < F.col("b")) & (F.col("a_l") != F.col("b_l")))
+    return _filtered(both, percent)
+
+
+def _filtered(both: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs, with n, s and l of both, that pass the filters."""
+    return both.where(_alike(percent)).select("a", "b", _distance().alias("d"), F.least("a_l", "b_l").alias("l"), F.greatest("a_l", "b_l").alias("m"))
 
 
-def _within_families(first: DataFrame, texts: DataFrame, family: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links between the components of a family.
+def _large_regions(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, d, l, m): pairs of sets of the larger regions, in different components l and m, that
+    share a shingle of their prefixes and pass the filters.
 
-    The sets outside the family's largest component are compared with all of the family. This is
-    done in blocks of a part of the former and a part of the latter, so that a set is sent once
-    for each block, not for each pair, and no task has more than a block.
+    For each shingle the component with most of its sets is not compared with itself. Where many
+    sets have a shingle in their prefix, both sides are dealt to parts, and each pair of parts is a block.
     """
-    f, c = family.toDF("doc_id", "family"), label.toDF("doc_id", "c")
-    own = f.join(c, "doc_id", "left").join(first.select("doc_id", "n_shingles"), "doc_id").select("doc_id", "family", F.coalesce("c", "doc_id").alias("comp"), "n_shingles")
-    own = stored(own, "near-members")
-    parts = own.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("n"))
-    whole = parts.groupBy("family").agg(F.max(F.struct("k", "n", "comp")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n")).where("k > main.k")
-    needed = lambda docs, shingles, most, most_n: F.greatest(F.ceil(docs / most), F.ceil(shingles / most_n))
-    whole = whole.select("family", F.col("main.comp").alias("main"), needed(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n"), *BLOCK_LEFT).alias("n_left"), needed(F.col("k"), F.col("n"), *BLOCK_ALL).alias("n_all"))
-    own = own.join(whole, "family")
-    dealt = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
-    others = F.sequence(F.lit(0).cast("long"), F.col("n_left") - 1)
-    as_all = own.select("doc_id", "family", "comp", F.lit(False).alias("left"), F.explode(others).alias("i"), dealt("n_all").alias("j"))
-    others = F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)
-    as_left = own.where("comp != main").select("doc_id", "family", "comp", F.lit(True).alias("left"), dealt("n_left").alias("i"), F.explode(others).alias("j"))
-    rows = as_all.union(as_left).join(texts, "doc_id").select("family", "i", "j", "doc_id", "comp", "left", "text")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return stored(rows.mapInArrow(_compare(size, percent), "a long, b long"), "near-block-links")
-
-
-#: Sets, and shingles, of the two sides of a block, about.
-BLOCK_LEFT, BLOCK_ALL = (256, 300_000), (2_048, 1_500_000)
-
-
-def _compare(size: int, percent: int):
-    """Blocks, sorted by family, i, j: for each set of the left side a link to every component that
-    it reaches."""
-
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        sets = []
-        for at in range(0, len(rows), 256):
-            sets += shingle_sets([(r[3] or "").encode() for r in rows[at : at + 256]], size)
-        left = [k for k, r in enumerate(rows) if r[2]]
-        right = [k for k, r in enumerate(rows) if not r[2]]
-        found, at = [], 0
-        while at < len(left):
-            some, held = [], 0
-            while at < len(left) and len(some) < 128 and (not some or held < 65_536):
-                some.append(left[at])
-                held += len(sets[left[at]])
-                at += 1
-            known = np.unique(np.concatenate([sets[k] for k in some]))
-            has = np.zeros((len(known) + 1, len(some)), np.uint8)
-            for q, k in enumerate(some):
-                has[np.searchsorted(known, sets[k]), q] = 1
-            n, comp = np.array([len(sets[k]) for k in some]), np.array([rows[k][1] for k in some])
-            done = set()
-            for k in right:
-                fit = (comp != rows[k][1]) & (100 * np.minimum(n, len(sets[k])) >= percent * np.maximum(n, len(sets[k])))
-                if not fit.any():
-                    continue
-                spot = np.searchsorted(known, sets[k])
-                spot[(spot == len(known)) | (known[np.minimum(spot, len(known) - 1)] != sets[k])] = len(known)
-                both = has[spot].sum(axis=0, dtype=np.int64)
-                for q in np.flatnonzero(fit & (both > 0) & (100 * both >= percent * (n + len(sets[k]) - both))):
-                    if (q, rows[k][1]) not in done:
-                        done.add((q, rows[k][1]))
-                        found.append((rows[some[q]][0], rows[k][0]))
-        return found
+    spark = named.sparkSession
+    about = named.where(F.col("size") > REGION).groupBy("cid").agg(F.max("l").alias("l"))
+    dense = stored(about.join(sets, "cid"), "near-dense")
+    if dense.isEmpty():
+        return spark.createDataFrame([], "a long, b long, d int, l long, m long")
+    counted = dense.select("shingles").mapInArrow(_bucket_counts, "bucket int, k long").groupBy("bucket").agg(F.sum("k").alias("k")).toPandas()  # at most BUCKETS rows
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[counted["bucket"].to_numpy()] = counted["k"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)  # 8 bytes a bucket
+    rows = stored(dense.select("cid", "l", "shingles").mapInArrow(_prefixes(shared, percent), "cid long, l long, n long, shingle long, left long, short boolean"), "near-prefixes")
+    per = rows.groupBy("shingle", "l").agg(F.count(F.lit(1)).alias("k"))
+    per = per.groupBy("shingle").agg(F.max(F.struct("k", "l")).alias("m"), F.sum("k").alias("k")).where("k > m.k")
+    per = stored(per.select("shingle", F.col("m.l").alias("main"), F.ceil(F.col("k") / BLOCK).alias("parts")), "near-shingles")
+    rows = stored(rows.join(per, "shingle"), "near-shared")
+    dealt = F.pmod(F.xxhash64("cid"), F.col("parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    own = ("cid", "l", "n", "left")
+    smaller = rows.where("short").withColumn("i", dealt).withColumn("j", every).select("shingle", "i", "j", *[F.col(c).alias(f"x_{c}") for c in own], "main")
+    larger = rows.withColumn("j", dealt).withColumn("i", every).select("shingle", "i", "j", *[F.col(c).alias(f"y_{c}") for c in own])
+    fits = (F.col("x_l") != F.col("y_l")) & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cid") != F.col("y_cid")))) & (100 * F.col("x_n") >= percent * F.col("y_n"))
+    # The first shingle that both share leaves at least as many as they must share.
+    fits = fits & ((100 + percent) * F.least("x_left", "y_left") >= percent * (F.col("x_n") + F.col("y_n")))
+    joined = lambda x, y: x.join(y, ["shingle", "i", "j"]).where(fits).select(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b"))
+    main = F.col("x_l") == F.col("main")
+    others = larger.join(per.select("shingle", F.col("main").alias("y_main")), "shingle").where("y_l != y_main").drop("y_main")
+    pairs = joined(smaller.where(~main), larger).union(joined(smaller.where(main), others)).distinct()
+    sketches = stored(named.dropDuplicates(["cid"]).select("cid", "n", "s", "l"), "near-sketches")
+    side = lambda c: sketches.toDF(c, f"{c}_n", f"{c}_s", f"{c}_l")
+    return _filtered(pairs.join(side("a"), "a").join(side("b"), "b"), percent)
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            counts[np.frombuffer(batch.column(0)[i].as_buffer(), np.uint64) & np.uint64(BUCKETS - 1)] += 1
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "k"])
+
+
+def _prefixes(shared, percent: int):
+    """The shingles of the sets' prefixes, rare ones first; left counts the set's shingles from this
+    one on, short says if it is in the prefix that counts where the set is the smaller one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        counts = shared.value
         for batch in batches:
-            out = []
-            for family, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (family, i, j) != key:
-                    out += links(rows)
-                    key, rows = (family, i, j), []
-                rows.append(rest)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
-        out = links(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+            at, n, own, left, short = [], [], [], [], []
+            for i in range(batch.num_rows):
+                x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+                size = len(x) + (-percent * len(x)) // 100 + 1
+                order = np.lexsort((x, counts[x & np.uint64(BUCKETS - 1)]))[:size]
+                own.append(x[order].view(np.int64))
+                at.append(np.full(size, i))
+                n.append(np.full(size, len(x)))
+                left.append(len(x) - np.arange(size))
+                short.append(np.arange(size) < len(x) + (-2 * percent * len(x)) // (100 + percent) + 1)
+            if at:
+                where = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), *(pa.array(np.concatenate(c)) for c in (n, own, left, short))], names=["cid", "l", "n", "shingle", "left", "short"])
 
     return run
 

@@ -1,10 +1,12 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from starmesh.llm import exact_dedup, mixing, near_dedup
+from starmesh.llm import exact_dedup, mixing, near_dedup, queries
 from starmesh.llm.common import WHITE
 
 
@@ -138,3 +140,59 @@ def test_exact_state_outlives_a_run(docs_of, tmp_path):
     assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in second} == {(1, 2, 4, False), (2, 2, 4, True), (9, 9, 1, True)}
     third = exact_dedup.exact_dedup(docs_of([(3, "x"), (4, "ab")]), state_dir=base).collect()
     assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in third} == {(3, 3, 2, True), (4, 2, 5, False)}
+
+
+def test_dense_template_and_repeated_ids(docs_of, spark):
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(260):  # two thirds of each text are shared; some are near copies of others
+        own = [f"o{rng.randrange(10**6)}" for _ in range(60)]
+        if rows and rng.random() < 0.2:
+            own = rng.choice(rows)[1].split()[120:]
+            for _ in range(rng.randrange(1, 12)):
+                own[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        rows.append((i * 7 % 997 + 1000 * (i // 997), " ".join(base + own)))
+    docs = docs_of(rows + [(20_000 + i, " ".join(base[:100] + [f"p{i}"])) for i in range(60)])
+    assert near(near_dedup.near_duplicates(docs, shingle=2)) == brute_near([(r["doc_id"], r["text"]) for r in docs.collect()], 2, 80)
+    again = docs_of([(1, "a b c d e f g h"), (1, "x y z u v w s t"), (2, "x y z u v w s t"), (3, "a b c d e f g h"), (4, "long " * 50_000), (5, "long " * 60_000), (4, None)])
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(again, shingle=5).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+
+
+def exact_links(texts, size, percent):
+    """Pairs of different sets at the similarity, by a plain prefix filter over all texts."""
+    sets = sorted({frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) or frozenset({tuple(w)}) for t in texts if (w := (t or "").encode().lower().split())}, key=lambda s: (len(s), sorted(s)[0]))
+    often = Counter(x for s in sets for x in s)
+    seen, found = {}, []
+    for i, s in enumerate(sets):
+        near = set()
+        for x in sorted(s, key=lambda x: (often[x], x))[: len(s) + (-percent * len(s)) // 100 + 1]:
+            near.update(seen.setdefault(x, []))
+            seen[x].append(i)
+        found += [(sets[j], s) for j in near if 100 * len(sets[j]) >= percent * len(s) and 100 * len(s & sets[j]) >= percent * len(s | sets[j])]
+    return found
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, sf):
+    data = f"/root/testdata/{sf}"
+    rows = queries.table(spark, data, "documents").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["component_id"] for r in queries.op2_near_dedup(spark, data).collect()}
+    assert len(got) == len(rows)
+    of = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        of.setdefault(frozenset(tuple(w[k : k + 2]) for k in range(len(w) - 1)) or frozenset({tuple(w)}), []).append(i)
+    links = exact_links([t for _, t in rows], 2, 80)
+    lab = {i: i for i, _ in rows}
+
+    def find(i):
+        while lab[i] != i:
+            i = lab[i]
+        return i
+
+    ties = [(own[0], j) for s, own in of.items() if s != {()} for j in own] + [(of[a][0], of[b][0]) for a, b in links]
+    for a, b in ties:
+        a, b = find(a), find(b)
+        lab[max(a, b)] = min(a, b)
+    assert len(links) > 10 and all(got[i] == find(i) for i, _ in rows)

@@ -72,6 +72,9 @@ def test_quality_edge_cases(docs_of, spark):
     assert all(got[i]["predicted"] == i % 2 for i in range(60)) and got[100]["score"] == got[101]["score"]
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
     assert quality.keep_good(docs, model).columns == docs.columns
+    twice = docs.where("doc_id < 3").union(docs.where("doc_id < 3")).selectExpr("*", "'mine' as x", "'mine' as __y", "'mine' as predicted")
+    assert sorted((r["doc_id"], r["score"]) for r in quality.quality_scores(twice, model).collect()) == sorted((i, got[i]["score"]) for i in (0, 1, 2) for _ in range(2))
+    assert quality.keep_good(twice, quality.train(twice, labels.union(labels))).count() in (2, 6)
     empty = quality.train(docs, labels.where("false"))
     assert {r["predicted"] for r in quality.quality_scores(docs, empty).collect()} == {1}
     assert quality.quality_scores(docs.where("false"), model).count() == 0

@@ -47,6 +47,8 @@ PART = 1024
 #: Neighbours after each set of a region's order.
 NEXT = 2
 SKETCH_BITS = 256
+#: Rows of an Arrow batch, at most.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 #: Buckets in which shingles are counted for the prefix filter's order, and rows of a block of its join.
 BUCKETS, BLOCK = 1 << 20, 2048
 
@@ -224,6 +226,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null component and is kept; rows that repeat an id are linked with each other, whatever their
     texts. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
+    spark = docs.sparkSession
+    # Rows of shingles are long: fewer of them go to a Python worker at once. All such steps are run in here.
+    old = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, str(min(int(old), BATCH_ROWS)))
+    try:
+        return _near_duplicates(docs, id_col, text_col, shingle, percent)
+    finally:
+        spark.conf.set(BATCH_KEY, old)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = docs.mapInArrow(_sign(shingle), "doc_id long, n long, set_key binary, s array<long>, regions array<long>, paths array<long>")
     signed = stored(signed.withColumn("row_no", F.monotonically_increasing_id()), "near-signed")

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -128,6 +129,17 @@ def test_small_sources_beside_large_ones_reach_their_targets(spark):
     assert (got[got["source"] < "t"]["taken"] > 0).all() and (got["taken"] <= 2 * got["size"]).all()
 
 
+def test_mixing_repeated_and_missing_ids(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "d", "y"), (None, "e f", "x"), (None, "e f", None), (2, "", None), (3, "  ", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'mine' as size", "'mine' as target", "1 as taken", "'mine' as row_no", "'mine' as slot", "'mine' as block")
+    got = mixing.mix(docs).collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(i), len(t.split())) for i, t, _ in rows)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert {r["source_size"] for r in got if r["size"] == 3} == {8} and all(r["taken"] == 0 for r in got if not r["size"])
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and {r["size"] for r in out.collect()} == {"mine"} and out.where("doc_id in (2, 3)").count() == 0
+
+
 def test_schedule_is_even(spark):
     targets = spark.createDataFrame([(0, 3000.0), (1, 1000.0), (2, 2000.0)], "source_no int, target double")
     rows = mixing.schedule(targets, 6000.0, 10).orderBy("slot").toPandas()
@@ -142,13 +154,28 @@ def test_schedule_is_even(spark):
 def test_ids_are_those_of_the_tokenizer():
     path = queries.tokenizer_path()
     plain, ids = Tokenizer.from_file(path), packing.text_ids(path)
-    odd = ["", " ", "\n\n", "Hello, WORLD's don't", "Ünïcode naïve ß ẞ ÿ × ÷", "İstanbul ΣΑΣ", "é é", "日本語 テスト", "😀<|endoftext|>x", "a\x1cb \x00c", "½²³ ªº µ", "a\x85b\xa0c d", "１２３", "…—“”’", "x" * 5000, "ŉ ſ ı İ"]
+    odd = ["", " ", "\n\n", "Hello, WORLD's don't", "Ünïcode naïve ß ẞ ÿ × ÷", "İstanbul ΣΑΣ", "é é", "日本語 テスト", "😀<|endoftext|>x", "a\x1cb \x00c", "½²³ ªº µ", "a\x85b\xa0c d", "１２３", "…—“”’", "x" * 5000, "ŉ ſ ı İ", "a_b __ _1 1_ don't_x 'sx x'S", "ª º µ ¹ ¼ a¼b", "\xa0a\xa0 \xad€1€"]
     import pyarrow.parquet as pq
 
     for text in odd + [t for t in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist() if t][:300]:
         assert ids(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:60]
 
 
+def test_other_tokenizers_go_their_own_way(tmp_path):
+    import json
+
+    kind = json.loads(Path(queries.tokenizer_path()).read_text())
+    assert packing.short_way(kind)
+    for change in (lambda k: k["normalizer"]["normalizers"].pop(), lambda k: k["model"].update(end_of_word_suffix=None), lambda k: k["model"].update(merges=k["model"]["merges"][::-1]), lambda k: k["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated")):
+        other = json.loads(json.dumps(kind))
+        change(other)
+        assert not packing.short_way(other)
+    del kind["normalizer"]["normalizers"][2]
+    (tmp_path / "t.json").write_text(json.dumps(kind))
+    own, ids = Tokenizer.from_file(str(tmp_path / "t.json")), packing.text_ids(str(tmp_path / "t.json"))
+    assert ids("Hello World") == np.array(own.encode("Hello World", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -218,6 +245,59 @@ def test_chat_examples_and_reading_back(spark):
     assert chat.read_back(chat.chat_examples(df.where("false"))).count() == 0
 
 
+def test_chat_of_long_turns_and_clashing_names(spark):
+    rows = [(1, 0, "user", "q " * 100_000), (1, 1, "assistant", "<|im_end|>" * 30_000), (1, 2, "user", "next"), (1, 3, "assistant", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'mine' as turns", "'mine' as parts", "1 as example", "'mine' as t", "'mine' as loss_start")
+    r = chat.read_back(chat.chat_examples(df)).collect()
+    loss = "<|im_end|>" * 30_000 + "z"
+    assert len(r) == 1 and (r[0]["n_turns"], r[0]["loss_chars"], r[0]["n_examples"]) == (4, len(loss), 2)
+    assert r[0]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_url_components_against_a_plain_union_find(spark):
+    """A fixture of many links: chains, a hub, rings, links of other hosts, and edges from elsewhere."""
+    rng = np.random.default_rng(17)
+    hosts = ["a.com/en/", "b.io/x/", "example.com/en/7", "c.net/de/", "example.net/de/8", "d.org/es/", "e.io/"]
+    names = [f"http://{hosts[rng.integers(len(hosts)) if rng.random() < 0.15 else 6]}p{i}" for i in range(400)]
+    link = lambda u: f'<link href="{u}" rel=canonical>' if rng.random() < 0.5 else f'<meta content="0;url={u}" http-equiv=refresh>'
+    pages, edges = [], []
+    for i, u in enumerate(names):
+        to = []
+        if 100 <= i < 160:
+            to = [names[i - 1]]
+        elif 200 <= i < 300:
+            to = [names[200]]
+        elif rng.random() < 0.3:
+            to = [names[rng.integers(400)] for _ in range(rng.integers(1, 3))]
+        edges += [(u, t) for t in to]
+        pages.append((i, u, "x" * (300_000 if i == 7 else 0) + "".join(map(link, to))))
+    extra = [(names[5], names[6]), (names[6], "http://only.com/en/elsewhere")]
+    key = lambda u: u.split("://")[1]
+    more = spark.createDataFrame([(key(a), key(b)) for a, b in extra], "from_key string, to_key string")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'mine' as host", "'mine' as key", "1 as id", "'mine' as component", "'mine' as own")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, edges=more).collect()}
+    lab = {}
+
+    def find(u):
+        while lab.setdefault(u, u) != u:
+            u = lab[u]
+        return u
+
+    for a, b in edges + extra:
+        lab[find(a)] = find(b)
+
+    def rule(u):
+        host, path = key(u).split("/", 1)
+        fit = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and ("/" + path).startswith(r.path)]
+        return max(fit, key=lambda r: len(r.name)).verdict if fit else None
+
+    of = {}
+    for u in [*names, "http://only.com/en/elsewhere"]:
+        of.setdefault(find(u), set()).add(rule(u))
+    want = {i: rule(u) or ("block" if "block" in of[find(u)] and "allow" not in of[find(u)] else "allow") for i, u in enumerate(names)}
+    assert got == want and sum(v == "block" and rule(names[i]) is None for i, v in want.items()) > 5
+
+
 def test_url_rules_and_aliases(spark):
     link = lambda u: f'<head><LINK rel="canonical" href="{u}"></head>'
     rows = [
@@ -290,6 +370,27 @@ def test_plain_archives_and_records_in_pieces(spark, tmp_path):
     assert sorted(r["record_id"] for r in got) == [f"<{i}>" for i in range(9)] and {bytes(r["payload"]) for r in got} == {block.partition(b"\r\n\r\n")[2]}
 
 
+def test_pipeline_stages_of_odd_documents(spark, tmp_path):
+    """Nulls, ties, repeated rows, empty tables and clashing names in every stage."""
+    import corpus_pipeline
+
+    rows = [(1, "some words in a row here", "s"), (1, "some words in a row here", "s"), (None, None, None), (2, "", "s"), (3, " ", None), (4, "one two three four five six", None), (5, "one two three four five six", "t"), (6, "w " * 30_000, "t")]
+    extra = ["'mine' as score", "'mine' as __id", "'mine' as __place", "1 as __copy", "'mine' as kept", "'mine' as locator", "'mine' as n", "'mine' as piece_text"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'en' as lang", "source", "0L as n_chars", *extra)
+    for empty in (False, True):
+        now = docs.where("false") if empty else docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, SF)
+            path = str(tmp_path / f"{name}-{empty}")
+            out.write.parquet(path)
+            if name != "packing":
+                assert out.columns == docs.columns
+                assert {r["__id"] for r in out.collect()} <= {"mine"}
+            now = spark.read.schema(out.schema).parquet(path)
+            assert (now.count() == 0) == empty
+    assert {r["doc_id"] for r in now.collect()} == set() and spark.read.parquet(str(tmp_path / "packing-False")).count() > 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -80,6 +80,36 @@ def test_quality_edge_cases(docs_of, spark):
     assert quality.quality_scores(docs.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_quality_learns_all_pairs_of_all_labels(docs_of, spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", 10)
+    rng = np.random.default_rng(3)
+    words, junk = [f"word{i}" for i in range(50)], ["$$", "WORD", "a1b2", "!!"]
+    y = rng.random(2500) < 0.6
+    texts = [" ".join([*rng.choice(words, rng.integers(5, 40)), *rng.choice(junk, rng.poisson(2 if good else 5))]) for good in y]
+    texts[7] = "! " * 3000
+    docs = docs_of(list(enumerate(texts)) + [(-1, "no label"), (None, "no id")])
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(y)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    used = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(len(y))])
+    x, y = np.array([quality.features(t) for t in texts])[used], y[used]
+    sd = x.std(0) + 1e-6
+    z, w = (x - x.mean(0)) / sd, model["w"] * sd
+    good, bad = z[y], z[~y]
+    p = 1 / (1 + np.exp((good @ w)[:, None] - bad @ w))
+    slope = (p.sum(1) @ good - p.sum(0) @ bad) / p.size - 1e-3 * w
+    assert np.abs(w).max() > 0.5 and np.abs(slope).max() < 1e-6
+    s, k = np.sort((x - model["mean"]) @ model["w"]), len(bad)
+    assert s[k - 1] - 1e-9 <= model["cut"] <= s[k] + 1e-9 and abs(model["cut"] - (s[k - 1] + s[k]) / 2) < 1e-9
+
+
+def test_a_value_by_its_rank(spark):
+    values = [0.0, 1.0, 1.0, 1.0, 1.0 + 1e-15, 2.0, 1e9, -1e9, 1e-300]
+    df, values = spark.createDataFrame([(v,) for v in values], "s double"), sorted(values)
+    assert [quality.by_rank(df, i) for i in range(8)] == list(zip(values, values[1:], strict=False))
+
+
 @pytest.mark.parametrize(("query", "label", "sf", "least"), [(queries.op3_toxicity, "toxic", "sf0.01", 0.95), (queries.op3_toxicity, "toxic", "sf0.1", 0.97), (queries.op7_quality, "quality", "sf0.01", 0.97), (queries.op7_quality, "quality", "sf0.1", 0.97)])
 def test_held_out_accuracy(spark, query, label, sf, least):
     data = f"/root/testdata/{sf}"

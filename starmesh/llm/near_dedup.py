@@ -35,7 +35,7 @@ from pyspark.sql.window import Window as W
 
 from starmesh.operators.components import connected_components
 
-from .common import BROADCAST_ROWS, free_name, semi, stored, text_chunks
+from .common import BROADCAST_ROWS, free_name, giving_back, semi, small_batches, stored, text_chunks
 
 TREES = 24
 #: Minimum hashes of a region's prefix, and of the order in all.
@@ -47,8 +47,8 @@ PART = 1024
 #: Neighbours after each set of a region's order.
 NEXT = 2
 SKETCH_BITS = 256
-#: Rows of an Arrow batch, at most.
-BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+#: Text bytes handled at once; arrays of up to 8 bytes a byte are made of them.
+CHUNK = 1 << 19
 #: Buckets in which shingles are counted for the prefix filter's order, and rows of a block of its join.
 BUCKETS, BLOCK = 1 << 20, 2048
 
@@ -155,7 +155,7 @@ def _set_key(shingles: np.ndarray) -> bytes | None:
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, most=CHUNK):
                 sets = shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], size)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 cols: list[list] = [[None] * len(sets) for _ in range(3)]
@@ -175,7 +175,7 @@ def _sets(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, most=CHUNK):
                 sets = [s for s in shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], size) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"])
 
@@ -226,19 +226,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null component and is kept; rows that repeat an id are linked with each other, whatever their
     texts. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    # Rows of shingles are long: fewer of them go to a Python worker at once. All such steps are run in here.
-    old = spark.conf.get(BATCH_KEY)
-    spark.conf.set(BATCH_KEY, str(min(int(old), BATCH_ROWS)))
-    try:
+    # Rows of shingles are long. All such steps are run in here.
+    with small_batches(docs.sparkSession):
         return _near_duplicates(docs, id_col, text_col, shingle, percent)
-    finally:
-        spark.conf.set(BATCH_KEY, old)
 
 
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = docs.mapInArrow(_sign(shingle), "doc_id long, n long, set_key binary, s array<long>, regions array<long>, paths array<long>")
+    signed = docs.mapInArrow(giving_back(_sign(shingle)), "doc_id long, n long, set_key binary, s array<long>, regions array<long>, paths array<long>")
     signed = stored(signed.withColumn("row_no", F.monotonically_increasing_id()), "near-signed")
     linked = signed.where("n > 0 and doc_id is not null")
     # Classes of equal sets, each with its smallest id and the number of one of its rows.
@@ -246,13 +241,13 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     first = linked.join(classes.select(F.col("cid").alias("row_no")), "row_no", "left_semi").withColumnRenamed("row_no", "cid")
     regions = stored(_regions(first), "near-regions")
     wanted = stored(first.select("cid", "doc_id", "set_key").join(regions.select("cid").distinct(), "cid", "left_semi"), "near-wanted")
-    found = semi(docs.where("doc_id is not null"), wanted.select("doc_id").distinct(), "doc_id").mapInArrow(_sets(shingle), "set_key binary, shingles binary")
+    found = semi(docs.where("doc_id is not null"), wanted.select("doc_id").distinct(), "doc_id").mapInArrow(giving_back(_sets(shingle)), "set_key binary, shingles binary")
     sets = stored(found.join(wanted.select("cid", "set_key"), "set_key").groupBy("cid").agg(F.max("shingles").alias("shingles")), "near-sets")
 
     def confirm(some: DataFrame) -> DataFrame:
         a, b = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
         full = some.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
-        return stored(full.mapInArrow(_confirm(percent), "a long, b long"), "near-links")
+        return stored(full.mapInArrow(giving_back(_confirm(percent)), "a long, b long"), "near-links")
 
     # Each set's two closest neighbours first; then what lies in different components still.
     pairs = stored(_neighbours(regions, percent), "near-pairs")
@@ -342,11 +337,11 @@ def _large_regions(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     dense = stored(about.join(sets, "cid"), "near-dense")
     if dense.isEmpty():
         return spark.createDataFrame([], "a long, b long, d int, l long, m long")
-    counted = dense.select("shingles").mapInArrow(_bucket_counts, "bucket int, k long").groupBy("bucket").agg(F.sum("k").alias("k")).toPandas()  # at most BUCKETS rows
+    counted = dense.select("shingles").mapInArrow(giving_back(_bucket_counts), "bucket int, k long").groupBy("bucket").agg(F.sum("k").alias("k")).toPandas()  # at most BUCKETS rows
     counts = np.zeros(BUCKETS, np.int64)
     counts[counted["bucket"].to_numpy()] = counted["k"].to_numpy()
     shared = spark.sparkContext.broadcast(counts)  # 8 bytes a bucket
-    rows = stored(dense.select("cid", "l", "shingles").mapInArrow(_prefixes(shared, percent), "cid long, l long, n long, shingle long, left long, short boolean"), "near-prefixes")
+    rows = stored(dense.select("cid", "l", "shingles").mapInArrow(giving_back(_prefixes(shared, percent)), "cid long, l long, n long, shingle long, left long, short boolean"), "near-prefixes")
     per = rows.groupBy("shingle", "l").agg(F.count(F.lit(1)).alias("k"))
     per = per.groupBy("shingle").agg(F.max(F.struct("k", "l")).alias("m"), F.sum("k").alias("k")).where("k > m.k")
     per = stored(per.select("shingle", F.col("m.l").alias("main"), F.ceil(F.col("k") / BLOCK).alias("parts")), "near-shingles")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stored, text_chunks
+from .common import giving_back, ranked, small_batches, stored, text_chunks
 
 CAPACITY = 2048
 #: Texts of these characters are in normal form, their lower case does not depend on context, and
@@ -207,11 +207,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stored(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pack-pieces")
+    with small_batches(docs.sparkSession):
+        pieces = stored(rows.mapInArrow(giving_back(_pieces(tokenizer_path, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     if not counts:
         return pieces.selectExpr("*", "0L as sequence_id", "0L as offset")
     places = _places(combinations(counts, capacity))
     order = [F.coalesce("doc_id", F.lit(-1)), F.col("piece"), F.col("ids_crc32")]
     placed = stored(ranked(pieces, ["length"], order, F.lit(1).cast("long"), "rank", sum(counts.values())), "pack-ranks")
-    return placed.mapInArrow(_place(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.mapInArrow(giving_back(_place(places)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

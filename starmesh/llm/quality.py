@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stored
+from .common import BROADCAST_ROWS, give_back, stored
 
 UPPER = bytes(range(65, 91))
 SYMBOLS = b"%$#&*@^~=+<>{}[]\\/_|!"
@@ -177,6 +177,7 @@ def scorer(model: dict):
             x = np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))
             # Row by row, so that a score does not depend on the rows beside it.
             yield pd.Series(1 / (1 + np.exp(-np.clip(((x - mean) * w).sum(axis=1) - cut + base, -30, 30))))
+        give_back()
 
     return score
 

@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 from pathlib import Path
 
@@ -9,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from starmesh.llm import chat, media, mixing, packing, queries, urls, warc
+from starmesh.llm import chat, common, media, mixing, packing, queries, urls, warc
 
 TEXTS = [(1, "hello world"), (2, None), (3, ""), (4, "hello world"), (5, "x" * 64), (6, "ü" * 100000), (7, "a b " * 30000), (7, "a b " * 30000), (None, "no id")]
 
@@ -412,3 +414,42 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(rows["mixing"]["doc_id"]) <= set(rows["near_dedup"]["doc_id"]) and rows["mixing"]["doc_id"].value_counts().max() <= 2
     pieces = pd.DataFrame(rows["packing"])
     assert set(pieces["doc_id"]) == set(rows["mixing"]["doc_id"])
+
+
+_KEPT = """
+import re, sys
+import numpy as np, pyarrow as pa
+from starmesh.llm import near_dedup, packing, queries
+from starmesh.llm.common import giving_back
+
+def held():
+    return sum(map(int, re.findall(r"\\nAnonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+words = [f"word{i}" for i in range(5000)]
+texts = [" ".join(words[i % 97 : i % 97 + 50 + 7 * i % 3000]) for i in range(1000)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["doc_id", "text"])
+few = batch.slice(0, 1)
+for step in (near_dedup._sign(5), near_dedup._sets(5), packing._pieces(queries.tokenizer_path(), 2048, 0)):
+    list(giving_back(step)(iter([few])))
+    before = held()
+    rows = sum(x.num_rows for x in giving_back(step)(batch for _ in range(3)))
+    print(rows, held() - before)
+"""
+
+
+def test_workers_keep_little_memory():
+    out = subprocess.run([sys.executable, "-c", _KEPT], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True, timeout=300).stdout
+    kept = [tuple(map(float, line.split())) for line in out.splitlines()]
+    assert len(kept) == 3 and all(rows >= 3000 and mb < 16 for rows, mb in kept), kept
+
+
+def test_small_batches_also_where_there_is_no_bound(spark):
+    old = spark.conf.get(common.BATCH_KEY)
+    try:
+        for value, inside in (("0", "1000"), ("-1", "1000"), ("10", "10"), ("10000", "1000")):
+            spark.conf.set(common.BATCH_KEY, value)
+            with common.small_batches(spark):
+                assert spark.conf.get(common.BATCH_KEY) == inside
+            assert spark.conf.get(common.BATCH_KEY) == value
+    finally:
+        spark.conf.set(common.BATCH_KEY, old)

@@ -13,6 +13,11 @@ again, whole, in a way that depends on how dense the region is:
   shingles among the first n - ceil(t * n) + 1 of the other, at places that leave enough shingles
   after them. A template's shingles come last: unless it alone makes sets so similar, what makes
   documents alike is found without comparing all of a region.
+* Before that join, sets around a common centre are linked through one of them. Of the sets with one
+  shingle in their prefixes a sample gives the centre, the shingles of most of them. Two sets differ
+  by no more shingles than they differ from the centre together; where that is little enough they are
+  linked, and all sets of such pairs are linked with the one that is closest to the centre too. So a
+  link with that one stands for all pairs, and the join needs to find only what is farther off.
 
 Where two components have many candidates, the two closest are confirmed first, and the others only
 if the components are still apart. So a pair is missed only if it shares no region in any tree, however dense a region is: at
@@ -49,6 +54,8 @@ NEXT = 2
 SKETCH_BITS = 256
 #: Text bytes handled at once; arrays of up to 8 bytes a byte are made of them.
 CHUNK = 1 << 19
+#: A shingle in more prefixes than HOT has a centre, from about so many sets.
+HOT, CENTRE = 128, 16
 #: Buckets in which shingles are counted for the prefix filter's order, and rows of a block of its join.
 BUCKETS, BLOCK = 1 << 20, 2048
 
@@ -255,11 +262,18 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     closest = F.row_number().over(W.partitionBy("c").orderBy("d", "a", "b"))
     links = confirm(ends.withColumn("n", closest).where("n <= 2").select("a", "b").distinct())
     label = stored(connected_components(links, contract=True), "near-labels")
-    named = regions.join(label.toDF("cid", "l"), "cid", "left").withColumn("l", F.coalesce("l", "cid"))
-    mixed = named.groupBy("region").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo != hi").select("region")
-    named = stored(named.join(mixed, "region", "left_semi"), "near-mixed")
-    found = stored(_small_regions(named, percent).union(_large_regions(named, sets, percent)).distinct(), "near-candidates")
     stars = lambda of: of.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    named = _mixed(regions, label)
+    found = _small_regions(named, percent)
+    dense = stored(named.where(F.col("size") > REGION).select("cid").distinct().join(sets, "cid"), "near-dense")
+    if not dense.isEmpty():
+        prefixes = _prefix_rows(dense, percent)
+        hubs = confirm(_hubs(_labelled(prefixes, named), dense, percent))
+        if not hubs.isEmpty():
+            label = stored(connected_components(stars(label).union(hubs), contract=True), "near-labels")
+            named = _mixed(regions, label)
+        found = _small_regions(named, percent).union(_large_regions(named, _labelled(prefixes, named), percent))
+    found = stored(found.distinct(), "near-candidates")
     closest = F.row_number().over(W.partitionBy("l", "m").orderBy("d", "a", "b"))
     more = confirm(found.withColumn("n", closest).where("n <= 2"))
     if not more.isEmpty():
@@ -290,6 +304,13 @@ def _regions(first: DataFrame) -> DataFrame:
     return rows.join(sizes, "region").join(first.select("cid", "n", "s"), "cid")
 
 
+def _mixed(regions: DataFrame, label: DataFrame) -> DataFrame:
+    """The regions whose sets lie in different components, with each set's component l."""
+    named = regions.join(label.toDF("cid", "l"), "cid", "left").withColumn("l", F.coalesce("l", "cid"))
+    mixed = named.groupBy("region").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo != hi").select("region")
+    return stored(named.join(mixed, "region", "left_semi"), "near-mixed")
+
+
 def _neighbours(regions: DataFrame, percent: int) -> DataFrame:
     """(a, b, d): distinct pairs next to each other in a region's order, and with the first set of a
     region that is ordered in parts; d is the sketches' distance."""
@@ -325,23 +346,72 @@ def _filtered(both: DataFrame, percent: int) -> DataFrame:
     return both.where(_alike(percent)).select("a", "b", _distance().alias("d"), F.least("a_l", "b_l").alias("l"), F.greatest("a_l", "b_l").alias("m"))
 
 
-def _large_regions(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _labelled(prefixes: DataFrame, named: DataFrame) -> DataFrame:
+    """The prefixes of the sets of the larger regions, with their components l."""
+    return prefixes.join(named.where(F.col("size") > REGION).groupBy("cid").agg(F.max("l").alias("l")), "cid")
+
+
+def _prefix_rows(dense: DataFrame, percent: int) -> DataFrame:
+    """(cid, n, shingle, left, short): see _prefixes. Shingles are ordered by how many of these sets have them."""
+    counted = dense.select("shingles").mapInArrow(giving_back(_bucket_counts), "bucket int, k long").groupBy("bucket").agg(F.sum("k").alias("k")).toPandas()  # at most BUCKETS rows
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[counted["bucket"].to_numpy()] = counted["k"].to_numpy()
+    shared = dense.sparkSession.sparkContext.broadcast(counts)  # 8 bytes a bucket
+    return stored(dense.select("cid", "shingles").mapInArrow(giving_back(_prefixes(shared, percent)), "cid long, n long, shingle long, left long, short boolean"), "near-prefixes")
+
+
+def _hubs(rows: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that a centre shows to be links, one for two components.
+
+    The sets with a shingle in their prefix are compared with its centre; those that with the closest
+    one differ from it by no more than a link may are paired with the closest one. Any centre is right.
+    """
+    hot = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("l").alias("lo"), F.max("l").alias("hi")).where((F.col("k") > HOT) & (F.col("lo") != F.col("hi")))
+    members = stored(rows.select("shingle", "cid", "l").join(hot.select("shingle", "k"), "shingle"), "near-hot")
+    some = members.where(F.pmod(F.xxhash64("cid"), F.ceil(F.col("k") / CENTRE)) == 0).select("shingle", "cid")
+    held = some.join(dense, "cid").select("shingle", "shingles").mapInArrow(giving_back(_each), "shingle long, one long")
+    often = held.groupBy("shingle", "one").agg(F.count(F.lit(1)).alias("k")).join(some.groupBy("shingle").agg(F.count(F.lit(1)).alias("of")), "shingle").where("2 * k > of")
+    centres = stored(often.groupBy("shingle").agg(F.sort_array(F.collect_list("one")).alias("centre")), "near-centres")
+    far = members.join(dense, "cid").join(centres, "shingle").select("shingle", "cid", "l", "shingles", "centre")
+    far = stored(far.mapInArrow(giving_back(_off_centre(percent)), "shingle long, cid long, l long, w long"), "near-off-centre")
+    hub = far.groupBy("shingle").agg(F.min(F.struct("w", "cid", "l")).alias("h"))
+    tied = far.join(hub, "shingle").where("w + h.w <= 0 and l != h.l")
+    ends = tied.select(F.least("cid", "h.cid").alias("a"), F.greatest("cid", "h.cid").alias("b"), F.least("l", "h.l").alias("l"), F.greatest("l", "h.l").alias("m"))
+    return ends.groupBy("l", "m").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows shingle, shingles: a row for each of the set's shingles."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), batch.column(0)[i].as_py())), pa.array(x)], names=["shingle", "one"])
+
+
+def _off_centre(percent: int):
+    """Rows shingle, cid, l, shingles, centre: w, so that two sets are linked if their sum is not over
+    0. Sets of sizes n and m that differ by d shingles are linked if (100 + percent) * d is at most
+    (100 - percent) * (n + m); d is at most the sum of what each differs from the centre by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off = []
+            for i in range(batch.num_rows):
+                x, y = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64), batch.column(4)[i].values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                off.append((100 + percent) * (len(x) + len(y) - 2 * both) - (100 - percent) * len(x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(off, pa.int64())], names=["shingle", "cid", "l", "w"])
+
+    return run
+
+
+def _large_regions(named: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(a, b, d, l, m): pairs of sets of the larger regions, in different components l and m, that
     share a shingle of their prefixes and pass the filters.
 
     For each shingle the component with most of its sets is not compared with itself. Where many
     sets have a shingle in their prefix, both sides are dealt to parts, and each pair of parts is a block.
     """
-    spark = named.sparkSession
-    about = named.where(F.col("size") > REGION).groupBy("cid").agg(F.max("l").alias("l"))
-    dense = stored(about.join(sets, "cid"), "near-dense")
-    if dense.isEmpty():
-        return spark.createDataFrame([], "a long, b long, d int, l long, m long")
-    counted = dense.select("shingles").mapInArrow(giving_back(_bucket_counts), "bucket int, k long").groupBy("bucket").agg(F.sum("k").alias("k")).toPandas()  # at most BUCKETS rows
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[counted["bucket"].to_numpy()] = counted["k"].to_numpy()
-    shared = spark.sparkContext.broadcast(counts)  # 8 bytes a bucket
-    rows = stored(dense.select("cid", "l", "shingles").mapInArrow(giving_back(_prefixes(shared, percent)), "cid long, l long, n long, shingle long, left long, short boolean"), "near-prefixes")
     per = rows.groupBy("shingle", "l").agg(F.count(F.lit(1)).alias("k"))
     per = per.groupBy("shingle").agg(F.max(F.struct("k", "l")).alias("m"), F.sum("k").alias("k")).where("k > m.k")
     per = stored(per.select("shingle", F.col("m.l").alias("main"), F.ceil(F.col("k") / BLOCK).alias("parts")), "near-shingles")
@@ -381,7 +451,7 @@ def _prefixes(shared, percent: int):
         for batch in batches:
             at, n, own, left, short = [], [], [], [], []
             for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+                x = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
                 size = len(x) + (-percent * len(x)) // 100 + 1
                 order = np.lexsort((x, counts[x & np.uint64(BUCKETS - 1)]))[:size]
                 own.append(x[order].view(np.int64))
@@ -391,7 +461,7 @@ def _prefixes(shared, percent: int):
                 short.append(np.arange(size) < len(x) + (-2 * percent * len(x)) // (100 + percent) + 1)
             if at:
                 where = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), *(pa.array(np.concatenate(c)) for c in (n, own, left, short))], names=["cid", "l", "n", "shingle", "left", "short"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), *(pa.array(np.concatenate(c)) for c in (n, own, left, short))], names=["cid", "n", "shingle", "left", "short"])
 
     return run
 

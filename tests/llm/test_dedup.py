@@ -159,6 +159,29 @@ def test_dense_template_and_repeated_ids(docs_of, spark):
     assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(again, shingle=5).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
 
 
+def test_copies_around_a_centre_are_not_compared_with_each_other(docs_of, monkeypatch):
+    rng = random.Random(8)
+    base = [f"c{i}" for i in range(150)]
+    rows = []
+    for i in range(400):  # the base, and copies with one to six other words; up to three are few enough for a link with it
+        own = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 7) if i else 0):
+            own[at] = f"e{rng.randrange(40)}"
+        rows.append((i * 7, " ".join(own)))
+    counts, stored, neighbours = {}, near_dedup.stored, near_dedup._neighbours
+
+    def counted(df, name):
+        out = stored(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    # The first pass leaves most sets apart.
+    monkeypatch.setattr(near_dedup, "_neighbours", lambda regions, percent: neighbours(regions, percent).where("(a + b) % 5 = 0"))
+    assert near(near_dedup.near_duplicates(docs_of(rows), shingle=5)) == brute_near(rows, 5, 80)
+    assert counts["near-candidates"][0] < 25 * len(rows)
+
+
 def exact_links(texts, size, percent):
     """Pairs of different sets at the similarity, by a plain prefix filter over all texts."""
     sets = sorted({frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) or frozenset({tuple(w)}) for t in texts if (w := (t or "").encode().lower().split())}, key=lambda s: (len(s), sorted(s)[0]))

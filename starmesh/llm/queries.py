@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, media, mixing, near_dedup, packing, quality, toxicity, urls, warc
+from . import chat, clustering, decontaminate, exact_dedup, fim, media, mixing, near_dedup, packing, quality, toxicity, urls, warc
 
 #: Words of a shingle that op2's contract asks for.
 OP2_SHINGLE = 2
@@ -68,8 +68,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.summary(*clustering.clusters(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_toxicity, op4_media, op5_mixing, op6_packing, op7_quality, op8_chat, op9_urls, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_toxicity, op4_media, op5_mixing, op6_packing, op7_quality, op8_chat, op9_urls, op10_warc, op11_fim, op12_decontamination, op13_clustering)}
 
 
 _OP1 = r"""
@@ -162,5 +175,81 @@ FROM q
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), k AS (
+  SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n,
+         list_transform([0, 1, 2, 3], lambda i: CAST('0x' || substr(h, 1 + 8 * CAST(i AS INTEGER), 8) AS BIGINT)) AS r
+  FROM d
+), f AS (
+  SELECT doc_id, t, u, n, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+              WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM k
+), c AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM f
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), g AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), x AS (
+  SELECT row_no, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM (SELECT row_no, w, s.size, unnest(range(1, len(w) - s.size + 2)) AS i FROM d, (SELECT DISTINCT size FROM g) s)
+), h AS (
+  SELECT x.row_no, x.i, x.size, g.item FROM x JOIN g ON g.gram = x.gram AND g.size = x.size
+), n AS (
+  SELECT row_no, count(DISTINCT word) AS n_hit FROM (SELECT row_no, unnest(range(i, i + size)) AS word FROM h) GROUP BY row_no
+), t AS (
+  SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_no, item FROM h) GROUP BY row_no
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (row_no) LEFT JOIN t USING (row_no)
+"""
+
+
+def _op13() -> str:
+    """Ten rounds, written out. The nearest of eight centroids is the least of 8 * distance + number."""
+    near = "min(8 * list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) + k)"
+    steps = []
+    for r in range(11):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT row_no, CAST({near} AS BIGINT) AS m FROM e CROSS JOIN c{r} GROUP BY row_no)")
+        if r < 10:
+            sums = f"SELECT m % 8 AS k, i, sum(v[i]) AS s, count(*) AS n FROM a{r} JOIN e USING (row_no), range(1, 65) t(i) GROUP BY ALL"
+            means = f"SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM ({sums}) GROUP BY k"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.k, coalesce(q.c, o.c) AS c FROM c{r} o LEFT JOIN ({means}) q USING (k))")
+    return """
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), v) - 1 AS k, v AS c FROM e QUALIFY k < 8
+), """ + ", ".join(steps) + """, f AS (SELECT row_no, m % 8 AS k, m // 8 AS distance FROM a10)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM f JOIN e USING (row_no) JOIN c10 USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op8_chat": _OP8, "op9_urls": _OP9, "op10_warc": _OP10}
+    return {"op11_fim": _OP11, "op12_decontamination": _OP12, "op13_clustering": _op13(), "op1_exact_dedup": _OP1, "op8_chat": _OP8, "op9_urls": _OP9, "op10_warc": _OP10}

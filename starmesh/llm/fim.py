@@ -26,7 +26,7 @@ def _draws(doc_id: Column, seed: int) -> list[Column]:
 
 
 def cut_requests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, rate: int = RATE, suffix_first: int = SUFFIX_FIRST) -> DataFrame:
-    """(row_no, doc_id, text, n, form, first, last): each text, its number of units, what form it gets,
+    """(doc_id, text, n, form, first, last): each text, its number of units, what form it gets,
     and after how many units its prefix and its middle end."""
     doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     h1, h2, h3, h4 = _draws(F.col("doc_id"), seed)
@@ -36,12 +36,11 @@ def cut_requests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         plain = plain | F.contains("text", F.lit(mark))
     form = F.when(plain, "plain").when(h4 % 100 < suffix_first, "spm").otherwise("psm")
     a, b = h1 % (F.col("n") + 1), h2 % (F.col("n") + 1)
-    return rows.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text", "n", form.alias("form"), F.least(a, b).alias("first"), F.greatest(a, b).alias("last"))
+    return rows.select("doc_id", "text", "n", form.alias("form"), F.least(a, b).alias("first"), F.greatest(a, b).alias("last"))
 
 
-def cut_offsets(rows: DataFrame) -> DataFrame:
-    """(row_no, first_at, last_at): the cuts of the rows that are not plain, in code points."""
-    cut = rows.where("form != 'plain'")
+def cut_offsets(cut: DataFrame) -> DataFrame:
+    """(row_no, first_at, last_at): the cuts of texts, in code points."""
     # Texts are dealt before they become rows of units, so that these need no shuffle. A text's units
     # are no more than its characters; texts, not units, are what a task holds many of.
     lengths = F.transform(F.slice(F.regexp_extract_all("text", F.lit(UNIT_REGEX), F.lit(0)), F.lit(1), F.col("last").cast("int")), F.length)
@@ -63,18 +62,22 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain. Null is the empty text, and a null id draws as an empty one; repeated rows give equal
     results. Parts may be empty. An empty table gives an empty result; other columns are ignored.
     """
-    rows = stored(cut_requests(docs, id_col, text_col, seed, rate, suffix_first), "fim-rows")
-    offsets = cut_offsets(rows)
+    rows = cut_requests(docs, id_col, text_col, seed, rate, suffix_first)
+    names = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output")
+    none = F.lit(None).cast("long")
+    plain = rows.where("form = 'plain'").select("doc_id", "n", "form", none.alias("prefix_chars"), none.alias("middle_chars"), F.col("text").alias("output"))
+    cut = stored(rows.where("form != 'plain'").withColumn("row_no", F.monotonically_increasing_id()), "fim-rows")
+    offsets = cut_offsets(cut)
     if offsets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    rows = rows.join(offsets, "row_no", "left").withColumn("first_at", F.coalesce("first_at", F.lit(0)).cast("int")).withColumn("last_at", F.coalesce("last_at", F.lit(0)).cast("int"))
+    rows = cut.join(offsets, "row_no", "left").withColumn("first_at", F.coalesce("first_at", F.lit(0)).cast("int")).withColumn("last_at", F.coalesce("last_at", F.lit(0)).cast("int"))
     prefix = F.substring("text", F.lit(1), F.col("first_at"))
     middle = F.substring("text", F.col("first_at") + 1, F.col("last_at") - F.col("first_at"))
     suffix = F.substring("text", F.col("last_at") + 1, F.length("text"))
     psm = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)
     spm = F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle)
-    cut = F.col("form") != "plain"
-    return rows.select("doc_id", "n", "form", F.when(cut, F.col("first_at").cast("long")).alias("prefix_chars"), F.when(cut, (F.col("last_at") - F.col("first_at")).cast("long")).alias("middle_chars"), F.when(F.col("form") == "psm", psm).when(F.col("form") == "spm", spm).otherwise(F.col("text")).alias("output"))
+    middle_chars, output = (F.col("last_at") - F.col("first_at")).cast("long"), F.when(F.col("form") == "psm", psm).otherwise(spm)
+    return plain.union(rows.withColumn("prefix_chars", F.col("first_at").cast("long")).withColumn("middle_chars", middle_chars).withColumn("output", output).select(*names))
 
 
 def restored(output: Column, form: Column) -> Column:

@@ -4,11 +4,14 @@ A node is a prefix of z-order keys. Points are sorted once; from then on a leaf
 and what tells runs apart is how many leading bits a row shares with the next. Each partition
 finds its runs by itself. Only nodes that go on in other partitions need to be counted across
 them: they are prefixes of the partition's first or last key, of which there are as many as bits.
+They are counted in a tree: partitions in blocks on the executors, BLOCKS blocks on the driver, and
+back. Nodes of a plane are made of those of the plane below.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,6 +29,9 @@ from .points import dims
 from .tiles import segments
 from .zorder import with_position, with_zkey
 
+#: Blocks of partitions, at most, whose ends come to the driver.
+BLOCKS = 256
+_ENDS = "z long, first binary, last binary, of_first array<long>, of_last array<long>, start array<long>"
 _ZEROS = np.array([8 - int(i).bit_length() for i in range(256)])
 
 
@@ -90,36 +96,86 @@ def _ends(dim: int, total: int, n_types: int):
     return run
 
 
-def _across(rows: list, caps: Sequence[int], levels: Sequence[int | None], dim: int, total: int, n_types: int) -> dict[int, tuple[list, list, list]]:
-    """By a partition's first z-index: the depths of the nodes of its first and of its last key, on
-    each plane, and where the former begin."""
-    rows = sorted(rows, key=lambda r: r["z"])
-    first = np.array([np.frombuffer(r["first"], np.uint8) for r in rows])
-    last = np.array([np.frombuffer(r["last"], np.uint8) for r in rows])
-    bits = np.arange(total + 1)
-    of_first, of_last = (np.array([r[c] for r in rows], np.int64).reshape(len(rows), n_types, total + 1) for c in ("of_first", "of_last"))
-    start = np.array([r["start"] for r in rows], np.int64)
-    whole = common_bits(first, last, dim, total)[:, None] >= bits
-    seam = np.zeros((len(rows) + 1, total + 1), bool)
-    if len(rows) > 1:
-        seam[1:-1] = common_bits(last[:-1], first[1:], dim, total)[:, None] >= bits
-    upto, begin = of_last.copy(), start.copy()
-    for p in range(1, len(rows)):
-        on = whole[p] & seam[p]
-        upto[p] += np.where(on, upto[p - 1], 0)
-        begin[p] = np.where(on, begin[p - 1], begin[p])
-    onward = of_first.copy()
-    for p in range(len(rows) - 2, -1, -1):
-        onward[p] += np.where(whole[p] & seam[p + 1], onward[p + 1], 0)
-    out = {}
-    for p, r in enumerate(rows):
-        of_f = (onward[p] + np.where(seam[p], upto[p - 1], 0)).max(0) if p else onward[p].max(0)
-        of_l = (upto[p] + np.where(seam[p + 1], onward[p + 1], 0)).max(0) if p + 1 < len(rows) else upto[p].max(0)
-        head = np.where(seam[p], begin[p - 1], r["z"]) if p else np.full(total + 1, r["z"])
-        depth = lambda counts: [min(total, max(int(np.argmax(counts <= cap)) if (counts <= cap).any() else total, 0 if lv is None else total - lv + 1)) for cap, lv in zip(caps, levels, strict=True)]
+class _Seams:
+    """Partitions next to one another, in order, with their ends: for each number of bits how many
+    points share so many with a partition's last key up to there (upto), and from where on (begin),
+    and how many with its first key from there on (onward)."""
+
+    def __init__(self, rows: list[dict], dim: int, total: int, n_types: int):
+        self.rows = sorted(rows, key=lambda r: r["z"])
+        first, last = (np.array([np.frombuffer(r[c], np.uint8) for r in self.rows]) for c in ("first", "last"))
+        bits = np.arange(total + 1)
+        of_first, of_last = (np.array([r[c] for r in self.rows], np.int64).reshape(len(rows), n_types, total + 1) for c in ("of_first", "of_last"))
+        self.whole = common_bits(first, last, dim, total)[:, None] >= bits
+        self.seam = np.zeros((len(rows) + 1, total + 1), bool)
+        if len(rows) > 1:
+            self.seam[1:-1] = common_bits(last[:-1], first[1:], dim, total)[:, None] >= bits
+        self.upto, self.begin, self.onward = of_last, np.array([r["start"] for r in self.rows], np.int64), of_first
+        for p in range(1, len(rows)):
+            on = self.whole[p] & self.seam[p]
+            self.upto[p] += np.where(on, self.upto[p - 1], 0)
+            self.begin[p] = np.where(on, self.begin[p - 1], self.begin[p])
+        for p in range(len(rows) - 2, -1, -1):
+            self.onward[p] += np.where(self.whole[p] & self.seam[p + 1], self.onward[p + 1], 0)
+
+    def as_one(self) -> dict:
+        """The ends of all of them together."""
+        a, z = self.rows[0], self.rows[-1]
+        return {"z": a["z"], "first": a["first"], "last": z["last"], "of_first": self.onward[0].ravel().tolist(), "of_last": self.upto[-1].ravel().tolist(), "start": self.begin[-1].tolist()}
+
+    def around(self, p: int) -> list[dict]:
+        """What is before and after one of them, as partitions of which only the facing ends count."""
+        out = []
+        if p:
+            own = self.rows[p - 1]
+            out.append(own | {"first": own["last"], "of_last": self.upto[p - 1].ravel().tolist(), "start": self.begin[p - 1].tolist()})
+        if p + 1 < len(self.rows):
+            own = self.rows[p + 1]
+            out.append(own | {"last": own["first"], "of_first": self.onward[p + 1].ravel().tolist()})
+        return out
+
+    def depths(self, p: int, caps: Sequence[int], levels: Sequence[int | None], total: int) -> tuple[list[int], list[int], list[int]]:
+        """Of one partition: the depths of the nodes of its first and of its last key, on each plane,
+        and where the former begin."""
+        last = p + 1 == len(self.rows)
+        of_f = (self.onward[p] + np.where(self.seam[p], self.upto[p - 1], 0) if p else self.onward[p]).max(0)
+        of_l = (self.upto[p] + np.where(self.seam[p + 1], self.onward[p + 1], 0) if not last else self.upto[p]).max(0)
+        head = np.where(self.seam[p], self.begin[p - 1], self.rows[p]["z"]) if p else np.full(total + 1, self.rows[p]["z"])
+
+        def depth(counts: np.ndarray) -> list[int]:
+            out = []
+            for cap, lv in zip(caps, levels, strict=True):
+                few = counts <= cap
+                out.append(min(total, max(int(np.argmax(few)) if few.any() else total, 0 if lv is None else total - lv + 1)))
+            return out
+
         firsts = depth(of_f)
-        out[r["z"]] = (firsts, depth(of_l), [int(head[d]) for d in firsts])
-    return out
+        return firsts, depth(of_l), [int(head[d]) for d in firsts]
+
+
+def _across(ends: DataFrame, n: int, caps: Sequence[int], levels: Sequence[int | None], dim: int, total: int, n_types: int) -> dict[int, tuple[list, list, list]]:
+    """By a partition's first z-index, what `_Seams.depths` tells. Some kilobytes per block come to the
+    driver, and some numbers per partition, of which there are at most zorder.MOST_RANGES."""
+    spark = ends.sparkSession
+    dealt = stored(ends.withColumn("block", F.least(F.floor(F.col("z") * BLOCKS / max(1, n)), F.lit(BLOCKS - 1))), "tree-ends")
+    names = ["z", "first", "last", "of_first", "of_last", "start"]
+
+    def up(rows: pa.Table) -> pa.Table:
+        one = _Seams(rows.select(names).to_pylist(), dim, total, n_types).as_one()
+        return pa.Table.from_pylist([one | {"block": rows["block"][0].as_py()}], schema=rows.schema)
+
+    blocks = _Seams([r.asDict() for r in dealt.groupBy("block").applyInArrow(up, dealt.schema).collect()], dim, total, n_types)  # at most BLOCKS rows
+    note("tree.driver_rows", len(blocks.rows))
+    beside = spark.sparkContext.broadcast({r["block"]: blocks.around(i) for i, r in enumerate(blocks.rows)})
+
+    def down(rows: pa.Table) -> pa.Table:
+        own = rows.select(names).to_pylist()
+        mine = {r["z"] for r in own}
+        seams = _Seams(own + beside.value[rows["block"][0].as_py()], dim, total, n_types)
+        found = [{"z": r["z"], "d": seams.depths(p, caps, levels, total)} for p, r in enumerate(seams.rows) if r["z"] in mine]
+        return pa.Table.from_pylist(found, schema=pa.schema([("z", pa.int64()), ("d", pa.list_(pa.list_(pa.int64())))]))
+
+    return {r["z"]: tuple(r["d"]) for r in dealt.groupBy("block").applyInArrow(down, "z long, d array<array<long>>").collect()}
 
 
 def _runs(ends, caps: Sequence[int], levels: Sequence[int | None], dim: int, total: int, n_types: int):
@@ -180,8 +236,8 @@ def assign_nodes(placed: DataFrame, caps: Sequence[int], span: BitRange | IntRan
     levels = list(levels) if levels is not None else [None] * len(caps)
     typed = "ptype" in placed.columns
     n_types = (placed.agg(F.max("ptype")).first()[0] or 0) + 1 if typed else 1
-    ends = placed.select("zindex", "zkey", *(["ptype"] if typed else [])).mapInArrow(_ends(dim, total, n_types), "z long, first binary, last binary, of_first array<long>, of_last array<long>, start array<long>")
-    known = spark.sparkContext.broadcast(_across(ends.collect(), caps, levels, dim, total, n_types))
+    ends = placed.select("zindex", "zkey", *(["ptype"] if typed else [])).mapInArrow(_ends(dim, total, n_types), _ENDS)
+    known = spark.sparkContext.broadcast(_across(ends, placed.count(), caps, levels, dim, total, n_types))
     schema = StructType([*placed.schema.fields, *[f for i in range(len(caps)) for f in (StructField(f"node{i}", LongType()), StructField(f"depth{i}", IntegerType()))]])
     return stored(placed.mapInArrow(_runs(known, caps, levels, dim, total, n_types), schema), "tree-nodes")
 
@@ -198,9 +254,11 @@ def node_name(key: Column, depth: Column, dim: int, span: BitRange | IntRange) -
     return F.substr(key_bits(key, dim, span), F.lit(1), depth)
 
 
-def planes(n_leaves: int, max_leaf_size: int, coarse_fac: float, stop_coarsen: int) -> list[int]:
-    """Caps of the planes, finest first."""
-    n = max(1, math.ceil(math.log(max(1, n_leaves) / stop_coarsen) / math.log(coarse_fac))) if n_leaves > stop_coarsen else 1
+def planes(n_points: int, max_leaf_size: int, coarse_fac: float, stop_coarsen: int) -> list[int]:
+    """Caps of the planes, finest first: so many that the coarsest has about stop_coarsen nodes, if
+    leaves are half full."""
+    leaves = -(-n_points // max(1, max_leaf_size // 2)) + 1
+    n = max(1, math.ceil(math.log(leaves / stop_coarsen) / math.log(coarse_fac)))
     return [int(max_leaf_size * coarse_fac**p) for p in range(n)]
 
 
@@ -217,35 +275,29 @@ def build_nodes(points: DataFrame, max_leaf_size: int = 32, coarse_fac: float =
     dim, span = len(xs), span or bit_range(points, xs)
     total = key_length(dim, span)
     placed = placed_points(points, span)
-    leaved = assign_nodes(placed, [max_leaf_size], span)
-    level = None
-
-    def too_large(named: DataFrame, i: int) -> int | None:
-        lvl = (F.lit(total) - F.col(f"depth{i}")).alias("lvl")
-        return regularization_level(named.groupBy(lvl).agg(F.count(F.lit(1)).alias("weight")), *regularize)
-
-    if regularize:
-        level = too_large(leaved, 0)
-        leaved = assign_nodes(placed, [max_leaf_size], span, [level]) if level is not None else leaved
-    caps = planes(leaved.select("node0").distinct().count(), max_leaf_size, coarse_fac, stop_coarsen)
-    named, levels = leaved, [level] + [None] * (len(caps) - 1)
-    if len(caps) > 1:
-        named = assign_nodes(placed, caps, span, levels)
-        if regularize:
-            above = [too_large(named, i) for i in range(1, len(caps))]
-            # Nodes of a plane are regular above its level; those of the plane below lie in them.
-            levels = [level]
-            for lv in above:
-                floor = max((x for x in levels if x is not None), default=0)
-                levels.append(max(lv + 1, floor) if lv is not None else None)
-            named = assign_nodes(placed, caps, span, levels)
+    caps = planes(placed.count(), max_leaf_size, coarse_fac, stop_coarsen)
+    if not regularize:
+        named = assign_nodes(placed, caps, span)
+    else:
+        named = _regular(placed, caps, span, total, regularize)
     types = range((points.agg(F.max("ptype")).first()[0] or 0) + 1) if "ptype" in points.columns else ()
+    # Points are grouped once, into leaves; each plane above is made of the nodes of the one below.
+    above = [f"{c}{p}" for p in range(1, len(caps)) for c in ("node", "depth")]
+    rows = named.groupBy("node0", "depth0").agg(F.min("zkey").alias("zkey"), *[F.min(c).alias(c) for c in above], *_summary(named, xs, types))
+    rows = stored(rows.withColumnsRenamed({"node0": "first", "depth0": "depth"}), "tree-plane")
     out = None
     for p in range(len(caps)):
-        parent = F.min(f"node{p + 1}") if p + 1 < len(caps) else F.lit(None).cast("long")
-        rows = named.groupBy(F.col(f"node{p}").alias("first"), F.col(f"depth{p}").alias("depth")).agg(F.min("zkey").alias("zkey"), parent.alias("parent"), *_summary(named, xs, types))
-        rows = rows.withColumn("plane", F.lit(p))
-        out = rows if out is None else out.unionByName(rows)
+        parent = (F.col(f"node{p + 1}") if p + 1 < len(caps) else F.lit(None).cast("long")).alias("parent")
+        kept = [c for c in rows.columns if c not in above]
+        plane = rows.select(F.lit(p).alias("plane"), parent, *kept)
+        out = plane if out is None else out.unionByName(plane)
+        if p + 1 < len(caps):
+            further = [c for c in above if int(c[4:] if c[0] == "n" else c[5:]) > p + 1 and c in rows.columns]
+            rows = rows.groupBy(F.col(f"node{p + 1}").alias("first"), F.col(f"depth{p + 1}").alias("depth")).agg(F.min("zkey").alias("zkey"), *[F.min(c).alias(c) for c in further], *_merged(rows))
+            rows = stored(rows, "tree-plane")
+    if "mass" in out.columns:
+        centres = [F.when(F.col("mass") > 0, F.col(f"__m{x[1:]}") / F.col("mass")).alias(f"mass_cent{i}") for i, x in enumerate(xs)]
+        out = out.select("*", *centres).drop(*[f"__m{x[1:]}" for x in xs])
     note("tree.planes", len(caps))
     out = out.withColumn("node", node_name(F.col("zkey"), F.col("depth"), dim, span))
     geometry = node_levels(F.greatest(F.col("depth") - 2 * dim, F.lit(0)), dim, span.top)
@@ -255,15 +307,45 @@ def build_nodes(points: DataFrame, max_leaf_size: int = 32, coarse_fac: float =
     return out.select("plane", "node", "first", "parent", (F.lit(total) - F.col("depth")).alias("lvl"), *cells, *ext, *[c for c in out.columns if c not in given])
 
 
+def _regular(placed: DataFrame, caps: list[int], span: BitRange | IntRange, total: int, regularize: tuple[float, float]) -> DataFrame:
+    """assign_nodes with the levels above which nodes of each plane are too large."""
+
+    def too_large(named: DataFrame, i: int) -> int | None:
+        lvl = (F.lit(total) - F.col(f"depth{i}")).alias("lvl")
+        return regularization_level(named.groupBy(lvl).agg(F.count(F.lit(1)).alias("weight")), *regularize)
+
+    leaved = assign_nodes(placed, caps[:1], span)
+    level = too_large(leaved, 0)
+    levels = [level] + [None] * (len(caps) - 1)
+    if level is None and len(caps) == 1:
+        return leaved
+    named = assign_nodes(placed, caps, span, levels)
+    if len(caps) == 1:
+        return named
+    above = [too_large(named, i) for i in range(1, len(caps))]
+    # Nodes of a plane are regular above its level; those of the plane below lie in them.
+    levels = [level]
+    for lv in above:
+        floor = max((x for x in levels if x is not None), default=0)
+        levels.append(max(lv + 1, floor) if lv is not None else None)
+    return assign_nodes(placed, caps, span, levels)
+
+
 def _summary(named: DataFrame, xs: list[str], types) -> list[Column]:
+    """Of points: what nodes have, in a form that nodes can be merged by."""
     cols = [F.count(F.lit(1)).alias("npart"), *[F.count_if(F.col("ptype") == t).alias(f"npart_{t}") for t in types]]
     cols += [f(x).alias(f"{k}{x[1:]}") for x in xs for k, f in (("lo", F.min), ("hi", F.max))]
     if "mass" in named.columns:
-        mass = F.sum("mass")
-        cols += [mass.alias("mass"), *[F.when(mass > 0, F.sum(F.col("mass") * F.col(x)) / mass).alias(f"mass_cent{i}") for i, x in enumerate(xs)]]
+        cols += [F.sum("mass").alias("mass"), *[F.sum(F.col("mass") * F.col(x)).alias(f"__m{x[1:]}") for x in xs]]
     return cols
 
 
+def _merged(nodes: DataFrame) -> list[Column]:
+    """The same of nodes: counts and moments add up, boxes grow."""
+    how = {"lo": F.min, "hi": F.max, "npart": F.sum, "mass": F.sum, "__m": F.sum}
+    return [f(c).alias(c) for c in nodes.columns for k, f in how.items() if re.fullmatch(rf"{k}(_?\d+)?", c)]
+
+
 def level_histogram(nodes: DataFrame, weight: Column | None = None) -> DataFrame:
     """(lvl, weight): nodes, or points, per level."""
     return nodes.groupBy("lvl").agg(F.sum(weight if weight is not None else F.lit(1)).cast("long").alias("weight"))

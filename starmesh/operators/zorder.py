@@ -10,8 +10,8 @@ from starmesh.plans.shared import stored
 
 from .points import dims, union_types
 
-#: Rows of a range partition, about.
-RANGE_ROWS = 100_000
+#: Rows of a range partition, about, and how many ranges there are at most: of more rows ranges are larger.
+RANGE_ROWS, MOST_RANGES = 100_000, 100_000
 #: Bits in which monotonically_increasing_id counts the rows of a partition.
 ROW_BITS = 33
 
@@ -31,11 +31,11 @@ def with_position(df: DataFrame, by: list[str], out: str, n_rows: int | None = N
     """Adds the global row number, from 0, in the order of `by`.
 
     Rows are dealt to ranges, as many as the rows need, and sorted there: one shuffle. Each range
-    numbers its rows as it writes them; the ranges' sizes, one row each, are added up on the
-    driver and come back as a small map. Equal rows of `by` keep together.
+    numbers its rows as it writes them; the ranges' sizes, MOST_RANGES rows at most, are added up on
+    the driver and come back as a small map. Equal rows of `by` keep together.
     """
     n = df.count() if n_rows is None else n_rows
-    parts = max(1, -(-n // RANGE_ROWS))
+    parts = min(MOST_RANGES, max(1, -(-n // RANGE_ROWS)))
     dealt = df.repartitionByRange(parts, *by) if parts > 1 else df.coalesce(1)
     dealt = stored(dealt.sortWithinPartitions(*by).withColumn(out, F.monotonically_increasing_id()), "zorder-ranges")
     if parts == 1:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from starmesh.plans.shared import shared_dir
+from starmesh.plans.skew import by_degree
 
 #: Edges of a partition that are contracted at once.
 BLOCK = 2_000_000
@@ -53,8 +54,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", contract:
     that can be reached.
 
     Ids are BIGINT. Loops, repeated edges and nulls are ignored; direction does not matter. Both
-    steps reduce by partial aggregates and join the minimum back, so a hub's edges are never
-    gathered in one task. Each round is written to the shared folder. The number of rounds grows
+    steps reduce by partial aggregates and bring the minimum back to the edges; to those of a hub it is
+    broadcast (`by_degree`), so they are never gathered in one task. Each round is written to the shared folder. The number of rounds grows
     with the logarithm of the longest path, not with its length. With contract each partition's
     edges are first replaced by stars of the same components, in Arrow blocks, and once fewer than
     BLOCK edges are left, a single task ends the rounds; without it only DataFrame operations are used.
@@ -77,11 +78,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", contract:
         if contract and last["n"] < BLOCK:
             now, last = kept(now.coalesce(1).mapInArrow(_contract, "u long, v long"))
             break
+        n = last["n"] if last is not None else now.count()
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = by_degree(both.where("v > u"), least, "u", "degree", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+        small = by_degree(large, least, "u", "degree", n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = least.select("u", F.col("m").alias("v"))
         now, found = kept(small.union(least))
         if found == last:
             break

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from starmesh.functions.geometry import into_box, wrap_centred
 from starmesh.plans.observed import note
 from starmesh.plans.shared import stored
+from starmesh.plans.skew import by_degree
 
 from .components import connected_components, contracted
+from .index import PointIndex
 from .points import dims
 from .tiles import UNITS, Boxes, boxes_in, chunk_leaves, differences, few_in_chunks, in_chunks, leaf_nodes, plane_of, row_distances, tile_leaves, with_leaves
 from .walk import Rule, begin, frame_of, refined, start_plane
@@ -310,22 +312,27 @@ def label_map(leaved: DataFrame, n: int, rlink: float, boxsize: float | None) ->
     return whole.union(found)
 
 
-def labels(points: DataFrame, rlink: float, boxsize: float | None = None, label: str = "z") -> DataFrame:
+def labels(points: DataFrame | PointIndex, rlink: float, boxsize: float | None = None, label: str = "z") -> DataFrame:
     """points with zindex and label. Points at most rlink apart are linked; groups are components.
 
     label "z" is the least zindex of the group; "input" is the id of that same point. A point
     without links is a group of its own. No task gets more than a tile and a chunk of points,
-    however dense they are.
+    however dense they are. An index is taken as it is stored, and nothing of it is sorted.
     """
-    leaved, n = with_leaves(points, LEAF)
+    if isinstance(points, PointIndex):
+        leaved, n = points.points.drop("zkey").withColumn("leaf", F.floor(F.col("zindex") / LEAF)), points.n
+    else:
+        leaved, n = with_leaves(points, LEAF)
     if not n:
         return leaved.drop("leaf").withColumn("label", F.col("zindex" if label == "z" else "id"))
     found = label_map(leaved, n, rlink, boxsize)
     named = leaved.drop("leaf").join(found, "zindex", "left").withColumn("label", F.coalesce("component", "zindex")).drop("component")
     if label == "z":
         return named
+    named = stored(named, "fof-named")
     roots = named.where("zindex = label").select("label", F.col("id").alias("__root"))
-    return named.join(roots, "label").withColumn("label", F.col("__root")).drop("__root")
+    sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("__size"))
+    return by_degree(named, roots.join(sizes, "label"), "label", "__size", n).withColumn("label", F.col("__root")).drop("__root", "__size")
 
 
 def group_order(labelled: DataFrame) -> DataFrame:
@@ -340,17 +347,19 @@ def catalogue(labelled: DataFrame, boxsize: float | None = None, npart_min: int
 
     offset is the group's first row in group order, small groups included. Means are taken
     relative to the root, which makes them right across a periodic boundary; weights are masses,
-    or 1 without.
+    or 1 without. A group may hold any share of the points: what points need to know of a large one
+    is broadcast to them.
     """
     xs = dims(labelled)
     vs = [f"v{i}" for i in range(len(xs)) if f"v{i}" in labelled.columns]
     has = lambda c: c in labelled.columns
     m = F.col("mass") if has("mass") else F.lit(1.0)
-    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+    sizes = stored(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("count")), "fof-group-sizes")
     groups = offsets(sizes, "label", "count").where(F.col("count") >= npart_min)
     roots = labelled.where("zindex = label").select(F.col("label").alias("__l"), *[F.col(c).alias(f"__0{c}") for c in xs + vs])
     groups = stored(groups.join(roots, groups.label == F.col("__l")).drop("__l"), "fof-groups")
-    rows = labelled.join(groups, "label")
+    n = sizes.agg(F.sum("count")).first()[0] or 0
+    rows = by_degree(labelled, groups, "label", "count", n)
     dx = [wrap_centred(F.col(x) - F.col(f"__0{x}"), boxsize) for x in xs]
     sums: list[Column] = [F.sum(m).alias("__m"), *[F.sum(m * d).alias(f"__s{x}") for d, x in zip(dx, xs, strict=True)], *[F.sum(m * (F.col(v) - F.col(f"__0{v}"))).alias(f"__s{v}") for v in vs]]
     if has("v_rad"):
@@ -360,14 +369,14 @@ def catalogue(labelled: DataFrame, boxsize: float | None = None, npart_min: int
     whole = rows.groupBy("label").agg(*sums).join(groups, "label")
     com = [into_box(F.col(f"__0{x}") + F.col(f"__s{x}") / F.col("__m"), boxsize).alias(f"com_pos{i}") for i, x in enumerate(xs)]
     whole = stored(whole.select("label", "count", "offset", "__m", *com, *[(F.col(f"__0{v}") + F.col(f"__s{v}") / F.col("__m")).alias(f"com_vel{i}") for i, v in enumerate(vs)], *([(F.col("__vrad") / F.col("__m")).alias("v_rad")] if has("v_rad") else []), *([(F.col("__scale") / F.col("__m")).alias("scale_factor")] if has("zplus1") else [])), "fof-means")
-    centres = whole.select("label", *[F.col(f"com_pos{i}").alias(f"__c{i}") for i in range(len(xs))])
+    centres = whole.select("label", "count", *[F.col(f"com_pos{i}").alias(f"__c{i}") for i in range(len(xs))])
     off = [wrap_centred(F.col(x) - F.col(f"__c{i}"), boxsize) for i, x in enumerate(xs)]
-    spread = labelled.join(centres, "label").groupBy("label").agg((F.sum(m * reduce(lambda s, t: s + t, [d * d for d in off])) / F.sum(m)).alias("__r2"))
+    spread = by_degree(labelled, centres, "label", "count", n).groupBy("label").agg((F.sum(m * reduce(lambda s, t: s + t, [d * d for d in off])) / F.sum(m)).alias("__r2"))
     out = whole.join(spread, "label").withColumn("com_inertia_radius", F.sqrt("__r2")).drop("__r2")
     return out.withColumnRenamed("__m", "mass") if has("mass") else out.drop("__m")
 
 
-def labels_and_catalogue(points: DataFrame, rlink: float, boxsize: float | None = None, npart_min: int = 20) -> tuple[DataFrame, DataFrame]:
+def labels_and_catalogue(points: DataFrame | PointIndex, rlink: float, boxsize: float | None = None, npart_min: int = 20) -> tuple[DataFrame, DataFrame]:
     """Points in group order (column row), and the catalogue."""
     named = stored(labels(points, rlink, boxsize), "fof-labelled")
     return group_order(named), catalogue(named, boxsize, npart_min)

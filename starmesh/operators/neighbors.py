@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from starmesh.plans.observed import note
 from starmesh.plans.shared import stored
 
+from .index import PointIndex
 from .points import dims, union_types
-from .tiles import UNITS, Boxes, boxes_in, chunk_leaves, differences, few_in_chunks, in_chunks, leaf_nodes, row_distances, segments, tile_leaves, with_leaves
-from .walk import Rule, begin, frame_of, start_plane, walked
+from .runner import Tiled, tiled
+from .tiles import Boxes, boxes_in, differences, row_distances, segments, with_leaves
+from .walk import Rule
 
 #: Pairs of points measured at once.
 BLOCK = 2_000_000
@@ -45,13 +46,13 @@ class Nearest(Rule):
         return (near <= bound[:, None]).astype(np.int8)
 
 
-def _prepared(leaved: DataFrame, xs: list[str], k: int, boxsize: float | None) -> DataFrame:
+def _prepared(leaved: DataFrame, xs: list[str], k: int, boxsize: float | None, bounds: bool = True) -> DataFrame:
     """The points with two columns more, from one pass over their stored order, without a shuffle.
 
     kept: of sources at one place only the first k by id can be among k nearest; equal points are
     next to each other. A run that goes on in another segment has k kept points there again.
     bound: for a query a squared distance within which k sources are: those of its leaf and of the
-    leaves before and after it. Infinite where these are not k.
+    leaves before and after it. Infinite where these are not k, and without bounds.
     """
     typed = "ptype" in leaved.columns
     rows = leaved.select("zindex", "leaf", "id", *(["ptype"] if typed else []), *xs)
@@ -73,7 +74,7 @@ def _prepared(leaved: DataFrame, xs: list[str], k: int, boxsize: float | None) -
             first = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
             last = np.append(first[1:], len(x))
             finite = np.isfinite(x).all(1)
-            for i in range(len(first)):
+            for i in range(len(first) if bounds else 0):
                 q = np.arange(first[i], last[i])
                 q = q[asked[q] & finite[q]]
                 s = np.arange(first[max(i - 1, 0)], last[min(i + 1, len(last) - 1)])
@@ -158,62 +159,63 @@ def _tile(k: int, xs: list[str], boxsize: float | None):
     return run
 
 
-def knn_pairs(source: DataFrame, k: int, query: DataFrame | None = None, boxsize: float | None = None, leaf_size: int | None = None) -> DataFrame:
+def knn_pairs(source: DataFrame | PointIndex, k: int, query: DataFrame | PointIndex | None = None, boxsize: float | None = None, leaf_size: int | None = None) -> DataFrame:
     """(qid, rank, id, rad): for each query its k nearest sources, by distance, then id.
 
     Without query the set is joined with itself, and each point is its own first neighbour unless
     a duplicate has a smaller id. With fewer than k sources all of them are neighbours. Any number
     of dimensions; boxsize makes the domain periodic. Of equal sources only the k least ids are
-    sent anywhere, and no task gets more than a tile of queries and a chunk of sources.
+    sent anywhere, and no task gets more than a tile of queries and a chunk of sources. An index is
+    taken as it is stored: with it only queries that are not an index themselves are sorted.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    spark, xs = source.sparkSession, dims(source)
+    if isinstance(source, PointIndex):
+        src, asked, n = _of_index(source, query, k, boxsize)
+        size = (source.leaf_size, query.leaf_size if isinstance(query, PointIndex) else source.leaf_size)
+    else:
+        if isinstance(query, PointIndex):
+            query = query.points
+        size = (leaf_size or max(48, 2 * k),) * 2
+        src, asked, n = _of_points(source, query, k, boxsize, size[0])
+    schema = "qid long, rank int, id long, rad double"
+    if not min(n):
+        return asked.sparkSession.createDataFrame([], schema)
+    xs = dims(src)
+    found, many = tiled(Tiled(src, asked, (-(-n[0] // size[0]), -(-n[1] // size[1])), size, n[1], xs, boxsize, "knn"), Nearest(k), _tile(k, xs, boxsize), SCHEMA, ["bound"])
+    if many > 1:
+        found = found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("r2", "id"))).where(F.col("rank") <= k)
+    return found.select("qid", "rank", "id", F.sqrt("r2").alias("rad"))
+
+
+def _of_points(source: DataFrame, query: DataFrame | None, k: int, boxsize: float | None, size: int) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """Sources, queries, and the number of points of the order that they have together, twice."""
+    xs = dims(source)
     both = union_types(source.select("id", *xs), query.select("id", *xs)) if query is not None else source.select("id", *xs)
-    size = leaf_size or max(48, 2 * k)
     leaved, n = with_leaves(both, size, exact=False)
-    schema = "qid long, rank int, id long, rad double"
     if not n:
-        return spark.createDataFrame([], schema)
-    rule, p = Nearest(k), start_plane(-(-n // size))
+        return leaved, leaved, (0, 0)
     ready = stored(_prepared(leaved, xs, k, boxsize), "knn-points")
-    src, asked = ready.where("kept"), ready if query is None else ready.where("ptype = 1")
-    sources, receivers = leaf_nodes(src, xs), leaf_nodes(asked, xs, "bound")
-    if p:
-        sources, receivers = stored(sources, "knn-source-leaves"), stored(receivers, "knn-query-leaves")
-    per_tile = tile_leaves(n, size, spark.sparkContext.defaultParallelism)
-    q, t, _, own, others = begin(receivers, sources, rule, p, xs, boxsize)
-    note(f"knn.pairs.plane{p}", len(q))
-    if p:
-        pairs, p = walked(frame_of(spark, q, t), len(q), (len(own), len(others)), receivers, sources, rule, p, xs, boxsize, "knn")
-        each = lambda c: F.explode(F.sequence(F.col(c) * UNITS[p], F.least((F.col(c) + 1) * UNITS[p], F.lit(-(-n // size))) - 1)) if p else F.col(c)
-        need = pairs.select(each("q").alias("q"), "t").select(F.floor(F.col("q") / per_tile).alias("tile"), "t").distinct().select("tile", each("t").alias("leaf"))
-        need = in_chunks(need, chunk_leaves(size, len(xs)))
-        chunks = need.groupBy("tile").agg((F.max("chunk") + 1).alias("chunks"))
-        many, n_tiles = chunks.agg(F.max("chunks"), F.count(F.lit(1))).first()
-    else:
-        need, last = few_in_chunks(spark, q // per_tile, t, chunk_leaves(size, len(xs)))
-        many, n_tiles = max(last.values(), default=0), len(last)
-        chunks = spark.createDataFrame(pa.table({"tile": np.array(list(last.keys()), np.int64), "chunks": np.array(list(last.values()), np.int64)}))
-    note("knn.tiles", n_tiles)
-    note("knn.chunks", many or 0)
-    if not many:
-        return spark.createDataFrame([], schema)
-    halo = src.join(need, "leaf").select("tile", "chunk", "leaf", "id", *xs)
-    own = asked.select(F.floor(F.col("leaf") / per_tile).alias("tile"), "leaf", "id", "bound", *xs)
-    if many == 1:
-        own = own.withColumn("chunk", F.lit(0).cast("long"))
+    return ready.where("kept"), ready if query is None else ready.where("ptype = 1"), (n, n)
+
+
+def _of_index(index: PointIndex, query: DataFrame | PointIndex | None, k: int, boxsize: float | None) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """The same with sources in the index's order and queries in their own. Queries of their own have
+    no bound but what the walk finds."""
+    xs = index.xs
+    if not index.n:
+        return index.points, index.points, (0, 0)
+    ready = stored(_prepared(index.points, xs, k, boxsize, bounds=query is None), "knn-points")
+    if query is None:
+        return ready.where("kept"), ready, (index.n, index.n)
+    if isinstance(query, PointIndex):
+        asked, n = query.points.select("zindex", "leaf", "id", *xs), query.n
     else:
-        own = own.join(chunks, "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
-    # New column identities: both sides may come from one table.
-    halo = halo.toDF(*halo.columns)
-    found = own.groupBy("tile", "chunk").cogroup(halo.groupBy("tile", "chunk")).applyInPandas(_tile(k, xs, boxsize), SCHEMA)
-    if many > 1:
-        found = found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("r2", "id"))).where(F.col("rank") <= k)
-    return found.select("qid", "rank", "id", F.sqrt("r2").alias("rad"))
+        asked, n = with_leaves(query.select("id", *xs), index.leaf_size, exact=False)
+    return ready.where("kept"), asked.withColumn("bound", F.lit(float("inf"))), (index.n, n)
 
 
-def knn(source: DataFrame, k: int, query: DataFrame | None = None, boxsize: float | None = None, result: Sequence[str] = ("rad", "id"), reducer: Callable[[DataFrame], DataFrame] | None = None, leaf_size: int | None = None, order: str | None = None) -> DataFrame:
+def knn(source: DataFrame | PointIndex, k: int, query: DataFrame | PointIndex | None = None, boxsize: float | None = None, result: Sequence[str] = ("rad", "id"), reducer: Callable[[DataFrame], DataFrame] | None = None, leaf_size: int | None = None, order: str | None = None) -> DataFrame:
     """The k-nearest-neighbour join with the columns asked for.
 
     result may name rad, id, drad (the difference vector from query to neighbour, as an array), part
@@ -224,8 +226,10 @@ def knn(source: DataFrame, k: int, query: DataFrame | None = None, boxsize: floa
     """
     from .zorder import with_zindex
 
-    asked, xs = source if query is None else query, dims(source)
     pairs = knn_pairs(source, k, query, boxsize, leaf_size)
+    placed_by = source if isinstance(source, PointIndex) else None
+    source, query = (s.points if isinstance(s, PointIndex) else s for s in (source, query))
+    asked, xs = source if query is None else query, dims(source)
     named = [c for c in result if c not in ("rad", "id", "drad", "part", "rank_index")]
     joined = source.select("id", *dict.fromkeys(named)) if named else None
     if "part" in result:
@@ -235,7 +239,7 @@ def knn(source: DataFrame, k: int, query: DataFrame | None = None, boxsize: floa
         there = source.select("id", F.array(*xs).alias("__there"))
         joined = there if joined is None else joined.join(there, "id")
     if "rank_index" in result:
-        placed = with_zindex(source.select("id", *xs)).select("id", F.col("zindex").alias("rank_index"))
+        placed = (source if placed_by else with_zindex(source.select("id", *xs))).select("id", F.col("zindex").alias("rank_index"))
         joined = placed if joined is None else joined.join(placed, "id")
     if joined is not None:
         pairs = pairs.join(joined, "id")

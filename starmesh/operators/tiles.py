@@ -62,6 +62,20 @@ class Boxes:
             far += (d + w) ** 2
         return near * (1 - 1e-9), far * (1 + 1e-9)
 
+    def limits(self, other: Boxes) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the ends of the boxes: whatever is rounded, boxes inside these give no smaller
+        least and no larger greatest distances. So what a rule accepts for two nodes it accepts for all in them."""
+        near, far = np.zeros((len(self), len(other))), np.zeros((len(self), len(other)))
+        for i in range(self.lo.shape[1]):
+            up, down = self.hi[:, None, i] - other.lo[None, :, i], other.hi[None, :, i] - self.lo[:, None, i]
+            gap, reach = np.maximum(np.maximum(-up, -down), 0), np.maximum(up, down)
+            for shift in (-self.boxsize, self.boxsize) if self.boxsize else ():
+                gap = np.minimum(gap, np.maximum(np.maximum(-(up + shift), -(down - shift)), 0))
+                reach = np.minimum(reach, np.maximum(up + shift, down - shift))
+            near += gap * gap
+            far += reach * reach
+        return near * (1 - 1e-9), far * (1 + 1e-9)
+
     def diameters(self) -> np.ndarray:
         """Squared diameters, slightly widened."""
         return ((2 * self.half) ** 2).sum(1) * (1 + 1e-9)

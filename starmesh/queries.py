@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starmesh.functions.zkey import BitRange
-from starmesh.operators import fof, neighbors, tree, windows, zorder
+from starmesh.operators import fof, neighbors, runner, tree, windows, zorder
 from starmesh.operators.components import connected_components
+from starmesh.operators.index import build_index, merged, open_index
 from starmesh.operators.points import point_set, union_types
 
 
@@ -214,6 +215,58 @@ def components_graph(spark, d):
     return connected_components(o, contract=True)
 
 
+def knn_indexed(spark, d):
+    """From a stored index that is opened again."""
+    return rounded(neighbors.knn_pairs(open_index(spark, build_index(parts(spark, d)).path), 4))
+
+
+def knn_indexed_queries(spark, d):
+    """Suppliers that are asked for from an index of customers."""
+    s = point_set(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"])
+    return rounded(neighbors.knn_pairs(build_index(customers(spark, d)), 3, query=s))
+
+
+def fof_indexed(spark, d):
+    return fof.labels(build_index(customers(spark, d)), 1.0).select("id", "label", "zindex")
+
+
+def index_merged(spark, d):
+    """z-indices of an index of two thirds of the customers into which the others are merged."""
+    c = customers(spark, d)
+    index = build_index(c.where("id % 3 > 0"), span=ALL_BITS)
+    return merged(index, c.where("id % 3 = 0")).points.select("id", "zindex")
+
+
+RADII = (0.0, 1.0, 2.5, 10.0, 60.0, 300.0)
+
+
+def pair_counts(spark, d):
+    return runner.pair_counts(parts(spark, d), list(RADII))
+
+
+def density_customers(spark, d):
+    """How many suppliers' balances are at most 75 from each customer's, through an index."""
+    s = point_set(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"])
+    return runner.density(build_index(s), 75.0, query=customers(spark, d))
+
+
+def density_embeddings3(spark, d):
+    return runner.density(embeddings(spark, d, 3), 0.2)
+
+
+def _grid3(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", *[((F.floor(F.col("embedding")[i].cast("double") * 4096) + 4096) / 4096).alias(f"e{i}") for i in range(3)], (1.0 + F.pmod("vec_id", F.lit(3))).alias("mass"))
+    return point_set(e, "vec_id", ["e0", "e1", "e2"], ["mass"])
+
+
+def fof_catalogue_periodic(spark, d):
+    """Three dimensions in a periodic box; groups lie across its faces."""
+    _, cat = fof.labels_and_catalogue(_grid3(spark, d), 0.06, boxsize=2.0, npart_min=2)
+    return cat.select("label", "count", "offset", F.round("mass", 6).alias("mass"), *[F.round(f"com_pos{i}", 6).alias(f"com_pos{i}") for i in range(3)], F.round("com_inertia_radius", 6).alias("com_inertia_radius"))
+
+
+#: All bits that balances have, whichever customers there are.
+ALL_BITS = BitRange(16, -60)
 #: Bits of floor(price), below 2 ** 17, and size: exponents 16 to 0.
 PART_BITS = BitRange(16, 0)
 #: Bits of amounts, shifted and rounded down, below 2 ** 17.
@@ -221,7 +274,7 @@ ACCOUNT_BITS = BitRange(16, 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (knn_self_embeddings3, knn_embeddings64, knn_query_subset, knn_periodic, knn_mean_radius, knn_attributes, knn_difference, knn_supplier_customer, knn_parts_ties, fof_labels_customers, fof_periodic, fof_labels_parts, fof_labels_embeddings3, fof_sizes, fof_catalogue, fof_group_order, fof_superset, zindex_customers, zindex_parts, zindex_fractions, zindex_embeddings3, zindex_integers, search_sorted_accounts, search_leaves_parts, leaf_counts, multi_type_leaves, node_mass_centres, node_planes, level_histogram, bucket_prefix_sum, segment_sort, components_graph)
+    found = (knn_self_embeddings3, knn_embeddings64, knn_query_subset, knn_periodic, knn_mean_radius, knn_attributes, knn_difference, knn_supplier_customer, knn_parts_ties, fof_labels_customers, fof_periodic, fof_labels_parts, fof_labels_embeddings3, fof_sizes, fof_catalogue, fof_group_order, fof_superset, zindex_customers, zindex_parts, zindex_fractions, zindex_embeddings3, zindex_integers, search_sorted_accounts, search_leaves_parts, leaf_counts, multi_type_leaves, node_mass_centres, node_planes, level_histogram, bucket_prefix_sum, segment_sort, components_graph, knn_indexed, knn_indexed_queries, fof_indexed, index_merged, pair_counts, density_customers, density_embeddings3, fof_catalogue_periodic)
     return {f.__name__: f for f in found}
 
 
@@ -283,8 +336,8 @@ def _signed_z(points: str, dim: int, scale: int, top: int) -> str:
 _INTEGERS = "SELECT o_orderkey AS id, 9007199254740993 + o_orderkey * (1 - 2 * (o_orderkey % 2)) AS x0, o_custkey - 500 AS x1 FROM orders"
 _FLIPPED = "((CAST({x} AS HUGEINT) + 9223372036854775808) >> CAST(i AS INTEGER)) & 1"
 #: Nodes of all planes: the shortest prefix with at most 16, 96, 576 ... points.
-_PART_PLANES = _PART_LEAVES + """, s AS (SELECT count(DISTINCT leaf) AS n FROM leaved),
-k AS (SELECT p AS plane, CAST(floor(16 * pow(6, p)) AS BIGINT) AS cap FROM range(0, 12) t(p), s WHERE p < CASE WHEN s.n > 8 THEN greatest(1, ceil(ln(s.n / 8.0) / ln(6.0))) ELSE 1 END),
+_PART_PLANES = _PART_LEAVES + """, s AS (SELECT ceil(count(*) / 8.0) + 1 AS n FROM part),
+k AS (SELECT p AS plane, CAST(floor(16 * pow(6, p)) AS BIGINT) AS cap FROM range(0, 12) t(p), s WHERE p < greatest(1, ceil(ln(s.n / 8.0) / ln(6.0)))),
 w AS (SELECT k.plane, z.id, min(c.n) AS n FROM z CROSS JOIN k JOIN c ON substring(z.zbits, 1, c.n) = c.node AND (c.c <= k.cap OR c.n = 34) GROUP BY ALL),
 m AS (SELECT plane, substring(zbits, 1, n) AS node, n, count(*) AS npart, sum(mass * x0) AS moment FROM w JOIN z USING (id) GROUP BY ALL)
 SELECT CAST(plane AS INTEGER) AS plane, count(*) AS nodes, CAST(sum(npart) AS BIGINT) AS npart, max(npart) AS most, CAST(34 - max(n) AS INTEGER) AS lvl, round(sum(moment)::DOUBLE, 3) AS moment, CAST(0 AS BIGINT) AS outside FROM m GROUP BY plane"""
@@ -299,6 +352,33 @@ e AS (SELECT r.id, a.leaf AS lo, b.leaf AS hi, coalesce((SELECT max(n) FROM rang
 SELECT id, CASE WHEN la >= lb AND lo IS NOT NULL THEN lo ELSE hi END AS leaf FROM e"""
 
 
+_SUPPLIERS = "SELECT s_suppkey AS id, CAST(s_acctbal AS DOUBLE) AS x0 FROM supplier"
+_PAIR_COUNTS = f"""
+WITH p AS ({_PARTS}), e AS (SELECT i - 1 AS bin, [{", ".join(map(str, RADII))}][i] AS radius FROM range(1, {len(RADII) + 1}) t(i)),
+r AS (SELECT (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) AS r2 FROM p a JOIN p b ON a.id < b.id),
+c AS (SELECT (SELECT min(bin) FROM e WHERE r2 <= radius * radius) AS bin, count(*) AS pairs FROM r GROUP BY 1)
+SELECT CAST(e.bin AS INTEGER) AS bin, CAST(e.radius AS DOUBLE) AS radius, coalesce(c.pairs, 0) AS pairs FROM e LEFT JOIN c USING (bin)"""
+
+
+def _catalogue_sql(link: float = 0.06, box: float = 2.0) -> str:
+    points = "SELECT vec_id AS id, 1.0 + vec_id % 3 AS m, " + ", ".join(f"(floor(CAST(embedding[{i + 1}] AS DOUBLE) * 4096) + 4096) / 4096 AS x{i}" for i in range(3)) + " FROM embeddings"
+    near = lambda d: f"CASE WHEN {d} < -{box / 2} THEN {d} + {box} WHEN {d} >= {box / 2} THEN {d} - {box} ELSE {d} END"
+    mod = lambda x: f"(({x}) - {box} * floor(({x}) / {box}))"
+    wrapped = lambda a, b: f"({mod(f'{a} - {b} + {box / 2}')} - {box / 2})"
+    apart = " + ".join(f"pow({near(f'(a.x{i} - b.x{i})')}, 2)" for i in range(3))
+    return f"""
+WITH RECURSIVE p AS ({points}), z AS ({_signed_z("SELECT id, x0, x1, x2 FROM p", 3, 4096, 13)}),
+e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON {apart} <= {link} * {link}),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+l AS (SELECT r.a AS id, min(z.zindex) AS label FROM r JOIN z ON z.id = r.b GROUP BY r.a),
+w AS (SELECT p.*, l.label, {", ".join(f"o.x{i} AS o{i}" for i in range(3))} FROM p JOIN l USING (id) JOIN z zo ON zo.zindex = l.label JOIN p o ON o.id = zo.id),
+c AS (SELECT label, count(*) AS count, sum(m) AS mass, {", ".join(mod(f"any_value(o{i}) + sum(m * {wrapped(f'x{i}', f'o{i}')}) / sum(m)") + f" AS c{i}" for i in range(3))} FROM w GROUP BY label),
+f AS (SELECT *, coalesce(sum(count) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM c)
+SELECT f.label, any_value(f.count) AS count, any_value(off) AS offset, round(any_value(f.mass)::DOUBLE, 6) AS mass, {", ".join(f"round(any_value(c{i})::DOUBLE, 6) AS com_pos{i}" for i in range(3))},
+       round(sqrt(sum(m * ({" + ".join(f"pow({wrapped(f'x{i}', f'c{i}')}, 2)" for i in range(3))})) / sum(m)), 6) AS com_inertia_radius
+FROM f JOIN w USING (label) WHERE f.count >= 2 GROUP BY f.label"""
+
+
 def oracle_sql() -> dict[str, str]:
     e3, f1, f2 = _embedding_points(3), _FOF_1D.format(points=_CUSTOMERS, r2=1.0), _FOF_1D.format(points=_CUSTOMERS, r2=4.0)
     return {
@@ -333,6 +413,14 @@ e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON b.x0 BETWEEN a.x0 - 0.9 A
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
 c AS (SELECT a, min(b) AS least_id FROM r GROUP BY a)
 SELECT p.id, c.least_id FROM p JOIN u USING (x0, x1) JOIN c ON c.a = u.id""",
+        "knn_indexed": _knn_sql(_PARTS, _PARTS, 2, 4),
+        "knn_indexed_queries": _knn_sql(_CUSTOMERS, _SUPPLIERS, 1, 3),
+        "fof_indexed": f1 + "SELECT id, label, zindex FROM f",
+        "index_merged": f"SELECT id, row_number() OVER (ORDER BY x0, id) - 1 AS zindex FROM ({_CUSTOMERS})",
+        "pair_counts": _PAIR_COUNTS,
+        "density_customers": f"SELECT q.id, count(s.id) AS count FROM ({_CUSTOMERS}) q LEFT JOIN ({_SUPPLIERS}) s ON (q.x0 - s.x0) * (q.x0 - s.x0) <= 75.0 * 75.0 GROUP BY q.id",
+        "density_embeddings3": f"SELECT q.id, count(*) AS count FROM ({e3}) q JOIN ({e3}) s ON {' + '.join(f'(q.x{i} - s.x{i}) * (q.x{i} - s.x{i})' for i in range(3))} <= 0.2 * 0.2 GROUP BY q.id",
+        "fof_catalogue_periodic": _catalogue_sql(),
         "zindex_customers": f"SELECT id, row_number() OVER (ORDER BY x0, id) - 1 AS zindex FROM ({_CUSTOMERS})",
         "knn_difference": "SELECT qid, rank, id, d0, d1, d2, id AS part_id FROM (SELECT n.qid, n.rank, n.id, round(a.x0 - b.x0, 9) AS d0, round(a.x1 - b.x1, 9) AS d1, round(a.x2 - b.x2, 9) AS d2 FROM (" + _knn_sql(e3, e3, 3, 3, cols="qid, rank, id") + f") n JOIN ({e3}) a ON a.id = n.qid JOIN ({e3}) b ON b.id = n.id)",
         "zindex_fractions": _signed_z("SELECT c_custkey AS id, floor(c_acctbal * 4) / 4 AS x0, (c_nationkey - 12) / 2.0 AS x1 FROM customer", 2, 4, 20),

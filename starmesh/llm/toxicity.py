@@ -21,7 +21,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import stored, word_count
 from .quality import held_out
@@ -323,13 +322,32 @@ def _unmarked(sure: set[str], more: set[str]):
     return run
 
 
+def sample_within(sizes: list[tuple[int, int, int]], words: int, chain_docs: int, chain_words: int) -> dict[int, bool]:
+    """Which documents are fitted on, and whether their chains give the gradient, from (id, label, words)
+    in the sample's order. One that does not fit into a bound is passed over and takes none of it; the
+    shortest of each label is in whatever its length, so long texts alone do not leave nothing."""
+    taken: dict[int, bool] = {}
+    shortest = [min((n, at) for at, (_, y, n) in enumerate(sizes) if y == label)[1] for label in (0, 1) if any(y == label for _, y, _ in sizes)]
+    docs_left, words_left = {0: chain_docs, 1: chain_docs}, {0: chain_words // 2, 1: chain_words // 2}
+    for at in dict.fromkeys([*shortest, *range(len(sizes))]):
+        doc, y, n = sizes[at]
+        must = at in shortest
+        if n <= words or must:
+            words -= n
+            taken[doc] = must or (docs_left[y] > 0 and n <= words_left[y])
+            if taken[doc]:
+                docs_left[y] -= 1
+                words_left[y] -= n
+    return taken
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, words: int = SAMPLE_WORDS, chain_docs: int = CHAIN_DOCS, chain_words: int = CHAIN_WORDS) -> dict:
     """Marker features, chain weights and the document model, from a bounded sample of labelled rows.
 
-    The sample has at most `toxic` and `clean` labelled documents, in the order of a hash of the id
-    and as long as they have at most `words` words together; held-out ids are left out. Of these at
-    most chain_docs of each kind, with chain_words words together, are the chains that give the
-    gradient. Whole texts stay on the executors: the driver gets counts, markers, and the chains as
+    The sample has at most `toxic` and `clean` labelled documents, in the order of a hash of the id,
+    with at most `words` words together; held-out ids are left out. Of these at most chain_docs of
+    each kind, with chain_words words together, are the chains that give the gradient. A text that
+    does not fit is passed over for the next one, and only the shortest of a kind is exempt. Whole texts stay on the executors: the driver gets counts, markers, and the chains as
     numbers. Without toxic documents every score is below 0.5. Rows that repeat an id are documents
     of their own; labels that repeat one count once.
     """
@@ -339,12 +357,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = rows.where("y = 1").orderBy(*order).limit(toxic).union(rows.where("y = 0").orderBy(*order).limit(clean))
     have = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     have = stored(have.select("y", "text", "doc_id", word_count(F.col("text")).alias("n")), "toxic-sample")
-    # At most toxic + clean rows of numbers, and one window over them for each bound.
-    running = lambda *by: F.sum("n").over(W.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(W.unboundedPreceding, 0))
-    sizes = have.select("doc_id", "y", "n").withColumn("sum", running(F.lit(0))).where(F.col("sum") <= words)
-    ranks = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "n"))
-    sizes = sizes.withColumn("chain", (ranks <= chain_docs) & (running("y") <= chain_words // 2))
-    have = stored(have.join(F.broadcast(sizes.groupBy("doc_id").agg(F.max("chain").alias("chain"))), "doc_id").select("y", "text", "doc_id", "chain"), "toxic-fit")
+    # At most toxic + clean rows of numbers; repeated rows of an id are one entry.
+    sizes = have.groupBy("doc_id", "y").agg(F.sum("n").alias("n"), F.first(F.xxhash64("doc_id")).alias("h")).collect()
+    chosen = sample_within([(r["doc_id"], r["y"], r["n"]) for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"]))], words, chain_docs, chain_words)
+    chosen = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, chain boolean")
+    have = stored(have.join(F.broadcast(chosen), "doc_id").select("y", "text", "doc_id", "chain"), "toxic-fit")
     n = {r["y"]: r["n"] for r in have.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1):
         return none

@@ -117,3 +117,29 @@ def test_held_out_accuracy(spark, query, label, sf, least):
     right = (scored["predicted"] == scored[label]).mean()
     # Better than always telling the more frequent label.
     assert len(scored) > 40 and right >= least and right > max(scored[label].mean(), 1 - scored[label].mean())
+
+
+def test_long_labelled_texts_do_not_switch_training_off(docs_of, spark):
+    rng = np.random.default_rng(2)
+    plain = [f"word{i}" for i in range(300)]
+    toxic = [int(i % 4 == 0) for i in range(400)]
+    rows = [(i, " ".join(rng.choice(plain, 40)) + (" grumpf" if y else "")) for i, y in enumerate(toxic)]
+    held, ids = [], iter(range(1000, 2000))
+    while len(held) < 4:
+        i = next(ids)
+        held += [i] if zlib.crc32(str(i).encode()) % 5 else []
+    long = [(i, "word7 " * 20_001 + "grumpf" * (n % 2)) for n, i in enumerate(held)]
+    labels = spark.createDataFrame([*enumerate(toxic), *((i, n % 2) for n, i in enumerate(held))], "doc_id long, toxic int")
+    asked = docs_of([(i, f"word{i} word{i + 1}" + (" grumpf" if i % 2 else "")) for i in range(40)])
+    for words, chain in ((20_000, 1_000_000), (6_000_000, 20_000)):
+        model = toxicity.train(docs_of(rows + long), labels, words=words, chain_words=chain)
+        assert model["weights"]
+        assert [r["predicted"] for r in toxicity.toxicity_scores(asked, model).orderBy("doc_id").collect()] == [i % 2 for i in range(40)]
+
+
+def test_the_sample_passes_over_what_does_not_fit():
+    sizes = [(1, 0, 90), (2, 1, 10), (3, 0, 500), (4, 0, 20), (5, 1, 15), (6, 0, 40)]
+    assert toxicity.sample_within(sizes, 100, 9, 60) == {4: True, 2: True, 5: True, 6: False}
+    assert toxicity.sample_within(sizes, 10**6, 1, 10**6) == {4: True, 2: True, 1: False, 3: False, 5: False, 6: False}
+    assert toxicity.sample_within([(1, 1, 500), (2, 0, 400)], 10, 9, 10) == {1: True, 2: True}
+    assert toxicity.sample_within([], 10, 9, 10) == {}

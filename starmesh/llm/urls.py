@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starmesh.operators.components import connected_components
+from starmesh.plans.skew import by_degree
 
 from .common import stored
 
@@ -41,10 +42,14 @@ RULES = (
 )
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _QUERY = r"(?s)^.*?://[^?#]*(\?[^#]*)"
-_LINK = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?is)(?<![\w-])href\s*=\s*(?:"([^">]*)|'([^'>]*)|([^"'\s>][^\s>]*))"""
-_CONTENT = r"""(?is)(?<![\w-])url\s*=\s*["']?\s*([^"'\s>]+)"""
+#: What holds no tags: comments, and elements whose content is text.
+_TEXT = r"""(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\z)"""
+#: An attribute's value, quoted or not, and a tag: quotes count only where a value begins.
+_QUOTED = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+_TAG = r"""(?is)<(?:link|meta|base)(?=[\s/])(?:[^>=]++|=\s*+""" + _QUOTED + r"""?+)*+>"""
+_ATTRIBUTE = r"""(?is)[^\s"'<>/=]++(?:\s*+=\s*+""" + _QUOTED + r""")?+"""
+_VALUE = r"""(?s)^[^=]*=\s*(?:"(.*)"|'(.*)'|(.*))$"""
+_CONTENT = r"""(?is)(?<![\w-])url\s*=\s*["']?\s*([^"'\s]*)"""
 #: Named references, and the characters that numbers of C1 controls stand for.
 _NAMED = "\x02".join(f"{k}\x01{v}" for k, v in html5.items())
 _C1 = "\x02".join(f"{i}\x01{bytes([i]).decode('cp1252')}" for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
@@ -103,15 +108,22 @@ def decoded(x: Column) -> Column:
     return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _reference), ""))
 
 
-def hrefs(tags: Column) -> Column:
-    """The href of each tag; empty where there is none."""
-    value = lambda t: F.concat(*[F.regexp_extract(t, _HREF, i) for i in (1, 2, 3)])
-    return F.transform(tags, lambda t: _clean(decoded(value(t))))
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of the first attribute of this name, references resolved; null where there is none."""
+    own = F.get(F.filter(attributes, lambda a: lower_ascii(F.regexp_extract(a, r"^[^\s=]+", 0)) == name), F.lit(0))
+    return decoded(F.concat(*[F.regexp_extract(own, _VALUE, i) for i in (1, 2, 3)]))
 
 
-def refreshes(tags: Column) -> Column:
-    """The URL of each refresh tag; empty where there is none. It ends at white space or quotes, which may be references."""
-    return F.transform(tags, lambda t: F.regexp_extract(decoded(F.regexp_extract(t, _CONTENT, 1)), r"""^["']?([^"'\s]*)""", 1))
+def tags_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page, url, pos, tag, href, rel, equiv, content): the link, meta and base tags of pages that have
+    an alias or may have one, with their attributes. Tags in comments, scripts and the like are none."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    found = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
+    found = found.select(F.monotonically_increasing_id().alias("page"), F.col(url_col).alias("url"), F.regexp_extract_all(F.regexp_replace(html, _TEXT, " "), F.lit(_TAG), F.lit(0)).alias("tags"))
+    found = found.select("page", "url", F.posexplode_outer("tags").alias("pos", "text")).where("text is not null")
+    # Each step is written: the optimizer would put one's expressions in all places of the next.
+    found = stored(found.select("page", "url", "pos", lower_ascii(F.substring("text", 2, 4)).alias("tag"), F.regexp_extract_all("text", F.lit(_ATTRIBUTE), F.lit(0)).alias("a")), "url-tags")
+    return stored(found.select("page", "url", "pos", "tag", *[_attribute(F.col("a"), name).alias(c) for c, name in (("href", "href"), ("rel", "rel"), ("equiv", "http-equiv"), ("content", "content"))]), "url-attributes")
 
 
 def _clean(link: Column) -> Column:
@@ -141,14 +153,17 @@ def absolute(link: Column, url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(from_key, to_key): canonical links and refresh redirects of the pages, of all their tags, other than to themselves."""
-    url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    every = lambda tag: F.regexp_extract_all(html, F.lit(tag), F.lit(0))
-    found = pages.where(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
-    found = found.select(url.alias("url"), F.explode(F.concat(hrefs(every(_LINK)), refreshes(every(_REFRESH)))).alias("link")).where("link != ''")
-    # Each step is written: the optimizer would put one's expressions in all places of the next.
-    found = stored(found, "url-links")
-    found = stored(found.select("url", absolute(F.col("link"), F.col("url")).alias("to")), "url-targets")
+    """(from_key, to_key): canonical links and refresh redirects of the pages, of all their tags, other
+    than to themselves. rel is a list of words; a page's first base with an address is what its links
+    are seen from."""
+    tags = tags_of(pages, url_col, html_col)
+    canonical = (F.col("tag") == "link") & F.array_contains(F.split(lower_ascii(F.col("rel")), r"[ \t\n\f\r]+"), "canonical")
+    refresh = (F.col("tag") == "meta") & (lower_ascii(F.trim("equiv")) == "refresh")
+    link = F.when(canonical, _clean(F.col("href"))).when(refresh, F.regexp_extract("content", _CONTENT, 1))
+    bases = tags.where("tag = 'base' and href is not null").groupBy("page").agg(F.min_by("href", "pos").alias("base"))
+    found = stored(tags.select("page", "url", link.alias("link")).where("link != ''").join(bases, "page", "left"), "url-links")
+    found = stored(found.select("url", "link", F.when(F.col("base").isNull(), F.col("url")).otherwise(F.coalesce(absolute(_clean(F.col("base")), F.col("url")), "url")).alias("seen_from")), "url-bases")
+    found = stored(found.select("url", absolute(F.col("link"), F.col("seen_from")).alias("to")), "url-targets")
     return found.select(key_of(F.col("url")).alias("from_key"), key_of(F.col("to")).alias("to_key")).where("from_key is not null and to_key is not null and from_key != to_key").distinct()
 
 
@@ -158,7 +173,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     A URL that is null or without :// has an empty host and path, fits no rule and has no
     aliases: it is allowed. Repeated rows get equal verdicts; an empty table gives an empty
     result; other columns are ignored. edges can add redirects known from elsewhere, as
-    (from_key, to_key); a hub of many aliases is never gathered in one task.
+    (from_key, to_key). What URLs need to know of a hub of many aliases is broadcast to them, so its
+    aliases are never gathered in one task.
     """
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), key_of(url).alias("key"))
@@ -169,12 +185,15 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     found = stored(found, "url-edges")
     # Only URLs that have an edge are vertices; they are numbered once.
     keys = stored(found.select(F.col("from_key").alias("key")).union(found.select("to_key")).distinct().withColumn("id", F.monotonically_increasing_id()), "url-keys")
-    numbered = found.join(keys.toDF("from_key", "a"), "from_key").join(keys.toDF("to_key", "b"), "to_key").select("a", "b")
+    n = found.count()
+    sized = lambda c: keys.toDF(c, f"{c}_id").join(found.groupBy(c).agg(F.count(F.lit(1)).alias("__size")), c)
+    numbered = by_degree(by_degree(found, sized("from_key"), "from_key", "__size", n).drop("__size"), sized("to_key"), "to_key", "__size", n).select(F.col("from_key_id").alias("a"), F.col("to_key_id").alias("b"))
     component = keys.join(connected_components(numbered), "id") if not keys.isEmpty() else keys.withColumn("component", F.lit(0).cast("long"))
     # A key begins with its host and path, which is all that rules ask for.
     key_url = F.concat(F.lit("x://"), F.col("key"))
+    component = stored(component, "url-components")
     judged = component.withColumn("own", rule_for(host_of(key_url), path_of(key_url), rules))
-    whole = judged.groupBy("component").agg(F.max(F.coalesce(F.col("own.verdict") == "allow", F.lit(False))).alias("allowed"), F.max(F.coalesce(F.col("own.verdict") == "block", F.lit(False))).alias("blocked"))
-    decided = component.join(whole, "component").select("key", F.when(F.col("blocked") & ~F.col("allowed"), "block").otherwise("allow").alias("of_aliases"))
+    whole = judged.groupBy("component").agg(F.max(F.coalesce(F.col("own.verdict") == "allow", F.lit(False))).alias("allowed"), F.max(F.coalesce(F.col("own.verdict") == "block", F.lit(False))).alias("blocked"), F.count(F.lit(1)).alias("__size"))
+    decided = by_degree(component, whole, "component", "__size", 2 * n).select("key", F.when(F.col("blocked") & ~F.col("allowed"), "block").otherwise("allow").alias("of_aliases"))
     out = rows.join(decided, "key", "left")
     return out.select("page_id", "host", "path", F.col("own.name").alias("rule"), F.coalesce("own.verdict", "of_aliases", F.lit("allow")).alias("verdict"))

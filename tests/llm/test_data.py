@@ -339,6 +339,25 @@ def test_links_of_all_forms_are_edges(spark):
     assert {r["verdict"] for r in judged.collect()} == {"block"}
 
 
+def test_only_true_tags_and_words_of_rel_are_links(spark):
+    u, to = "http://h.io/d/p", '<link rel="canonical" href="/to">'
+    cases = [
+        ('<link rel="nofollow CANONICAL x" href="/to">', "/to"), ('<link data-rel="canonical" href="/to">', None), ('<link rel="canonicals" href="/to">', None), ('<link rel="a-canonical" href="/to">', None),
+        ('<link title="rel=canonical" href="/to">', None), ('<link title="a > b" rel=canonical href="/to">', "/to"), ('<link href="/to" data-href="/no" rel=canonical />', "/to"), ('<link href="/to" rel=canonical/>', None), ('<link data-href="/no" rel=canonical>', None),
+        ('<link rel=next rel=canonical href="/to">', None), ("<linked rel=canonical href=/to>", None), ("<link\nrel = 'canonical'\nhref = '/to'>", "/to"), ("<link rel=canonical title=it's href=/to>", "/to"),
+        (f"<!-- {to} -->", None), (f"<!-- -- > {to}", None), (f"<!-->{to}", "/to"), (f"<script>var a = '{to}';</script>", None), (f"<SCRIPT type=x>{to}</script >", None), (f"<script>'<!--'</script>{to}", "/to"), (f"<title>{to}</title>", None),
+        (f"<scripted>{to}", "/to"), (f"<textarea>{to}", None), (f"<noscript>{to}</noscript>", "/to"), ('<meta data-http-equiv="refresh" content="0;url=/to">', None), ('<meta content="0;url=/to" http-equiv=" Refresh ">', "/to"),
+        (f'<base href="/b/c/">{to.replace("/to", "to")}', "/b/c/to"), (f'<base target=x><base href="e/"><base href="/no/">{to.replace("/to", "to")}', "/d/e/to"), (f'{to.replace("/to", "to")}<base href="/late/">', "/late/to"), (f'<base href="mailto:x">{to.replace("/to", "to")}', "/d/to"),
+        (f'<!--<base href="/no/">-->{to.replace("/to", "to")}', "/d/to"),
+    ]
+    pages = spark.createDataFrame([(u.replace("h.io", f"n{i}.io"), html) for i, (html, _) in enumerate(cases)], "url string, html string")
+    got = {r["from_key"]: r["to_key"] for r in urls.alias_edges(pages).collect()}
+    for i, (html, want) in enumerate(cases):
+        assert got.get(f"n{i}.io/d/p") == (want and f"n{i}.io{want}"), html
+    other = urls.alias_edges(spark.createDataFrame([(u, f'<base href="//o.io/x/">{to}')], "url string, html string"))
+    assert [tuple(r) for r in other.collect()] == [("h.io/d/p", "o.io/to")]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é</p>\r\n\r\n" * 200
     rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, "http://c/", "small"), (4, "http://d/", "small"), (5, None, None), (6, "http://e/", "WARC/1.1\r\n\r\n" + "z" * 3_000_000), (7, "http://a/", big), (7, "http://a/", big), (7, "http://other/", big), (None, "http://n/", big), (None, "http://n/", big), (8, "u", "ends\r\n"), (8, "u", "\r\n\r\n"), (9, "u", "\r")]

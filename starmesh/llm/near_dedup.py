@@ -14,7 +14,8 @@ again, whole, in a way that depends on how dense the region is:
   after them. A template's shingles come last: unless it alone makes sets so similar, what makes
   documents alike is found without comparing all of a region.
 * Before that join, sets around a common centre are linked through one of them. Of the sets with one
-  shingle in their prefixes a sample gives the centre, the shingles of most of them. Two sets differ
+  shingle in their prefixes a sample gives the centre, the shingles of most of them; a set takes part
+  in two such groups at most. Two sets differ
   by no more shingles than they differ from the centre together; where that is little enough they are
   linked, and all sets of such pairs are linked with the one that is closest to the centre too. So a
   link with that one stands for all pairs, and the join needs to find only what is farther off.
@@ -360,22 +361,41 @@ def _prefix_rows(dense: DataFrame, percent: int) -> DataFrame:
     return stored(dense.select("cid", "shingles").mapInArrow(giving_back(_prefixes(shared, percent)), "cid long, n long, shingle long, left long, short boolean"), "near-prefixes")
 
 
+def _members(rows: DataFrame) -> DataFrame:
+    """(shingle, cid, l, k, part): the sets around at most two centres each, one for the set's most
+    frequent and one for its rarest shingle of those that are in more prefixes than HOT, of several
+    components. k counts the sets of a shingle that are left; these are dealt to parts. So however
+    long texts are, a set is sent on twice at most, and centres are an eighth of the sets in number."""
+    hot = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("l").alias("lo"), F.max("l").alias("hi")).where((F.col("k") > HOT) & (F.col("lo") != F.col("hi")))
+    one = F.struct("k", "shingle")
+    own = rows.select("shingle", "cid", "l").join(_few(hot.select("shingle", "k")), "shingle").groupBy("cid").agg(F.max("l").alias("l"), F.array_distinct(F.array(F.max(one), F.min(one))).alias("both"))
+    own = stored(own.select(F.explode("both.shingle").alias("shingle"), "cid", "l"), "near-chosen")
+    sizes = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= CENTRE)
+    return stored(own.join(_few(sizes), "shingle").withColumn("part", F.pmod(F.xxhash64("cid"), F.ceil(F.col("k") / BLOCK))), "near-hot")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    df = stored(df, "near-few")
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _hubs(rows: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different components that a centre shows to be links, one for two components.
 
-    The sets with a shingle in their prefix are compared with its centre; those that with the closest
-    one differ from it by no more than a link may are paired with the closest one. Any centre is right.
+    The sets around a centre are compared with it; those that with the closest one differ from it by
+    no more than a link may are paired with the closest one. Any centre is right.
     """
-    hot = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("l").alias("lo"), F.max("l").alias("hi")).where((F.col("k") > HOT) & (F.col("lo") != F.col("hi")))
-    members = stored(rows.select("shingle", "cid", "l").join(hot.select("shingle", "k"), "shingle"), "near-hot")
+    members = _members(rows)
     some = members.where(F.pmod(F.xxhash64("cid"), F.ceil(F.col("k") / CENTRE)) == 0).select("shingle", "cid")
     held = some.join(dense, "cid").select("shingle", "shingles").mapInArrow(giving_back(_each), "shingle long, one long")
     often = held.groupBy("shingle", "one").agg(F.count(F.lit(1)).alias("k")).join(some.groupBy("shingle").agg(F.count(F.lit(1)).alias("of")), "shingle").where("2 * k > of")
-    centres = stored(often.groupBy("shingle").agg(F.sort_array(F.collect_list("one")).alias("centre")), "near-centres")
-    far = members.join(dense, "cid").join(centres, "shingle").select("shingle", "cid", "l", "shingles", "centre")
-    far = stored(far.mapInArrow(giving_back(_off_centre(percent)), "shingle long, cid long, l long, w long"), "near-off-centre")
-    hub = far.groupBy("shingle").agg(F.min(F.struct("w", "cid", "l")).alias("h"))
-    tied = far.join(hub, "shingle").where("w + h.w <= 0 and l != h.l")
+    parts = members.select("shingle", "part").distinct()
+    centres = stored(often.groupBy("shingle").agg(F.sort_array(F.collect_list("one")).alias("centre")).join(parts, "shingle"), "near-centres")
+    far = members.join(dense, "cid").join(centres, ["shingle", "part"]).select("shingle", "part", "cid", "l", "shingles", "centre")
+    far = stored(far.mapInArrow(giving_back(_off_centre(percent)), "shingle long, part long, cid long, l long, w long"), "near-off-centre")
+    hub = far.groupBy("shingle").agg(F.min(F.struct("w", "cid", "l")).alias("h")).join(parts, "shingle")
+    tied = far.join(hub, ["shingle", "part"]).where("w + h.w <= 0 and l != h.l")
     ends = tied.select(F.least("cid", "h.cid").alias("a"), F.greatest("cid", "h.cid").alias("b"), F.least("l", "h.l").alias("l"), F.greatest("l", "h.l").alias("m"))
     return ends.groupBy("l", "m").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
 
@@ -389,7 +409,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _off_centre(percent: int):
-    """Rows shingle, cid, l, shingles, centre: w, so that two sets are linked if their sum is not over
+    """Rows shingle, part, cid, l, shingles, centre: w, so that two sets are linked if their sum is not over
     0. Sets of sizes n and m that differ by d shingles are linked if (100 + percent) * d is at most
     (100 - percent) * (n + m); d is at most the sum of what each differs from the centre by."""
 
@@ -397,10 +417,10 @@ def _off_centre(percent: int):
         for batch in batches:
             off = []
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64), batch.column(4)[i].values.to_numpy()
+                x, y = np.frombuffer(batch.column(4)[i].as_buffer(), np.int64), batch.column(5)[i].values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 off.append((100 + percent) * (len(x) + len(y) - 2 * both) - (100 - percent) * len(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(off, pa.int64())], names=["shingle", "cid", "l", "w"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(off, pa.int64())], names=["shingle", "part", "cid", "l", "w"])
 
     return run
 
@@ -414,7 +434,7 @@ def _large_regions(named: DataFrame, rows: DataFrame, percent: int) -> DataFrame
     """
     per = rows.groupBy("shingle", "l").agg(F.count(F.lit(1)).alias("k"))
     per = per.groupBy("shingle").agg(F.max(F.struct("k", "l")).alias("m"), F.sum("k").alias("k")).where("k > m.k")
-    per = stored(per.select("shingle", F.col("m.l").alias("main"), F.ceil(F.col("k") / BLOCK).alias("parts")), "near-shingles")
+    per = _few(per.select("shingle", F.col("m.l").alias("main"), F.ceil(F.col("k") / BLOCK).alias("parts")))
     rows = stored(rows.join(per, "shingle"), "near-shared")
     dealt = F.pmod(F.xxhash64("cid"), F.col("parts"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))

@@ -219,3 +219,29 @@ def test_recall_on_the_tables(spark, sf):
         a, b = find(a), find(b)
         lab[max(a, b)] = min(a, b)
     assert len(links) > 10 and all(got[i] == find(i) for i, _ in rows)
+
+
+@pytest.mark.parametrize("words", [500, 2000, 8000])
+def test_centres_send_each_set_twice_at_most(spark, words):
+    rng = random.Random(words)
+    template = [f"t{i}" for i in range(words)]
+    texts = [" ".join(f"o{d}x{i}" if i % 8 == 0 else w for i, w in enumerate(template)).encode() for d in range(200)]
+    rng.shuffle(texts)
+    sets = near_dedup.shingle_sets(texts, 5)
+    dense = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "cid long, shingles binary")
+    rows = near_dedup._prefix_rows(dense, 80).withColumn("l", F.col("cid"))
+    sent = near_dedup._members(rows).join(dense, "cid").agg(F.sum(F.length("shingles"))).first()[0] or 0
+    assert sent <= 2 * sum(s.nbytes for s in sets)
+
+
+def test_centres_of_parts(docs_of, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    monkeypatch.setattr(near_dedup, "HOT", 8)
+    monkeypatch.setattr(near_dedup, "CENTRE", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(5)
+    rows = []
+    for f in range(3):
+        base = [f"b{f}x{i}" for i in range(80)] + [f"common{i}" for i in range(60)]
+        rows += [(100 * f + i, " ".join([f"v{rng.randrange(10**6)}" if rng.random() < 0.04 else w for w in base])) for i in range(40)]
+    assert near(near_dedup.near_duplicates(docs_of(rows), shingle=2)) == brute_near(rows, 2, 80)

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window as W
 
+from starmesh.plans.observed import Tally, tally
 from starmesh.plans.shared import stored
 
 from .index import PointIndex
 from .points import dims, union_types
 from .runner import Tiled, tiled
-from .tiles import Boxes, boxes_in, differences, row_distances, segments, with_leaves
+from .tiles import MANY_DIMS, Boxes, boxes_in, by_pivots, differences, from_pivots, row_distances, segments, with_leaves
 from .walk import Rule
 
 #: Pairs of points measured at once.
@@ -46,7 +47,7 @@ class Nearest(Rule):
         return (near <= bound[:, None]).astype(np.int8)
 
 
-def _prepared(leaved: DataFrame, xs: list[str], k: int, boxsize: float | None, bounds: bool = True) -> DataFrame:
+def _prepared(leaved: DataFrame, xs: list[str], k: int, boxsize: float | None, bounds: bool = True, pivots: np.ndarray | None = None) -> DataFrame:
     """The points with two columns more, from one pass over their stored order, without a shuffle.
 
     kept: of sources at one place only the first k by id can be among k nearest; equal points are
@@ -56,7 +57,7 @@ def _prepared(leaved: DataFrame, xs: list[str], k: int, boxsize: float | None, b
     """
     typed = "ptype" in leaved.columns
     rows = leaved.select("zindex", "leaf", "id", *(["ptype"] if typed else []), *xs)
-    schema = StructType([*rows.schema.fields, StructField("kept", BooleanType()), StructField("bound", DoubleType())])
+    schema = StructType([*rows.schema.fields, StructField("kept", BooleanType()), StructField("bound", DoubleType()), *[StructField(f"pivot{i}", DoubleType()) for i in range(0 if pivots is None else len(pivots))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in segments(batches):
@@ -82,6 +83,12 @@ def _prepared(leaved: DataFrame, xs: list[str], k: int, boxsize: float | None, b
                 if len(q) and len(s) >= k:
                     bound[q] = kth_within(x[q], x[s], k, boxsize)
             out = part.append_column("kept", pa.array(kept)).append_column("bound", pa.array(bound))
+            if pivots is not None:
+                with np.errstate(invalid="ignore", over="ignore"):
+                    d = from_pivots(x, pivots)
+                for j in range(d.shape[1]):
+                    # Nothing is known of infinite points.
+                    out = out.append_column(f"pivot{j}", pa.array(np.where(finite, d[:, j], np.inf)))
             yield from out.combine_chunks().to_batches()
 
     return rows.mapInArrow(run, schema)
@@ -124,7 +131,7 @@ def nearest(qx: np.ndarray, sid: np.ndarray, sx: np.ndarray, k: int, boxsize: fl
     return i[top], j[top], d[top]
 
 
-def _tile(k: int, xs: list[str], boxsize: float | None):
+def _tile(k: int, xs: list[str], boxsize: float | None, pivots: list[str], seen: Tally):
     rule = Nearest(k)
 
     def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -134,7 +141,9 @@ def _tile(k: int, xs: list[str], boxsize: float | None):
         s, q = s.sort_values(["leaf", "id"]), q.sort_values("leaf")
         sid, sx, sleaf = s["id"].to_numpy(), s[xs].to_numpy(float), s["leaf"].to_numpy()
         qid, qx, qleaf = q["id"].to_numpy(), q[xs].to_numpy(float), q["leaf"].to_numpy()
-        sb, qb = boxes_in(sleaf, sx, boxsize), boxes_in(qleaf, qx, boxsize)
+        with_pivots = lambda rows, x: np.column_stack([x, rows[pivots].to_numpy(float)]) if pivots else x
+        sb, qb = boxes_in(sleaf, with_pivots(s, sx), boxsize, len(pivots)), boxes_in(qleaf, with_pivots(q, qx), boxsize, len(pivots))
+        tested = 0
         s_at, q_at = np.concatenate([[0], np.cumsum(sb.n)]), np.concatenate([[0], np.cumsum(qb.n)])
         qb.bound = np.maximum.reduceat(q["bound"].to_numpy(), q_at[:-1])
         out = []
@@ -145,12 +154,14 @@ def _tile(k: int, xs: list[str], boxsize: float | None):
                 if not len(leaves):
                     continue
                 rows = slice(q_at[r], q_at[r + 1])
+                tested += (rows.stop - rows.start) * int(sb.n[leaves].sum())
                 held = np.concatenate([np.arange(s_at[i], s_at[i + 1]) for i in leaves])
                 held = held[np.argsort(sid[held], kind="stable")]
                 step = max(1, BLOCK // len(held))
                 for at in range(0, rows.stop - rows.start, step):
                     i, j, d = nearest(qx[rows][at : at + step], sid[held], sx[held], k, boxsize)
                     out.append((qid[rows][at : at + step][i], np.arange(len(i)) - np.searchsorted(i, i) + 1, sid[held[j]], d))
+        seen.add(len(q), len(s), tested)
         if not out:
             return none
         cols = [np.concatenate(v) for v in zip(*out, strict=True)]
@@ -182,7 +193,8 @@ def knn_pairs(source: DataFrame | PointIndex, k: int, query: DataFrame | PointIn
     if not min(n):
         return asked.sparkSession.createDataFrame([], schema)
     xs = dims(src)
-    found, many = tiled(Tiled(src, asked, (-(-n[0] // size[0]), -(-n[1] // size[1])), size, n[1], xs, boxsize, "knn"), Nearest(k), _tile(k, xs, boxsize), SCHEMA, ["bound"])
+    pivots = [c for c in src.columns if c.startswith("pivot")]
+    found, many = tiled(Tiled(src, asked, (-(-n[0] // size[0]), -(-n[1] // size[1])), size, n[1], xs, boxsize, "knn", [*xs, *pivots]), Nearest(k), _tile(k, xs, boxsize, pivots, tally("knn", src.sparkSession)), SCHEMA, ["bound", *pivots], pivots)
     if many > 1:
         found = found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("r2", "id"))).where(F.col("rank") <= k)
     return found.select("qid", "rank", "id", F.sqrt("r2").alias("rad"))
@@ -192,10 +204,14 @@ def _of_points(source: DataFrame, query: DataFrame | None, k: int, boxsize: floa
     """Sources, queries, and the number of points of the order that they have together, twice."""
     xs = dims(source)
     both = union_types(source.select("id", *xs), query.select("id", *xs)) if query is not None else source.select("id", *xs)
-    leaved, n = with_leaves(both, size, exact=False)
+    pivots = None
+    if len(xs) > MANY_DIMS and not boxsize:
+        leaved, n, pivots = by_pivots(both, size)
+    else:
+        leaved, n = with_leaves(both, size, exact=False)
     if not n:
         return leaved, leaved, (0, 0)
-    ready = stored(_prepared(leaved, xs, k, boxsize), "knn-points")
+    ready = stored(_prepared(leaved, xs, k, boxsize, pivots=pivots), "knn-points")
     return ready.where("kept"), ready if query is None else ready.where("ptype = 1"), (n, n)
 
 

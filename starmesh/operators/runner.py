@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starmesh.plans.observed import note
+from starmesh.plans.observed import Tally, note, tally
 from starmesh.plans.shared import stored
 
 from .index import PointIndex
@@ -31,7 +31,8 @@ BLOCK = 2_000_000
 @dataclass
 class Tiled:
     """Two sides in order, with leaf, id and x*: sources and queries, how many leaves they have, of how
-    many points, and how many points the queries have."""
+    many points, and how many points the queries have. boxes names the columns that leaves have bounds
+    of, if not the coordinates alone."""
 
     src: DataFrame
     asked: DataFrame
@@ -41,25 +42,28 @@ class Tiled:
     xs: list[str]
     boxsize: float | None
     name: str
+    boxes: list[str] | None = None
 
 
-def tiled(job: Tiled, rule: Rule, tile: Callable, schema: str, extra: list[str] | None = None) -> tuple[DataFrame, int]:
+def tiled(job: Tiled, rule: Rule, tile: Callable, schema: str, extra: list[str] | None = None, more: list[str] | None = None) -> tuple[DataFrame, int]:
     """What tile(queries, sources) makes of the points that the rule leaves, and the greatest number of
     chunks that a tile's sources come in: then each query has a result from each chunk."""
-    src_leaves, own_leaves = leaf_nodes(job.src, job.xs), leaf_nodes(job.asked, job.xs, "bound" if "bound" in job.asked.columns else None)
+    xs = job.boxes or job.xs
+    src_leaves, own_leaves = leaf_nodes(job.src, xs), leaf_nodes(job.asked, xs, "bound" if "bound" in job.asked.columns else None)
     p = start_plane(max(job.n_leaves))
     if p:
         src_leaves, own_leaves = stored(src_leaves, f"{job.name}-source-leaves"), stored(own_leaves, f"{job.name}-query-leaves")
-    q, t, _, own, others = begin(own_leaves, src_leaves, rule, p, job.xs, job.boxsize)
+    q, t, _, own, others = begin(own_leaves, src_leaves, rule, p, xs, job.boxsize)
     note(f"{job.name}.pairs.plane{p}", len(q))
     if p:
-        pairs, p = walked(frame_of(job.src.sparkSession, q, t), len(q), (len(own), len(others)), own_leaves, src_leaves, rule, p, job.xs, job.boxsize, job.name)
-        return in_tiles(job, pairs, p, tile, schema, extra)
-    return in_tiles(job, (q, t), 0, tile, schema, extra)
+        pairs, p = walked(frame_of(job.src.sparkSession, q, t), len(q), (len(own), len(others)), own_leaves, src_leaves, rule, p, xs, job.boxsize, job.name)
+        return in_tiles(job, pairs, p, tile, schema, extra, more)
+    return in_tiles(job, (q, t), 0, tile, schema, extra, more)
 
 
-def in_tiles(job: Tiled, pairs: DataFrame | tuple[np.ndarray, np.ndarray], p: int, tile: Callable, schema: str, extra: list[str] | None = None) -> tuple[DataFrame, int]:
-    """The points of pairs (q, t) of plane p, in tiles; few pairs may be arrays."""
+def in_tiles(job: Tiled, pairs: DataFrame | tuple[np.ndarray, np.ndarray], p: int, tile: Callable, schema: str, extra: list[str] | None = None, more: list[str] | None = None) -> tuple[DataFrame, int]:
+    """The points of pairs (q, t) of plane p, in tiles; few pairs may be arrays. extra and more name
+    further columns of queries and of sources."""
     spark, xs = job.src.sparkSession, job.xs
     per_tile, at_once = tile_leaves(job.n, job.size[1], spark.sparkContext.defaultParallelism), chunk_leaves(job.size[0], len(xs))
     if isinstance(pairs, tuple):
@@ -76,7 +80,7 @@ def in_tiles(job: Tiled, pairs: DataFrame | tuple[np.ndarray, np.ndarray], p: in
     note(f"{job.name}.chunks", many or 0)
     if not many:
         return spark.createDataFrame([], schema), 0
-    halo = job.src.join(need, "leaf").select("tile", "chunk", "leaf", "id", *xs)
+    halo = job.src.join(need, "leaf").select("tile", "chunk", "leaf", "id", *(more or []), *xs)
     own = job.asked.select(F.floor(F.col("leaf") / per_tile).alias("tile"), "leaf", "id", *(extra or []), *xs)
     if many == 1:
         own = own.withColumn("chunk", F.lit(0).cast("long"))
@@ -99,9 +103,9 @@ class PairRule(Rule):
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
 
-def _kernel_tile(rule: PairRule, kernel: Kernel, xs: list[str], boxsize: float | None):
+def _kernel_tile(rule: PairRule, kernel: Kernel, xs: list[str], boxsize: float | None, seen: Tally):
     def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, tested = [], 0
         if len(q) and len(s):
             q, s = q.sort_values(["leaf", "id"]), s.sort_values(["leaf", "id"])
             qid, qx, sid, sx = q["id"].to_numpy(), q[xs].to_numpy(float), s["id"].to_numpy(), s[xs].to_numpy(float)
@@ -115,10 +119,12 @@ def _kernel_tile(rule: PairRule, kernel: Kernel, xs: list[str], boxsize: float |
                     if len(leaves):
                         held = np.concatenate([np.arange(s_at[i], s_at[i + 1]) for i in leaves])
                         own = slice(q_at[r], q_at[r + 1])
+                        tested += (own.stop - own.start) * len(held)
                         step = max(1, BLOCK // max(1, own.stop - own.start))
                         for at in range(0, len(held), step):
                             part = held[at : at + step]
                             out.append(pd.DataFrame(kernel(qid[own], qx[own], sid[part], sx[part])))
+        seen.add(len(q), len(s), tested)
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
 
     return run
@@ -153,7 +159,7 @@ def run_pairs(source: DataFrame | PointIndex, rule: PairRule, kernel: Kernel, sc
             break
         found = stored(refined(left, own_leaves, src_leaves, rule, p, xs, boxsize), f"{name}-pairs")
         p -= 1
-    partials, _ = in_tiles(job, left, 0, _kernel_tile(rule, kernel, xs, boxsize), schema)
+    partials, _ = in_tiles(job, left, 0, _kernel_tile(rule, kernel, xs, boxsize, tally(name, spark)), schema)
     return stored(partials, f"{name}-partials"), accepted, asked
 
 

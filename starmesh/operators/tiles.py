@@ -10,11 +10,13 @@ chunks, so no group has more than a tile and a chunk of points.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from starmesh.functions.zkey import bit_range, zkey
@@ -29,14 +31,20 @@ TILE_POINTS, CHUNK_VALUES = 32_768, 1_500_000
 UNITS = tuple(8 ** min(p, 1) * 64 ** max(p - 1, 0) for p in range(7))
 #: Dimensions of a key at most; more hardly help to keep neighbours together.
 KEY_DIMS = 6
+#: With more dimensions than this points are ordered by pivots, of a sample of so many points.
+MANY_DIMS, PIVOTS, SAMPLE = 8, 24, 4096
 
 
 class Boxes:
     """Boxes of nodes as arrays, with their numbers, how many points they have, and for receivers a
-    squared distance beyond which they need nothing."""
-
-    def __init__(self, node: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, boxsize: float | None, bound: np.ndarray | None = None):
-        self.node, self.n, self.lo, self.hi, self.boxsize = node, n, lo, hi, boxsize
+    squared distance beyond which they need nothing. The last `pivots` columns are no coordinates but
+    distances of the points from pivots."""
+
+    def __init__(self, node: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, boxsize: float | None, bound: np.ndarray | None = None, pivots: int = 0):
+        self.node, self.n, self.boxsize, self.all = node, n, boxsize, (lo, hi, pivots)
+        dim = lo.shape[1] - pivots
+        lo, hi, self.near_pivot, self.far_pivot = lo[:, :dim], hi[:, :dim], lo[:, dim:], hi[:, dim:]
+        self.lo, self.hi = lo, hi
         self.bound = np.full(len(node), np.inf) if bound is None else bound
         with np.errstate(invalid="ignore"):
             self.centre, self.half = (lo + hi) / 2, (hi - lo) / 2 * (1 + 1e-12)
@@ -48,7 +56,8 @@ class Boxes:
         return len(self.node)
 
     def part(self, rows) -> Boxes:
-        return Boxes(self.node[rows], self.n[rows], self.lo[rows], self.hi[rows], self.boxsize, self.bound[rows])
+        lo, hi, pivots = self.all
+        return Boxes(self.node[rows], self.n[rows], lo[rows], hi[rows], self.boxsize, self.bound[rows], pivots)
 
     def gaps(self, other: Boxes) -> tuple[np.ndarray, np.ndarray]:
         """(least, greatest) squared distances of each of these boxes from each other one; slightly widened."""
@@ -60,6 +69,13 @@ class Boxes:
             w = self.half[:, None, i] + other.half[None, :, i]
             near += np.maximum(d - w, 0) ** 2
             far += (d + w) ** 2
+        # Two points are as far apart as their distances from a pivot differ, and no farther than these together.
+        for i in range(self.near_pivot.shape[1]):
+            a, b, c, d = self.near_pivot[:, None, i], self.far_pivot[:, None, i], other.near_pivot[None, :, i], other.far_pivot[None, :, i]
+            with np.errstate(invalid="ignore"):
+                gap = np.maximum(np.maximum(a - d, c - b) - 1e-12 * (b + d), 0)
+            near = np.fmax(near, gap * gap)
+            far = np.fmin(far, (b + d) ** 2)
         return near * (1 - 1e-9), far * (1 + 1e-9)
 
     def limits(self, other: Boxes) -> tuple[np.ndarray, np.ndarray]:
@@ -84,14 +100,19 @@ class Boxes:
 def boxes_of(frame, xs: list[str], boxsize: float | None) -> Boxes:
     """From a pandas frame of `nodes`."""
     frame = frame.sort_values("node")
-    return Boxes(frame["node"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), frame[[f"lo{x}" for x in xs]].to_numpy(float), frame[[f"hi{x}" for x in xs]].to_numpy(float), boxsize, frame["bound"].to_numpy(float))
+    return Boxes(frame["node"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), frame[[f"lo{x}" for x in xs]].to_numpy(float), frame[[f"hi{x}" for x in xs]].to_numpy(float), boxsize, frame["bound"].to_numpy(float), pivots_of(xs))
+
+
+def pivots_of(names: list[str]) -> int:
+    """How many of the columns are distances from pivots."""
+    return sum(c.startswith("pivot") for c in names)
 
 
-def boxes_in(node: np.ndarray, x: np.ndarray, boxsize: float | None) -> Boxes:
+def boxes_in(node: np.ndarray, x: np.ndarray, boxsize: float | None, pivots: int = 0) -> Boxes:
     """Boxes of the runs of equal numbers in node."""
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, int)
     count = np.diff(np.append(first, len(node)))
-    return Boxes(node[first], count, np.minimum.reduceat(x, first), np.maximum.reduceat(x, first), boxsize)
+    return Boxes(node[first], count, np.minimum.reduceat(x, first), np.maximum.reduceat(x, first), boxsize, None, pivots)
 
 
 def with_leaves(points: DataFrame, leaf_size: int, exact: bool = True) -> tuple[DataFrame, int]:
@@ -116,6 +137,49 @@ def with_leaves(points: DataFrame, leaf_size: int, exact: bool = True) -> tuple[
     return placed.withColumn("leaf", F.floor(F.col("zindex") / leaf_size)), n
 
 
+def pivot_points(points: DataFrame, xs: list[str]) -> np.ndarray:
+    """PIVOTS points that lie far from one another, of a sample of at most SAMPLE points by a hash of
+    their ids: the next is always the one farthest from those before it. Fewer if points are equal."""
+    rows = points.where(reduce(lambda a, b: a & b, [F.abs(x) < float("inf") for x in xs])).select("id", *xs).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    x = rows[xs].to_numpy(float)
+    if not len(x):
+        return np.empty((0, len(xs)))
+    chosen = [0]
+    far = ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < PIVOTS and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def from_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of points from pivots."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1) if len(pivots) else np.empty((len(x), 0))
+
+
+def by_pivots(points: DataFrame, leaf_size: int) -> tuple[DataFrame, int, np.ndarray]:
+    """with_leaves for many dimensions: points of the same nearest pivot are together, in the order of
+    their distance from it; and the pivots, a bounded number."""
+    xs = dims(points)
+    pivots = pivot_points(points, xs)
+    schema = points.schema
+    shared = points.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with np.errstate(invalid="ignore", over="ignore"):
+                d = from_pivots(np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in xs]), shared.value)
+            d = np.where(np.isnan(d), np.inf, d)
+            near = d.argmin(1) if d.shape[1] else np.zeros(len(d), np.int64)
+            far = d[np.arange(len(d)), near] if d.shape[1] else np.zeros(len(d))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(far)], names=[*batch.schema.names, "__near", "__far"])
+
+    keyed = points.mapInArrow(run, StructType([*schema.fields, StructField("__near", IntegerType()), StructField("__far", DoubleType())]))
+    n = points.count()
+    placed = with_position(keyed, ["__near", "__far", *xs, "id"], "zindex", n).drop("__near", "__far")
+    return placed.withColumn("leaf", F.floor(F.col("zindex") / leaf_size)), n, pivots
+
+
 def leaf_nodes(leaved: DataFrame, xs: list[str], bound: str | None = None) -> DataFrame:
     """(node, n, bound, lo*, hi*) of plane 0; the bound is the greatest of a column of points."""
     most = F.max(bound) if bound else F.lit(float("inf"))

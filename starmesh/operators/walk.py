@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from starmesh.plans.observed import note
 from starmesh.plans.shared import stored
 
-from .tiles import UNITS, Boxes, boxes_of, plane_of
+from .tiles import UNITS, Boxes, boxes_of, pivots_of, plane_of
 
 #: Nodes of the plane where the walk begins, at most.
 START = 1024
@@ -91,7 +91,7 @@ def refined(pairs: DataFrame, receivers: DataFrame, sources: DataFrame, rule: Ru
     def unpacked(col: pa.Array, i: int) -> Boxes:
         kids = col[i].values
         b = kids.field("b").flatten().to_numpy().reshape(-1, 2 * dim + 1)
-        return Boxes(kids.field("node").to_numpy(), kids.field("n").to_numpy(), b[:, :dim], b[:, dim:-1], boxsize, b[:, -1])
+        return Boxes(kids.field("node").to_numpy(), kids.field("n").to_numpy(), b[:, :dim], b[:, dim:-1], boxsize, b[:, -1], pivots_of(xs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

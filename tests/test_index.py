@@ -7,7 +7,7 @@ from starmesh.functions.zkey import BitRange
 from starmesh.operators import components, fof, index, neighbors, runner, tiles, tree, walk, zorder
 from starmesh.operators.components import connected_components
 from starmesh.plans import skew
-from starmesh.plans.observed import statistics
+from starmesh.plans.observed import statistics, summary
 
 
 @pytest.fixture
@@ -232,3 +232,37 @@ def test_catalogue_of_a_giant_group(spark, monkeypatch):
         assert np.isclose(g["com_inertia_radius"], np.sqrt((m * (off**2).sum(1)).sum() / m.sum()))
     named = fof.labels(points(spark, x), 0.05, 1.0, label="input").toPandas().sort_values("id")
     assert (named.groupby(want)["label"].nunique() == 1).all() and named["label"].nunique() == len(sizes)
+
+
+def test_many_dimensions_compare_less_than_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(30, 24))
+    x = np.concatenate([c + rng.normal(0, 0.02, (80, 24)) for c in centres] + [np.tile(centres[0], (30, 1)), rng.normal(size=(20, 24))])
+    with statistics() as seen:
+        assert got_knn(neighbors.knn_pairs(points(spark, x, 5), 5, leaf_size=16)) == brute_knn(x, x, 5)
+    assert sum(seen["knn.compared"]) < 0.2 * len(x) ** 2
+    q = np.concatenate([x[::50] + 0.01, rng.normal(size=(10, 24)) * 5, x[:3]])
+    assert got_knn(neighbors.knn_pairs(points(spark, x), 3, query=points(spark, q))) == brute_knn(x, q, 3)
+    assert got_knn(neighbors.knn_pairs(points(spark, x[:1].repeat(50, 0)), 2)) == brute_knn(x[:1].repeat(50, 0), x[:1].repeat(50, 0), 2)
+    odd = x[:60].copy()
+    odd[3, 2], odd[4, 0] = INF, -INF
+    got = neighbors.knn_pairs(points(spark, odd), 4).where("qid not in (3, 4)").toPandas()
+    finite = np.delete(odd, [3, 4], 0)
+    names = np.delete(np.arange(60), [3, 4])
+    assert sorted(zip(got["qid"], got["rank"], got["id"], strict=True)) == [(names[a], b, names[c]) for a, b, c, _ in brute_knn(finite, finite, 4)]
+
+
+def test_tasks_tell_what_they_compare(spark, monkeypatch):
+    x = np.concatenate([cloud(12, 2, 400), np.random.default_rng(1).normal(0.7, 1e-4, (1500, 2))])
+    assert not neighbors.knn_pairs(points(spark, x), 3).isEmpty()
+    monkeypatch.setattr(tiles, "TILE_POINTS", 64)
+    with statistics() as seen:
+        n = neighbors.knn_pairs(points(spark, x), 3, leaf_size=64).count()
+        counts = runner.density(points(spark, x), 1e-3, leaf_size=32).agg(F.sum("count")).first()[0]
+    assert n == 3 * len(x) and seen["knn.tiles_run"] == seen["knn.tiles"] and seen["knn.most_queries"] == [64]
+    assert seen["knn.compared"][0] >= n and seen["density.compared"][0] >= 1 and counts > len(x)
+    assert seen["knn.median_compared"][0] <= seen["knn.most_compared"][0]
+    kept = {"a.tiles_run": [10], "a.median_compared": [64], "a.most_compared": [1024], "a.most_sources": [9000], "a.most_queries": [100], "a.compared": [10**7]}
+    told = summary(kept)
+    assert "compares 16 times the pairs of the median" in told and "larger tiles" in told and "smaller leaves" in told
+    assert len(summary({"a": [1, 2]}).splitlines()) == 1

@@ -27,18 +27,6 @@ def write_sets(path: str, mode: str = "error", compression: str = "zstd", **sets
         data.write.mode(mode).option("compression", compression).parquet(place)
 
 
-def write_npz(df: DataFrame, file: str, most_rows: int = 10_000_000) -> None:
-    """All columns as arrays in one local .npz file. For results of a known size: more than most_rows
-    rows are refused, before any row comes to the driver."""
-    import numpy as np
-
-    n = df.count()
-    if n > most_rows:
-        raise ValueError(f"{n} rows are too many for one file; at most {most_rows}")
-    rows = df.toArrow()
-    np.savez_compressed(file, **{c: rows[c].to_numpy() for c in rows.column_names})
-
-
 def read_set(spark: SparkSession, path: str, name: str, required: list[str] | StructType = (), optional: dict | None = None) -> DataFrame:
     """Reads path/name. A missing required column raises KeyError; a missing optional one gets its default."""
     from pyspark.sql import functions as F

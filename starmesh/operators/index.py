@@ -18,11 +18,14 @@ from starmesh.plans.shared import shared_dir
 
 from .points import dims
 from .tiles import leaf_nodes, segments
-from .zorder import with_position
+from .tree import common_bits, key_length
+from .zorder import search_leaves, search_sorted, with_position
 
 LEAF = 64
 #: Points that are merged into an index through a broadcast; more are sorted with all others.
 MERGE_POINTS = 200_000
+#: Queries that are searched for through a broadcast.
+SEARCH_QUERIES = 400_000
 
 
 @dataclass(frozen=True)
@@ -107,8 +110,7 @@ def merged(index: PointIndex, more: DataFrame, path: str | None = None) -> Point
     order = np.argsort(keys, kind="stable")
     held = spark.sparkContext.broadcast((keys[order], rows.take(pa.array(order))))
     # A stretch takes the new points from its first row on, up to the first row of the next one.
-    heads = index.points.select("zindex", "zkey", "id").mapInArrow(_heads, "zindex long, zkey binary, id long").collect()
-    heads = sorted((r["zindex"], r["zkey"], r["id"]) for r in heads)  # a row per stored stretch
+    heads = _stretch_heads(index)
     at = np.array([h[0] for h in heads])
     bound = np.searchsorted(held.value[0], _sort_keys([h[1] for h in heads], np.array([h[2] for h in heads])))
     bound[0] = 0
@@ -134,6 +136,75 @@ def merged(index: PointIndex, more: DataFrame, path: str | None = None) -> Point
     return _written(placed, spark, path, index.leaf_size, index.span)
 
 
+def _stretch_heads(index: PointIndex) -> list[tuple]:
+    """(zindex, zkey, id, leaf) of the first row of each stored stretch, in order: of as many rows as
+    there are ranges, zorder.MOST_RANGES at most."""
+    rows = index.points.select("zindex", "zkey", "id", "leaf").mapInArrow(_heads, "zindex long, zkey binary, id long, leaf long").collect()
+    return sorted(tuple(r) for r in rows)
+
+
+def search(index: PointIndex, queries: DataFrame) -> DataFrame:
+    """(id, position, leaf): for each query the number of the index's points before it in z-order, and
+    the leaf that it falls into: of the points before and after it that with which it shares the
+    smaller node, the one before on a tie. A query stands before points with an equal key.
+
+    Up to SEARCH_QUERIES queries are broadcast, sorted, and merged with each stored stretch in one pass:
+    the index is neither sorted nor shuffled. More, or such with bits that the index's keys do not
+    hold, are sorted with the points. Without points the result has null leaves.
+    """
+    xs = index.xs
+    queries = queries.select("id", *xs)
+    if not index.n:
+        return queries.select("id", F.lit(0).cast("long").alias("position"), F.lit(None).cast("long").alias("leaf"))
+    few = queries.limit(SEARCH_QUERIES + 1).count() <= SEARCH_QUERIES
+    if not few or not _covers(index.span, bit_range(queries, xs)):
+        points = index.points.select("id", *xs, "leaf")
+        return search_sorted(points, queries).join(search_leaves(points, queries), "id", "left")
+    rows = queries.withColumn("zkey", zkey(xs, index.span)).select("id", "zkey").toArrow()  # at most SEARCH_QUERIES rows
+    width, dim, total = len(index.points.select("zkey").first()[0]), len(xs), key_length(len(xs), index.span)
+    keys = _plain_keys(rows["zkey"].to_pylist(), width)
+    order = np.argsort(keys, kind="stable")
+    held = queries.sparkSession.sparkContext.broadcast((keys[order], rows["id"].to_numpy()[order]))
+    heads = _stretch_heads(index)
+    at, head_keys, head_leaves = np.array([h[0] for h in heads]), [h[1] for h in heads], [h[3] for h in heads]
+    # A query belongs to the last stretch whose first key is less.
+    bound = np.searchsorted(held.value[0], _plain_keys(head_keys, width), side="right")
+    bound[0] = 0
+    ends = np.append(bound[1:], len(keys))
+
+    def run(batches):
+        asked, ids = held.value
+        for part in segments(batches):
+            z0 = part["zindex"][0].as_py()
+            first, last = np.searchsorted(at, z0), np.searchsorted(at, z0 + part.num_rows)
+            if at[first] != z0:
+                raise RuntimeError("the index was read in other stretches than before")
+            q = slice(int(bound[first]), int(ends[last - 1]))
+            mine = asked[q]
+            raw, leaf = part["zkey"].to_pylist(), part["leaf"].to_numpy()
+            if last < len(at):
+                raw, leaf = [*raw, head_keys[last]], np.append(leaf, head_leaves[last])
+            own = _plain_keys(raw, width)
+            place = np.searchsorted(own, mine)
+            bytes_of = lambda k: np.frombuffer(k.astype(f"S{width}").tobytes(), np.uint8).reshape(len(k), width)  # noqa: B023, E731
+            there, asked_bytes = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width), bytes_of(mine)
+            shared = []
+            for side in (place - 1, place):
+                bits = common_bits(there[np.clip(side, 0, len(raw) - 1)], asked_bytes, dim, total) if len(mine) else np.empty(0, np.int32)
+                # Keys of different class share no node.
+                bits = np.where(bits < 2 * dim, 0, bits)
+                shared.append(np.where((side < 0) | (side >= len(raw)), -1, bits))
+            chosen = np.where(shared[0] >= shared[1], place - 1, place)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array((z0 + place).astype(np.int64)), pa.array(leaf[chosen].astype(np.int64))], names=["id", "position", "leaf"])
+
+    return index.points.select("zindex", "zkey", "leaf").mapInArrow(run, "id long, position long, leaf long")
+
+
+def _plain_keys(zkeys: list[bytes], width: int) -> np.ndarray:
+    """Keys of one length as strings, in whose order missing zeros at the end make no difference."""
+    return np.frombuffer(b"".join(zkeys), f"S{width}") if zkeys else np.empty(0, f"S{width}")
+
+
 def _heads(batches):
     for part in segments(batches):
-        yield from part.slice(0, 1).select(["zindex", "zkey", "id"]).to_batches()
+        yield from part.slice(0, 1).to_batches()

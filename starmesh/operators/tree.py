@@ -242,11 +242,19 @@ def assign_nodes(placed: DataFrame, caps: Sequence[int], span: BitRange | IntRan
     return stored(placed.mapInArrow(_runs(known, caps, levels, dim, total, n_types), schema), "tree-nodes")
 
 
+def _placed(points, span: BitRange | IntRange | None) -> tuple[DataFrame, BitRange | IntRange]:
+    """points in order, and what their keys hold; those of an index are in order."""
+    if isinstance(points, DataFrame):
+        span = span or bit_range(points, dims(points))
+        return placed_points(points, span), span
+    return points.points.drop("leaf"), points.span
+
+
 def assign_leaves(points: DataFrame, cap: int, span: BitRange | IntRange | None = None) -> DataFrame:
-    """points with zkey, zindex, and leaf, the z-index of the first point of the leaf, and depth, its
-    prefix bits."""
-    span = span or bit_range(points, dims(points))
-    return assign_nodes(placed_points(points, span), [cap], span).withColumnsRenamed({"node0": "leaf", "depth0": "depth"})
+    """points (or those of an index) with zkey, zindex, and leaf, the z-index of the first point of the
+    leaf, and depth, its prefix bits."""
+    placed, span = _placed(points, span)
+    return assign_nodes(placed, [cap], span).withColumnsRenamed({"node0": "leaf", "depth0": "depth"})
 
 
 def node_name(key: Column, depth: Column, dim: int, span: BitRange | IntRange) -> Column:
@@ -269,18 +277,18 @@ def build_nodes(points: DataFrame, max_leaf_size: int = 32, coarse_fac: float =
     mass_cent* if points have a mass; null mass centres where the mass is not positive.
 
     regularize is (percentile, volume factor): leaves, and nodes of each plane above, whose level
-    `regularization_level` finds too large are split, though they have few points.
+    `regularization_level` finds too large are split, though they have few points. An index is taken as
+    it is stored; its points are of one type.
     """
-    xs = dims(points)
-    dim, span = len(xs), span or bit_range(points, xs)
-    total = key_length(dim, span)
-    placed = placed_points(points, span)
+    placed, span = _placed(points, span)
+    xs = dims(placed)
+    dim, total = len(xs), key_length(len(xs), span)
     caps = planes(placed.count(), max_leaf_size, coarse_fac, stop_coarsen)
     if not regularize:
         named = assign_nodes(placed, caps, span)
     else:
         named = _regular(placed, caps, span, total, regularize)
-    types = range((points.agg(F.max("ptype")).first()[0] or 0) + 1) if "ptype" in points.columns else ()
+    types = range((placed.agg(F.max("ptype")).first()[0] or 0) + 1) if "ptype" in placed.columns else ()
     # Points are grouped once, into leaves; each plane above is made of the nodes of the one below.
     above = [f"{c}{p}" for p in range(1, len(caps)) for c in ("node", "depth")]
     rows = named.groupBy("node0", "depth0").agg(F.min("zkey").alias("zkey"), *[F.min(c).alias(c) for c in above], *_summary(named, xs, types))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from starmesh.functions.zkey import BitRange
 from starmesh.operators import fof, neighbors, runner, tree, windows, zorder
 from starmesh.operators.components import connected_components
-from starmesh.operators.index import build_index, merged, open_index
+from starmesh.operators.index import build_index, merged, open_index, search
 from starmesh.operators.points import point_set, union_types
 
 
@@ -237,6 +237,13 @@ def index_merged(spark, d):
     return merged(index, c.where("id % 3 = 0")).points.select("id", "zindex")
 
 
+def search_indexed(spark, d):
+    """Customers' balances in an index of suppliers: how many are before each, and the leaf of 16 that it falls into."""
+    s = point_set(table(spark, d, "supplier").withColumn("x", F.floor("s_acctbal") + 1000.0), "s_suppkey", ["x"])
+    c = point_set(table(spark, d, "customer").withColumn("x", F.floor("c_acctbal") + 1000.0), "c_custkey", ["x"])
+    return search(build_index(s, leaf_size=16, span=ALL_BITS), c)
+
+
 RADII = (0.0, 1.0, 2.5, 10.0, 60.0, 300.0)
 
 
@@ -274,7 +281,7 @@ ACCOUNT_BITS = BitRange(16, 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (knn_self_embeddings3, knn_embeddings64, knn_query_subset, knn_periodic, knn_mean_radius, knn_attributes, knn_difference, knn_supplier_customer, knn_parts_ties, fof_labels_customers, fof_periodic, fof_labels_parts, fof_labels_embeddings3, fof_sizes, fof_catalogue, fof_group_order, fof_superset, zindex_customers, zindex_parts, zindex_fractions, zindex_embeddings3, zindex_integers, search_sorted_accounts, search_leaves_parts, leaf_counts, multi_type_leaves, node_mass_centres, node_planes, level_histogram, bucket_prefix_sum, segment_sort, components_graph, knn_indexed, knn_indexed_queries, fof_indexed, index_merged, pair_counts, density_customers, density_embeddings3, fof_catalogue_periodic)
+    found = (knn_self_embeddings3, knn_embeddings64, knn_query_subset, knn_periodic, knn_mean_radius, knn_attributes, knn_difference, knn_supplier_customer, knn_parts_ties, fof_labels_customers, fof_periodic, fof_labels_parts, fof_labels_embeddings3, fof_sizes, fof_catalogue, fof_group_order, fof_superset, zindex_customers, zindex_parts, zindex_fractions, zindex_embeddings3, zindex_integers, search_sorted_accounts, search_leaves_parts, leaf_counts, multi_type_leaves, node_mass_centres, node_planes, level_histogram, bucket_prefix_sum, segment_sort, components_graph, knn_indexed, knn_indexed_queries, fof_indexed, index_merged, pair_counts, density_customers, density_embeddings3, fof_catalogue_periodic, search_indexed)
     return {f.__name__: f for f in found}
 
 
@@ -353,6 +360,14 @@ SELECT id, CASE WHEN la >= lb AND lo IS NOT NULL THEN lo ELSE hi END AS leaf FRO
 
 
 _SUPPLIERS = "SELECT s_suppkey AS id, CAST(s_acctbal AS DOUBLE) AS x0 FROM supplier"
+#: Bits that two whole numbers below 2 ** 17 share, from above.
+_SHARED = "17 - length(CASE WHEN xor({a}, {b}) = 0 THEN '' ELSE bin(xor({a}, {b})) END)"
+_SEARCH_INDEXED = f"""
+WITH s AS (SELECT x, row_number() OVER (ORDER BY x, id) - 1 AS z FROM (SELECT s_suppkey AS id, CAST(floor(s_acctbal) + 1000 AS BIGINT) AS x FROM supplier)),
+q AS (SELECT c_custkey AS id, CAST(floor(c_acctbal) + 1000 AS BIGINT) AS x FROM customer),
+p AS (SELECT q.id, q.x, (SELECT count(*) FROM s WHERE s.x < q.x) AS position FROM q)
+SELECT p.id, position, CASE WHEN r.z IS NULL OR {_SHARED.format(a="l.x", b="p.x")} >= {_SHARED.format(a="r.x", b="p.x")} THEN l.z // 16 ELSE r.z // 16 END AS leaf
+FROM p LEFT JOIN s l ON l.z = position - 1 LEFT JOIN s r ON r.z = position"""
 _PAIR_COUNTS = f"""
 WITH p AS ({_PARTS}), e AS (SELECT i - 1 AS bin, [{", ".join(map(str, RADII))}][i] AS radius FROM range(1, {len(RADII) + 1}) t(i)),
 r AS (SELECT (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) AS r2 FROM p a JOIN p b ON a.id < b.id),
@@ -418,6 +433,7 @@ SELECT p.id, c.least_id FROM p JOIN u USING (x0, x1) JOIN c ON c.a = u.id""",
         "fof_indexed": f1 + "SELECT id, label, zindex FROM f",
         "index_merged": f"SELECT id, row_number() OVER (ORDER BY x0, id) - 1 AS zindex FROM ({_CUSTOMERS})",
         "pair_counts": _PAIR_COUNTS,
+        "search_indexed": _SEARCH_INDEXED,
         "density_customers": f"SELECT q.id, count(s.id) AS count FROM ({_CUSTOMERS}) q LEFT JOIN ({_SUPPLIERS}) s ON (q.x0 - s.x0) * (q.x0 - s.x0) <= 75.0 * 75.0 GROUP BY q.id",
         "density_embeddings3": f"SELECT q.id, count(*) AS count FROM ({e3}) q JOIN ({e3}) s ON {' + '.join(f'(q.x{i} - s.x{i}) * (q.x{i} - s.x{i})' for i in range(3))} <= 0.2 * 0.2 GROUP BY q.id",
         "fof_catalogue_periodic": _catalogue_sql(),

@@ -18,7 +18,7 @@ def no_sort(monkeypatch):
         raise AssertionError("points were sorted")
 
     def start():
-        for module in (zorder, tiles, index, fof):
+        for module in (zorder, tiles, index, fof, tree):
             monkeypatch.setattr(module, "with_position", fail)
 
     return start
@@ -266,3 +266,30 @@ def test_tasks_tell_what_they_compare(spark, monkeypatch):
     told = summary(kept)
     assert "compares 16 times the pairs of the median" in told and "larger tiles" in told and "smaller leaves" in told
     assert len(summary({"a": [1, 2]}).splitlines()) == 1
+
+
+@pytest.mark.parametrize(("few", "rows"), [(10_000, 50), (10_000, 10**6), (5, 50)])
+def test_search_in_an_index(spark, monkeypatch, no_sort, few, rows):
+    monkeypatch.setattr(zorder, "RANGE_ROWS", rows)
+    monkeypatch.setattr(index, "SEARCH_QUERIES", few)
+    rng = np.random.default_rng(13)
+    x, q = rng.integers(-40, 40, (700, 2)) / 4, np.concatenate([rng.integers(-44, 44, (300, 2)) / 4, np.zeros((5, 2))])
+    found = index.build_index(points(spark, x), leaf_size=16, span=BitRange(4, -60))
+    asked = points(spark, q, 3)
+    want = zorder.search_sorted(points(spark, x), asked).join(zorder.search_leaves(found.points, asked), "id").toPandas().sort_values("id")
+    if few > 5:
+        no_sort()
+    got = index.search(found, asked).toPandas().sort_values("id")
+    assert (got[["id", "position", "leaf"]].to_numpy() == want[["id", "position", "leaf"]].to_numpy()).all() and len(got) == len(q)
+
+
+def test_search_without_points_and_trees_of_an_index(spark, no_sort):
+    x = np.random.default_rng(14).normal(size=(300, 2))
+    p = points(spark, x, mass=np.ones(300))
+    none, found = index.build_index(p.where("id < 0")), index.build_index(p)
+    assert {tuple(r) for r in index.search(none, p.limit(3)).select("position", "leaf").collect()} == {(0, None)}
+    assert index.search(found, p.where("id < 0")).count() == 0
+    want = tree.build_nodes(p, 12, 3.0, 6).toPandas().sort_values(["plane", "first"])
+    no_sort()
+    got = tree.build_nodes(found, 12, 3.0, 6).toPandas().sort_values(["plane", "first"])
+    assert (got["node"].to_numpy() == want["node"].to_numpy()).all() and (got["npart"].to_numpy() == want["npart"].to_numpy()).all()

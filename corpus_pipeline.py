@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from starmesh.llm import exact_dedup, mixing, near_dedup, packing, quality
 from starmesh.llm.common import shared_dir
 from starmesh.llm.queries import table, tokenizer_path
+from starmesh.plans.shared import scratch
 
 #: Words of a shingle; the similarity is 80 percent.
 SHINGLE = 5
@@ -50,11 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again."""
+    """All stages, each written and read again; what a stage stores on its way is deleted then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_dir(spark, f"pipeline-{name}")
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

@@ -127,20 +127,47 @@ WITH RECURSIVE p AS (
          coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path,
          coalesce(regexp_extract(url, '^.*?://[^?#]*(\?[^#]*)', 1, 's'), '') AS query
   FROM pages
-), raw AS (
-  SELECT host || path || query AS a, host, url,
-         unnest([regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
-                 regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>;]+)', 1, 'is')]) AS link
+), cut AS (
+  SELECT page_id, row_number() OVER () AS page, host, path, query, url,
+         regexp_replace(html, '<!--(?:-?>|.*?(?:--!?>|\z))|<script[\s/>].*?(?:</script[\s/>]|\z)|<style[\s/>].*?(?:</style[\s/>]|\z)|<textarea[\s/>].*?(?:</textarea[\s/>]|\z)|<title[\s/>].*?(?:</title[\s/>]|\z)', ' ', 'gis') AS html
   FROM p WHERE instr(url, '://') > 0
+), tag AS (
+  SELECT page, generate_subscripts(t, 1) AS pos, unnest(t) AS tag
+  FROM (SELECT page, regexp_extract_all(html, '<(?:link|meta|base)[\s/](?:[^>=]|=\s*(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*)?)*>', 0, 'is') AS t FROM cut)
+), part AS (
+  SELECT page, pos, lower(substr(tag, 2, 4)) AS kind,
+         list_transform(regexp_extract_all(tag, '[^\s"''<>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*))?', 0, 'is'), lambda x: {
+           'name': lower(regexp_extract(x, '^[^\s=]+')),
+           'value': regexp_extract(x, '^[^=]*=\s*"(.*)"$', 1, 's') || regexp_extract(x, '^[^=]*=\s*''(.*)''$', 1, 's') || regexp_extract(x, '^[^=]*=\s*([^"''\s].*)$', 1, 's')}) AS attrs
+  FROM tag
+), told AS (
+  SELECT page, pos, kind, list_filter(attrs, lambda x: x.name = 'href')[1].value AS href, list_filter(attrs, lambda x: x.name = 'rel')[1].value AS rel,
+         list_filter(attrs, lambda x: x.name = 'http-equiv')[1].value AS equiv, list_filter(attrs, lambda x: x.name = 'content')[1].value AS content
+  FROM part
+), base AS (
+  SELECT page, arg_min(href, pos) AS base FROM told WHERE kind = 'base' AND href IS NOT NULL GROUP BY page
+), raw AS (
+  SELECT cut.page, CASE WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN href
+              WHEN kind = 'meta' AND lower(trim(equiv)) = 'refresh' THEN regexp_extract(content, '\burl\s*=\s*["'']?\s*([^"''\s]*)', 1, 'is') END AS link
+  FROM told JOIN cut USING (page)
+), based AS (
+  -- Links are seen from the page, or from its base; what is relative is a path without dots here.
+  SELECT raw.page, link, CASE WHEN base.base IS NULL OR base.base LIKE 'mailto:%' THEN url WHEN instr(base.base, '://') > 0 THEN base.base WHEN base.base LIKE '//%' THEN 'x:' || base.base
+              WHEN base.base LIKE '/%' THEN 'x://' || host || base.base ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || base.base END AS seen
+  FROM raw JOIN cut USING (page) LEFT JOIN base USING (page)
 ), linked AS (
-  SELECT a, CASE WHEN instr(link, '://') > 0 THEN link
-                 WHEN link LIKE '//%' THEN 'x:' || link
-                 WHEN link LIKE '/%' THEN 'x://' || host || link END AS b
-  FROM raw WHERE link <> ''
+  SELECT cut.host || cut.path || cut.query AS a,
+         CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN link
+              WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.\-]*:') OR link LIKE '#%' OR link = '' THEN NULL
+              WHEN link LIKE '//%' THEN 'x:' || link
+              WHEN link LIKE '/%' THEN 'x://' || regexp_extract(seen, '://([^/?#]*)', 1) || link
+              WHEN link LIKE '?%' THEN 'x://' || regexp_extract(seen, '://([^?#]*)', 1) || link
+              ELSE 'x://' || regexp_extract(seen, '://([^/?#]*)', 1) || '/' || regexp_extract(regexp_extract(seen, '://[^/?#]*([^?#]*)', 1), '^/(.*/)?', 1) || link END AS b
+  FROM based JOIN cut USING (page)
 ), e AS (
   SELECT a, translate(regexp_extract(b, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
             || regexp_extract(b, '^.*?://([^/?#]*)([^?#]*)', 2, 's') || coalesce(regexp_extract(b, '^.*?://[^?#]*(\?[^#]*)', 1, 's'), '') AS b
-  FROM linked WHERE b IS NOT NULL
+  FROM linked WHERE b IS NOT NULL AND a IS NOT NULL
 ), s AS (
   SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b
 ), reach AS (

@@ -298,6 +298,8 @@ def test_url_components_against_a_plain_union_find(spark):
         of.setdefault(find(u), set()).add(rule(u))
     want = {i: rule(u) or ("block" if "block" in of[find(u)] and "allow" not in of[find(u)] else "allow") for i, u in enumerate(names)}
     assert got == want and sum(v == "block" and rule(names[i]) is None for i, v in want.items()) > 5
+    # The SQL knows the links of pages, not those from elsewhere.
+    assert by_sql(pages) == {r["page_id"]: r["verdict"] for r in urls.judge_urls(df).collect()}
 
 
 def test_url_rules_and_aliases(spark):
@@ -339,6 +341,15 @@ def test_links_of_all_forms_are_edges(spark):
     assert {r["verdict"] for r in judged.collect()} == {"block"}
 
 
+def by_sql(rows):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages_frame", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    con.execute("CREATE VIEW pages AS SELECT CAST(page_id AS BIGINT) AS page_id, CAST(url AS VARCHAR) AS url, CAST(html AS VARCHAR) AS html FROM pages_frame")
+    return {r[0]: r[1] for r in con.execute(f"SELECT page_id, verdict FROM ({queries.oracle_sql()['op9_urls']})").fetchall()}
+
+
 def test_only_true_tags_and_words_of_rel_are_links(spark):
     u, to = "http://h.io/d/p", '<link rel="canonical" href="/to">'
     cases = [
@@ -354,6 +365,11 @@ def test_only_true_tags_and_words_of_rel_are_links(spark):
     got = {r["from_key"]: r["to_key"] for r in urls.alias_edges(pages).collect()}
     for i, (html, want) in enumerate(cases):
         assert got.get(f"n{i}.io/d/p") == (want and f"n{i}.io{want}"), html
+    # Of pages whose alias is blocked, the SQL finds the same ones.
+    rows = [(i, f"http://n{i}.io/d/p", html) for i, (html, _) in enumerate(cases)]
+    rows += [(1000 + i, f"http://n{i}.io{want}", '<link rel=canonical href="http://b.com/en/x">') for i, (_, want) in enumerate(cases) if want]
+    judged = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert judged == by_sql(rows) and {i: judged[i] for i in range(len(cases))} == {i: "block" if want else "allow" for i, (_, want) in enumerate(cases)}
     other = urls.alias_edges(spark.createDataFrame([(u, f'<base href="//o.io/x/">{to}')], "url string, html string"))
     assert [tuple(r) for r in other.collect()] == [("h.io/d/p", "o.io/to")]
 

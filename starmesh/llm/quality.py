@@ -31,6 +31,8 @@ FEATURES = ("log_words", "distinct", "adjacent_repeats", "line_repeats", "upper"
 STEP, AROUND = 0.25, np.arange(-5, 7)
 #: Cells in which scores are counted at once to find one by its rank.
 CELLS = 4096
+#: Labelled rows, of a hash, whose fit the steps over all rows begin with.
+SAMPLE = 8192
 #: The score at the cut.
 CUT_SCORE = 0.3
 _LINES = re.compile(r"[\n\r]+")
@@ -67,25 +69,29 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
 
 
+def _node_sums(y: np.ndarray, z: np.ndarray, w: np.ndarray, sums: dict[tuple[int, int], np.ndarray]) -> None:
+    """Adds to sums, by label and node, the products of (1, standardised features) of these documents."""
+    at = z @ w / STEP
+    node = np.floor(at).astype(np.int64)
+    far = (at - node)[:, None] - AROUND
+    share = np.stack([np.prod(np.delete(far, j, 1) / np.delete(AROUND[j] - AROUND, j), axis=1) for j in range(len(AROUND))])
+    one = np.column_stack([np.ones(len(z)), z])
+    products = one[:, _I] * one[:, _J]
+    order = np.lexsort((node, y))
+    cuts = np.flatnonzero(np.diff(y[order]) | np.diff(node[order])) + 1
+    for own in np.split(order, cuts) if len(order) else []:
+        for j, m in zip(AROUND, share[:, own] @ products[own], strict=True):
+            key = int(y[own[0]]), int(node[own[0]] + j)
+            sums[key] = sums[key] + m if key in sums else m
+
+
 def _moments(mean: np.ndarray, sd: np.ndarray, w: np.ndarray):
-    """Rows y, x: for each label and node the sums of the products of (1, standardised features)."""
+    """Rows y, node, m: what `_node_sums` makes of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            y, z = batch.column("y").to_numpy(), (_matrix(batch) - mean) / sd
-            at = z @ w / STEP
-            node = np.floor(at).astype(np.int64)
-            far = (at - node)[:, None] - AROUND
-            share = np.stack([np.prod(np.delete(far, j, 1) / np.delete(AROUND[j] - AROUND, j), axis=1) for j in range(len(AROUND))])
-            one = np.column_stack([np.ones(len(z)), z])
-            products = one[:, _I] * one[:, _J]
-            order = np.lexsort((node, y))
-            cuts = np.flatnonzero(np.diff(y[order]) | np.diff(node[order])) + 1
-            for own in np.split(order, cuts) if len(order) else []:
-                for j, m in zip(AROUND, share[:, own] @ products[own], strict=True):
-                    key = int(y[own[0]]), int(node[own[0]] + j)
-                    sums[key] = sums[key] + m if key in sums else m
+            _node_sums(batch.column("y").to_numpy(), (_matrix(batch) - mean) / sd, w, sums)
         keys = sorted(sums)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array([sums[k] for k in keys], pa.list_(pa.float64()))], names=["y", "node", "m"])
 
@@ -95,13 +101,20 @@ def _moments(mean: np.ndarray, sd: np.ndarray, w: np.ndarray):
 def _pairs(rows: DataFrame, mean: np.ndarray, sd: np.ndarray, w: np.ndarray, penalty: float) -> tuple[float, np.ndarray, np.ndarray]:
     """The mean loss of all pairs with the penalty, its gradient and its second derivatives."""
     found = rows.mapInArrow(_moments(mean, sd, w), "y int, node long, m array<double>").groupBy("y", "node").agg(*[F.sum(F.col("m")[k]).alias(f"m{k}") for k in range(len(_I))])
-    got = found.toPandas().sort_values(["y", "node"])  # one row a node
+    got = found.toPandas()  # one row a node
+    return _of_nodes(got["y"].to_numpy(), got["node"].to_numpy(), got[[f"m{k}" for k in range(len(_I))]].to_numpy(), w, penalty)
+
+
+def _of_nodes(y: np.ndarray, node: np.ndarray, sums: np.ndarray, w: np.ndarray, penalty: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The same from the sums of nodes."""
+    order = np.lexsort((node, y))
+    y, node, sums = y[order], node[order], sums[order]
     sides = []
-    for y in (1, 0):
-        own = got[got["y"] == y]
-        full = np.empty((len(own), len(w) + 1, len(w) + 1))
-        full[:, _I, _J] = full[:, _J, _I] = own[[f"m{k}" for k in range(len(_I))]].to_numpy()
-        sides.append((own["node"].to_numpy() * STEP, full))
+    for label in (1, 0):
+        own = y == label
+        full = np.empty((int(own.sum()), len(w) + 1, len(w) + 1))
+        full[:, _I, _J] = full[:, _J, _I] = sums[own]
+        sides.append((node[own] * STEP, full))
     (s, good), (t, bad) = sides
     loss, slope, bend = 0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))
     for i in range(0, len(s), 512):
@@ -142,6 +155,22 @@ def _raw(mean: np.ndarray, w: np.ndarray):
     return run
 
 
+def newton(of, w: np.ndarray) -> np.ndarray:
+    """Newton steps from w on a function that gives its value and derivatives, halved where it would grow."""
+    loss, slope, bend = of(w)
+    for _ in range(25):
+        step = np.linalg.solve(bend, slope)
+        if np.abs(step).max() < 1e-6:
+            # A step this short squares its error: the next would not be seen in the weights.
+            return w - step
+        now = of(w - step)
+        while now[0] > loss + 1e-9 and np.abs(step).max() > 1e-6:
+            step = step / 2
+            now = of(w - step)
+        w, (loss, slope, bend) = w - step, now
+    return w
+
+
 def fit(rows: DataFrame, penalty: float = 1e-3) -> dict:
     """From rows y, x: weights of the features, and the cut. All rows and all pairs count."""
     k = range(len(FEATURES))
@@ -150,17 +179,20 @@ def fit(rows: DataFrame, penalty: float = 1e-3) -> dict:
     if not 0 < n_good < n:
         return {"mean": np.zeros(len(k)), "w": np.zeros(len(k)), "cut": 1.0 if n and not n_good else -1.0}
     mean, sd = np.array(about[2 : 2 + len(k)]), np.array(about[2 + len(k) :]) + 1e-6
+    # The steps begin where those of a sample end, so that few need all rows.
+    some = rows.select("y", "x").orderBy(F.xxhash64("y", "x")).limit(SAMPLE).toArrow()
+    y, z = some["y"].to_numpy(), (_matrix(some.combine_chunks().to_batches()[0]) - mean) / sd
+
+    def of_sample(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        _node_sums(y, z, w, sums)
+        keys = np.array(list(sums))
+        return _of_nodes(keys[:, 0], keys[:, 1], np.array(list(sums.values())), w, penalty)
+
     w = np.zeros(len(k))
-    loss, slope, bend = _pairs(rows, mean, sd, w, penalty)
-    for _ in range(25):
-        step = np.linalg.solve(bend, slope)
-        now = _pairs(rows, mean, sd, w - step, penalty)
-        while now[0] > loss + 1e-9 and np.abs(step).max() > 1e-6:
-            step = step / 2
-            now = _pairs(rows, mean, sd, w - step, penalty)
-        w, (loss, slope, bend) = w - step, now
-        if np.abs(step).max() < 1e-6:
-            break
+    if 0 < y.sum() < len(y):
+        w = newton(of_sample, w)
+    w = newton(lambda w: _pairs(rows, mean, sd, w, penalty), w)
     # Sums in another order differ in their last digits.
     mean, w = np.round(mean, 12), np.round(w / sd, 9)
     lower, upper = by_rank(stored(rows.mapInArrow(_raw(mean, w), "s double"), "quality-scores"), n - n_good - 1)

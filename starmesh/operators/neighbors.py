@@ -18,11 +18,15 @@ from starmesh.plans.shared import stored
 from .index import PointIndex
 from .points import dims, union_types
 from .runner import Tiled, tiled
-from .tiles import MANY_DIMS, Boxes, boxes_in, by_pivots, differences, from_pivots, row_distances, segments, with_leaves
+from .tiles import MANY_DIMS, Boxes, boxes_in, by_pivots, differences, from_pivots, packed, row_distances, segments, with_leaves
 from .walk import Rule
 
 #: Pairs of points measured at once.
 BLOCK = 2_000_000
+#: Queries and sources of a box inside a tile.
+QUERIES, SOURCES = 48, 32
+#: Sources next to a box of queries, for each of the k, that its bound is taken from before it meets all others.
+CLOSE = 16
 SCHEMA = "qid long, rank int, id long, r2 double"
 
 
@@ -33,7 +37,8 @@ class Nearest(Rule):
     def __init__(self, k: int):
         self.k = k
 
-    def kinds(self, receivers: Boxes, sources: Boxes) -> np.ndarray:
+    def reach(self, receivers: Boxes, sources: Boxes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Least and greatest squared distances of the sources, and what each receiver needs at most."""
         near, far = receivers.gaps(sources)
         bound = receivers.bound * (1 + 1e-9)
         open_ = ~np.isfinite(bound)
@@ -44,6 +49,10 @@ class Nearest(Rule):
             at = np.minimum((n < self.k).sum(1), some.shape[1] - 1)
             rows = np.arange(len(some))
             bound[open_] = np.where(n[rows, at] >= self.k, some[rows, order[rows, at]], np.inf)
+        return near, far, bound
+
+    def kinds(self, receivers: Boxes, sources: Boxes) -> np.ndarray:
+        near, _, bound = self.reach(receivers, sources)
         return (near <= bound[:, None]).astype(np.int8)
 
 
@@ -119,7 +128,7 @@ def nearest(qx: np.ndarray, sid: np.ndarray, sx: np.ndarray, k: int, boxsize: fl
     elif boxsize or qx.shape[1] < 4 or not (np.isfinite(qx).all() and np.isfinite(sx).all()):
         r2 = differences(qx, sx, boxsize)
         # All that are not beyond the k-th distance, so that ties can go by id.
-        i, j = np.nonzero(~(r2 > np.partition(r2, m - 1, axis=1)[:, m - 1 : m]))
+        i, j = np.divmod(np.flatnonzero(~(r2 > np.partition(r2, m - 1, axis=1)[:, m - 1 : m])), len(sx))
     else:
         # Many dimensions: by a matrix product, and exactly for those that its error leaves near the k-th.
         rough, error = _rough(qx, sx)
@@ -138,24 +147,44 @@ def _tile(k: int, xs: list[str], boxsize: float | None, pivots: list[str], seen:
         none = pd.DataFrame({"qid": [], "rank": [], "id": [], "r2": []})
         if not len(q) or not len(s):
             return none
-        s, q = s.sort_values(["leaf", "id"]), q.sort_values("leaf")
         sid, sx, sleaf = s["id"].to_numpy(), s[xs].to_numpy(float), s["leaf"].to_numpy()
         qid, qx, qleaf = q["id"].to_numpy(), q[xs].to_numpy(float), q["leaf"].to_numpy()
-        with_pivots = lambda rows, x: np.column_stack([x, rows[pivots].to_numpy(float)]) if pivots else x
-        sb, qb = boxes_in(sleaf, with_pivots(s, sx), boxsize, len(pivots)), boxes_in(qleaf, with_pivots(q, qx), boxsize, len(pivots))
+        sp, qp = (np.column_stack([sx, s[pivots].to_numpy(float)]), np.column_stack([qx, q[pivots].to_numpy(float)])) if pivots else (sx, qx)
+        if not pivots:
+            # Runs of the order of all points may lie astride; inside a tile points are put into boxes anew.
+            sleaf, qleaf = packed(sx, SOURCES), packed(qx, QUERIES)
+        by, to = np.argsort(sleaf, kind="stable"), np.argsort(qleaf, kind="stable")
+        sb, qb = boxes_in(sleaf[by], sp[by], boxsize, len(pivots)), boxes_in(qleaf[to], qp[to], boxsize, len(pivots))
+        sid, sx, qid, qx = sid[by], sx[by], qid[to], qx[to]
         tested = 0
         s_at, q_at = np.concatenate([[0], np.cumsum(sb.n)]), np.concatenate([[0], np.cumsum(qb.n)])
-        qb.bound = np.maximum.reduceat(q["bound"].to_numpy(), q_at[:-1])
+        qb.bound = np.maximum.reduceat(q["bound"].to_numpy()[to], q_at[:-1])
         out = []
+        held_by = lambda leaves: np.repeat(s_at[leaves] - np.cumsum(sb.n[leaves]) + sb.n[leaves], sb.n[leaves]) + np.arange(int(sb.n[leaves].sum()))
         for c in range(0, len(qb), 64):
-            wanted = rule.kinds(qb.part(slice(c, c + 64)), sb) > 0
-            for r, row in enumerate(wanted, c):
-                leaves = np.flatnonzero(row)
-                if not len(leaves):
+            some = qb.part(slice(c, c + 64))
+            # What is in reach of none of these at once is not looked at for each of them.
+            gap, _, bound = rule.reach(some.whole(), sb)
+            around = np.flatnonzero(gap[0] <= bound[0])
+            if not len(around):
+                continue
+            near, far, bound = rule.reach(some, sb.part(around))
+            for r in range(c, c + len(some)):
+                reached = np.flatnonzero(near[r - c] <= bound[r - c])
+                if not len(reached):
                     continue
+                leaves, gap = around[reached], near[r - c][reached]
                 rows = slice(q_at[r], q_at[r + 1])
-                tested += (rows.stop - rows.start) * int(sb.n[leaves].sum())
-                held = np.concatenate([np.arange(s_at[i], s_at[i + 1]) for i in leaves])
+                if sb.n[leaves].sum() > 2 * CLOSE * k:
+                    # The closest leaves first; what they leave out of reach is not compared.
+                    by = leaves[np.argsort(far[r - c][reached], kind="stable")]
+                    close = held_by(by[: int(np.searchsorted(np.cumsum(sb.n[by]), CLOSE * k)) + 1])
+                    step = max(1, BLOCK // len(close))
+                    most = np.max([kth_within(qx[rows][at : at + step], sx[close], k, boxsize).max() for at in range(0, rows.stop - rows.start, step)])
+                    tested += (rows.stop - rows.start) * len(close)
+                    leaves = leaves[~(gap > most * (1 + 1e-9))]
+                held = held_by(leaves)
+                tested += (rows.stop - rows.start) * len(held)
                 held = held[np.argsort(sid[held], kind="stable")]
                 step = max(1, BLOCK // len(held))
                 for at in range(0, rows.stop - rows.start, step):

@@ -59,6 +59,11 @@ class Boxes:
         lo, hi, pivots = self.all
         return Boxes(self.node[rows], self.n[rows], lo[rows], hi[rows], self.boxsize, self.bound[rows], pivots)
 
+    def whole(self) -> Boxes:
+        """One box around all of them."""
+        lo, hi, pivots = self.all
+        return Boxes(self.node[:1], self.n.sum(keepdims=True), lo.min(0, keepdims=True), hi.max(0, keepdims=True), self.boxsize, self.bound.max(keepdims=True), pivots)
+
     def gaps(self, other: Boxes) -> tuple[np.ndarray, np.ndarray]:
         """(least, greatest) squared distances of each of these boxes from each other one; slightly widened."""
         near, far = np.zeros((len(self), len(other))), np.zeros((len(self), len(other)))
@@ -115,6 +120,21 @@ def boxes_in(node: np.ndarray, x: np.ndarray, boxsize: float | None, pivots: int
     return Boxes(node[first], count, np.minimum.reduceat(x, first), np.maximum.reduceat(x, first), boxsize, None, pivots)
 
 
+def packed(x: np.ndarray, size: int) -> np.ndarray:
+    """For each row the number of a compact box of about `size` rows: rows are cut into equal shares by
+    their first coordinate, each of these by the second, and so on."""
+    box, boxes, dim = np.zeros(len(x), np.int64), -(-len(x) // size), x.shape[1]
+    for i in range(dim):
+        cuts = int(np.ceil(boxes ** (1 / (dim - i)) - 1e-9))
+        order = np.lexsort((x[:, i], box))
+        own = box[order]
+        first = np.searchsorted(own, own)
+        count = np.searchsorted(own, own, side="right") - first
+        box[order] = own * cuts + (np.arange(len(x)) - first) * cuts // count
+        boxes = -(-boxes // cuts)
+    return box
+
+
 def with_leaves(points: DataFrame, leaf_size: int, exact: bool = True) -> tuple[DataFrame, int]:
     """points with zindex and leaf, stored in that order, and the number of points.
 
@@ -225,7 +245,11 @@ def differences(a: np.ndarray, b: np.ndarray, boxsize: float | None) -> np.ndarr
     out = None
     for i in range(a.shape[1]):
         d = wrapped(a[:, None, i] - b[None, :, i], boxsize)
-        out = d * d if out is None else out + d * d
+        d *= d
+        if out is None:
+            out = d
+        else:
+            out += d
     return out
 
 

@@ -10,7 +10,8 @@ from starmesh.functions.zkey import BitRange, bit_range, keys
 from starmesh.operators import fof, neighbors, tiles, tree, walk, windows, zorder
 from starmesh.operators.components import connected_components
 from starmesh.operators.points import of_type, point_set, same_rows, union_types
-from starmesh.plans.observed import statistics, summary
+from starmesh.operators.tiles import differences, packed
+from starmesh.plans.observed import Tally, statistics, summary
 
 NAN, INF = float("nan"), float("inf")
 
@@ -443,3 +444,36 @@ def test_windows_of_hot_keys(spark, monkeypatch):
         assert np.allclose(own["least"], own["v"][::-1].cummin()[::-1])
     total = windows.running_sum(s, [], ["o"], F.col("v"), "sum").toPandas().sort_values("o")
     assert np.allclose(total["sum"], total["v"].cumsum() - total["v"])
+
+
+def test_boxes_inside_a_tile():
+    rng = np.random.default_rng(3)
+    for n, dim, size in ((1, 3, 32), (31, 1, 32), (1000, 3, 32), (5000, 2, 48), (4000, 6, 32)):
+        box = packed(rng.random((n, dim)), size)
+        count = np.unique(box, return_counts=True)[1]
+        assert len(box) == n and count.max() <= size
+    # Equal points, and points nowhere, are dealt like all others.
+    odd = np.vstack([np.zeros((100, 2)), np.full((5, 2), np.nan), np.full((5, 2), np.inf)])
+    assert np.unique(packed(odd, 16), return_counts=True)[1].max() <= 16
+
+
+@pytest.mark.parametrize("boxsize", [None, 1.0])
+@pytest.mark.parametrize("dim", [1, 3, 5])
+def test_a_tile_finds_what_all_pairs_give(boxsize, dim):
+    """Many boxes of a tile, half of the points in one dense spot, with ties, copies and points nowhere."""
+    rng = np.random.default_rng(dim)
+    x = np.vstack([rng.random((1500, dim)), 0.5 + 0.001 * rng.random((1500, dim)), np.round(rng.random((300, dim)), 1)])
+    x = np.vstack([x, x[:50]])
+    if not boxsize:
+        x[7], x[11, 0] = np.inf, np.nan
+    frame = pd.DataFrame({"leaf": np.arange(len(x)) // 64, "id": rng.permutation(len(x)), **{f"x{i}": x[:, i] for i in range(dim)}, "bound": np.inf})
+    k, xs = 6, [f"x{i}" for i in range(dim)]
+    got = neighbors._tile(k, xs, boxsize, [], Tally())(frame, frame.drop(columns="bound")).sort_values(["qid", "rank"])
+    frame = frame.sort_values("id")
+    with np.errstate(invalid="ignore"):
+        r2 = differences(frame[xs].to_numpy(), frame[xs].to_numpy(), boxsize)
+    finite = np.isfinite(frame[xs].to_numpy()).all(1)
+    for q in np.flatnonzero(finite):
+        best = np.lexsort((np.arange(len(x)), r2[q]))[:k]
+        rows = got["id"].to_numpy()[got["qid"].searchsorted(q) :][:k]
+        assert (rows == best).all()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from starmesh.plans.shared import stored
 from .index import PointIndex
 from .points import dims, union_types
 from .runner import Tiled, tiled
-from .tiles import MANY_DIMS, Boxes, boxes_in, by_pivots, differences, from_pivots, packed, row_distances, segments, with_leaves
+from .tiles import CHUNK_VALUES, MANY_DIMS, Boxes, boxes_in, by_pivots, differences, from_pivots, matrix, packed, row_distances, segments, with_leaves
 from .walk import Rule
 
 #: Pairs of points measured at once.
@@ -61,6 +60,7 @@ def _prepared(leaved: DataFrame, xs: list[str], k: int, boxsize: float | None, b
 
     kept: of sources at one place only the first k by id can be among k nearest; equal points are
     next to each other. A run that goes on in another segment has k kept points there again.
+    Segments are cut to a chunk's number of values, as a task may read many ranges.
     bound: for a query a squared distance within which k sources are: those of its leaf and of the
     leaves before and after it. Infinite where these are not k, and without bounds.
     """
@@ -68,9 +68,11 @@ def _prepared(leaved: DataFrame, xs: list[str], k: int, boxsize: float | None, b
     rows = leaved.select("zindex", "leaf", "id", *(["ptype"] if typed else []), *xs)
     schema = StructType([*rows.schema.fields, StructField("kept", BooleanType()), StructField("bound", DoubleType()), *[StructField(f"pivot{i}", DoubleType()) for i in range(0 if pivots is None else len(pivots))]])
 
+    most = max(1, CHUNK_VALUES // len(schema))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in segments(batches):
-            x = np.column_stack([part[c].to_numpy() for c in xs])
+        for part in segments(batches, most):
+            x = matrix(part, xs)
             leaf = part["leaf"].to_numpy()
             source = part["ptype"].to_numpy() == 0 if typed else np.ones(len(x), bool)
             asked = ~source if typed else source
@@ -107,8 +109,13 @@ def _rough(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     """Squared distances by a matrix product, and how far they may be off."""
     mid = a.mean(0)
     a, b = a - mid, b - mid
-    na, nb = (a * a).sum(1), (b * b).sum(1)
-    return na[:, None] + nb[None, :] - 2 * (a @ b.T), 2e-15 * (a.shape[1] + 8) * (np.sqrt(na.max()) + np.sqrt(nb.max())) ** 2
+    na, nb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    # In place: this matrix is the largest thing that a tile makes.
+    out = a @ b.T
+    out *= -2
+    out += na[:, None]
+    out += nb
+    return out, 2e-15 * (a.shape[1] + 8) * (np.sqrt(na.max()) + np.sqrt(nb.max())) ** 2
 
 
 def kth_within(q: np.ndarray, s: np.ndarray, k: int, boxsize: float | None) -> np.ndarray:
@@ -133,7 +140,7 @@ def nearest(qx: np.ndarray, sid: np.ndarray, sx: np.ndarray, k: int, boxsize: fl
         # Many dimensions: by a matrix product, and exactly for those that its error leaves near the k-th.
         rough, error = _rough(qx, sx)
         i, j = np.nonzero(rough <= np.partition(rough, m - 1, axis=1)[:, m - 1 : m] + 2 * error)
-    d = r2[i, j] if r2 is not None else row_distances(qx[i], sx[j], boxsize)
+    d = r2[i, j] if r2 is not None else row_distances(qx, sx, boxsize, (i, j))
     order = np.lexsort((j, d, i))
     i, j, d = i[order], j[order], d[order]
     top = np.arange(len(i)) - np.searchsorted(i, i) < m
@@ -141,21 +148,28 @@ def nearest(qx: np.ndarray, sid: np.ndarray, sx: np.ndarray, k: int, boxsize: fl
 
 
 def _tile(k: int, xs: list[str], boxsize: float | None, pivots: list[str], seen: Tally):
+    """What `_found` finds of two frames, as a frame."""
+    import pandas as pd
+
+    found = _found(k, xs, boxsize, pivots, seen)
+    return lambda q, s: pd.DataFrame(found(q, s) or {"qid": [], "rank": [], "id": [], "r2": []})
+
+
+def _found(k: int, xs: list[str], boxsize: float | None, pivots: list[str], seen: Tally):
+    """Of the queries and sources of a tile, the columns of SCHEMA; nothing is copied whole but the ids and x*, once."""
     rule = Nearest(k)
 
-    def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"qid": [], "rank": [], "id": [], "r2": []})
+    def run(q: pa.Table, s: pa.Table) -> dict[str, np.ndarray]:
         if not len(q) or not len(s):
-            return none
-        sid, sx, sleaf = s["id"].to_numpy(), s[xs].to_numpy(float), s["leaf"].to_numpy()
-        qid, qx, qleaf = q["id"].to_numpy(), q[xs].to_numpy(float), q["leaf"].to_numpy()
-        sp, qp = (np.column_stack([sx, s[pivots].to_numpy(float)]), np.column_stack([qx, q[pivots].to_numpy(float)])) if pivots else (sx, qx)
-        if not pivots:
+            return {}
+        if pivots:
+            sleaf, qleaf = s["leaf"].to_numpy(), q["leaf"].to_numpy()
+        else:
             # Runs of the order of all points may lie astride; inside a tile points are put into boxes anew.
-            sleaf, qleaf = packed(sx, SOURCES), packed(qx, QUERIES)
+            sleaf, qleaf = packed(matrix(s, xs), SOURCES), packed(matrix(q, xs), QUERIES)
         by, to = np.argsort(sleaf, kind="stable"), np.argsort(qleaf, kind="stable")
-        sb, qb = boxes_in(sleaf[by], sp[by], boxsize, len(pivots)), boxes_in(qleaf[to], qp[to], boxsize, len(pivots))
-        sid, sx, qid, qx = sid[by], sx[by], qid[to], qx[to]
+        sid, sx, qid, qx = s["id"].to_numpy()[by], matrix(s, xs, by), q["id"].to_numpy()[to], matrix(q, xs, to)
+        sb, qb = boxes_in(sleaf[by], sx, boxsize, [s[c].to_numpy()[by] for c in pivots]), boxes_in(qleaf[to], qx, boxsize, [q[c].to_numpy()[to] for c in pivots])
         tested = 0
         s_at, q_at = np.concatenate([[0], np.cumsum(sb.n)]), np.concatenate([[0], np.cumsum(qb.n)])
         qb.bound = np.maximum.reduceat(q["bound"].to_numpy()[to], q_at[:-1])
@@ -191,10 +205,8 @@ def _tile(k: int, xs: list[str], boxsize: float | None, pivots: list[str], seen:
                     i, j, d = nearest(qx[rows][at : at + step], sid[held], sx[held], k, boxsize)
                     out.append((qid[rows][at : at + step][i], np.arange(len(i)) - np.searchsorted(i, i) + 1, sid[held[j]], d))
         seen.add(len(q), len(s), tested)
-        if not out:
-            return none
         cols = [np.concatenate(v) for v in zip(*out, strict=True)]
-        return pd.DataFrame({"qid": cols[0], "rank": cols[1].astype(np.int32), "id": cols[2], "r2": cols[3]})
+        return {"qid": cols[0], "rank": cols[1].astype(np.int32), "id": cols[2], "r2": cols[3]} if cols else {}
 
     return run
 
@@ -223,7 +235,7 @@ def knn_pairs(source: DataFrame | PointIndex, k: int, query: DataFrame | PointIn
         return asked.sparkSession.createDataFrame([], schema)
     xs = dims(src)
     pivots = [c for c in src.columns if c.startswith("pivot")]
-    found, many = tiled(Tiled(src, asked, (-(-n[0] // size[0]), -(-n[1] // size[1])), size, n[1], xs, boxsize, "knn", [*xs, *pivots]), Nearest(k), _tile(k, xs, boxsize, pivots, tally("knn", src.sparkSession)), SCHEMA, ["bound", *pivots], pivots)
+    found, many = tiled(Tiled(src, asked, (-(-n[0] // size[0]), -(-n[1] // size[1])), size, n[1], xs, boxsize, "knn", [*xs, *pivots]), Nearest(k), _found(k, xs, boxsize, pivots, tally("knn", src.sparkSession)), SCHEMA, ["bound", *pivots], pivots)
     if many > 1:
         found = found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("r2", "id"))).where(F.col("rank") <= k)
     return found.select("qid", "rank", "id", F.sqrt("r2").alias("rad"))

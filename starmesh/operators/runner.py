@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from starmesh.plans.shared import stored
 
 from .index import PointIndex
 from .points import dims
-from .tiles import UNITS, Boxes, boxes_in, chunk_leaves, differences, few_in_chunks, in_chunks, leaf_nodes, plane_of, tile_leaves, with_leaves
+from .tiles import UNITS, Boxes, boxes_in, chunk_leaves, differences, few_in_chunks, in_chunks, leaf_nodes, matrix, plane_of, tile_leaves, with_leaves
 from .walk import Rule, begin, frame_of, refined, start_plane, walked
 
 #: Pairs of points that a kernel of this module compares at once.
@@ -63,7 +62,8 @@ def tiled(job: Tiled, rule: Rule, tile: Callable, schema: str, extra: list[str]
 
 def in_tiles(job: Tiled, pairs: DataFrame | tuple[np.ndarray, np.ndarray], p: int, tile: Callable, schema: str, extra: list[str] | None = None, more: list[str] | None = None) -> tuple[DataFrame, int]:
     """The points of pairs (q, t) of plane p, in tiles; few pairs may be arrays. extra and more name
-    further columns of queries and of sources."""
+    further columns of queries and of sources. tile gets both as Arrow tables, which are not copied on
+    their way, and gives columns of the schema."""
     spark, xs = job.src.sparkSession, job.xs
     per_tile, at_once = tile_leaves(job.n, job.size[1], spark.sparkContext.defaultParallelism), chunk_leaves(job.size[0], len(xs))
     if isinstance(pairs, tuple):
@@ -88,7 +88,13 @@ def in_tiles(job: Tiled, pairs: DataFrame | tuple[np.ndarray, np.ndarray], p: in
         own = own.join(chunks, "tile").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
     # New column identities: both sides may come from one table.
     halo = halo.toDF(*halo.columns)
-    return own.groupBy("tile", "chunk").cogroup(halo.groupBy("tile", "chunk")).applyInPandas(tile, schema), many
+    kinds = spark.createDataFrame([], schema).toArrow().schema
+
+    def run(q: pa.Table, s: pa.Table) -> pa.Table:
+        found = tile(q, s)
+        return pa.Table.from_pydict(found, schema=kinds) if found else kinds.empty_table()
+
+    return own.groupBy("tile", "chunk").cogroup(halo.groupBy("tile", "chunk")).applyInArrow(run, schema), many
 
 
 class PairRule(Rule):
@@ -104,12 +110,13 @@ Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np
 
 
 def _kernel_tile(rule: PairRule, kernel: Kernel, xs: list[str], boxsize: float | None, seen: Tally):
-    def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+    def run(q: pa.Table, s: pa.Table) -> dict[str, np.ndarray]:
         out, tested = [], 0
         if len(q) and len(s):
-            q, s = q.sort_values(["leaf", "id"]), s.sort_values(["leaf", "id"])
-            qid, qx, sid, sx = q["id"].to_numpy(), q[xs].to_numpy(float), s["id"].to_numpy(), s[xs].to_numpy(float)
-            qb, sb = boxes_in(q["leaf"].to_numpy(), qx, boxsize), boxes_in(s["leaf"].to_numpy(), sx, boxsize)
+            qid, sid, qleaf, sleaf = q["id"].to_numpy(), s["id"].to_numpy(), q["leaf"].to_numpy(), s["leaf"].to_numpy()
+            to, by = np.lexsort((qid, qleaf)), np.lexsort((sid, sleaf))
+            qid, qx, sid, sx = qid[to], matrix(q, xs, to), sid[by], matrix(s, xs, by)
+            qb, sb = boxes_in(qleaf[to], qx, boxsize), boxes_in(sleaf[by], sx, boxsize)
             q_at, s_at = np.concatenate([[0], np.cumsum(qb.n)]), np.concatenate([[0], np.cumsum(sb.n)])
             for c in range(0, len(qb), 64):
                 # What is accepted was so in the walk too, there or in a node above.
@@ -123,9 +130,9 @@ def _kernel_tile(rule: PairRule, kernel: Kernel, xs: list[str], boxsize: float |
                         step = max(1, BLOCK // max(1, own.stop - own.start))
                         for at in range(0, len(held), step):
                             part = held[at : at + step]
-                            out.append(pd.DataFrame(kernel(qid[own], qx[own], sid[part], sx[part])))
+                            out.append(kernel(qid[own], qx[own], sid[part], sx[part]))
         seen.add(len(q), len(s), tested)
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
+        return {c: np.concatenate([x[c] for x in out]) for c in out[0]} if out else {}
 
     return run
 

@@ -113,11 +113,21 @@ def pivots_of(names: list[str]) -> int:
     return sum(c.startswith("pivot") for c in names)
 
 
-def boxes_in(node: np.ndarray, x: np.ndarray, boxsize: float | None, pivots: int = 0) -> Boxes:
-    """Boxes of the runs of equal numbers in node."""
+def boxes_in(node: np.ndarray, x: np.ndarray, boxsize: float | None, far: list[np.ndarray] | None = None) -> Boxes:
+    """Boxes of the runs of equal numbers in node; far has distances from pivots, an array for each."""
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, int)
     count = np.diff(np.append(first, len(node)))
-    return Boxes(node[first], count, np.minimum.reduceat(x, first), np.maximum.reduceat(x, first), boxsize, None, pivots)
+    lo, hi = (np.column_stack([f.reduceat(x, first), *[f.reduceat(d, first) for d in far or []]]) for f in (np.minimum, np.maximum))
+    return Boxes(node[first], count, lo, hi, boxsize, None, len(far or []))
+
+
+def matrix(side, xs: list[str], order: np.ndarray | None = None) -> np.ndarray:
+    """The columns xs of a table or frame as one array, its rows in an order: the only copy that is made of them."""
+    out = np.empty((len(side), len(xs)))
+    for i, c in enumerate(xs):
+        x = side[c].to_numpy()
+        out[:, i] = x if order is None else x[order]
+    return out
 
 
 def packed(x: np.ndarray, size: int) -> np.ndarray:
@@ -216,10 +226,11 @@ def plane_of(leaves: DataFrame, p: int, xs: list[str]) -> DataFrame:
     return leaves if p == 0 else coarser(leaves, UNITS[p], xs)
 
 
-def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows whose zindex goes on by one: a range partition each, in whatever order a task reads them."""
+def segments(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
+    """Runs of rows whose zindex goes on by one: a range partition each, in whatever order a task reads them,
+    or several that it reads in their order. With most they are cut to so many rows."""
     held: list[pa.RecordBatch] = []
-    last = None
+    last, rows = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -228,9 +239,16 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if held and z[lo] != last + 1:
                 yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
+                held, rows = [], 0
             last = int(z[hi - 1])
+            while most and rows + hi - lo >= most:
+                held.append(batch.slice(lo, most - rows))
+                lo += most - rows
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+            if lo < hi:
+                held.append(batch.slice(lo, hi - lo))
+                rows += hi - lo
     if held:
         yield pa.Table.from_batches(held)
 
@@ -257,11 +275,12 @@ def wrapped(d: np.ndarray, boxsize: float | None) -> np.ndarray:
     return np.where(d < -boxsize / 2, d + boxsize, np.where(d >= boxsize / 2, d - boxsize, d)) if boxsize else d
 
 
-def row_distances(a: np.ndarray, b: np.ndarray, boxsize: float | None) -> np.ndarray:
-    """Squared distances of a's rows from b's, row by row, dimensions in order."""
+def row_distances(a: np.ndarray, b: np.ndarray, boxsize: float | None, at: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Squared distances of a's rows from b's, row by row, or of the rows at[0] of a from the rows at[1]
+    of b, which are never gathered as a whole; dimensions in order."""
     out = None
     for i in range(a.shape[1]):
-        d = wrapped(a[:, i] - b[:, i], boxsize)
+        d = wrapped(a[:, i] - b[:, i] if at is None else a[at[0], i] - b[at[1], i], boxsize)
         out = d * d if out is None else out + d * d
     return out
 
